@@ -9,9 +9,7 @@ Every task packs its own partition of the scan, so nothing is shuffled, and a re
 windows: ids are (partition, running number). Memory holds the partly filled windows (under 1,024 by level array
 bookkeeping in the usual case) without texts.
 
-Ids: the tokenizer file at ``tokenizer_path``, each text's ids followed by ``end_id``. Pieces between single
-spaces are tokenised once and remembered; a space before a non-space always starts a token, so this is exact.
-Texts with doubled or closing spaces, or white space after a space, go to the tokenizer whole.
+Ids: the tokenizer file at ``tokenizer_path``, each text's ids followed by ``end_id``.
 
 Defined cases: null and empty texts are the one id ``end_id``; repeated rows are packed as often as they occur;
 columns other than doc_id and text are ignored; an empty table gives no pieces.
@@ -26,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import CACHE_ENTRIES, load
+from .common import load
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _TOKENIZERS: dict[str, tuple] = {}
@@ -38,36 +36,38 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: How the byte-level tokenizer splits texts before merging (fixed value, published with its vocabulary).
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the rest from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
 class Ids:
-    """Token ids of texts as little-endian unsigned 32-bit bytes."""
+    """Token ids of texts as little-endian unsigned 32-bit bytes.
+
+    The vocabulary file's merges are in the order of their ids, so a rank-based encoder over the same vocabulary gives the
+    same ids, several times as fast; texts that hold a special token's string go to the tokenizer itself.
+    """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        split, whole, missing = [], [], {}
-        if len(self.pieces) > CACHE_ENTRIES:
-            self.pieces.clear()
-        for k, text in enumerate(texts):
-            first, *rest = text.split(" ")
-            if any(s in text for s in self.special) or not all(rest) or any(p[0].isspace() for p in rest):
-                whole.append(k)
-                split.append(None)
-            else:
-                split.append((first, rest))
-                missing.update(dict.fromkeys(p for p in rest if p not in self.pieces))
-        if missing:
-            names = list(missing)
-            self.pieces.update(zip(names, self.encode([f" {p}" for p in names]), strict=True))
-        heads = self.encode([s[0] if s else texts[k] for k, s in enumerate(split)])
-        return [head if s is None else head + b"".join(map(self.pieces.__getitem__, s[1])) for head, s in zip(heads, split, strict=True)]
+        letters = byte_letters()
+        ranks = {bytes(letters[c] for c in token): rank for token, rank in self.tokenizer.get_vocab(with_added_tokens=False).items() if token not in self.special}
+        self.fast = tiktoken.Encoding("vocabulary", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
 
 
 def tokenizer(path: str) -> Ids:
@@ -159,9 +159,8 @@ def pack(documents: DataFrame, tokenizer_path: str | None = None, window: int =
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                encoded = ids.batch([t or "" for t in part.column(1).to_pylist()])
-                for doc_id, data in zip(part.column(0).to_pylist(), encoded, strict=True):
-                    data += end
+                for doc_id, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    data = ids.encode(text or "") + end
                     total, start = len(data) // 4, 0
                     count += 1
                     docs[count] = [doc_id, data, 0, total, total]
