@@ -31,10 +31,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, keep, load, mixed, scratch, words_of
+from .common import crc_mod, drop, keep, load, mixed, scratch, words_of
 
 #: Tokens of a chunk, and of a part, about.
-CHUNK, PART = 2_000_000, 2_500_000
+CHUNK, PART = 1_500_000, 1_250_000
 #: Least count of a context that is spread over parts.
 HOT = 50_000
 CUT = 5
@@ -42,7 +42,8 @@ END, START = b"\n", 0xFFFFFFFF  # no word holds a line break; the start has a nu
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    raw = b"".join(a.tobytes() for a in arrays)
+    """Arrays byte plane by byte plane, compressed: the upper bytes of small numbers are all alike."""
+    raw = b"".join(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays if len(a))
     return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True) if raw else bytes(8)
 
 
@@ -52,8 +53,9 @@ def unpacked(data: bytes, *kinds) -> list[np.ndarray]:
     raw = pa.decompress(data[8:], size, "zstd", asbytes=True) if size else b""
     n, out, at = size // sum(np.dtype(k).itemsize for k in kinds), [], 0
     for k in kinds:
-        out.append(np.frombuffer(raw, k, n, at))
-        at += n * np.dtype(k).itemsize
+        width = np.dtype(k).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(k).ravel() if n else np.empty(0, k))
+        at += n * width
     return out
 
 
@@ -176,6 +178,7 @@ def score(docs: DataFrame) -> tuple[DataFrame, str]:
     written = spark.read.schema("part long, chunk long, data binary, ids array<long>, held array<boolean>, lens array<int>, kind string").parquet(base_path)
     asked = written.filter("kind = 'ask'").select("part", "chunk", "data")
     replies = keep(asked.groupBy("part").applyInArrow(answer, "chunk long, part long, data binary"), "katz-replies")
+    drop(spark, f"{base_path}/kind=ask")  # answered; nothing reads it again
     stats = [unpacked(r["data"], np.int64)[0] for r in replies.filter("chunk = -1").select("data").toLocalIterator()]
     sums = np.sum(stats, axis=0) if stats else np.zeros(2 + CUT + 1, np.int64)
     single = Unigrams(int(sums[0]), int(sums[1]), {r: int(sums[1 + r]) for r in range(1, CUT + 2)})
