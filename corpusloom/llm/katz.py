@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, drop, keep, load, mixed, scratch, words_of
 
 #: Tokens of a chunk, and of a part, about.
-CHUNK, PART = 1_500_000, 1_250_000
+CHUNK, PART = 800_000, 1_250_000
 #: Least count of a context that is spread over parts.
 HOT = 50_000
 CUT = 5
@@ -77,6 +77,30 @@ def apply(c: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.where(c <= CUT, d[np.minimum(c, CUT)], 1.0) * c
 
 
+def steps(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted pairs as steps of the context, and of the word within its context."""
+    h, w = code >> np.uint64(32), code & np.uint64(0xFFFFFFFF)
+    same = np.r_[False, h[1:] == h[:-1]]
+    return np.diff(h, prepend=np.uint64(0)).astype(np.uint32), np.where(same, w - np.r_[np.uint64(0), w[:-1]], w).astype(np.uint32)
+
+
+def first_of_context(code: np.ndarray, ch: np.ndarray) -> np.ndarray:
+    """c(h) where a context begins, else 0."""
+    h = code >> np.uint64(32)
+    return np.where(np.r_[True, h[1:] != h[:-1]], ch, 0).astype(np.uint32)
+
+
+def unstepped(dh: np.ndarray, dw: np.ndarray, ch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs and their c(h) from steps."""
+    h = np.cumsum(dh, dtype=np.uint64)
+    begin = np.r_[True, h[1:] != h[:-1]]
+    start = np.flatnonzero(begin)
+    run = np.cumsum(begin) - 1
+    total = np.cumsum(dw, dtype=np.uint64)
+    w = total - (total[start] - dw[start])[run]
+    return h << np.uint64(32) | w, ch[start][run]
+
+
 class Unigrams:
     """P(w) by count; P of count 0 is the unknown word's."""
 
@@ -238,40 +262,48 @@ def score(docs: DataFrame) -> tuple[DataFrame, str]:
                     if len(m):
                         size = holders[m].astype(np.int64)
                         spots = np.repeat(ends[m] - np.cumsum(size), size) + np.arange(size.sum())
-                        data = packed((code_[m] >> np.uint64(32)).astype(np.uint32), code_[m].astype(np.uint32), cw[m], ch_[m], learnt[m], holders[m])
+                        data = packed(*steps(code_[m]), cw[m], first_of_context(code_[m], ch_[m]), learnt[m], holders[m])
                         out.append((k, chunk, len(data).to_bytes(8, "little") + data + packed(doc_[spots], times[spots])))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.binary()], strict=True)], ["part", "chunk", "data"])
+                    if len(out) >= 16 or k == parts - 1:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 3, [pa.int64(), pa.int64(), pa.binary()], strict=True)], ["part", "chunk", "data"])
+                        out = []
 
     dealt = texts.join(answers, "chunk").select("chunk", "tokens", "held", "lens", "answers").mapInArrow(pairs, "part long, chunk long, data binary")
     # an RDD, because two jobs read this exchange and its files serve both
-    exchange = dealt.rdd.map(lambda r: (r[0] if r[0] >= 0 else r[1] % parts, (r[0], r[1], bytes(r[2])))).partitionBy(parts, lambda k: k)
+    slot = F.when(F.col("part") < 0, F.pmod("chunk", F.lit(parts))).otherwise(F.col("part"))
+    exchange = dealt.repartition(parts, slot).rdd
+
+    def by_part(rows):
+        """Rows of each part that meets in this task; -1: documents' counts and base scores."""
+        groups: dict[int, list] = {}
+        for part, chunk, data in rows:
+            groups.setdefault(part, []).append((chunk, bytes(data)))
+        return groups
 
     def gathered(rows):
-        """Distinct pairs of the part with their counts, where each entry stands, and the entries' chunk, document and times."""
-        every, entries, base = [], [], []
-        for _, (part, chunk, data) in rows:
-            if part < 0:
-                base.append((chunk, data))
-                continue
+        """Distinct pairs of a part with their counts, where each entry stands, and the entries' chunk, document and times."""
+        every, entries = [], []
+        for chunk, data in rows:
             size = int.from_bytes(data[:8], "little")
-            every.append(unpacked(data[8 : 8 + size], *[np.uint32] * 6))
+            dh, dw, cw, ch, learnt, holders = unpacked(data[8 : 8 + size], *[np.uint32] * 6)
+            every.append((*unstepped(dh, dw, ch), cw, learnt, holders))
             entries.append((chunk, *unpacked(data[8 + size :], np.uint32, np.uint32)))
-        if not every:
-            return None, None, entries, base
-        h, w, cw, ch, learnt, holders = (np.concatenate(c) for c in zip(*every, strict=True))
-        code, first, which = np.unique(h.astype(np.uint64) << np.uint64(32) | w, return_index=True, return_inverse=True)
+        rows.clear()
+        code, ch, cw, learnt, holders = (np.concatenate(c) for c in zip(*every, strict=True))
+        code, first, which = np.unique(code, return_index=True, return_inverse=True)
         c2 = np.bincount(which, weights=learnt, minlength=len(code)).astype(np.int64)
-        entry = np.repeat(which.astype(np.int64), holders)
-        return (code, c2, cw[first].astype(np.int64), ch[first].astype(np.int64)), entry, entries, base
+        entry = np.repeat(which.astype(np.int32), holders)
+        return (code, c2, cw[first].astype(np.int64), ch[first].astype(np.int64)), entry, entries
 
     def contexts(code):
         h = code >> np.uint64(32)
         return h, np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
 
     def first_look(rows):
-        pair = gathered(rows)[0]
-        if pair is not None:
-            code, c2, cw, ch = pair
+        for part, group in by_part(rows).items():
+            if part < 0:
+                continue
+            code, c2, cw, ch = gathered(group)[0]
             yield (-1, np.bincount(np.minimum(c2, CUT + 2), minlength=CUT + 3)[1 : CUT + 2].astype(float))
             h, starts = contexts(code)
             lower = np.where(c2 > 0, single.p(cw), 0.0)
@@ -287,29 +319,29 @@ def score(docs: DataFrame) -> tuple[DataFrame, str]:
     shared = spark.sparkContext.broadcast(hot_mass)
 
     def last_look(rows):
-        pair, entry, entries, base = gathered(rows)
-        for chunk, data in base:
-            yield ("base", chunk, data)
-        if pair is None:
-            return
-        code, c2, cw, ch = pair
-        h, starts = contexts(code)
-        p1 = single.p(cw)
-        mass = np.add.reduceat(apply(c2, d), starts)
-        lower = np.add.reduceat(np.where(c2 > 0, p1, 0.0), starts)
-        context = ch[starts].astype(float)
-        for k in np.flatnonzero(ch[starts] >= hot):
-            mass[k], lower[k] = shared.value[int(h[starts[k]])]
-        total, alpha = finish(mass, lower, context)
-        of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(code)]))
-        p = np.where(c2 > 0, apply(c2, d) / np.maximum(total[of], 1e-300), alpha[of] * p1)
-        log = np.log10(np.maximum(p, 1e-300))[entry]
-        seen = c2 > 0
-        yield ("model", TaskContext.get().partitionId(), packed((h[seen]).astype(np.uint32), code[seen].astype(np.uint32), c2[seen].astype(np.uint32)) + packed(h[starts].astype(np.uint32), alpha.astype(np.float64)))
-        at = 0
-        for chunk, doc, times in entries:
-            yield ("score", chunk, packed(np.bincount(doc, weights=log[at : at + len(doc)] * times)))
-            at += len(doc)
+        for part, group in by_part(rows).items():
+            if part < 0:
+                for chunk, data in group:
+                    yield ("base", chunk, data)
+                continue
+            pair, entry, entries = gathered(group)
+            code, c2, cw, ch = pair
+            h, starts = contexts(code)
+            p1 = single.p(cw)
+            mass = np.add.reduceat(apply(c2, d), starts)
+            lower = np.add.reduceat(np.where(c2 > 0, p1, 0.0), starts)
+            for k in np.flatnonzero(ch[starts] >= hot):
+                mass[k], lower[k] = shared.value[int(h[starts[k]])]
+            total, alpha = finish(mass, lower, ch[starts].astype(float))
+            of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(code)]))
+            p = np.where(c2 > 0, apply(c2, d) / np.maximum(total[of], 1e-300), alpha[of] * p1)
+            log = np.log10(np.maximum(p, 1e-300))
+            seen = c2 > 0
+            yield ("model", part, packed(*steps(code[seen]), c2[seen].astype(np.uint32)) + packed(np.diff(h[starts], prepend=np.uint64(0)).astype(np.uint32), alpha.astype(np.float64)))
+            at = 0
+            for chunk, doc, times in entries:
+                yield ("score", chunk, packed(np.bincount(doc, weights=log[entry[at : at + len(doc)]] * times)))
+                at += len(doc)
 
     result = keep(spark.createDataFrame(exchange.mapPartitions(last_look), "kind string, chunk long, data binary"), "katz-result")
     result.filter("kind = 'model'").select(F.col("chunk").alias("part"), "data").withColumn("order", F.lit(2)).write.partitionBy("order").mode("append").parquet(model_path)
