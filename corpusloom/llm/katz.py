@@ -343,8 +343,9 @@ def score(docs: DataFrame) -> tuple[DataFrame, str]:
                 yield ("score", chunk, packed(np.bincount(doc, weights=log[entry[at : at + len(doc)]] * times)))
                 at += len(doc)
 
-    result = keep(spark.createDataFrame(exchange.mapPartitions(last_look), "kind string, chunk long, data binary"), "katz-result")
-    result.filter("kind = 'model'").select(F.col("chunk").alias("part"), "data").withColumn("order", F.lit(2)).write.partitionBy("order").mode("append").parquet(model_path)
+    rows = spark.createDataFrame(exchange.mapPartitions(last_look), "kind string, part long, data binary")
+    rows.withColumn("order", F.when(F.col("kind") == "model", 2).otherwise(0)).write.partitionBy("order").mode("append").parquet(model_path)
+    result = spark.read.schema("kind string, part long, data binary, order int").parquet(model_path).filter("order = 0").select("kind", F.col("part").alias("chunk"), "data")
 
     def together(key, left, right):
         if not left.num_rows:
@@ -363,7 +364,7 @@ def score(docs: DataFrame) -> tuple[DataFrame, str]:
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     owners = written.filter("kind = 'text'").select("chunk", "ids", "held")
-    out = owners.groupBy("chunk").cogroup(result.filter("kind <> 'model'").groupBy("chunk")).applyInArrow(together, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = owners.groupBy("chunk").cogroup(result.groupBy("chunk")).applyInArrow(together, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out, model_path
 
 
