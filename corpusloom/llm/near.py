@@ -34,7 +34,7 @@ from .components import components
 #: Shingles of a chunk of documents within a task, and postings of one packed range.
 CHUNK, RANGE = 2_000_000, 1_500_000
 #: Pairs of a group that the first forest tries; step 4 makes up for all others.
-FOREST = 8
+FOREST = 4
 #: Forests tried, each between what the ones before have not connected.
 TURNS = 2
 
@@ -208,7 +208,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(marks, pa.binary()), batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["sig", "wanted_sig", "shingles"])
 
     texts = docs.select("doc_id", "text").join(wanted.select("doc_id", F.col("sig").alias("wanted_sig")), "doc_id").select("wanted_sig", "text")
-    return texts.mapInArrow(run, "sig binary, wanted_sig binary, shingles binary").filter("sig = wanted_sig").drop("wanted_sig").dropDuplicates(["sig"])
+    return texts.mapInArrow(run, "sig binary, wanted_sig binary, shingles binary").filter("sig = wanted_sig").drop("wanted_sig")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -270,12 +270,22 @@ def remaining(lists: DataFrame, of_group: DataFrame, percent: int, parts: int) -
 
 def forest(lists: DataFrame, group: DataFrame, label: DataFrame, percent: int, turn: int) -> DataFrame:
     """a, b: first members of groups that stand side by side in an order of each list of its own and are not connected yet."""
-    firsts = group.select("grp", F.col("first").alias("sig")).join(label.select("sig", "component"), "sig")
+    firsts = group.select("grp", F.col("first").alias("sig")).join(label.select("sig", "component", "bins"), "sig")
     order = Window.partitionBy("shingle").orderBy(F.xxhash64("shingle", "grp", F.lit(turn)), "grp")
-    names = ["grp", "sig", "component", "n", "position"]
+    names = ["grp", "sig", "component", "n", "position", "bins"]
     beside = lists.join(firsts, "grp").select(*names, *[F.lead(c).over(order).alias(f"{c}2") for c in names])
     beside = beside.filter(f"component <> component2 AND 100 * least(n, n2) >= {percent} * greatest(n, n2) AND 1 + least(n - position - 1, n2 - position2 - 1) >= {percent} * (n + n2) / {100 + percent} - 1e-9")
-    beside = beside.select(F.least("sig", "sig2").alias("a"), F.greatest("sig", "sig2").alias("b")).distinct()
+
+    def run(batches):
+        for batch in batches:
+            n = batch.column(2).to_numpy()
+            x, y = (c.to_pylist() for c in batch.columns[3:5])
+            known = np.array([p is not None and q is not None for p, q in zip(x, y, strict=True)], bool)
+            counts = [np.frombuffer(b"".join(c or bytes(64) for c in z), np.uint8).reshape(-1, 64) for z in (x, y)]
+            good = ~known | ((100 + percent) * np.minimum(*counts).sum(1, dtype=np.int64) >= percent * n)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    beside = beside.select(F.least("sig", "sig2").alias("a"), F.greatest("sig", "sig2").alias("b"), (F.col("n") + F.col("n2")).alias("both"), "bins", "bins2").mapInArrow(run, "a binary, b binary").distinct()
     few = Window.partitionBy("a").orderBy(F.xxhash64("a", "b"), "b")
     return beside.withColumn("k", F.row_number().over(few)).filter(F.col("k") <= FOREST).select("a", "b")
 
@@ -293,24 +303,31 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, common: int = 100_00
     group = members.groupBy("grp").agg(F.min("sig").alias("first"), F.count("*").alias("members"))
     group = keep(group, "near-groups")
     within = members.join(group.filter("members > 1"), "grp").filter("sig <> first").select(F.col("first").alias("a"), F.col("sig").alias("b"))
-    listed = lists.select("grp").distinct().unionByName(group.filter("members > 1").select("grp")).distinct()
-    sets = keep(whole_sets(docs, members.join(listed, "grp", "left_semi"), size), "near-sets")
-    links, label = None, members.select("sig", "grp", F.col("sig").alias("component"))
+    place = members.select("sig", "doc_id")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        """Links among pairs, from the whole sets of just their ends."""
+        pairs = keep(pairs, "near-pairs")
+        ends = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+        sets = keep(whole_sets(docs, place.join(ends, "sig"), size), "near-sets")
+        return keep(verified(pairs, sets, percent).distinct(), "near-links")
+
+    links, label = None, members.select("sig", "grp", "bins", F.col("sig").alias("component"))
     for turn in range(TURNS):
         pairs = forest(lists, group, label, percent, turn)
-        found = keep(verified(keep(pairs.unionByName(within) if not turn else pairs, "near-pairs"), sets, percent), "near-links")
+        found = checked(pairs.unionByName(within) if not turn else pairs)
         links = links.unionByName(found) if links else found
         known = components(links)
-        label = members.select("sig", "grp").join(known.withColumnRenamed("vertex", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-        label = keep(label.select("sig", "grp", "component"), "near-labels")
-    of_group = label.join(members.select("sig", "bins"), "sig").groupBy("grp", "component").agg(F.count("*").alias("k"), F.min("bins").alias("bins")).withColumn("bins", F.when(F.col("k") == 1, F.col("bins"))).drop("k")
+        label = members.select("sig", "grp", "bins").join(known.withColumnRenamed("vertex", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+        label = keep(label.select("sig", "grp", "bins", "component"), "near-labels")
+    of_group = label.groupBy("grp", "component").agg(F.count("*").alias("k"), F.min("bins").alias("bins")).withColumn("bins", F.when(F.col("k") == 1, F.col("bins"))).drop("k")
     open_groups = remaining(lists, of_group, percent, 16 * parts)
     side = lambda g, c, s: label.select(F.col("grp").alias(g), F.col("component").alias(c), F.col("sig").alias(s))
     more = open_groups.join(side("ga", "ca", "a"), ["ga", "ca"]).join(side("gb", "cb", "b"), ["gb", "cb"]).select("a", "b")
     # members of one group that are not connected share its whole prefix
     split = label.join(label.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("grp"), "grp")
     inside = split.select("grp", F.col("sig").alias("a"), F.col("component").alias("ca")).join(split.select("grp", F.col("sig").alias("b"), F.col("component").alias("cb")), "grp").filter("ca < cb").select("a", "b")
-    late = keep(verified(keep(more.unionByName(inside).distinct(), "near-late"), sets, percent), "near-links")
+    late = checked(more.unionByName(inside).distinct())
     final = components(links.unionByName(late))
     placed = members.select("sig", "doc_id").join(final.withColumnRenamed("vertex", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     smallest = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
