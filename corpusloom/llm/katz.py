@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, drop, keep, load, mixed, scratch, words_of
 
 #: Tokens of a chunk, and of a part, about.
-CHUNK, PART = 800_000, 1_250_000
+CHUNK, PART = 1_200_000, 1_250_000
 #: Least count of a context that is spread over parts.
 HOT = 50_000
 CUT = 5
@@ -44,7 +44,7 @@ END, START = b"\n", 0xFFFFFFFF  # no word holds a line break; the start has a nu
 def packed(*arrays: np.ndarray) -> bytes:
     """Arrays byte plane by byte plane, compressed: the upper bytes of small numbers are all alike."""
     raw = b"".join(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays if len(a))
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True) if raw else bytes(8)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=7).compress(raw, asbytes=True) if raw else bytes(8)
 
 
 def unpacked(data: bytes, *kinds) -> list[np.ndarray]:
