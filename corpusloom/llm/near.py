@@ -4,12 +4,14 @@ A document's set holds its distinct five-word shingles (64-bit hashes). Two sets
 
 1. All shingles stand in one global order: the commonest last, else by hash. Any order gives the same links; this one keeps
    common passages out of prefixes. Which are common is counted over all documents: each chunk reports the shingles that two
-   of its distinct sets hold, the sums are ranked, and the first ``common`` of them (a bound on what is broadcast) are put last.
+   of its distinct sets hold, and the highest levels floor(log2(sum)) of at most ``common`` shingles (a bound on what is
+   broadcast) are put last, level by level.
 2. A set of n shingles links only to sets that share one of its first n - ceil(0.75 n) + 1. Documents with identical
    prefix and size form one group; only groups are posted, packed by ranges of shingles.
-3. Within the list of a shingle, neighbours in an order of its own are paired; sizes and positions filter the pairs.
-   Some of these a group, and each group's members against its first one, are verified on whole sets: a first forest of links.
-4. A list is searched for all its remaining pairs, but only between groups or members that no link connects yet. So
+3. Within a list of up to ``SHORT`` groups all pairs, in a longer one neighbours in an order common to all lists, are
+   candidates; sizes, the number of shingles their prefixes share and counts of hashes in 64 bins filter them. Some a group, and each group's members against
+   its first one, are verified on whole sets: a first forest of links.
+4. The short lists' pairs and the long lists are searched for all remaining pairs, but only between groups or members that no link connects yet. So
    every link is either found or inside a component that is known already, and a group of thousands of
    near copies does not become millions of pairs.
 
@@ -28,13 +30,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import WordHash, keep, load, shingle_hashes, words_of
+from .common import WordHash, drop, keep, load, shingle_hashes, words_of
 from .components import components
 
 #: Shingles of a chunk of documents within a task, and postings of one packed range.
 CHUNK, RANGE = 2_000_000, 1_500_000
 #: Pairs of a group that the first forest tries; step 4 makes up for all others.
 FOREST = 4
+#: Groups of a list up to which all its pairs are listed at once; longer lists go through the forest first.
+SHORT = 16
 #: Forests tried, each between what the ones before have not connected.
 TURNS = 2
 
@@ -58,8 +62,8 @@ def bins_of(shingles: np.ndarray) -> bytes | None:
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
 
 
-def common_shingles(docs: DataFrame, most: int, size: int) -> np.ndarray:
-    """The most widespread shingles, sorted; order only depends on them."""
+def common_shingles(docs: DataFrame, most: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most widespread shingles, sorted, and the level floor(log2(count)) of each; at most ``most``, in whole levels. Order only depends on them."""
 
     def run(batches):
         hashes, parts, known, held = WordHash(), [], set(), 0
@@ -85,16 +89,25 @@ def common_shingles(docs: DataFrame, most: int, size: int) -> np.ndarray:
             yield report()
 
     counted = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.col("n").desc(), "shingle").limit(most).select("shingle").toArrow()
-    return np.sort(rows.column(0).to_numpy().astype(np.int64).view(np.uint64))
-
-
-def prefixes(docs: DataFrame, common: np.ndarray, percent: int, size: int) -> DataFrame:
+    counted = keep(counted.select("shingle", F.floor(F.log2("n")).cast("int").alias("level")), "near-common")
+    lowest, held = 64, 0
+    for level, n in sorted(counted.groupBy("level").count().collect(), reverse=True):
+        held += n
+        if held > most:
+            break
+        lowest = level
+    rows = counted.filter(F.col("level") >= lowest).toArrow()
+    shingle = rows.column(0).to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(shingle)
+    return shingle[order], rows.column(1).to_numpy().astype(np.int8)[order]
+
+
+def prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: int, size: int) -> DataFrame:
     """doc_id, n, sig, grp, prefix (hashes in the global order), bins; the last four are null for empty sets."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
-        hashes, last = WordHash(), shared.value
+        hashes, (last, levels) = WordHash(), shared.value
         for batch in batches:
             out = []
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -106,8 +119,8 @@ def prefixes(docs: DataFrame, common: np.ndarray, percent: int, size: int) -> Da
                 want = n - needed(n, percent) + 1
                 if len(last):
                     at = np.searchsorted(last, s)
-                    late = last[np.minimum(at, len(last) - 1)] == s
-                    prefix = np.concatenate([s[~late][:want], s[late][: max(0, want - int((~late).sum()))]])
+                    at = np.minimum(at, len(last) - 1)
+                    prefix = s[np.argsort(np.where(last[at] == s, levels[at], 0), kind="stable")[:want]]
                 else:
                     prefix = s[:want]
                 data = prefix.tobytes()
@@ -168,8 +181,9 @@ def unpack(data: bytes, rows: int) -> list[np.ndarray]:
     return out
 
 
-def shared_lists(packed: DataFrame) -> DataFrame:
-    """shingle, grp, n, position of shingles that the prefixes of two groups hold."""
+def shared_lists(packed: DataFrame, percent: int) -> DataFrame:
+    """Shingles that the prefixes of two groups hold: for up to SHORT groups all pairs grp, grp2 of sizes that may link, each
+    once a part with its number of lists as n (shingle is null); else the list's rows shingle, grp, n, position (grp2 is null)."""
 
     def run(key, table):
         columns = [np.concatenate(c) for c in zip(*(unpack(d, r) for d, r in zip(table.column("data").to_pylist(), table.column("rows").to_pylist(), strict=True)), strict=True)]
@@ -183,18 +197,41 @@ def shared_lists(packed: DataFrame) -> DataFrame:
         shingle, grp, n, position = (c[order] for c in (shingle, grp, n, position))
         fresh = np.r_[True, (shingle[1:] != shingle[:-1]) | (grp[1:] != grp[:-1])] if len(shingle) else np.empty(0, bool)
         shingle, grp, n, position = (c[fresh] for c in (shingle, grp, n, position))
-        again = np.r_[False, shingle[1:] == shingle[:-1]] if len(shingle) else np.empty(0, bool)
-        many = again | np.r_[again[1:], False][: len(again)]
-        return pa.table([pa.array(shingle[many].view(np.int64)), pa.array(grp[many]), pa.array(n[many].astype(np.int64)), pa.array(position[many].astype(np.int64))], ["shingle", "grp", "n", "position"])
-
-    return packed.groupBy("part").applyInArrow(run, "shingle long, grp long, n long, position long")
-
-
-def likely(na, pa_, nb, pb, percent: int):
-    """Size and position filters for two groups whose prefixes share a shingle at positions pa_ and pb."""
-    low, high = np.minimum(na, nb), np.maximum(na, nb)
-    overlap = -(-percent * (na + nb) // (100 + percent))
-    return (100 * low >= percent * high) & (1 + np.minimum(na - pa_ - 1, nb - pb - 1) >= overlap)
+        _, index, counts = np.unique(shingle, return_inverse=True, return_counts=True)
+        length = counts[index]
+        pairs, seen = np.empty((0, 2), np.int64), np.empty(0, np.int64)
+        for step in range(1, SHORT):
+            i = np.flatnonzero((length[step:] <= SHORT) & (shingle[step:] == shingle[: len(shingle) - step]))
+            i = i[100 * n[i].astype(np.int64) >= percent * n[i + step].astype(np.int64)]
+            ends = np.stack([np.minimum(grp[i], grp[i + step]), np.maximum(grp[i], grp[i + step])], 1)
+            pairs, seen = tally(np.concatenate([pairs, ends]), np.concatenate([seen, np.ones(len(ends), np.int64)]))
+        long = length > SHORT
+        gap, k = np.zeros(len(pairs), np.int64), int(long.sum())
+        blank = lambda values, before, after: pa.concat_arrays([pa.nulls(before, pa.int64()), pa.array(values.astype(np.int64)), pa.nulls(after, pa.int64())])
+        return pa.table(
+            [blank(shingle[long].view(np.int64), 0, len(pairs)), pa.array(np.concatenate([grp[long], pairs[:, 0]])), pa.array(np.concatenate([n[long].astype(np.int64), seen])), pa.array(np.concatenate([position[long].astype(np.int64), gap])), blank(pairs[:, 1], k, 0)],
+            ["shingle", "grp", "n", "position", "grp2"],
+        )
+
+    return packed.groupBy("part").applyInArrow(run, "shingle long, grp long, n long, position long, grp2 long")
+
+
+def tally(pairs: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of pairs and the sum of their times."""
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    pairs, times = pairs[order], times[order]
+    starts = np.flatnonzero(np.r_[True, (pairs[1:] != pairs[:-1]).any(1)]) if len(pairs) else np.empty(0, np.int64)
+    return pairs[starts], np.add.reduceat(times, starts) if len(starts) else times
+
+
+def enough(percent: int, seen: str = "seen"):
+    """Whether two prefixes share as many shingles as sets of sizes n and n2 need to link.
+
+    Let A be the set whose prefix ends first in the global order. What A shares with B within A's prefix lies in B's prefix too, and
+    at most n - overlap of A's shingles are not shared; so the prefixes share at least overlap - ceil(percent / 100 * n) + 1.
+    """
+    ceil = lambda up, down: F.expr(f"({up} + {down} - 1) div {down}")
+    return F.col(seen) >= ceil(f"{percent} * (n + n2)", 100 + percent) + 1 - ceil(f"{percent} * greatest(n, n2)", 100)
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -229,17 +266,16 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def remaining(lists: DataFrame, of_group: DataFrame, percent: int, parts: int) -> DataFrame:
-    """ga, ca, gb, cb: groups and components that share a shingle, pass the filters and are not connected yet.
-
-    Where a group has one member of a component, its bins bound the overlap as well.
+    """grp, component, grp2, component2, seen: groups in one long list whose sizes may link and that are not connected yet,
+    and the number of these lists. Where a group has one member of a component, its bins bound the overlap as well.
     """
     rows = lists.join(of_group, "grp")
     open_ = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle")
     rows = rows.join(open_, "shingle").withColumn("part", F.pmod(F.xxhash64("shingle"), F.lit(parts)))
-    names = ["ga", "ca", "gb", "cb"]
+    names = ["grp", "component", "grp2", "component2", "seen"]
 
     def run(key, table):
-        shingle, grp, n, position = (table.column(c).to_numpy() for c in ("shingle", "grp", "n", "position"))
+        shingle, grp, n = (table.column(c).to_numpy() for c in ("shingle", "grp", "n"))
         labels = table.column("component").to_pylist()
         names_of = {c: k for k, c in enumerate(sorted(set(labels)))}
         component = np.array([names_of[c] for c in labels], np.int64)
@@ -249,57 +285,85 @@ def remaining(lists: DataFrame, of_group: DataFrame, percent: int, parts: int) -
         counts = np.frombuffer(b"".join(c or bytes(64) for c in counts), np.uint8).reshape(-1, 64)
         order = np.lexsort((n, shingle))
         cuts = np.flatnonzero(np.r_[True, np.diff(shingle[order]) != 0, True])
-        found = set()
+        # one number for each group and component of the part
+        owner, index = np.unique(np.stack([grp, component], 1), axis=0, return_inverse=True)
+        index = index.reshape(-1)
+        pairs, seen, new, held = np.empty((0, 2), np.int64), np.empty(0, np.int64), [], 0
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             i = order[lo:hi]
             for k in range(len(i) - 1):
                 rest = i[k + 1 :]
                 rest = rest[: np.searchsorted(n[rest], 100 * n[i[k]] // percent, "right")]
-                good = rest[(component[rest] != component[i[k]]) & likely(n[i[k]], position[i[k]], n[rest], position[rest], percent)]
+                good = rest[(component[rest] != component[i[k]]) & (grp[rest] != grp[i[k]])]
                 if known[i[k]] and len(good):
                     bound = np.minimum(counts[good], counts[i[k]]).sum(1, dtype=np.int64)
                     good = good[~known[good] | ((100 + percent) * bound >= percent * (n[good] + n[i[k]]))]
-                for j in good.tolist():
-                    one, two = sorted(((grp[i[k]].item(), component[i[k]].item()), (grp[j].item(), component[j].item())))
-                    found.add((*one, *two))
-        columns = list(zip(*sorted(found), strict=True)) if found else [[], [], [], []]
-        return pa.table([pa.array(columns[0], pa.int64()), pa.array([back[c] for c in columns[1]], pa.binary()), pa.array(columns[2], pa.int64()), pa.array([back[c] for c in columns[3]], pa.binary())], names)
+                one, two = index[good], index[i[k]]
+                new.append(np.stack([np.minimum(one, two), np.maximum(one, two)], 1))
+                held += len(good)
+            if held > CHUNK or hi == len(order):
+                ends = np.concatenate(new)
+                pairs, seen = tally(np.concatenate([pairs, ends]), np.concatenate([seen, np.ones(len(ends), np.int64)]))
+                new, held = [], 0
+        first, second = owner[pairs[:, 0]], owner[pairs[:, 1]]
+        label = lambda ends: pa.array([back[c] for c in ends[:, 1].tolist()], pa.binary())
+        return pa.table([pa.array(first[:, 0]), label(first), pa.array(second[:, 0]), label(second), pa.array(seen)], names)
 
-    return rows.groupBy("part").applyInArrow(run, "ga long, ca binary, gb long, cb binary").distinct()
+    return rows.groupBy("part").applyInArrow(run, "grp long, component binary, grp2 long, component2 binary, seen long")
 
 
-def forest(lists: DataFrame, group: DataFrame, label: DataFrame, percent: int, turn: int) -> DataFrame:
-    """a, b: first members of groups that stand side by side in an order of each list of its own and are not connected yet."""
-    firsts = group.select("grp", F.col("first").alias("sig")).join(label.select("sig", "component", "bins"), "sig")
-    order = Window.partitionBy("shingle").orderBy(F.xxhash64("shingle", "grp", F.lit(turn)), "grp")
-    names = ["grp", "sig", "component", "n", "position", "bins"]
-    beside = lists.join(firsts, "grp").select(*names, *[F.lead(c).over(order).alias(f"{c}2") for c in names])
-    beside = beside.filter(f"component <> component2 AND 100 * least(n, n2) >= {percent} * greatest(n, n2) AND 1 + least(n - position - 1, n2 - position2 - 1) >= {percent} * (n + n2) / {100 + percent} - 1e-9")
+def bounded(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose bins, where both are known, admit a link; n and n2 are the sizes."""
 
     def run(batches):
         for batch in batches:
-            n = batch.column(2).to_numpy()
-            x, y = (c.to_pylist() for c in batch.columns[3:5])
+            n = batch.column("n").to_numpy() + batch.column("n2").to_numpy()
+            x, y = (batch.column(c).to_pylist() for c in ("bins", "bins2"))
             known = np.array([p is not None and q is not None for p, q in zip(x, y, strict=True)], bool)
             counts = [np.frombuffer(b"".join(c or bytes(64) for c in z), np.uint8).reshape(-1, 64) for z in (x, y)]
-            good = ~known | ((100 + percent) * np.minimum(*counts).sum(1, dtype=np.int64) >= percent * n)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    beside = beside.select(F.least("sig", "sig2").alias("a"), F.greatest("sig", "sig2").alias("b"), (F.col("n") + F.col("n2")).alias("both"), "bins", "bins2").mapInArrow(run, "a binary, b binary").distinct()
-    few = Window.partitionBy("a").orderBy(F.xxhash64("a", "b"), "b")
-    return beside.withColumn("k", F.row_number().over(few)).filter(F.col("k") <= FOREST).select("a", "b")
-
-
-def link(docs: DataFrame, percent: int = 75, size: int = 5, common: int = 100_000) -> DataFrame:
+            yield batch.filter(pa.array(~known | ((100 + percent) * np.minimum(*counts).sum(1, dtype=np.int64) >= percent * n)))
+
+    return pairs.mapInArrow(run, pairs.schema)
+
+
+def forest(lists: DataFrame, near: DataFrame | None, firsts: DataFrame, percent: int, turn: int) -> DataFrame:
+    """a, b: first members of groups that are not connected yet: a few of the pairs of short lists, and groups that stand side by
+    side in an order common to all long lists (sizes, then hashes), so that one pair comes from many lists but once."""
+    by = F.col("n") if not turn else F.xxhash64("grp", F.lit(turn))
+    order = Window.partitionBy("shingle").orderBy(by, "grp")
+    rows = lists if not turn else lists.join(firsts.select("grp", "component"), "grp")
+    names = ["grp", "n", "position"] + (["component"] if turn else [])
+    beside = rows.select(*names, *[F.lead(c).over(order).alias(f"{c}2") for c in names])
+    beside = beside.filter(f"grp2 IS NOT NULL AND 100 * least(n, n2) >= {percent} * greatest(n, n2) AND 1 + least(n - position - 1, n2 - position2 - 1) >= {percent} * (n + n2) / {100 + percent} - 1e-9")
+    if turn:
+        beside = beside.filter("component <> component2")
+    pairs = beside.select(F.least("grp", "grp2").alias("grp"), F.greatest("grp", "grp2").alias("grp2"))
+    if near is not None:
+        pairs = pairs.withColumn("seen", F.lit(None).cast("long")).unionByName(near).groupBy("grp", "grp2").agg(F.sum("seen").alias("seen"))
+    else:
+        pairs = pairs.distinct().withColumn("seen", F.lit(None).cast("long"))
+    second = firsts.select(*[F.col(c).alias(f"{c}2") for c in firsts.columns])
+    ends = bounded(pairs.join(firsts, "grp").join(second, "grp2").filter("component <> component2").filter(F.col("seen").isNull() | enough(percent)).select("grp", "grp2", "sig", "sig2", "n", "n2", "bins", "bins2"), percent)
+    few = Window.partitionBy("grp").orderBy(F.xxhash64("grp", "grp2"), "grp2")
+    return ends.select("grp", "grp2", "sig", "sig2").withColumn("k", F.row_number().over(few)).filter(F.col("k") <= FOREST).select(F.least("sig", "sig2").alias("a"), F.greatest("sig", "sig2").alias("b"))
+
+
+def link(docs: DataFrame, percent: int = 75, size: int = 5, common: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
     spark = docs.sparkSession
-    info = keep(prefixes(docs, common_shingles(docs, common, size), percent, size), "near-info")
-    usable = info.filter("doc_id IS NOT NULL AND n > 0")
+    whole = keep(prefixes(docs, common_shingles(docs, common, size), percent, size), "near-prefixes")
+    usable = whole.filter("doc_id IS NOT NULL AND n > 0")
     members = usable.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("grp").alias("grp"), F.min("n").alias("n"), F.min("bins").alias("bins"))
     members = keep(members, "near-members")
     total = usable.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
     parts = max(1, int(total // RANGE) + 1)
-    lists = keep(shared_lists(postings(info, parts)), "near-lists")
+    shared = keep(shared_lists(postings(whole, parts), percent), "near-lists")
+    info = keep(whole.select("doc_id", "n", "sig"), "near-info")
+    for path in {f.rsplit("/", 1)[0] for f in whole.inputFiles()}:
+        drop(spark, path)
+    lists = shared.filter("shingle IS NOT NULL").select("shingle", "grp", "n", "position")
+    near = shared.filter("grp2 IS NOT NULL").groupBy("grp", "grp2").agg(F.sum("n").alias("seen"))
+    near = keep(near, "near-shared")
     group = members.groupBy("grp").agg(F.min("sig").alias("first"), F.count("*").alias("members"))
     group = keep(group, "near-groups")
     within = members.join(group.filter("members > 1"), "grp").filter("sig <> first").select(F.col("first").alias("a"), F.col("sig").alias("b"))
@@ -310,18 +374,31 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, common: int = 100_00
         pairs = keep(pairs, "near-pairs")
         ends = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
         sets = keep(whole_sets(docs, place.join(ends, "sig"), size), "near-sets")
-        return keep(verified(pairs, sets, percent).distinct(), "near-links")
+        found = keep(verified(pairs, sets, percent).distinct(), "near-links")
+        for path in {f.rsplit("/", 1)[0] for f in sets.inputFiles()}:
+            drop(spark, path)
+        return found
 
-    links, label = None, members.select("sig", "grp", "bins", F.col("sig").alias("component"))
+    links, label = None, members.select("sig", "grp", "n", "bins", F.col("sig").alias("component"))
     for turn in range(TURNS):
-        pairs = forest(lists, group, label, percent, turn)
-        found = checked(pairs.unionByName(within) if not turn else pairs)
+        firsts = group.select("grp", F.col("first").alias("sig")).join(label.select("sig", "n", "component", "bins"), "sig")
+        pairs = forest(lists, None if turn else near, firsts, percent, turn)
+        found = checked(pairs if turn else pairs.unionByName(within))
         links = links.unionByName(found) if links else found
         known = components(links)
-        label = members.select("sig", "grp", "bins").join(known.withColumnRenamed("vertex", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-        label = keep(label.select("sig", "grp", "bins", "component"), "near-labels")
-    of_group = label.groupBy("grp", "component").agg(F.count("*").alias("k"), F.min("bins").alias("bins")).withColumn("bins", F.when(F.col("k") == 1, F.col("bins"))).drop("k")
-    open_groups = remaining(lists, of_group, percent, 16 * parts)
+        label = members.select("sig", "grp", "n", "bins").join(known.withColumnRenamed("vertex", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+        label = keep(label.select("sig", "grp", "n", "bins", "component"), "near-labels")
+    of_group = label.groupBy("grp", "component").agg(F.count("*").alias("k"), F.min("n").alias("n"), F.min("bins").alias("bins")).withColumn("bins", F.when(F.col("k") == 1, F.col("bins"))).drop("k")
+    # every list that two groups share counts once, in a short or a long one
+    first, second = (of_group.select(*[F.col(c).alias(c + k) for c in of_group.columns]) for k in ("", "2"))
+    ends = ["grp", "component", "grp2", "component2"]
+    flip = F.col("grp") > F.col("grp2")
+    in_long = remaining(lists, of_group.drop("n"), percent, 16 * parts)
+    in_long = in_long.select(*[F.when(flip, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in zip(ends, ends[2:] + ends[:2], strict=True)], "seen")
+    in_short = near.join(first, "grp").join(second, "grp2").filter("component <> component2").select(*ends, "seen")
+    open_groups = in_long.unionByName(in_short).groupBy(*ends).agg(F.sum("seen").alias("seen"))
+    open_groups = open_groups.join(first, ["grp", "component"]).join(second, ["grp2", "component2"]).filter(enough(percent))
+    open_groups = bounded(open_groups.select(*ends, "n", "n2", "bins", "bins2"), percent).select(*[F.col(x).alias(y) for x, y in zip(ends, ("ga", "ca", "gb", "cb"), strict=True)])
     side = lambda g, c, s: label.select(F.col("grp").alias(g), F.col("component").alias(c), F.col("sig").alias(s))
     more = open_groups.join(side("ga", "ca", "a"), ["ga", "ca"]).join(side("gb", "cb", "b"), ["gb", "cb"]).select("a", "b")
     # members of one group that are not connected share its whole prefix
