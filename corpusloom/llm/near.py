@@ -40,7 +40,7 @@ FOREST = 4
 #: Groups of a list up to which all its pairs are listed at once; longer lists go through the forest first.
 SHORT = 16
 #: Forests tried, each between what the ones before have not connected.
-TURNS = 2
+TURNS = 3
 
 
 def needed(n: int | np.ndarray, percent: int):
@@ -216,6 +216,13 @@ def shared_lists(packed: DataFrame, percent: int) -> DataFrame:
     return packed.groupBy("part").applyInArrow(run, "shingle long, grp long, n long, position long, grp2 long")
 
 
+def likely(na, pa_, nb, pb, percent: int):
+    """Size and position filters for two groups whose first shared shingle stands at positions pa_ and pb of their prefixes."""
+    low, high = np.minimum(na, nb), np.maximum(na, nb)
+    overlap = -(-percent * (na + nb) // (100 + percent))
+    return (100 * low >= percent * high) & (1 + np.minimum(na - pa_ - 1, nb - pb - 1) >= overlap)
+
+
 def tally(pairs: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct rows of pairs and the sum of their times."""
     order = np.lexsort((pairs[:, 1], pairs[:, 0]))
@@ -266,16 +273,17 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def remaining(lists: DataFrame, of_group: DataFrame, percent: int, parts: int) -> DataFrame:
-    """grp, component, grp2, component2, seen: groups in one long list whose sizes may link and that are not connected yet,
-    and the number of these lists. Where a group has one member of a component, its bins bound the overlap as well.
+    """grp, component, grp2, component2: groups in one long list that are not connected yet, are in long lists often enough to link
+    by these alone, and pass the filters of sizes and positions there (two groups whose first shared shingle has a short list
+    are among its pairs). Where a group has one member of a component, its bins bound the overlap as well.
     """
     rows = lists.join(of_group, "grp")
     open_ = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle")
     rows = rows.join(open_, "shingle").withColumn("part", F.pmod(F.xxhash64("shingle"), F.lit(parts)))
-    names = ["grp", "component", "grp2", "component2", "seen"]
+    names = ["grp", "component", "grp2", "component2"]
 
     def run(key, table):
-        shingle, grp, n = (table.column(c).to_numpy() for c in ("shingle", "grp", "n"))
+        shingle, grp, n, position, long = (table.column(c).to_numpy() for c in ("shingle", "grp", "n", "position", "long"))
         labels = table.column("component").to_pylist()
         names_of = {c: k for k, c in enumerate(sorted(set(labels)))}
         component = np.array([names_of[c] for c in labels], np.int64)
@@ -288,13 +296,14 @@ def remaining(lists: DataFrame, of_group: DataFrame, percent: int, parts: int) -
         # one number for each group and component of the part
         owner, index = np.unique(np.stack([grp, component], 1), axis=0, return_inverse=True)
         index = index.reshape(-1)
-        pairs, seen, new, held = np.empty((0, 2), np.int64), np.empty(0, np.int64), [], 0
+        pairs, new, held = np.empty((0, 2), np.int64), [], 0
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             i = order[lo:hi]
             for k in range(len(i) - 1):
                 rest = i[k + 1 :]
                 rest = rest[: np.searchsorted(n[rest], 100 * n[i[k]] // percent, "right")]
-                good = rest[(component[rest] != component[i[k]]) & (grp[rest] != grp[i[k]])]
+                good = rest[(component[rest] != component[i[k]]) & (grp[rest] != grp[i[k]]) & likely(n[i[k]], position[i[k]], n[rest], position[rest], percent)]
+                good = good[np.minimum(long[good], long[i[k]]) >= -(-percent * (n[good] + n[i[k]]) // (100 + percent)) + 1 - needed(np.maximum(n[good], n[i[k]]), percent)]
                 if known[i[k]] and len(good):
                     bound = np.minimum(counts[good], counts[i[k]]).sum(1, dtype=np.int64)
                     good = good[~known[good] | ((100 + percent) * bound >= percent * (n[good] + n[i[k]]))]
@@ -303,13 +312,14 @@ def remaining(lists: DataFrame, of_group: DataFrame, percent: int, parts: int) -
                 held += len(good)
             if held > CHUNK or hi == len(order):
                 ends = np.concatenate(new)
-                pairs, seen = tally(np.concatenate([pairs, ends]), np.concatenate([seen, np.ones(len(ends), np.int64)]))
+                both = np.concatenate([pairs, ends])
+                pairs = tally(both, np.ones(len(both), np.int64))[0]
                 new, held = [], 0
         first, second = owner[pairs[:, 0]], owner[pairs[:, 1]]
         label = lambda ends: pa.array([back[c] for c in ends[:, 1].tolist()], pa.binary())
-        return pa.table([pa.array(first[:, 0]), label(first), pa.array(second[:, 0]), label(second), pa.array(seen)], names)
+        return pa.table([pa.array(first[:, 0]), label(first), pa.array(second[:, 0]), label(second)], names)
 
-    return rows.groupBy("part").applyInArrow(run, "grp long, component binary, grp2 long, component2 binary, seen long")
+    return rows.groupBy("part").applyInArrow(run, "grp long, component binary, grp2 long, component2 binary")
 
 
 def bounded(pairs: DataFrame, percent: int) -> DataFrame:
@@ -328,16 +338,19 @@ def bounded(pairs: DataFrame, percent: int) -> DataFrame:
 
 def forest(lists: DataFrame, near: DataFrame | None, firsts: DataFrame, percent: int, turn: int) -> DataFrame:
     """a, b: first members of groups that are not connected yet: a few of the pairs of short lists, and groups that stand side by
-    side in an order common to all long lists (sizes, then hashes), so that one pair comes from many lists but once."""
-    by = F.col("n") if not turn else F.xxhash64("grp", F.lit(turn))
-    order = Window.partitionBy("shingle").orderBy(by, "grp")
-    rows = lists if not turn else lists.join(firsts.select("grp", "component"), "grp")
+    side in an order common to all long lists (by size), so that one pair comes from many lists but once; later, groups
+    of a long list beside a member of its largest component."""
     names = ["grp", "n", "position"] + (["component"] if turn else [])
-    beside = rows.select(*names, *[F.lead(c).over(order).alias(f"{c}2") for c in names])
-    beside = beside.filter(f"grp2 IS NOT NULL AND 100 * least(n, n2) >= {percent} * greatest(n, n2) AND 1 + least(n - position - 1, n2 - position2 - 1) >= {percent} * (n + n2) / {100 + percent} - 1e-9")
     if turn:
-        beside = beside.filter("component <> component2")
-    pairs = beside.select(F.least("grp", "grp2").alias("grp"), F.greatest("grp", "grp2").alias("grp2"))
+        rows = lists.join(firsts.select("grp", "component", "size"), "grp")
+        # beside a member of the largest component of the list, which changes with the turn
+        order = Window.partitionBy("shingle").orderBy(F.desc("size"), "component", F.xxhash64("grp", F.lit(turn)), "grp")
+        beside = rows.select(*names, *[F.first(c).over(order).alias(f"{c}2") for c in names]).filter("component <> component2")
+    else:
+        order = Window.partitionBy("shingle").orderBy("n", "grp")
+        beside = lists.select(*names, *[F.lead(c).over(order).alias(f"{c}2") for c in names]).filter("grp2 IS NOT NULL")
+    beside = beside.filter(f"100 * least(n, n2) >= {percent} * greatest(n, n2) AND 1 + least(n - position - 1, n2 - position2 - 1) >= {percent} * (n + n2) / {100 + percent} - 1e-9")
+    pairs = beside.select("grp", "grp2")
     if near is not None:
         pairs = pairs.withColumn("seen", F.lit(None).cast("long")).unionByName(near).groupBy("grp", "grp2").agg(F.sum("seen").alias("seen"))
     else:
@@ -381,7 +394,8 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, common: int = 1_000_
 
     links, label = None, members.select("sig", "grp", "n", "bins", F.col("sig").alias("component"))
     for turn in range(TURNS):
-        firsts = group.select("grp", F.col("first").alias("sig")).join(label.select("sig", "n", "component", "bins"), "sig")
+        sizes = label.groupBy("component").agg(F.count("*").alias("size"))
+        firsts = group.select("grp", F.col("first").alias("sig")).join(label.select("sig", "n", "component", "bins"), "sig").join(sizes, "component")
         pairs = forest(lists, None if turn else near, firsts, percent, turn)
         found = checked(pairs if turn else pairs.unionByName(within))
         links = links.unionByName(found) if links else found
@@ -389,15 +403,17 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, common: int = 1_000_
         label = members.select("sig", "grp", "n", "bins").join(known.withColumnRenamed("vertex", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
         label = keep(label.select("sig", "grp", "n", "bins", "component"), "near-labels")
     of_group = label.groupBy("grp", "component").agg(F.count("*").alias("k"), F.min("n").alias("n"), F.min("bins").alias("bins")).withColumn("bins", F.when(F.col("k") == 1, F.col("bins"))).drop("k")
-    # every list that two groups share counts once, in a short or a long one
+    # the shingles two groups share have short lists, which are counted, or long ones, at most as many as the groups have
+    often = lists.groupBy("grp").agg(F.count("*").alias("long"))
+    of_group = keep(of_group.join(often, "grp", "left").fillna(0, ["long"]), "near-open")
     first, second = (of_group.select(*[F.col(c).alias(c + k) for c in of_group.columns]) for k in ("", "2"))
     ends = ["grp", "component", "grp2", "component2"]
     flip = F.col("grp") > F.col("grp2")
     in_long = remaining(lists, of_group.drop("n"), percent, 16 * parts)
-    in_long = in_long.select(*[F.when(flip, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in zip(ends, ends[2:] + ends[:2], strict=True)], "seen")
-    in_short = near.join(first, "grp").join(second, "grp2").filter("component <> component2").select(*ends, "seen")
-    open_groups = in_long.unionByName(in_short).groupBy(*ends).agg(F.sum("seen").alias("seen"))
-    open_groups = open_groups.join(first, ["grp", "component"]).join(second, ["grp2", "component2"]).filter(enough(percent))
+    in_long = in_long.select(*[F.when(flip, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in zip(ends, ends[2:] + ends[:2], strict=True)])
+    in_short = near.join(first, "grp").join(second, "grp2").filter("component <> component2").withColumn("seen", F.col("seen") + F.least("long", "long2"))
+    in_short = in_short.filter(enough(percent)).select(*ends)
+    open_groups = in_long.unionByName(in_short).distinct().join(first, ["grp", "component"]).join(second, ["grp2", "component2"])
     open_groups = bounded(open_groups.select(*ends, "n", "n2", "bins", "bins2"), percent).select(*[F.col(x).alias(y) for x, y in zip(ends, ("ga", "ca", "gb", "cb"), strict=True)])
     side = lambda g, c, s: label.select(F.col("grp").alias(g), F.col("component").alias(c), F.col("sig").alias(s))
     more = open_groups.join(side("ga", "ca", "a"), ["ga", "ca"]).join(side("gb", "cb", "b"), ["gb", "cb"]).select("a", "b")
