@@ -3,6 +3,9 @@
 Writing is native: header and payload become one string, and Spark's text writer puts the record terminator
 (two line breaks) after each, so archives land wherever Spark can write. Of records with equal payloads of at
 least ``min_bytes`` the one with the largest page_id is the response; the others are revisits of it without a payload.
+Who revisits whom is found among digests and ids alone. A bitmap of at most ``bits`` bits over the hashes of the revisits
+then lets responses go from the scan straight to the archive: no payload is shuffled but those of responses
+whose place in the bitmap a revisit marks by chance, which a join on digest and id tells apart.
 
 Reading takes byte blocks of the archives. A task emits the candidate records of its block (a version line at the
 file's start or after an empty line, with a header that parses) with the offset of their successors, already followed to
@@ -39,13 +42,38 @@ def base32_sha1(payload):
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
-def records(pages: DataFrame, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+def marks(keys: DataFrame, bits: int) -> tuple[DataFrame, int]:
+    """bucket, bitmap of the places of the keys' hashes, and the number of places: at least 16 a key, but at most bits."""
+    places = min(bits, 1 << max(15, (16 * keys.count()).bit_length()))
+    table = keys.select(F.pmod(F.xxhash64(*keys.columns), F.lit(places)).alias("place")).groupBy(F.expr("place div 32768").alias("bucket"))
+    return table.agg(F.bitmap_construct_agg(F.expr("place % 32768")).alias("bitmap")), places
+
+
+def marked(data: DataFrame, names: list[str], table: DataFrame, places: int) -> DataFrame:
+    """data with the boolean marked; the broadcast table holds at most an eighth of ``bits`` bytes."""
+    data = data.withColumn("place", F.pmod(F.xxhash64(*names), F.lit(places))).withColumn("bucket", F.expr("place div 32768"))
+    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(place % 32768 div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    bit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(place % 8 as int))")) > 0, F.lit(False))
+    return data.join(F.broadcast(table), "bucket", "left").withColumn("marked", bit).drop("bucket", "bitmap", "place")
+
+
+def records(pages: DataFrame, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", bits: int = 1 << 27) -> DataFrame:
     """One column of strings: whole records without their terminator."""
     data = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     data = data.withColumn("digest", base32_sha1(F.encode("html", "UTF-8"))).withColumn("size", F.octet_length("html"))
-    shared = data.filter(F.col("size") >= min_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("refers_to")).filter("n > 1").drop("n")
-    data = data.join(shared, "digest", "left")
-    revisit = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
+    light, key = data.drop("html"), ["digest", "page_id"]
+    shared = light.filter(F.col("size") >= min_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("refers_to")).filter("n > 1").drop("n")
+    again = keep(light.join(shared, "digest").filter("refers_to IS NOT NULL AND NOT page_id <=> refers_to"), "warc-revisits")
+    keys = again.select(*key).distinct()
+    scanned = marked(data, key, *marks(keys, bits))
+    same = lambda x, y: (F.col(f"{x}.digest") == F.col(f"{y}.digest")) & F.col(f"{x}.page_id").eqNullSafe(F.col(f"{y}.page_id"))
+    chance = scanned.filter("marked").select(*key).alias("x").join(keys.alias("y"), same("x", "y"), "left_anti").distinct()
+    chance = keep(chance, "warc-chance")
+    twice = marked(scanned.filter("marked").drop("marked"), key, *marks(chance, bits)).filter("marked")
+    twice = twice.alias("x").join(chance.alias("y"), same("x", "y"), "left_semi")
+    first = scanned.filter("NOT marked").unionByName(twice).drop("marked").withColumn("refers_to", F.lit(None).cast("long"))
+    data = first.unionByName(again.withColumn("html", F.lit("")))
+    revisit = F.col("refers_to").isNotNull()
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     record_id = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n"), line("Content-Length", F.col("size").cast("string")), F.lit("\r\n"))
@@ -65,8 +93,8 @@ def records(pages: DataFrame, min_bytes: int = 0, date: str = "2024-01-01T00:00:
     return data.select(F.concat(header, body).alias("value"))
 
 
-def write(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
-    records(pages, min_bytes).write.option("lineSep", "\r\n\r\n").text(path)
+def write(pages: DataFrame, path: str, min_bytes: int = 0, bits: int = 1 << 27) -> None:
+    records(pages, min_bytes, bits=bits).write.option("lineSep", "\r\n\r\n").text(path)
 
 
 def opened(path: str):

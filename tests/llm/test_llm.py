@@ -134,6 +134,19 @@ def test_warc(spark, tmp_path, block):
         assert (r.record_type, r.refers_to) == (("response", None) if last[h or ""] == p else ("revisit", last[h or ""]))
 
 
+@pytest.mark.parametrize("bits", [8, 1 << 27])
+def test_warc_ids(spark, tmp_path, bits):
+    """Null ids, repeated ids and small payloads, with a bitmap that marks every row and one that marks few by chance."""
+    rows = [(1, "a", "long one"), (None, "b", "long one"), (1, "c", "long one"), (0, None, "long one"), (None, "d", "nulls only"), (None, "e", "nulls only"), (5, "f", "s"), (6, "f", "s"), (7, "g", "alone, and long"), (8, "g", None)]
+    path = str(tmp_path / "w")
+    pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, digest string, place string")
+    warc.write(pages, path, 5, bits)
+    got = [(r.page_id, r.record_type, r.refers_to, r.payload_bytes, r.payload_ok) for r in warc.read(spark, f"file:{path}").collect()]
+    want = [(1, "response", None, 8)] * 2 + [(None, "revisit", 1, 8), (0, "revisit", 1, 8)] + [(None, "response", None, 10)] * 2 + [(5, "response", None, 1), (6, "response", None, 1), (7, "response", None, 15), (8, "response", None, 0)]
+    order = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(got, key=order) == sorted([(*w, True) for w in want], key=order)
+
+
 def test_fingerprints(spark, empty):
     rows = [(k * 3, t) for k, t in enumerate(TEXTS)]
     got = {r.doc_id: r for r in fingerprints.edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
