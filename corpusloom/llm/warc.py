@@ -31,6 +31,8 @@ from .common import drop, keep, load, scratch
 
 #: Bytes of a block, and of a record's header at most.
 BLOCK, HEADER = 16 << 20, 64 << 10
+#: Tasks that share the blocks, at most.
+TASKS = 50_000
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -145,9 +147,11 @@ def exits(found: dict[int, tuple[int, int]], end: int) -> list[tuple[int, int]]:
 def read(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
     """Verified records: file, position, page_id, record_type, refers_to, payload_bytes, payload_digest, payload_ok."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "length").filter("length > 0")
-    rounds = -(-(files.agg(F.max("length")).first()[0] or 0) // block)  # blocks of the longest file
+    count = F.expr(f"(length + {block} - 1) div {block}")
+    rounds, total = (x or 0 for x in files.agg(F.max(count), F.sum(count)).first())  # blocks of the longest file, and of all
+    tasks = max(1, min(total, TASKS))  # stated, as rows this small would else be coalesced into one task
     blocks = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {block}"))).alias("block"))
-    blocks = blocks.repartition(F.col("path"), F.col("block"))
+    blocks = blocks.repartition(tasks, "path", "block")
 
     def find(batches):
         for batch in batches:
@@ -205,7 +209,7 @@ def read(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
                 for k in range(0, len(out), 5000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 5000], strict=True), types, strict=True)], names)
 
-    return starts.repartition("path", "block").mapInArrow(walk, "file string, position long, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, payload_ok boolean")
+    return starts.repartition(tasks, "path", "block").mapInArrow(walk, "file string, position long, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, payload_ok boolean")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
