@@ -14,6 +14,8 @@ MASK = (1 << 64) - 1
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Entries that a word cache of one Python worker may hold before it starts anew; speed only.
 CACHE_ENTRIES = 400_000
+#: Spark's setting that removes the shuffle files of a query once it has run; nothing reads those of a written table again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,10 +33,15 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df into the shared folder and reads it back."""
+    """Cuts lineage: writes df into the shared folder and reads it back. Shuffle files of the write go with its end."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
