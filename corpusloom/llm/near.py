@@ -35,12 +35,10 @@ from .components import components
 
 #: Shingles of a chunk of documents within a task, and postings of one packed range.
 CHUNK, RANGE = 2_000_000, 1_500_000
-#: Pairs of a group that the first forest tries; step 4 makes up for all others.
-FOREST = 4
+#: Pairs of a group that each forest tries, the last one in each long list; step 4 makes up for all others.
+FOREST = (4, 8, 8)
 #: Groups of a list up to which all its pairs are listed at once; longer lists go through the forest first.
 SHORT = 16
-#: Forests tried, each between what the ones before have not connected.
-TURNS = 3
 
 
 def needed(n: int | np.ndarray, percent: int):
@@ -272,10 +270,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
-def remaining(lists: DataFrame, of_group: DataFrame, percent: int, parts: int) -> DataFrame:
+def remaining(lists: DataFrame, of_group: DataFrame, percent: int, parts: int, most: int | None = None) -> DataFrame:
     """grp, component, grp2, component2: groups in one long list that are not connected yet, are in long lists often enough to link
     by these alone, and pass the filters of sizes and positions there (two groups whose first shared shingle has a short list
     are among its pairs). Where a group has one member of a component, its bins bound the overlap as well.
+    With ``most``, a list gives but so many pairs a group outside its largest component, those with most room for a link: a forest.
     """
     rows = lists.join(of_group, "grp")
     open_ = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle")
@@ -298,21 +297,31 @@ def remaining(lists: DataFrame, of_group: DataFrame, percent: int, parts: int) -
         index = index.reshape(-1)
         pairs, new, held = np.empty((0, 2), np.int64), [], 0
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            i = order[lo:hi]
+            i, ends, room = order[lo:hi], [], []
             for k in range(len(i) - 1):
                 rest = i[k + 1 :]
                 rest = rest[: np.searchsorted(n[rest], 100 * n[i[k]] // percent, "right")]
                 good = rest[(component[rest] != component[i[k]]) & (grp[rest] != grp[i[k]]) & likely(n[i[k]], position[i[k]], n[rest], position[rest], percent)]
                 good = good[np.minimum(long[good], long[i[k]]) >= -(-percent * (n[good] + n[i[k]]) // (100 + percent)) + 1 - needed(np.maximum(n[good], n[i[k]]), percent)]
+                slack = np.zeros(len(good))
                 if known[i[k]] and len(good):
                     bound = np.minimum(counts[good], counts[i[k]]).sum(1, dtype=np.int64)
-                    good = good[~known[good] | ((100 + percent) * bound >= percent * (n[good] + n[i[k]]))]
-                one, two = index[good], index[i[k]]
-                new.append(np.stack([np.minimum(one, two), np.maximum(one, two)], 1))
-                held += len(good)
+                    slack = np.where(known[good], (100 + percent) * bound / (n[good] + n[i[k]]) - percent, 0.0)
+                    good, slack = good[slack >= 0], slack[slack >= 0]
+                ends.append(np.stack([good, np.full(len(good), i[k])], 1))
+                room.append(slack)
+            chosen = np.concatenate(ends) if ends else np.empty((0, 2), np.int64)
+            if most is not None and len(chosen):
+                often = np.bincount(component[i])
+                outer = np.where(often[component[chosen[:, 0]]] <= often[component[chosen[:, 1]]], chosen[:, 0], chosen[:, 1])
+                by = np.lexsort((-np.concatenate(room), outer))
+                begin = np.flatnonzero(np.r_[True, np.diff(outer[by]) != 0])
+                rank = np.arange(len(by)) - np.repeat(begin, np.diff(np.r_[begin, len(by)]))
+                chosen = chosen[by[rank < most]]
+            new.append(np.sort(index[chosen], 1))
+            held += len(chosen)
             if held > CHUNK or hi == len(order):
-                ends = np.concatenate(new)
-                both = np.concatenate([pairs, ends])
+                both = np.concatenate([pairs, *new])
                 pairs = tally(both, np.ones(len(both), np.int64))[0]
                 new, held = [], 0
         first, second = owner[pairs[:, 0]], owner[pairs[:, 1]]
@@ -323,7 +332,7 @@ def remaining(lists: DataFrame, of_group: DataFrame, percent: int, parts: int) -
 
 
 def bounded(pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose bins, where both are known, admit a link; n and n2 are the sizes."""
+    """The pairs whose bins, where both are known, admit a link, and by how much (slack); n and n2 are the sizes."""
 
     def run(batches):
         for batch in batches:
@@ -331,21 +340,28 @@ def bounded(pairs: DataFrame, percent: int) -> DataFrame:
             x, y = (batch.column(c).to_pylist() for c in ("bins", "bins2"))
             known = np.array([p is not None and q is not None for p, q in zip(x, y, strict=True)], bool)
             counts = [np.frombuffer(b"".join(c or bytes(64) for c in z), np.uint8).reshape(-1, 64) for z in (x, y)]
-            yield batch.filter(pa.array(~known | ((100 + percent) * np.minimum(*counts).sum(1, dtype=np.int64) >= percent * n)))
+            slack = np.where(known, (100 + percent) * np.minimum(*counts).sum(1, dtype=np.int64) / n - percent, 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(slack)], [*batch.schema.names, "slack"]).filter(pa.array(slack >= 0))
 
-    return pairs.mapInArrow(run, pairs.schema)
+    return pairs.mapInArrow(run, T.StructType([*pairs.schema.fields, T.StructField("slack", T.DoubleType())]))
 
 
 def forest(lists: DataFrame, near: DataFrame | None, firsts: DataFrame, percent: int, turn: int) -> DataFrame:
     """a, b: first members of groups that are not connected yet: a few of the pairs of short lists, and groups that stand side by
     side in an order common to all long lists (by size), so that one pair comes from many lists but once; later, groups
-    of a long list beside a member of its largest component."""
+    of a long list beside a member of its largest component, another one in each list. Of a group's pairs those are tried whose
+    bins leave most room for a link."""
     names = ["grp", "n", "position"] + (["component"] if turn else [])
     if turn:
         rows = lists.join(firsts.select("grp", "component", "size"), "grp")
-        # beside a member of the largest component of the list, which changes with the turn
-        order = Window.partitionBy("shingle").orderBy(F.desc("size"), "component", F.xxhash64("grp", F.lit(turn)), "grp")
-        beside = rows.select(*names, *[F.first(c).over(order).alias(f"{c}2") for c in names]).filter("component <> component2")
+        # beside the member of the list's largest component that comes before in an order of each list and turn, or else its first
+        whole = Window.partitionBy("shingle")
+        order = whole.orderBy(F.xxhash64("grp", "shingle", F.lit(turn)), "grp")
+        rows = rows.withColumn("main", F.max(F.struct("size", "component")).over(whole)["component"])
+        inside = F.when(F.col("component") == F.col("main"), F.struct(*names))
+        previous = F.last(inside, True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        start = F.first(inside, True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        beside = rows.withColumn("other", F.coalesce(previous, start)).filter("component <> main").select(*names, *[F.col(f"other.{c}").alias(f"{c}2") for c in names])
     else:
         order = Window.partitionBy("shingle").orderBy("n", "grp")
         beside = lists.select(*names, *[F.lead(c).over(order).alias(f"{c}2") for c in names]).filter("grp2 IS NOT NULL")
@@ -357,8 +373,8 @@ def forest(lists: DataFrame, near: DataFrame | None, firsts: DataFrame, percent:
         pairs = pairs.distinct().withColumn("seen", F.lit(None).cast("long"))
     second = firsts.select(*[F.col(c).alias(f"{c}2") for c in firsts.columns])
     ends = bounded(pairs.join(firsts, "grp").join(second, "grp2").filter("component <> component2").filter(F.col("seen").isNull() | enough(percent)).select("grp", "grp2", "sig", "sig2", "n", "n2", "bins", "bins2"), percent)
-    few = Window.partitionBy("grp").orderBy(F.xxhash64("grp", "grp2"), "grp2")
-    return ends.select("grp", "grp2", "sig", "sig2").withColumn("k", F.row_number().over(few)).filter(F.col("k") <= FOREST).select(F.least("sig", "sig2").alias("a"), F.greatest("sig", "sig2").alias("b"))
+    few = Window.partitionBy("grp").orderBy(F.desc("slack"), F.xxhash64("grp", "grp2"), "grp2")
+    return ends.select("grp", "grp2", "sig", "sig2", "slack").withColumn("k", F.row_number().over(few)).filter(F.col("k") <= FOREST[turn]).select(F.least("sig", "sig2").alias("a"), F.greatest("sig", "sig2").alias("b"))
 
 
 def link(docs: DataFrame, percent: int = 75, size: int = 5, common: int = 1_000_000) -> DataFrame:
@@ -392,24 +408,35 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, common: int = 1_000_
             drop(spark, path)
         return found
 
+    # the shingles two groups share have short lists, which are counted, or long ones, at most as many as the groups have
+    often = lists.groupBy("grp").agg(F.count("*").alias("long"))
+
+    def opened(label: DataFrame) -> DataFrame:
+        """grp, component, n, bins (of a sole member), long: the groups' members by component."""
+        rows = label.groupBy("grp", "component").agg(F.count("*").alias("k"), F.min("sig").alias("sig"), F.min("n").alias("n"), F.min("bins").alias("bins"))
+        return rows.withColumn("bins", F.when(F.col("k") == 1, F.col("bins"))).drop("k").join(often, "grp", "left").fillna(0, ["long"])
+
     links, label = None, members.select("sig", "grp", "n", "bins", F.col("sig").alias("component"))
-    for turn in range(TURNS):
+    for turn in range(len(FOREST)):
         sizes = label.groupBy("component").agg(F.count("*").alias("size"))
         firsts = group.select("grp", F.col("first").alias("sig")).join(label.select("sig", "n", "component", "bins"), "sig").join(sizes, "component")
-        pairs = forest(lists, None if turn else near, firsts, percent, turn)
+        if turn < len(FOREST) - 1:
+            pairs = forest(lists, None if turn else near, firsts, percent, turn)
+        else:
+            now = keep(opened(label), "near-open")
+            end = lambda k, s: now.select(F.col("grp").alias(f"grp{k}"), F.col("component").alias(f"component{k}"), F.col("sig").alias(s))
+            pairs = remaining(lists, now.drop("n", "sig"), percent, 16 * parts, FOREST[turn])
+            pairs = pairs.join(end("", "a"), ["grp", "component"]).join(end("2", "b"), ["grp2", "component2"]).select("a", "b").distinct()
         found = checked(pairs if turn else pairs.unionByName(within))
         links = links.unionByName(found) if links else found
         known = components(links)
         label = members.select("sig", "grp", "n", "bins").join(known.withColumnRenamed("vertex", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
         label = keep(label.select("sig", "grp", "n", "bins", "component"), "near-labels")
-    of_group = label.groupBy("grp", "component").agg(F.count("*").alias("k"), F.min("n").alias("n"), F.min("bins").alias("bins")).withColumn("bins", F.when(F.col("k") == 1, F.col("bins"))).drop("k")
-    # the shingles two groups share have short lists, which are counted, or long ones, at most as many as the groups have
-    often = lists.groupBy("grp").agg(F.count("*").alias("long"))
-    of_group = keep(of_group.join(often, "grp", "left").fillna(0, ["long"]), "near-open")
+    of_group = keep(opened(label), "near-open")
     first, second = (of_group.select(*[F.col(c).alias(c + k) for c in of_group.columns]) for k in ("", "2"))
     ends = ["grp", "component", "grp2", "component2"]
     flip = F.col("grp") > F.col("grp2")
-    in_long = remaining(lists, of_group.drop("n"), percent, 16 * parts)
+    in_long = remaining(lists, of_group.drop("n", "sig"), percent, 16 * parts)
     in_long = in_long.select(*[F.when(flip, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in zip(ends, ends[2:] + ends[:2], strict=True)])
     in_short = near.join(first, "grp").join(second, "grp2").filter("component <> component2").withColumn("seen", F.col("seen") + F.least("long", "long2"))
     in_short = in_short.filter(enough(percent)).select(*ends)
