@@ -11,6 +11,7 @@ A document's set holds its distinct five-word shingles (64-bit hashes). Two sets
 3. Within a list of up to ``SHORT`` groups all pairs, in a longer one neighbours in an order common to all lists, are
    candidates; sizes, the number of shingles their prefixes share and counts of hashes in 64 bins filter them. Some a group, and each group's members against
    its first one, are verified on whole sets: a first forest of links.
+   Two more forests try groups that are still apart: the last one, within each long list, the pairs whose bins leave most room.
 4. The short lists' pairs and the long lists are searched for all remaining pairs, but only between groups or members that no link connects yet. So
    every link is either found or inside a component that is known already, and a group of thousands of
    near copies does not become millions of pairs.
