@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Cells of an alignment table that is held whole (32 MB); larger ones are held in part.
+CELLS = 1 << 22
+
 
 def compose(first: DataFrame, second: DataFrame) -> DataFrame:
     """a -> b (c1) and b -> c (c2): a -> c with the greatest product over paths."""
@@ -86,45 +92,106 @@ def rescored(confidence, weight):
     return F.least(F.greatest(odds / (1 + odds), F.lit(0.001)), F.lit(0.98))
 
 
-def witness_alignment(a: list[str], b: list[str]) -> list[tuple[int | None, int | None, int]]:
-    """Global alignment of two token lists: equal 4, one edit apart 2, else -9; gap -2. Ties: pair, gap right, gap left."""
-
-    def near(x: str, y: str) -> bool:
-        if abs(len(x) - len(y)) > 1:
-            return False
-        row = np.arange(len(y) + 1)
-        for i, c in enumerate(x, 1):
-            last, row[0] = row[0], i
-            for j, d in enumerate(y, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
-        return bool(row[-1] <= 1)
-
+def one_edit(x: str, y: str) -> bool:
+    """Equal, or one letter put in, left out or changed."""
+    if len(x) > len(y):
+        x, y = y, x
+    if len(y) - len(x) > 1:
+        return False
+    k = next((k for k in range(len(x)) if x[k] != y[k]), len(x))
+    return x[k + (len(x) == len(y)) :] == y[k + 1 :]
+
+
+def spelt_alike(a: list[str], b: list[str]) -> dict[str, dict[str, int]]:
+    """The words of b equal to each word of a (8) or one edit from it (6). One edit leaves the first or the second half of b's word."""
+    halves = defaultdict(list)
+    for y in sorted(set(b)):
+        h = len(y) // 2
+        halves[len(y), y[:h], None].append(y)
+        halves[len(y), None, y[h:]].append(y)
+    out = {}
+    for x in set(a):
+        out[x] = own = {}
+        for size in range(max(0, len(x) - 1), len(x) + 2):
+            h = size // 2
+            for y in (*halves.get((size, x[:h], None), ()), *halves.get((size, None, x[max(0, len(x) - size + h) :]), ())):
+                if y not in own and one_edit(x, y):
+                    own[y] = 8 if x == y else 6
+    return out
+
+
+def aligned(a: list, b: list, worth: dict, cells: int = CELLS) -> tuple[list[int], list[int]]:
+    """Places of a and b (-1: none) in a global alignment of the most worth; worth[x][y] > 0, gaps cost nothing, other pairs are refused.
+
+    Ties, from the end: pair, gap right, gap left. A row of the table is the one before where its word has no like, else a running
+    maximum. Over cells, only every k-th row is kept, k about the root of their number, and the rows between are made again.
+    """
     n, m = len(a), len(b)
-    like = [[4 if x == y else 2 if near(x, y) else -9 for y in b] for x in a]
-    best = [[-2 * (i + j) if not (i and j) else 0 for j in range(m + 1)] for i in range(n + 1)]
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            best[i][j] = max(best[i - 1][j - 1] + like[i - 1][j - 1], best[i - 1][j] - 2, best[i][j - 1] - 2)
-    out, i, j = [], n, m
+    where = defaultdict(list)
+    for j, y in enumerate(b):
+        where[y].append(j)
+    spots = {}
+    for x, own in worth.items():
+        at = [(j, w) for y, w in own.items() for j in where.get(y, ())]
+        spots[x] = (np.array([j for j, _ in at], np.int64), np.array([w for _, w in at], np.int64)) if at else None
+
+    def rows(row, lo, hi):
+        for i in range(lo, hi):
+            if (spot := spots.get(a[i])) is not None:
+                at, w = spot
+                new = row.copy()
+                new[at + 1] = np.maximum(row[at + 1], row[at] + w)
+                row = np.maximum.accumulate(new)
+            yield row
+
+    step = max(1, n if (n + 1) * (m + 1) <= cells else math.isqrt(n) + 1)
+    marks = {0: np.zeros(m + 1, np.int64)}
+    if step < n:
+        marks |= {i: row for i, row in enumerate(rows(marks[0], 0, n), 1) if i % step == 0}
+    left, right, i, j, low, block = [], [], n, m, n + 1, []
     while i or j:
-        if i and j and best[i][j] == best[i - 1][j - 1] + like[i - 1][j - 1]:
+        if i and i <= low:
+            low = (i - 1) // step * step
+            block = [marks[low], *rows(marks[low], low, i)]
+        w = worth.get(a[i - 1], {}).get(b[j - 1], 0) if i and j else 0
+        if w and block[i - low][j] == block[i - 1 - low][j - 1] + w:
             i, j = i - 1, j - 1
-            out.append((i, j, like[i][j]))
-        elif i and best[i][j] == best[i - 1][j] - 2:
+            left.append(i)
+            right.append(j)
+        elif i and (not j or block[i - low][j] == block[i - 1 - low][j]):
             i -= 1
-            out.append((i, None, -2))
+            left.append(i)
+            right.append(-1)
         else:
             j -= 1
-            out.append((None, j, -2))
-    return out[::-1]
+            left.append(-1)
+            right.append(j)
+    return left[::-1], right[::-1]
+
+
+def witness_alignment(a: list[str], b: list[str], cells: int = CELLS) -> list[tuple[int | None, int | None, int]]:
+    """Global alignment of two token lists: equal 4, one edit apart 2, else -9; gap -2. Ties: pair, gap right, gap left.
+
+    With 2 added for each token, gaps cost nothing, equal tokens are worth 8 and near ones 6, and no other pair is ever taken.
+    """
+    worth = spelt_alike(a, b)
+    return [(None if i < 0 else i, None if j < 0 else j, -2 if i < 0 or j < 0 else worth[a[i]][b[j]] - 4) for i, j in zip(*aligned(a, b, worth, cells), strict=True)]
 
 
 def align_segments(pairs: DataFrame) -> DataFrame:
-    """seg, a, b (token arrays): one row per aligned position."""
+    """seg, a, b (token arrays, null as empty): one row per aligned position of the whole lists."""
+
+    def frame(rows):
+        return pd.DataFrame(rows, columns=["seg", "step", "i", "j", "value"]).astype({"i": "Int64", "j": "Int64"})
 
     def run(batches):
         for pdf in batches:
-            rows = [(s, k, i, j, v) for s, a, b in zip(pdf["seg"], pdf["a"], pdf["b"], strict=True) for k, (i, j, v) in enumerate(witness_alignment(list(a), list(b)))]
-            yield pd.DataFrame(rows, columns=["seg", "step", "i", "j", "value"]).astype({"i": "Int64", "j": "Int64"})
+            rows = []
+            for s, a, b in zip(pdf["seg"], pdf["a"], pdf["b"], strict=True):
+                rows += [(s, k, i, j, v) for k, (i, j, v) in enumerate(witness_alignment([] if a is None else list(a), [] if b is None else list(b)))]
+                if len(rows) > 50_000:
+                    yield frame(rows)
+                    rows = []
+            yield frame(rows)
 
     return pairs.mapInPandas(run, "seg long, step long, i long, j long, value long")

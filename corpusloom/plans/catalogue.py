@@ -191,7 +191,7 @@ def syntax_rescoring(t):
 
 @query()
 def witness_alignment(t):
-    split = lambda c: F.slice(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)), 1, 40)
+    split = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))
     a = t("conversations").filter("role = 'user'").select("conv_id", "turn", split(F.col("text")).alias("a"))
     b = t("conversations").filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), split(F.col("text")).alias("b"))
     return links.align_segments(a.join(b, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("seg"), "a", "b"))

@@ -2,12 +2,14 @@
 
 import glob
 import os
+import random
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 from corpusloom.operators import graph, links, merge, quality
+from corpusloom.plans import catalogue
 from corpusloom.sources import formats
 
 DATA = "/root/testdata/sf0.001"
@@ -38,6 +40,38 @@ def test_witness_alignment_prefers_pairs():
     assert got == [(0, 0, 4), (1, None, -2), (2, 1, 2)]
 
 
+def test_witness_alignment_of_whole_segments(spark):
+    """Turns of over 40 tokens, against the plain table; the same with only some rows of it kept."""
+    pick = random.Random(5)
+    forms = ["a", "in", "inn", "thee", "the", "then", "hen", "begin", "begins", "bgin", "earth", "heart"]
+    segments = [([pick.choice(forms) for _ in range(pick.randrange(90))], [pick.choice(forms) for _ in range(pick.randrange(90))]) for _ in range(30)]
+    edits = lambda x, y: x == y or any(y in {x[:k] + x[k + 1 :], x[:k] + c + x[k:], x[:k] + c + x[k + 1 :]} for k in range(len(x) + 1) for c in "abcdefghijklmnopqrstuvwxyz")
+    like = {(x, y): 4 if x == y else 2 if edits(x, y) else -9 for x in forms for y in forms}
+    wanted = []
+    for a, b in segments:
+        best = [[-2 * (i + j) for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                best[i][j] = max(best[i - 1][j - 1] + like[a[i - 1], b[j - 1]], best[i - 1][j] - 2, best[i][j - 1] - 2)
+        out, i, j = [], len(a), len(b)
+        while i or j:
+            if i and j and best[i][j] == best[i - 1][j - 1] + like[a[i - 1], b[j - 1]]:
+                i, j = i - 1, j - 1
+                out.append((i, j, like[a[i], b[j]]))
+            elif i and best[i][j] == best[i - 1][j] - 2:
+                i -= 1
+                out.append((i, None, -2))
+            else:
+                j -= 1
+                out.append((None, j, -2))
+        wanted.append(out[::-1])
+        assert links.witness_alignment(a, b) == links.witness_alignment(a, b, 0) == wanted[-1]
+    rows = [(k, turn, role, " ".join(words)) for k, pair in enumerate(segments) for turn, (role, words) in enumerate(zip(("user", "assistant"), pair, strict=True))]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted(map(tuple, catalogue.witness_alignment(lambda name: frame).collect()), key=lambda r: r[:2])
+    assert got == [(k * 1000, step, *row) for k, w in enumerate(wanted) for step, row in enumerate(w)]
+
+
 def test_competition_by_rank(spark):
     rows = spark.createDataFrame([(1, "x", 1, 1, 100), (1, "y", 1, 2, 40), (1, "z", 1, 3, 100), (2, "w", 1, 1, 20)], "segment long, key string, a long, b long, rank long")
     assert {r["key"]: r["stands"] for r in merge.compete(rows, "segment").collect()} == {"x": True, "y": False, "z": True, "w": True}
