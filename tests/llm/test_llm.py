@@ -116,6 +116,36 @@ def test_licences(spark, odd, empty):
     assert licences.scan(odd).count() == 13 and licences.scan(empty).count() == 0
 
 
+def test_licences_inside_other_text(spark):
+    mit = licences.BODIES["MIT-text"]
+    comment = "# first words of a longer comment\n# Released under\n# the MIT License.\n# and more of the same comment, which goes on for some lines\n# to its end"
+    texts = ["Released under the MIT License. Enjoy", "We think that this is Released under the MIT License. and nothing more is known.", comment, "Copyright 2020 Somebody\n\n" + mit.replace("copies of", "copies from") + "\nint main() { return 0; }", "x Released under the MIT License. x Released under the MIT License. " * 3]
+    got = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.licence, r.dice, r.n_matches) for r in got[:3]] == [("MIT", 1.0, 1)] * 3
+    assert "MIT-text" in got[3].licences.split(",") and got[4].n_matches == 6
+    for name, body in licences.BODIES.items():
+        places, ids = licences.Templates(licences.BODIES, 0.8).places("before it " + body + " after it")
+        assert name in ids and places[0][0] == 1.0
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_licences_windows_match_brute_force(threshold):
+    pick = np.random.default_rng(3)
+    draw = lambda n: " ".join(pick.choice(list("abcdexyz"), n, p=[0.2, 0.2, 0.2, 0.1, 0.1, 0.1, 0.05, 0.05]))
+    for _ in range(60):
+        templates = {"one": "a", "two": "b c", "many": draw(9), "again": "a b a b a b", "four": draw(4)}
+        text = draw(int(pick.integers(1, 30)))
+        found = licences.words(text)
+        profiles = {k: licences.profile(licences.words(t)) for k, t in templates.items()}
+        windows = [(-d, k, s, e) for k, p in profiles.items() for s in range(len(found)) for e in range(s, len(found)) if (d := licences.dice(licences.profile(found[s : e + 1]), p)) >= threshold]
+        free, wanted = set(range(len(found))), []
+        for d, k, s, e in sorted(windows):
+            if free.issuperset(range(s, e + 1)):
+                free -= set(range(s, e + 1))
+                wanted.append((-d, k, s, e))
+        assert licences.Templates(templates, threshold).places(text) == (wanted, {w[1] for w in windows})
+
+
 @pytest.mark.parametrize("block", [1 << 12, warc.BLOCK])
 def test_warc(spark, tmp_path, block):
     fake = "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nxyz\r\n\r\n"
