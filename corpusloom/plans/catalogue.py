@@ -340,7 +340,7 @@ def passage_seeds(t):
 
 @query()
 def passage_chains(t):
-    return passages.chains(_seeds(t))
+    return passages.align(passages.chains(_seeds(t)), t("documents").select(F.col("doc_id").alias("seg"), "text"))
 
 
 @query(f"""WITH w AS (SELECT DISTINCT source, token FROM {_TOKENS}), a AS (SELECT token FROM w WHERE source = 'src1'), b AS (SELECT token FROM w WHERE source = 'src2')

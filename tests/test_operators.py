@@ -72,6 +72,76 @@ def test_witness_alignment_of_whole_segments(spark):
     assert got == [(k * 1000, step, *row) for k, w in enumerate(wanted) for step, row in enumerate(w)]
 
 
+def passages_by_hand(docs, reach=40, drift=12, least=15, n=5):
+    """All chains open, every span compared, the whole table of common lengths."""
+    places = {}
+    for d, w in docs.items():
+        for k in range(len(w) - n + 1):
+            places.setdefault(tuple(w[k : k + n]), []).append((d, k))
+    found = {}
+    for at in places.values():
+        if 2 <= len({d for d, _ in at}) <= 4:
+            for a, x in at:
+                for b, y in at:
+                    if a < b:
+                        found.setdefault((a, b), []).append((x, y))
+    out = set()
+    for (a, b), rows in found.items():
+        open_chains = []
+        for x, y in sorted(rows):
+            for c in reversed(open_chains):
+                s, t = x - c[-1][0], y - c[-1][1]
+                if 0 < s <= reach and 0 < t <= reach and abs(s - t) <= drift:
+                    c.append((x, y))
+                    break
+            else:
+                open_chains.append([(x, y)])
+        covers = [({x + k for x, _ in c for k in range(n)}, {y + k for _, y in c for k in range(n)}) for c in open_chains]
+        spans = sorted((min(p), min(q), max(p), max(q)) for p, q in covers if min(len(p), len(q)) >= least)
+        merged = []
+        for x, y, x_last, y_last in spans:
+            for m in merged:
+                if m[0] <= x_last + reach and x <= m[1] + reach and m[2] <= y_last + reach and y <= m[3] + reach:
+                    m[:] = [min(m[0], x), max(m[1], x_last), min(m[2], y), max(m[3], y_last)]
+                    break
+            else:
+                merged.append([x, x_last, y, y_last])
+        for x, x_last, y, y_last in merged:
+            p, q = docs[a][x : x_last + 1], docs[b][y : y_last + 1]
+            length = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+            for i in reversed(range(len(p))):
+                for j in reversed(range(len(q))):
+                    length[i][j] = length[i + 1][j + 1] + 1 if p[i] == q[j] else max(length[i + 1][j], length[i][j + 1])
+            i = j = 0
+            pairs = []
+            while i < len(p) and j < len(q):
+                if p[i] == q[j]:
+                    pairs.append((x + i, y + j))
+                    i, j = i + 1, j + 1
+                elif length[i + 1][j] >= length[i][j + 1]:
+                    i += 1
+                else:
+                    j += 1
+            out.add((a, x, x_last, b, y, y_last, len(pairs), tuple(p for p, _ in pairs), tuple(q for _, q in pairs)))
+    return out
+
+
+def test_passages(spark):
+    pick = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(pick.choices(letters, k=4))
+    text = lambda n: [word() for _ in range(n)]
+    edited = lambda w: [x for y in w for x in ([], [y, word()], [word()], [y], [y], [y], [y], [y], [y], [y], [y], [y], [y], [y], [y])[pick.randrange(15)]]
+    twice, other = text(60), text(200)
+    few = [pick.choice(["x", "y", "z"]) for _ in range(120)]
+    docs = {1: text(9) + twice + text(30), 2: twice + text(70) + twice, 3: other, 4: text(50) + edited(other[:90]) + text(35) + edited(other[90:]), 5: edited(other[100:] + other[:100]), 6: few, 7: few[40:] + text(3) + few[:70], 8: text(3)}
+    frame = spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id long, text string")
+    got = {(*r[:7], tuple(r.a_words), tuple(r.b_words)) for r in catalogue.passage_chains(lambda name: frame).collect()}
+    wanted = passages_by_hand(docs)
+    assert got == wanted
+    assert {r[:7] for r in got if r[0] == 1} == {(1, 9, 68, 2, 0, 59, 60), (1, 9, 68, 2, 130, 189, 60)}
+
+
 def test_competition_by_rank(spark):
     rows = spark.createDataFrame([(1, "x", 1, 1, 100), (1, "y", 1, 2, 40), (1, "z", 1, 3, 100), (2, "w", 1, 1, 20)], "segment long, key string, a long, b long, rank long")
     assert {r["key"]: r["stands"] for r in merge.compete(rows, "segment").collect()} == {"x": True, "y": False, "z": True, "w": True}
