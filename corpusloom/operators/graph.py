@@ -30,14 +30,13 @@ def components(edges: DataFrame) -> DataFrame:
         label = following.select("vertex", "component")
 
 
-def closure(edges: DataFrame, most: int = 64) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """child, ancestor, depth (the least) of child -> parent edges; cycles end, since a pair is taken once."""
     now = kept(edges.select("child", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("depth")).distinct())
     reached = now
-    for _ in range(most):
+    while True:
         step = now.join(edges.select(F.col("child").alias("ancestor"), "parent"), "ancestor").select("child", F.col("parent").alias("ancestor"), (F.col("depth") + 1).alias("depth")).distinct()
         now = kept(step.join(reached, ["child", "ancestor"], "left_anti"))
         if not now.limit(1).count():
-            break
+            return reached
         reached = kept(reached.unionByName(now))
-    return reached

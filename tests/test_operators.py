@@ -154,6 +154,12 @@ def test_components_and_closure(spark):
     assert {tuple(r) for r in graph.closure(cycle).collect()} == {(1, 2, 1), (2, 1, 1), (1, 1, 2), (2, 2, 2)}
 
 
+def test_closure_of_a_long_chain(spark):
+    far = 68
+    edges = spark.createDataFrame([(k, k + 1) for k in range(far)], "child long, parent long").coalesce(1)
+    assert {tuple(r) for r in graph.closure(edges).collect()} == {(a, b, b - a) for a in range(far) for b in range(a + 1, far + 1)}
+
+
 def test_keyed_comparison_is_a_multiset(spark):
     a = spark.createDataFrame([(1, "x", 1), (1, "x", 2), (2, "y", 3), (3, "z", 4)], "key long, value string, id long")
     b = spark.createDataFrame([(1, "x", 1), (2, "w", 3), (3, "z", 9), (4, "q", 5)], "key long, value string, id long")
