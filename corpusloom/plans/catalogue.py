@@ -408,6 +408,12 @@ def components_min_label(t):
     return graph.components(t("customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + F.col("c_nationkey") + 1).alias("b")))
 
 
+@query()
+def components_all_customers(t):
+    """Edges of all customers: long paths in few components, too many steps for the recursive SQL above."""
+    return graph.components(t("customer").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + F.col("c_nationkey") + 1).alias("b")))
+
+
 @query("""WITH RECURSIVE r(child, ancestor, depth) AS (SELECT c_custkey, c_custkey // 2, 1 FROM customer WHERE c_custkey > 1 UNION ALL SELECT child, ancestor // 2, depth + 1 FROM r WHERE ancestor > 1)
 SELECT child, ancestor, CAST(depth AS BIGINT) AS depth FROM r WHERE ancestor > 0""")
 def ancestor_closure(t):

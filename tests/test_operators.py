@@ -154,6 +154,31 @@ def test_components_and_closure(spark):
     assert {tuple(r) for r in graph.closure(cycle).collect()} == {(1, 2, 1), (2, 1, 1), (1, 1, 2), (2, 2, 2)}
 
 
+def smallest_reached(edges):
+    of = {v: v for e in edges for v in e}
+
+    def root(v):
+        while of[v] != v:
+            of[v] = v = of[of[v]]
+        return v
+
+    for a, b in edges:
+        low, high = sorted((root(a), root(b)))
+        of[high] = low
+    return {(v, root(v)) for v in of}
+
+
+def test_components_of_all_customers_and_a_long_path(spark):
+    data = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{data}/customer.parquet").select("c_custkey", "c_nationkey").collect()
+    got = {tuple(r) for r in entry.queries()["components_all_customers"](spark, data).collect()}
+    assert got == smallest_reached([(r.c_custkey, r.c_custkey + r.c_nationkey + 1) for r in rows])
+    ids = list(range(400))
+    random.Random(2).shuffle(ids)
+    path = list(zip(ids, ids[1:], strict=False))
+    assert {tuple(r) for r in graph.components(spark.createDataFrame(path, "a long, b long").coalesce(1)).collect()} == smallest_reached(path) == {(v, 0) for v in ids}
+
+
 def test_closure_of_a_long_chain(spark):
     far = 68
     edges = spark.createDataFrame([(k, k + 1) for k in range(far)], "child long, parent long").coalesce(1)
