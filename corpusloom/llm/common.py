@@ -51,6 +51,17 @@ def drop(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores in front as it takes to differ from all columns (Spark ignores case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def crc_mod(column: str = "doc_id", modulus: int = 5):
     """crc32 of the id as text, modulo modulus."""
     return F.crc32(F.col(column).cast("string")) % modulus

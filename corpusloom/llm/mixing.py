@@ -12,7 +12,8 @@ which spreads a hot source over its blocks.
 
 Tokens are words plus one end each. Defined cases: null texts have no words; a null source counts as the source
 with the empty name; rows that repeat are mixed each for themselves; with one source the exponent is 1; an empty table gives no
-rows; other columns pass through, unless they start with ``mix_``.
+rows; other columns pass through. The columns that mix() adds start with ``mix_`` and replace any that do; the stage
+packs the document's columns into one value meanwhile, so that it returns all of them as they were.
 """
 
 from __future__ import annotations
@@ -82,8 +83,9 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents of small sources; every document stays."""
-    return mix(docs).select(*docs.columns)
+    """Repeats documents of small sources; every document stays, with all its columns whatever their names."""
+    held = docs.select(F.col("doc_id"), F.col("source"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return mix(held).select("row.*")
 
 
 SQL = rf"""

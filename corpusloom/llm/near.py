@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import WordHash, drop, keep, load, shingle_hashes, words_of
+from .common import WordHash, drop, free_names, keep, load, shingle_hashes, words_of
 from .components import components
 
 #: Shingles of a chunk of documents within a task, and postings of one packed range.
@@ -462,8 +462,13 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component; rows that share an id are one document."""
+    """Keeps the document with the smallest id of each component.
+
+    Rows that share an id are one document, of which the first row by all columns stays (maps in their JSON form);
+    rows with a null id are all kept, and so are empty texts, which link with nothing.
+    """
     kept = link(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
-    chosen = docs.join(kept, "doc_id", "left_semi").withColumn("near_row", F.row_number().over(order)).filter("near_row = 1")
+    sortable = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema if f.name != "doc_id"]
+    (place,) = free_names(docs.columns, "near_row")
+    chosen = docs.join(kept, "doc_id", "left_semi").withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy(*sortable))).filter(F.col(place) == 1)
     return chosen.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))

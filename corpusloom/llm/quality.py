@@ -1,7 +1,7 @@
 """Quality classifier: random-indexing word vectors pooled per document, a two-layer network, calibrated.
 
-Fitting happens on a bounded sample of labelled rows (``max_per_class`` of each class, the smallest by hash of
-their id); scoring covers every row and whole texts, needs no shuffle and broadcasts only the model, whose size
+Fitting happens in one task, on a bounded sample of labelled rows (``max_per_class`` of each class, the smallest by hash
+of their id); scoring covers every row and whole texts, needs no shuffle and broadcasts only the model, whose size
 ``max_units * dim`` bounds.
 
 A *unit* is what a word counts as: the word itself where the sample holds it often, else its shape (letter case,
@@ -10,13 +10,14 @@ ternary index vector drawn from its hash; its word vector adds the index vectors
 is the mean of its words' vectors.
 
 Defined cases: null and empty texts have the zero vector, and score as the network scores it; without labelled
-rows every score is 0.5, with one class only the score is that class; repeated rows score alike; a column named
-like an output is replaced; an empty table gives an empty result. Labels given twice count as their mean, 1 from 0.5.
+rows every score is 0.5, with one class only the score is that class; repeated rows score alike; a null doc_id is not held
+out and teaches nothing; score() replaces columns named like its outputs, the stage leaves all columns as they were; an empty table gives an empty result. Labels given twice count as their mean, 1 from 0.5.
 """
 
 from __future__ import annotations
 
 import operator
+import pickle
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CACHE_ENTRIES, crc_mod, load
+from .common import CACHE_ENTRIES, crc_mod, free_names, load
 
 TAIL = re.compile(r"[^\w\s]+$")
 AGAIN = "<again>"
@@ -182,7 +183,10 @@ def train(texts: list[str | None], labels: np.ndarray, weights: np.ndarray, dim:
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_per_class: int = 1500, target: str = "quality") -> Model:
-    """Learns from labelled rows whose crc32(doc_id as text) mod 5 is not 0, max_per_class of each class at most."""
+    """Learns from labelled rows whose crc32(doc_id as text) mod 5 is not 0, max_per_class of each class at most.
+
+    The sampled texts meet in one task, which fits the model; the driver gets the model alone.
+    """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & (crc_mod() != 0)).groupBy("doc_id").agg((F.avg(F.col(target).cast("double")) >= 0.5).cast("int").alias("y"))
     totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     picked = None
@@ -190,18 +194,22 @@ def fit(documents: DataFrame, labels: DataFrame, max_per_class: int = 1500, targ
         part = known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class)
         picked = part if picked is None else picked.unionByName(part)
     wanted = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # 2 * max_per_class rows at most
-    got = sorted({(r["doc_id"], r["text"] or "", r["y"]) for r in wanted.collect()})
-    y = np.array([g[2] for g in got], float)
-    held = {k: max(1, int((y == k).sum())) for k in (0, 1)}
-    total = max(1, sum(totals.values()))
-    weights = np.array([totals[g[2]] / held[g[2]] for g in got]) * (len(got) / total) if got else np.empty(0)
-    return train([g[1] for g in got], y, weights)
-
-
-def score(documents: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """documents with score and predicted; a map over its partitions."""
-    kept = [c for c in documents.columns if c not in ("score", "predicted")]
-    data = documents.select(*kept)
+
+    def run(batches):
+        got = sorted({(doc_id, text or "", y) for batch in batches for doc_id, text, y in zip(*(c.to_pylist() for c in batch.columns), strict=True)})
+        y = np.array([g[2] for g in got], float)
+        held = {k: max(1, int((y == k).sum())) for k in (0, 1)}
+        total = max(1, sum(totals.values()))
+        weights = np.array([totals[g[2]] / held[g[2]] for g in got]) * (len(got) / total) if got else np.empty(0)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([g[1] for g in got], y, weights))], pa.binary())], ["model"])
+
+    return pickle.loads(wanted.select("doc_id", "text", "y").repartition(1).mapInArrow(run, "model binary").first()["model"])
+
+
+def score(documents: DataFrame, model: Model, threshold: float = 0.3, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """documents with two columns more, by these names, which replace columns named alike; a map over its partitions."""
+    kept = [c for c in documents.columns if c.lower() not in (score.lower(), predicted.lower())]
+    data = documents.select(*[F.col(f"`{c}`") for c in kept])
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -209,19 +217,20 @@ def score(documents: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
         units = Units(own.vocabulary)
         for batch in batches:
             s = own.scores(batch.column(kept.index("text")).to_pylist(), units)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array(s >= threshold).cast(pa.int32())], [*kept, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array(s >= threshold).cast(pa.int32())], [*kept, score, predicted])
 
-    return data.mapInArrow(run, T.StructType([*data.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return data.mapInArrow(run, T.StructType([*data.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(predicted, T.IntegerType())]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     documents = load(spark, sf_dir, "documents")
     model = fit(documents, load(spark, sf_dir, "labels"))
-    data = documents.select("doc_id", (crc_mod() == 0).alias("held_out"), "text")
+    data = documents.select("doc_id", F.coalesce(crc_mod() == 0, F.lit(False)).alias("held_out"), "text")
     return score(data, model).drop("text")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the classifier does not reject."""
+    """Keeps the documents that the classifier does not reject; null, empty and repeated rows are scored like any other."""
     model = fit(docs, load(spark, sf_dir, "labels"))
-    return score(docs, model).filter(F.col("predicted") == 1).select(*docs.columns)
+    names = free_names(docs.columns, "score", "predicted")
+    return score(docs, model, 0.3, *names).filter(F.col(names[1]) == 1).select(*docs.columns)
