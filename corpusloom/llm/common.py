@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,17 +34,31 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df into the shared folder and reads it back. Shuffle files of the write go with its end."""
+def written(df: DataFrame, path: str) -> None:
+    """Writes df as Parquet. Shuffle files of the write go with its end."""
     spark = df.sparkSession
-    path = scratch(spark, name)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Cuts lineage: writes df into the shared folder and reads it back."""
+    path = scratch(df.sparkSession, name)
+    written(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def trim() -> None:
+    """Gives memory that this Python worker no longer uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
 
 
 def drop(spark: SparkSession, path: str) -> None:

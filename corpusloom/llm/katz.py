@@ -1,29 +1,32 @@
-"""Katz backoff language model of order 2: Good-Turing discounts, exactly normalised backoff weights.
+"""Katz backoff language model: Good-Turing discounted n-gram counts with exactly normalised backoff weights.
 
-Learning text is every document whose crc32(doc_id as text) mod 5 is not 1. A document is its words and one end;
-the first word's context is the start. All words not in the learning text are one unknown word. With count c, context h,
+A document is its words and one end; the first word's context is the start. All words not in the learning text are one
+unknown word. With count c, context h and h' the context without its first word,
 
     P(w | h) = d(c(h w)) c(h w) / c(h)          if c(h w) > 0,
-               alpha(h) P(w)                    else (alpha = 1 for a context never seen),
+               alpha(h) P(w | h')               else (alpha = 1 for a context never seen),
     P(w)     = d(c(w)) c(w) / N for known words, and what is left for the unknown one.
 
-d is Good-Turing with Katz's cut at k = 5, from counts of counts over the whole corpus (a smaller k where they do not give
-discounts in 0..1). alpha(h) = (1 - sum of discounted P over seen w) / (1 - sum of P(w) over seen w), so each context's
-probabilities add up to 1. Where no mass is left (no seen pair is discounted) c(h) counts one more.
+d is Good-Turing with Katz's cut at k = 5, from counts of counts over the whole learning text (a smaller k where they do not
+give discounts in 0..1). alpha(h) = (1 - sum of discounted P over seen w) / (1 - sum of P(w | h') over seen w), so each
+context's probabilities add up to 1. Where no seen pair of h is discounted, c(h) counts one more. ``order`` is the longest n.
 
-Nothing of the vocabulary is broadcast. Documents are cut into chunks of CHUNK tokens, written once with words as
-numbers. Each chunk asks for its distinct words, packed by ranges of their hash; the range answers with their number and
-count. Each chunk then deals out its distinct pairs, with the documents that hold them, by context (by pair for
-contexts over HOT or a millionth of all tokens, whose sums meet in a table of at most a million rows). The range of a context
-has its counts of the whole corpus, hence alpha, and adds up the documents' log probabilities token by token.
-Two jobs read this exchange: counts of counts first, then scores and the model's tables, stored by order and part.
+``train`` stores the model as partitioned tables (order=1, order=2, ...): for each part its n-grams with counts, and its
+contexts with c(h) and alpha(h). ``score`` looks texts up in these tables, lowest order first, and evaluates the recursion
+for each token. Nothing of the vocabulary is broadcast. Texts are cut into chunks of CHUNK tokens, written once. A chunk
+asks each part for its distinct n-grams there, sorted and packed into one message; the reply holds counts, context
+totals and weights in the same order. Parts are ranges of word hashes for order 1, hashes of contexts beyond; contexts over HOT
+or a millionth of all tokens are spread by their n-grams, and their totals and weights (a million at most) go along with the model.
 
 Defined cases: null and empty texts are one end; without learning text every probability is that of the unknown word, 1;
 a null doc_id belongs to the learning text; repeated rows count each; other columns are ignored; an empty table has no rows.
+More than 2^32 distinct words, or n-grams under the highest order, raise an error.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,20 +34,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, drop, keep, load, mixed, scratch, words_of
+from .common import crc_mod, drop, keep, load, mixed, scratch, trim, words_of, written
 
 #: Tokens of a chunk, and of a part, about.
-CHUNK, PART = 1_200_000, 1_250_000
+CHUNK, PART = 1_000_000, 1_250_000
 #: Least count of a context that is spread over parts.
 HOT = 50_000
 CUT = 5
-END, START = b"\n", 0xFFFFFFFF  # no word holds a line break; the start has a number of its own
+END = b"\n"  # no word holds a line break
+#: Numbers of the unknown word (or n-gram) and of the start; others lie between.
+UNKNOWN, START = 0, 0xFFFFFFFF
+U64 = np.uint64
 
 
 def packed(*arrays: np.ndarray) -> bytes:
     """Arrays byte plane by byte plane, compressed: the upper bytes of small numbers are all alike."""
     raw = b"".join(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays if len(a))
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=7).compress(raw, asbytes=True) if raw else bytes(8)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True) if raw else bytes(8)
 
 
 def unpacked(data: bytes, *kinds) -> list[np.ndarray]:
@@ -78,27 +84,26 @@ def apply(c: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 
 def steps(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted pairs as steps of the context, and of the word within its context."""
-    h, w = code >> np.uint64(32), code & np.uint64(0xFFFFFFFF)
+    """Sorted n-grams as steps of the context, and of the word within its context."""
+    h, w = code >> U64(32), code & U64(0xFFFFFFFF)
     same = np.r_[False, h[1:] == h[:-1]]
-    return np.diff(h, prepend=np.uint64(0)).astype(np.uint32), np.where(same, w - np.r_[np.uint64(0), w[:-1]], w).astype(np.uint32)
+    return np.diff(h, prepend=U64(0)).astype(np.uint32), np.where(same, w - np.r_[U64(0), w[:-1]], w).astype(np.uint32)
 
 
-def first_of_context(code: np.ndarray, ch: np.ndarray) -> np.ndarray:
-    """c(h) where a context begins, else 0."""
-    h = code >> np.uint64(32)
-    return np.where(np.r_[True, h[1:] != h[:-1]], ch, 0).astype(np.uint32)
+def begins(code: np.ndarray) -> np.ndarray:
+    """Where a context begins among sorted n-grams."""
+    h = code >> U64(32)
+    return np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(code) else np.empty(0, np.int64)
 
 
-def unstepped(dh: np.ndarray, dw: np.ndarray, ch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs and their c(h) from steps."""
-    h = np.cumsum(dh, dtype=np.uint64)
+def unstepped(dh: np.ndarray, dw: np.ndarray) -> np.ndarray:
+    if not len(dh):
+        return np.empty(0, U64)
+    h = np.cumsum(dh, dtype=U64)
     begin = np.r_[True, h[1:] != h[:-1]]
     start = np.flatnonzero(begin)
-    run = np.cumsum(begin) - 1
-    total = np.cumsum(dw, dtype=np.uint64)
-    w = total - (total[start] - dw[start])[run]
-    return h << np.uint64(32) | w, ch[start][run]
+    total = np.cumsum(dw, dtype=U64)
+    return h << U64(32) | (total - (total[start] - dw[start])[np.cumsum(begin) - 1])
 
 
 class Unigrams:
@@ -115,15 +120,39 @@ class Unigrams:
         return np.where(c > 0, apply(c, self.d) / self.total, self.unknown)
 
 
-def finish(mass, lower, ch):
-    """Denominator and alpha of contexts from their discounted mass, their seen words' sum of P(w), and c(h)."""
-    total = np.where(mass > ch * (1 - 1e-12), ch + 1.0, ch)
-    alpha = np.where(ch > 0, (1 - mass / np.maximum(total, 1e-300)) / np.maximum(1 - lower, 1e-300), 1.0)
-    return total, alpha
+def weighed(few: np.ndarray, lower: np.ndarray, ch: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Denominator and alpha of contexts from their numbers of n-grams seen 1 to CUT times, the seen words' sum of lower P, and c(h)."""
+    loss = few @ (np.arange(1, CUT + 1) * (1 - d[1:]))
+    total = np.where((few[:, d[1:] < 1] > 0).any(1), ch, ch + 1).astype(U64)
+    loss = loss + (total - ch)
+    return total, loss / total / np.maximum(1 - lower, 1e-300)
+
+
+@dataclass
+class Model:
+    """The stored tables and what each task needs: sums, discounts by order, and the widespread contexts by order."""
+
+    path: str
+    order: int
+    parts: int
+    documents: int
+    single: Unigrams
+    hot_from: int
+    d: dict
+    hot: dict  # order -> (contexts, totals, alphas), sorted; a million at most
+
+    def parts_of(self, code: np.ndarray, ch: np.ndarray) -> np.ndarray:
+        return (np.where(ch >= self.hot_from, mixed(code), mixed(code >> U64(32))) % U64(self.parts)).astype(np.int64)
+
+
+# -- chunks
+
 
+CHUNKS = "chunk long, tokens binary, words binary, learnt binary, ids array<long>, held array<boolean>, lens array<int>"
 
-def chunks(docs: DataFrame, path: str, parts: int) -> None:
-    """Writes kind=text (chunk, documents, token numbers) and kind=ask (part, distinct words with counts)."""
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """Each chunk's token numbers, its distinct words' sorted hashes with their learnt counts, and its documents; written."""
 
     def run(batches):
         task, number = TaskContext.get().partitionId(), 0
@@ -132,242 +161,387 @@ def chunks(docs: DataFrame, path: str, parts: int) -> None:
 
         def rows():
             nonlocal number
-            words = list(names)
-            keys = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+            keys = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in names), U64, len(names))
             order = np.argsort(keys, kind="stable")
             place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order), dtype=np.uint32)
             flat = place[np.concatenate(tokens)]
-            learn = np.repeat(~np.array(held), lens)
-            counts = np.bincount(flat[learn], minlength=len(words)).astype(np.uint32)
-            keys = keys[order]
-            part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-            cuts = np.searchsorted(part, np.arange(parts + 1))
-            chunk = task << 24 | number
+            counts = np.bincount(flat[np.repeat(~np.array(held), lens)], minlength=len(names)).astype(U64)
+            out = (task << 24 | number, packed(flat), packed(np.diff(keys[order], prepend=U64(0))), packed(counts), list(ids), list(held), list(lens))
             number += 1
-            out = [("text", -1, chunk, packed(flat), list(ids), list(held), list(lens))]
-            out += [("ask", k, chunk, packed(np.diff(keys[cuts[k] : cuts[k + 1]], prepend=np.uint64(0)), counts[cuts[k] : cuts[k + 1]]), None, None, None) for k in range(parts) if cuts[k] < cuts[k + 1]]
-            types = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32())]
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["kind", "part", "chunk", "data", "ids", "held", "lens"])
+            types = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32())]
+            batch = pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(out, types, strict=True)], ["chunk", "tokens", "words", "learnt", "ids", "held", "lens"])
             names.clear()
             for column in (ids, held, lens, tokens):
                 column.clear()
+            trim()
             return batch
 
         for batch in batches:
-            for doc_id, out, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = words_of(text)
-                words.append(END)
-                for w in set(words).difference(names):
-                    names[w] = len(names)
-                tokens.append(np.fromiter(map(names.__getitem__, words), np.uint32, len(words)))
-                ids.append(doc_id)
-                held.append(out)
-                lens.append(len(words))
-                size += len(words)
-                if size >= CHUNK:
-                    yield rows()
-                    size = 0
+            for at in range(0, batch.num_rows, 1000):
+                for doc_id, out, text in zip(*(c.to_pylist() for c in batch.slice(at, 1000).columns), strict=True):
+                    words = words_of(text)
+                    words.append(END)
+                    for w in set(words).difference(names):
+                        names[w] = len(names)
+                    tokens.append(np.fromiter(map(names.__getitem__, words), np.uint32, len(words)))
+                    ids.append(doc_id)
+                    held.append(out)
+                    lens.append(len(words))
+                    size += len(words)
+                    if size >= CHUNK:
+                        yield rows()
+                        size = 0
         if ids:
             yield rows()
 
-    data = docs.select("doc_id", "held_out", "text")
-    data.mapInArrow(run, "kind string, part long, chunk long, data binary, ids array<long>, held array<boolean>, lens array<int>").write.partitionBy("kind").parquet(path)
-
-
-def answer(key, table):
-    """Numbers and counts of a part's words for each chunk; chunk -1 has counts of counts, -2 the table of the part."""
-    got = [unpacked(d, np.uint64, np.uint32) for d in table.column("data").to_pylist()]
-    keys = [np.cumsum(g[0], dtype=np.uint64) for g in got]
-    words, which = np.unique(np.concatenate(keys), return_inverse=True)
-    counts = np.bincount(which, weights=np.concatenate([g[1] for g in got]), minlength=len(words)).astype(np.int64)
-    few = np.bincount(np.minimum(counts, CUT + 2), minlength=CUT + 3)
-    out = [(-1, packed(np.array([counts.sum(), (counts > 0).sum(), *few[1 : CUT + 2]], np.int64))), (-2, packed(words, counts))]
-    at = 0
-    for chunk, k in zip(table.column("chunk").to_pylist(), keys, strict=True):
-        mine = which[at : at + len(k)]
-        at += len(k)
-        out.append((chunk, packed(np.diff(mine, prepend=0).astype(np.uint32), np.minimum(counts[mine], 0xFFFFFFFF).astype(np.uint32))))
-    return pa.table([pa.array([o[0] for o in out], pa.int64()), pa.array([key[0].as_py()] * len(out), pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["chunk", "part", "data"])
-
-
-def score(docs: DataFrame) -> tuple[DataFrame, str]:
-    """Scores of docs (doc_id, held_out, text), and the path of the model's tables."""
-    spark = docs.sparkSession
-    # about one token for six bytes of text; only the number of parts depends on it
-    letters = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, round(letters / 6 / PART))
-    base_path, model_path = scratch(spark, "katz-chunks"), scratch(spark, "katz-model")
-    chunks(docs, base_path, parts)
-    written = spark.read.schema("part long, chunk long, data binary, ids array<long>, held array<boolean>, lens array<int>, kind string").parquet(base_path)
-    asked = written.filter("kind = 'ask'").select("part", "chunk", "data")
-    replies = keep(asked.groupBy("part").applyInArrow(answer, "chunk long, part long, data binary"), "katz-replies")
-    drop(spark, f"{base_path}/kind=ask")  # answered; nothing reads it again
-    stats = [unpacked(r["data"], np.int64)[0] for r in replies.filter("chunk = -1").select("data").toLocalIterator()]
-    sums = np.sum(stats, axis=0) if stats else np.zeros(2 + CUT + 1, np.int64)
-    single = Unigrams(int(sums[0]), int(sums[1]), {r: int(sums[1 + r]) for r in range(1, CUT + 2)})
-    documents_learnt = docs.filter(~F.col("held_out")).count()
-    replies.filter("chunk = -2").select("part", "data").withColumn("order", F.lit(1)).write.partitionBy("order").mode("append").parquet(model_path)
-    hot = max(HOT, single.tokens // 1_000_000)
-    base_total = np.log10(single.tokens + 0.5 * (single.types + 1))
-
-    texts = written.filter("kind = 'text'").select("chunk", F.col("data").alias("tokens"), "held", "lens")
-    answers = replies.filter("chunk >= 0").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "data"))).alias("answers"))
-
-    def pairs(batches):
-        """part, chunk, data: the chunk's pairs by context, and in part -1 its documents' counts and base scores."""
+    return keep(docs.select("doc_id", "held_out", "text").mapInArrow(run, CHUNKS), "katz-chunks")
+
+
+MESSAGE = "part long, chunk long, data binary"
+REPLY = "chunk long, level int, part long, data binary"
+
+
+def messages(rows: list[tuple], schema: str) -> pa.Table:
+    names = [f.split()[0] for f in schema.split(", ")]
+    types = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[f.split()[1]] for f in schema.split(", ")]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(names), types, strict=True)], names)
+
+
+def word_messages(texts: DataFrame, parts: int, learn: bool) -> DataFrame:
+    """Each chunk's words by part, a range of hashes: with learnt counts, or hashes alone."""
+
+    def run(batches):
         for batch in batches:
-            for chunk, tokens, held, lens, got in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tokens = unpacked(tokens, np.uint32)[0]
-                lens = np.array(lens, np.int64)
-                numbers, counts = [], []
-                for a in got:
-                    d, c = unpacked(a["data"], np.uint32, np.uint32)
-                    numbers.append(np.cumsum(d, dtype=np.int64) * parts + a["part"])  # one number for each word
-                    counts.append(c)
-                numbers, counts = np.concatenate(numbers).astype(np.uint64), np.concatenate(counts).astype(np.int64)
-                c = counts[tokens]
-                doc = np.repeat(np.arange(len(lens)), lens)
-                base = np.bincount(doc, weights=np.log10(c + 0.5) - base_total, minlength=len(lens))
-                known = np.bincount(doc[c > 0], minlength=len(lens))
-                out = [(-1, chunk, packed(lens, known.astype(np.int64), base))]
-                first = np.cumsum(lens) - lens
-                before = np.r_[np.uint32(0), tokens[:-1]]
-                h, ch = numbers[before], counts[before]
-                h[first], ch[first] = START, documents_learnt
-                w = numbers[tokens]
-                code = h << np.uint64(32) | w
-                learn = np.repeat(~np.array(held, bool), lens)
-                # one entry for each pair and document
-                order = np.lexsort((doc, code))
-                fresh = np.r_[True, (np.diff(code[order]) != 0) | (np.diff(doc[order]) != 0)]
-                start = np.flatnonzero(fresh)
-                times = np.diff(np.r_[start, len(order)])
-                i = order[start]
-                code_, doc_ = code[i], doc[i].astype(np.uint32)
-                new = np.r_[True, np.diff(code_) != 0]
-                at = np.flatnonzero(new)
-                holders = np.diff(np.r_[at, len(code_)]).astype(np.uint32)
-                learnt = np.add.reduceat(np.where(learn[i], times, 0), at).astype(np.uint32)
-                j = i[at]
-                code_, cw, ch_ = code_[at], c[j].astype(np.uint32), np.minimum(ch[j], 0xFFFFFFFF).astype(np.uint32)
-                spread = np.where(ch_ >= hot, mixed(code_), mixed(code_ >> np.uint64(32)))
-                part = (spread % np.uint64(parts)).astype(np.int64)
-                by = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[by], np.arange(parts + 1))
-                ends = np.cumsum(holders, dtype=np.int64)
-                times = times.astype(np.uint32)
-                for k in range(parts):
-                    m = by[cuts[k] : cuts[k + 1]]
-                    if len(m):
-                        size = holders[m].astype(np.int64)
-                        spots = np.repeat(ends[m] - np.cumsum(size), size) + np.arange(size.sum())
-                        data = packed(*steps(code_[m]), cw[m], first_of_context(code_[m], ch_[m]), learnt[m], holders[m])
-                        out.append((k, chunk, len(data).to_bytes(8, "little") + data + packed(doc_[spots], times[spots])))
-                    if len(out) >= 16 or k == parts - 1:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 3, [pa.int64(), pa.int64(), pa.binary()], strict=True)], ["part", "chunk", "data"])
-                        out = []
-
-    dealt = texts.join(answers, "chunk").select("chunk", "tokens", "held", "lens", "answers").mapInArrow(pairs, "part long, chunk long, data binary")
-    # an RDD, because two jobs read this exchange and its files serve both
-    slot = F.when(F.col("part") < 0, F.pmod("chunk", F.lit(parts))).otherwise(F.col("part"))
-    exchange = dealt.repartition(parts, slot).rdd
-
-    def by_part(rows):
-        """Rows of each part that meets in this task; -1: documents' counts and base scores."""
-        groups: dict[int, list] = {}
-        for part, chunk, data in rows:
-            groups.setdefault(part, []).append((chunk, bytes(data)))
-        return groups
-
-    def gathered(rows):
-        """Distinct pairs of a part with their counts, where each entry stands, and the entries' chunk, document and times."""
-        every, entries = [], []
-        for chunk, data in rows:
-            size = int.from_bytes(data[:8], "little")
-            dh, dw, cw, ch, learnt, holders = unpacked(data[8 : 8 + size], *[np.uint32] * 6)
-            every.append((*unstepped(dh, dw, ch), cw, learnt, holders))
-            entries.append((chunk, *unpacked(data[8 + size :], np.uint32, np.uint32)))
-        rows.clear()
-        code, ch, cw, learnt, holders = (np.concatenate(c) for c in zip(*every, strict=True))
-        code, first, which = np.unique(code, return_index=True, return_inverse=True)
-        c2 = np.bincount(which, weights=learnt, minlength=len(code)).astype(np.int64)
-        entry = np.repeat(which.astype(np.int32), holders)
-        return (code, c2, cw[first].astype(np.int64), ch[first].astype(np.int64)), entry, entries
-
-    def contexts(code):
-        h = code >> np.uint64(32)
-        return h, np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-
-    def first_look(rows):
-        for part, group in by_part(rows).items():
-            if part < 0:
-                continue
-            code, c2, cw, ch = gathered(group)[0]
-            yield (-1, np.bincount(np.minimum(c2, CUT + 2), minlength=CUT + 3)[1 : CUT + 2].astype(float))
-            h, starts = contexts(code)
-            lower = np.where(c2 > 0, single.p(cw), 0.0)
-            for k in np.flatnonzero(ch[starts] >= hot):  # at most tokens / hot contexts
-                s = slice(starts[k], starts[k + 1] if k + 1 < len(starts) else len(code))
-                few = np.bincount(np.minimum(c2[s], CUT + 1), minlength=CUT + 2)[1 : CUT + 1]
-                yield (int(h[starts[k]]), np.array([*few, c2[s][c2[s] > CUT].sum(), lower[s].sum()], float))
-
-    looked = dict(exchange.mapPartitions(first_look).reduceByKey(lambda a, b: a + b).collect())  # a million rows at most
-    n2 = looked.pop(-1, np.zeros(CUT + 1))
-    d = discounts({r: int(n2[r - 1]) for r in range(1, CUT + 2)})
-    hot_mass = {h: (float((x[:CUT] * np.arange(1, CUT + 1) * d[1:]).sum() + x[CUT]), float(x[CUT + 1])) for h, x in looked.items()}
-    shared = spark.sparkContext.broadcast(hot_mass)
-
-    def last_look(rows):
-        for part, group in by_part(rows).items():
-            if part < 0:
-                for chunk, data in group:
-                    yield ("base", chunk, data)
-                continue
-            pair, entry, entries = gathered(group)
-            code, c2, cw, ch = pair
-            h, starts = contexts(code)
-            p1 = single.p(cw)
-            mass = np.add.reduceat(apply(c2, d), starts)
-            lower = np.add.reduceat(np.where(c2 > 0, p1, 0.0), starts)
-            for k in np.flatnonzero(ch[starts] >= hot):
-                mass[k], lower[k] = shared.value[int(h[starts[k]])]
-            total, alpha = finish(mass, lower, ch[starts].astype(float))
-            of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(code)]))
-            p = np.where(c2 > 0, apply(c2, d) / np.maximum(total[of], 1e-300), alpha[of] * p1)
-            log = np.log10(np.maximum(p, 1e-300))
-            seen = c2 > 0
-            yield ("model", part, packed(*steps(code[seen]), c2[seen].astype(np.uint32)) + packed(np.diff(h[starts], prepend=np.uint64(0)).astype(np.uint32), alpha.astype(np.float64)))
-            at = 0
-            for chunk, doc, times in entries:
-                yield ("score", chunk, packed(np.bincount(doc, weights=log[entry[at : at + len(doc)]] * times)))
-                at += len(doc)
-
-    rows = spark.createDataFrame(exchange.mapPartitions(last_look), "kind string, part long, data binary")
-    rows.withColumn("order", F.when(F.col("kind") == "model", 2).otherwise(0)).write.partitionBy("order").mode("append").parquet(model_path)
-    result = spark.read.schema("kind string, part long, data binary, order int").parquet(model_path).filter("order = 0").select("kind", F.col("part").alias("chunk"), "data")
-
-    def together(key, left, right):
-        if not left.num_rows:
+            for chunk, words, learnt in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys = np.cumsum(unpacked(words, U64)[0], dtype=U64)
+                counts = unpacked(learnt, U64)[0]
+                if learn:
+                    keys, counts = keys[counts > 0], counts[counts > 0]
+                cuts = np.searchsorted((keys >> U64(32)) * U64(parts) >> U64(32), np.arange(parts + 1, dtype=U64))
+                out = []
+                for k in np.flatnonzero(np.diff(cuts)).tolist():
+                    s = slice(cuts[k], cuts[k + 1])
+                    own = np.diff(keys[s], prepend=U64(0))
+                    out.append((k, chunk, packed(own, counts[s]) if learn else packed(own)))
+                yield from messages(out, MESSAGE).to_batches()
+
+    return texts.select("chunk", "words", "learnt").mapInArrow(run, MESSAGE)
+
+
+def learnt_words(key, table):
+    """The model's words of a part with counts, and counts of counts."""
+    got = [unpacked(d, U64, U64) for d in table.column("data").to_pylist()]
+    words, which = np.unique(np.concatenate([np.cumsum(g[0], dtype=U64) for g in got]), return_inverse=True)
+    counts = np.zeros(len(words), U64)
+    np.add.at(counts, which.ravel(), np.concatenate([g[1] for g in got]))
+    few = np.bincount(np.minimum(counts, U64(CUT + 2)).astype(np.int64), minlength=CUT + 3)[1 : CUT + 2]
+    return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([packed(np.diff(words, prepend=U64(0)), counts)], pa.binary()), pa.array([[int(counts.sum()), len(words), *few.tolist()]], pa.list_(pa.int64()))], ["part", "data", "sums"])
+
+
+def found_words(parts: int):
+    """Looks a part's messages up in its table: number and count of each asked word."""
+
+    def run(key, asked, table):
+        out, part = [], key[0].as_py()
+        keys, counts = np.empty(0, U64), np.empty(0, U64)
+        if table.num_rows:
+            keys, counts = unpacked(table.column("data")[0].as_py(), U64, U64)
+            keys = np.cumsum(keys, dtype=U64)
+        if len(keys) * parts + part + 1 >= START:
+            raise OverflowError("more words than 32-bit numbers")
+        for chunk, data in zip(asked.column("chunk").to_pylist(), asked.column("data").to_pylist(), strict=True):
+            own = np.cumsum(unpacked(data, U64)[0], dtype=U64)
+            at = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
+            hit = keys[at] == own if len(keys) else np.zeros(len(own), bool)
+            number = np.where(hit, at * parts + part + 1, UNKNOWN)
+            out.append((chunk, 1, part, packed(number.astype(np.uint32), counts[at] * hit if len(keys) else np.zeros(len(own), U64))))
+        return messages(out, REPLY)
+
+    return run
+
+
+# -- n-grams of a chunk
+
+
+class Chunk:
+    """A chunk's tokens with the counts, totals and weights of all levels that were looked up so far."""
+
+    def __init__(self, row: dict, replies: dict[int, list[tuple[int, bytes]]], model: Model, levels: int):
+        self.model = model
+        self.lens = np.array(row["lens"], np.int64)
+        self.held = np.repeat(np.array(row["held"], bool), self.lens)
+        self.first = np.cumsum(self.lens) - self.lens
+        tokens = unpacked(row["tokens"], np.uint32)[0]
+        got = [unpacked(d, np.uint32, U64) for _, d in sorted(replies.get(1, []))]  # ranges of hashes, in order
+        self.w, self.c = np.concatenate([g[0] for g in got])[tokens], np.concatenate([g[1] for g in got])[tokens]
+        self.known = self.c > 0
+        self.base = np.log10(self.c + 0.5) - np.log10(model.single.tokens + 0.5 * (model.single.types + 1))
+        self.number, self.p = self.w, model.single.p(self.c)
+        for level in range(2, levels + 1):
+            self.answered(level, replies.get(level, []))
+
+    def grams(self):
+        """code and c(h) of the n-gram that ends at each token."""
+        h, ch = np.empty_like(self.number), np.empty_like(self.c)
+        h[1:], ch[1:] = self.number[:-1], self.c[:-1]
+        h[self.first], ch[self.first] = START, self.model.documents
+        return h.astype(U64) << U64(32) | self.w, ch
+
+    def by_part(self, code: np.ndarray, ch: np.ndarray):
+        """part, and places among the sorted distinct n-grams, of each part that has some."""
+        part = self.model.parts_of(code, ch)
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(self.model.parts + 1))
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            yield k, order[cuts[k] : cuts[k + 1]]
+
+    def questions(self, chunk: int) -> list[tuple]:
+        code, ch = self.grams()
+        code, at = np.unique(code[ch > 0], return_index=True)
+        ch = ch[ch > 0][at]
+        return [(k, chunk, packed(*steps(code[i]))) for k, i in self.by_part(code, ch)]
+
+    def lessons(self, chunk: int) -> list[tuple]:
+        """Learnt n-grams of each part with counts and lower probabilities, and c(h) of their contexts."""
+        code, ch = self.grams()
+        code, ch, p = code[~self.held], ch[~self.held], self.p[~self.held]
+        code, at, times = np.unique(code, return_index=True, return_counts=True)
+        ch, p, out = ch[at], p[at], []
+        for k, i in self.by_part(code, ch):
+            values, index = np.unique(p[i], return_inverse=True)
+            a = packed(*steps(code[i]), times[i].astype(U64), index.ravel().astype(np.uint32))
+            b, c = packed(values), packed(ch[i][begins(code[i])])
+            out.append((k, chunk, len(a).to_bytes(8, "little") + len(b).to_bytes(8, "little") + a + b + c))
+        return out
+
+    def answered(self, level: int, replies: list[tuple[int, bytes]]) -> None:
+        """Takes over a level's replies: P(w | h) by the recursion, c(h w) and the number of each token's n-gram."""
+        code, ch = self.grams()
+        asked = ch > 0
+        distinct, which = np.unique(code[asked], return_inverse=True)
+        first = np.empty(len(distinct), np.int64)
+        first[which.ravel()] = np.flatnonzero(asked)
+        c, total, alpha, number = np.zeros(len(distinct), U64), np.ones(len(distinct), U64), np.ones(len(distinct)), np.zeros(len(distinct), np.uint32)
+        data = dict(replies)
+        for k, i in self.by_part(distinct, ch[first]):
+            size = int.from_bytes(data[k][:8], "little")
+            own = unpacked(data[k][8 : 8 + size], U64, np.uint32)
+            c[i], number[i] = own
+            start = begins(distinct[i])
+            of = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(i)]))
+            t, a = unpacked(data[k][8 + size :], U64, np.float64)
+            total[i], alpha[i] = t[of], a[of]
+        self.c, self.number = np.zeros(len(code), U64), np.zeros(len(code), np.uint32)
+        seen = np.where(c > 0, apply(c, self.model.d[level]) / total, 0.0)
+        p = self.p.copy()
+        w = which.ravel()
+        p[asked] = np.where(c[w] > 0, seen[w], alpha[w] * p[asked])
+        self.c[asked], self.number[asked], self.p = c[w], number[w], p
+
+
+def with_replies(texts: DataFrame, replies: DataFrame, model: Model, levels: int, made, schema: str) -> DataFrame:
+    """made(chunk, Chunk, row) of each chunk, with the replies of the levels up to ``levels``."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(key, text, got):
+        if not text.num_rows:
+            return made(None, None, None)
+        by_level: dict[int, list] = {}
+        for level, part, data in zip(got.column("level").to_pylist(), got.column("part").to_pylist(), got.column("data").to_pylist(), strict=True):
+            by_level.setdefault(level, []).append((part, data))
+        row = text.to_pylist()[0]
+        out = made(row["chunk"], Chunk(row, by_level, shared.value, levels), row)
+        trim()
+        return out
+
+    return texts.drop("words", "learnt").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, schema)
+
+
+# -- tables of an order
+
+
+def learnt_grams(model: Model):
+    """The n-grams of a part with counts; its contexts' sums; counts of counts; sums of its widespread contexts."""
+
+    def run(key, table):
+        every = []
+        for data in table.column("data").to_pylist():
+            la, lb = int.from_bytes(data[:8], "little"), int.from_bytes(data[8:16], "little")
+            dh, dw, times, index = unpacked(data[16 : 16 + la], np.uint32, np.uint32, U64, np.uint32)
+            code = unstepped(dh, dw)
+            every.append((code, times, unpacked(data[16 + la : 16 + la + lb], np.float64)[0][index], np.repeat(unpacked(data[16 + la + lb :], U64)[0], np.diff(np.r_[begins(code), len(code)]))))
+        code, at, which = np.unique(np.concatenate([e[0] for e in every]), return_index=True, return_inverse=True)
+        c = np.zeros(len(code), U64)
+        np.add.at(c, which.ravel(), np.concatenate([e[1] for e in every]))
+        p, ch = (np.concatenate([e[k] for e in every])[at] for k in (2, 3))
+        start = begins(code)
+        few = np.add.reduceat(np.stack([c == U64(r) for r in range(1, CUT + 1)], 1).astype(U64), start)
+        lower = np.add.reduceat(p, start)
+        ch = ch[start]
+        sums = np.bincount(np.minimum(c, U64(CUT + 2)).astype(np.int64), minlength=CUT + 3)[1 : CUT + 2]
+        hot = [[int(code[start[k]] >> U64(32)), int(ch[k]), float(lower[k]), *few[k].tolist()] for k in np.flatnonzero(ch >= U64(model.hot_from)).tolist()]
+        trim()
+        return pa.table(
+            [pa.array([key[0].as_py()], pa.int64()), pa.array([packed(*steps(code), c)], pa.binary()), pa.array([packed(ch, lower, *few.T)], pa.binary()), pa.array([sums.tolist()], pa.list_(pa.int64())), pa.array([[[float(x) for x in h] for h in hot]], pa.list_(pa.list_(pa.float64())))],
+            ["part", "data", "contexts", "sums", "hot"],
+        )
+
+    return run
+
+
+def weights_of(model: Model, level: int):
+    """A part's contexts with total and alpha in place of their sums."""
+
+    def run(batches):
+        hot, totals, alphas = model.hot[level]
+        for batch in batches:
+            out = []
+            for part, data, contexts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ch, lower, *few = unpacked(contexts, U64, np.float64, *[U64] * CUT)
+                total, alpha = weighed(np.stack(few, 1).astype(float), lower, ch, model.d[level])
+                code = unstepped(*unpacked(data, np.uint32, np.uint32, U64)[:2])
+                spread = np.flatnonzero(ch >= U64(model.hot_from))
+                at = np.searchsorted(hot, code[begins(code)][spread] >> U64(32))
+                total[spread], alpha[spread] = totals[at], alphas[at]
+                out.append((part, data, packed(total, alpha)))
+            yield from pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 3, [pa.int64(), pa.binary(), pa.binary()], strict=True)], ["part", "data", "contexts"]).to_batches()
+
+    return run
+
+
+def found_grams(model: Model, level: int):
+    """Looks a part's messages up in its table: counts and numbers of n-grams, totals and weights of their contexts."""
+
+    def run(key, asked, table):
+        out, part = [], key[0].as_py()
+        code, c, total, alpha = np.empty(0, U64), np.empty(0, U64), np.empty(0, U64), np.empty(0)
+        if table.num_rows:
+            dh, dw, c = unpacked(table.column("data")[0].as_py(), np.uint32, np.uint32, U64)
+            code = unstepped(dh, dw)
+            total, alpha = unpacked(table.column("contexts")[0].as_py(), U64, np.float64)
+        if level < model.order and len(code) * model.parts + part + 1 >= START:
+            raise OverflowError("more n-grams than 32-bit numbers")
+        context = code[begins(code)] >> U64(32)
+        hot, totals, alphas = model.hot[level]
+        for chunk, data in zip(asked.column("chunk").to_pylist(), asked.column("data").to_pylist(), strict=True):
+            own = unstepped(*unpacked(data, np.uint32, np.uint32))
+            at = np.minimum(np.searchsorted(code, own), max(0, len(code) - 1))
+            hit = code[at] == own if len(code) else np.zeros(len(own), bool)
+            counts = c[at] * hit if len(code) else np.zeros(len(own), U64)
+            number = np.where(hit & (level < model.order), at * model.parts + part + 1, UNKNOWN).astype(np.uint32)
+            start = begins(own)
+            h = own[start] >> U64(32)
+            t, a = np.ones(len(h), U64), np.ones(len(h))
+            for names, x, y in ((context, total, alpha), (hot, totals, alphas)):
+                if len(names):
+                    k = np.minimum(np.searchsorted(names, h), len(names) - 1)
+                    same = names[k] == h
+                    t[same], a[same] = x[k[same]], y[k[same]]
+            # weights of contexts whose asked n-grams are all known are not needed
+            a[np.logical_and.reduceat(counts > 0, start)] = 1.0
+            first = packed(counts, number)
+            out.append((chunk, level, part, len(first).to_bytes(8, "little") + first + packed(t, a)))
+        trim()
+        return messages(out, REPLY)
+
+    return run
+
+
+TABLES = {1: "part long, data binary, sums array<long>"}
+GRAMS = "part long, data binary, contexts binary, sums array<long>, hot array<array<double>>"
+
+
+def train_on(texts: DataFrame, parts: int, documents: int, order: int) -> tuple[Model, DataFrame]:
+    """Stores the model of the chunks' learning text; also the replies of all levels for the chunks themselves, but the last."""
+    spark = texts.sparkSession
+    path = scratch(spark, "katz-model")
+    table = lambda level, schema: spark.read.schema(schema).parquet(f"{path}/order={level}")
+    written(word_messages(texts, parts, True).groupBy("part").applyInArrow(learnt_words, TABLES[1]), f"{path}/order=1")
+    sums = [r["sums"] for r in table(1, TABLES[1]).select("sums").toLocalIterator()]
+    total = np.sum(sums, axis=0) if sums else np.zeros(CUT + 3, np.int64)
+    single = Unigrams(int(total[0]), int(total[1]), {r: int(total[1 + r]) for r in range(1, CUT + 2)})
+    model = Model(path, order, parts, documents, single, max(HOT, single.tokens // 1_000_000), {}, {})
+    replies = looked_up(texts, None, model, 1)
+    for level in range(2, order + 1):
+        lessons = with_replies(texts, replies, model, level - 1, lambda chunk, own, row: messages(own.lessons(chunk) if own else [], MESSAGE), MESSAGE)
+        raw = scratch(spark, "katz-counts")
+        written(lessons.groupBy("part").applyInArrow(learnt_grams(model), GRAMS), raw)
+        counted = spark.read.schema(GRAMS).parquet(raw)
+        n, hot = np.zeros(CUT + 1, np.int64), {}
+        for row in counted.select("sums", "hot").toLocalIterator():
+            n += row["sums"]
+            for h, ch, *rest in row["hot"]:
+                hot[int(h)] = (ch, hot.get(int(h), (0, 0))[1] + np.array(rest))
+        model.d[level] = discounts({r: int(n[r - 1]) for r in range(1, CUT + 2)})
+        names = sorted(hot)
+        sums = np.array([hot[h][1] for h in names]).reshape(-1, CUT + 1)
+        own = weighed(sums[:, 1:], sums[:, 0], np.array([hot[h][0] for h in names]).astype(U64), model.d[level])
+        model.hot[level] = (np.array(names, U64), *own)
+        written(counted.select("part", "data", "contexts").mapInArrow(weights_of(model, level), "part long, data binary, contexts binary"), f"{path}/order={level}")
+        drop(spark, raw)
+        if level < order:
+            replies = replies.unionByName(looked_up(texts, replies, model, level))
+    return model, replies
+
+
+def looked_up(texts: DataFrame, replies: DataFrame | None, model: Model, level: int) -> DataFrame:
+    """The chunks' replies from the model's table of a level, given those of the levels below; written."""
+    spark = texts.sparkSession
+    stored = spark.read.schema(TABLES.get(level, "part long, data binary, contexts binary")).parquet(f"{model.path}/order={level}").drop("sums")
+    if level == 1:
+        asked, found = word_messages(texts, model.parts, False), found_words(model.parts)
+    else:
+        asked = with_replies(texts, replies, model, level - 1, lambda chunk, own, row: messages(own.questions(chunk) if own else [], MESSAGE), MESSAGE)
+        found = found_grams(model, level)
+    return keep(asked.groupBy("part").cogroup(stored.groupBy("part")).applyInArrow(found, REPLY), f"katz-replies-{level}")
+
+
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def scored(texts: DataFrame, replies: DataFrame, model: Model) -> DataFrame:
+    def made(chunk, own, row):
+        names = [f.split()[0] for f in RESULT.split(", ")]
+        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        if own is None:
             return pa.table([pa.array([], t) for t in types], names)
-        ids, held = left.column("ids")[0].as_py(), left.column("held")[0].as_py()
-        total, lens, known, base = np.zeros(len(ids)), None, None, None
-        for kind, data in zip(right.column("kind").to_pylist(), right.column("data").to_pylist(), strict=True):
-            if kind == "base":
-                lens, known, base = unpacked(data, np.int64, np.int64, np.float64)
-            else:
-                x = unpacked(data, np.float64)[0]
-                total[: len(x)] += x
-        n = len(ids)
-        return pa.table([pa.array(c, t) for c, t in zip((ids, held, lens, known, np.full(n, single.tokens), base, total), types, strict=True)], names)
-
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    owners = written.filter("kind = 'text'").select("chunk", "ids", "held")
-    out = owners.groupBy("chunk").cogroup(result.groupBy("chunk")).applyInArrow(together, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return out, model_path
+        add = lambda x: np.add.reduceat(x, own.first)
+        columns = (row["ids"], row["held"], own.lens, add(own.known.astype(np.int64)), np.full(len(own.lens), model.single.tokens), add(own.base), add(np.log10(np.maximum(own.p, 1e-300))))
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    return with_replies(texts, replies, model, model.order, made, RESULT)
+
+
+def parts_for(docs: DataFrame) -> int:
+    """About one token for six bytes of text; only the number of parts depends on it."""
+    return max(1, round((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6 / PART))
+
+
+def train(docs: DataFrame, order: int = 2) -> Model:
+    """The model of docs (doc_id, text)."""
+    docs = docs.withColumn("held_out", F.lit(False))
+    return train_on(chunks(docs), parts_for(docs), docs.count(), order)[0]
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """Scores of docs (doc_id, text, held_out) by a stored model."""
+    texts = chunks(docs)
+    replies = looked_up(texts, None, model, 1)
+    for level in range(2, model.order + 1):
+        replies = replies.unionByName(looked_up(texts, replies, model, level))
+    return scored(texts, replies, model)
+
+
+def held_out_scores(docs: DataFrame, order: int = 2) -> DataFrame:
+    """Scores of all docs (doc_id, text, held_out) by the model of those that are not held out; chunks are made once."""
+    texts = chunks(docs)
+    model, replies = train_on(texts, parts_for(docs), docs.filter(~F.col("held_out")).count(), order)
+    if order > 1:
+        replies = replies.unionByName(looked_up(texts, replies, model, order))
+    return scored(texts, replies, model)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", F.coalesce(crc_mod() == 1, F.lit(False)).alias("held_out"), "text")
-    return score(docs)[0]
+    return held_out_scores(docs)

@@ -44,37 +44,79 @@ def test_quality_odd_rows(spark, odd, empty):
     assert quality.train([], np.empty(0), np.empty(0)).constant == 0.5
 
 
-def test_katz_sums_to_one_and_matches_brute_force(spark, odd, empty):
-    texts = {1: "a b a b c", 2: "a b d", 3: "c c a", 4: "a q", 6: "", 8: None}
-    docs = spark.createDataFrame([(k, k == 4, t) for k, t in texts.items()], "doc_id long, held_out boolean, text string")
-    got = {r.doc_id: r for r in katz.score(docs)[0].collect()}
-    seqs = {k: (t or "").split() + [katz.END] for k, t in texts.items()}
-    learn = [k for k in seqs if k != 4]
-    c1 = Counter(w for k in learn for w in seqs[k])
-    c2 = Counter(p for k in learn for p in zip([None, *seqs[k]], seqs[k]))
-    d1, d2 = katz.discounts(Counter(c1.values())), katz.discounts(Counter(c2.values()))
-    total = sum(c1.values())
-    f = lambda c, d: c * (d[c] if c <= katz.CUT else 1.0)
-    seen = sum(f(c, d1) for c in c1.values())
-    n = total if seen < total - 1e-9 else total + 1
-    p = lambda w: f(c1[w], d1) / n if w in c1 else 1 - seen / n
-
-    def q(h, w):
-        own = {x: c for (g, x), c in c2.items() if g == h}
+def katz_by_hand(seqs, learn, order):
+    """score of each sequence and the distribution function, by the definition in plain Python."""
+    pad = {k: [None, *s] for k, s in seqs.items()}
+    grams = lambda s, n: [tuple(s[max(0, i - n + 1) : i + 1]) for i in range(1, len(s))]
+    counts = {1: Counter((w,) for k in learn for w in seqs[k])}
+    for n in range(2, order + 1):
+        counts[n] = Counter(g for k in learn for g in grams(pad[k], n))
+    d = {n: katz.discounts(Counter(c.values())) for n, c in counts.items()}
+    f = lambda n, c: c * (d[n][c] if c <= katz.CUT else 1.0)
+    total, seen = sum(counts[1].values()), sum(f(1, c) for c in counts[1].values())
+    under = total if seen < total - 1e-9 else total + 1
+
+    def q(context, w):
+        n = len(context) + 1
+        if n == 1:
+            return f(1, counts[1][w,]) / under if (w,) in counts[1] else 1 - seen / under
+        # the start alone is the context of first words in every order
+        return level(order if context == (None,) else n, context, w)
+
+    def level(n, context, w):
+        if n == 1:
+            return q((), w)
+        below = (lambda x: level(n - 1, context, x)) if context == (None,) and n > 2 else (lambda x: q(context[1:], x))
+        own = {g[-1]: c for g, c in counts[n].items() if g[:-1] == context}
         if not own:
-            return p(w)
-        mass, count = sum(f(c, d2) for c in own.values()), sum(own.values())
-        below = count + 1 if mass > count * (1 - 1e-12) else count
-        return f(own[w], d2) / below if w in own else (1 - mass / below) / (1 - sum(map(p, own))) * p(w)
-
-    for h in {None, *c1}:
-        assert abs(sum(q(h, w) for w in [*c1, "unknown"]) - 1) < 1e-9
+            return below(w)
+        mass, count = sum(f(n, c) for c in own.values()), sum(own.values())
+        denominator = count + 1 if all(d[n][c] == 1 for c in own.values() if c <= katz.CUT) else count
+        return f(n, own[w]) / denominator if w in own else (1 - mass / denominator) / (1 - sum(map(below, own))) * below(w)
+
+    scores = {k: sum(np.log10(q(g[:-1], g[-1]) if order > 1 else q((), g[-1])) for g in grams(s, order)) for k, s in pad.items()}
+    return scores, q, counts
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("hot", [2, 50_000])
+def test_katz_sums_to_one_and_matches_brute_force(spark, monkeypatch, order, hot):
+    monkeypatch.setattr(katz, "HOT", hot)
+    monkeypatch.setattr(katz, "parts_for", lambda docs: 3)
+    monkeypatch.setattr(katz, "CHUNK", 40)
+    draw = np.random.default_rng(8)
+    texts = {1: "a b a b c", 2: "a b d", 3: "c c a", 4: "a q", 6: "", 8: None} | {k: " ".join(draw.choice(list("abcdefgh"), draw.integers(1, 30), p=[0.3, 0.2, 0.2, 0.1, 0.1, 0.05, 0.03, 0.02])) for k in range(10, 40)}
+    out = {4, 11, 23}
+    texts[11] += " never seen before a b a"
+    docs = spark.createDataFrame([(k, k in out, t) for k, t in texts.items()], "doc_id long, held_out boolean, text string")
+    got = {r.doc_id: r for r in katz.held_out_scores(docs, order).collect()}
+    seqs = {k: (t or "").encode().split() + [katz.END] for k, t in texts.items()}
+    scores, q, counts = katz_by_hand(seqs, [k for k in seqs if k not in out], order)
+    words = [w for (w,) in counts[1]]
+    for context in [(), *{g[:-1] for g in counts[order]}]:
+        assert abs(sum(q(context, w) for w in [*words, b"unknown"]) - 1) < 1e-9
     for k, s in seqs.items():
-        assert abs(got[k].score - sum(np.log10(q(*x)) for x in zip([None, *s], s))) < 1e-9
-        assert (got[k].n_tokens, got[k].n_known, got[k].train_tokens) == (len(s), sum(w in c1 for w in s), total)
+        assert abs(got[k].score - scores[k]) < 1e-9
+        assert (got[k].n_tokens, got[k].n_known, got[k].train_tokens) == (len(s), sum((w,) in counts[1] for w in s), sum(counts[1].values()))
+
+
+def test_katz_scores_other_texts_by_a_stored_model(spark, odd, empty):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(TEXTS)], "doc_id long, text string")
+    model = katz.train(docs)
+    scores = katz_by_hand({k: [w for w in katz.words_of(t)] + [katz.END] for k, t in enumerate(TEXTS)}, range(len(TEXTS)), 2)[0]
+    got = {r.doc_id: r.score for r in katz.score(docs.withColumn("held_out", F.lit(True)), model).collect()}
+    assert got.keys() == scores.keys() and all(abs(got[k] - scores[k]) < 1e-9 for k in got)
     flagged = F.lit(False).alias("held_out")
-    assert katz.score(odd.select("doc_id", flagged, "text"))[0].count() == 13
-    assert katz.score(empty.select("doc_id", flagged, "text"))[0].count() == 0
+    rows = katz.held_out_scores(odd.select("doc_id", flagged, "text")).collect()
+    assert len(rows) == 13 and sum(r.doc_id is None for r in rows) == 1
+    assert katz.held_out_scores(empty.select("doc_id", flagged, "text")).count() == 0
+    unlearnt = katz.held_out_scores(odd.select("doc_id", F.lit(True).alias("held_out"), "text"), 3).collect()
+    assert len(unlearnt) == 13 and all(r.score == 0 and r.train_tokens == 0 for r in unlearnt)
+
+
+def test_katz_counts_are_not_clipped():
+    many = np.array([2**40, 3], np.uint64)
+    assert (katz.unpacked(katz.packed(many), np.uint64)[0] == many).all()
 
 
 def brute_components(rows):
