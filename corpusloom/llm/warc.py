@@ -8,8 +8,8 @@ then lets responses go from the scan straight to the archive: no payload is shuf
 whose place in the bitmap a revisit marks by chance, which a join on digest and id tells apart.
 
 Reading takes byte blocks of the archives. A task emits the candidate records of its block (a version line at the
-file's start or after an empty line, with a header that parses) with the offset of their successors, already followed to
-the first one outside the block. Pointer jumping from the start of each file keeps the reachable ones, so magic
+file's start or after an empty line, with a header of any length that parses) with the offset of their successors, already
+followed to the first one outside the block. Pointer jumping from the start of each file keeps the reachable ones, so magic
 inside a payload, which no record leads to, falls away. Then each block is walked from its entry. Payloads are never shuffled.
 
 Defined cases: null html is the empty payload, a null url is empty; rows that share the largest page_id of a
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import drop, keep, load, scratch
 
-#: Bytes of a block, and of a record's header at most.
-BLOCK, HEADER = 16 << 20, 64 << 10
+#: Bytes of a block, and of one look beyond what is held.
+BLOCK, LOOK = 16 << 20, 64 << 10
 #: Tasks that share the blocks, at most.
 TASKS = 50_000
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -101,6 +101,7 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, bits: int = 1 << 27)
 
 def opened(path: str):
     """A readable file at a path or URI that every executor can reach."""
+    path = re.sub(r"^s3[an]:", "s3:", path)
     if path.startswith("file:") or "://" not in path:
         return open(re.sub(r"^file:/*", "/", path), "rb")
     from pyarrow import fs
@@ -122,16 +123,48 @@ def fields(header: bytes) -> dict[str, str] | None:
     return out if out.get("content-length", "").isdigit() else None
 
 
-def candidates(data: bytes, before: bytes, base: int, size: int) -> dict[int, tuple[int, int]]:
-    """Offset -> (start of the record's block of content, successor) of candidates within data[:size], which stands at base."""
+class Held:
+    """Bytes of an open file from an offset on, of which more are read as they are asked for."""
+
+    def __init__(self, file, base: int, size: int):
+        self.file, self.base = file, base
+        file.seek(base)
+        self.data = bytearray(file.read(size))
+
+    def more(self, size: int) -> bool:
+        got = self.file.read(size)
+        self.data += got
+        return bool(got)
+
+    def header_end(self, at: int) -> int:
+        """The offset of the first empty line from at on, -1 without one."""
+        start, look = at - self.base, LOOK
+        while True:
+            end = self.data.find(b"\r\n\r\n", start)
+            if end >= 0:
+                return self.base + end
+            start = max(at - self.base, len(self.data) - 3)
+            if not self.more(look):
+                return -1
+            look *= 2
+
+    def part(self, first: int, last: int) -> bytes:
+        if last - self.base > len(self.data):
+            self.more(last - self.base - len(self.data))
+        return bytes(self.data[first - self.base : last - self.base])
+
+
+def candidates(held: Held, start: int, end: int) -> dict[int, tuple[int, int]]:
+    """Offset -> (start of the record's block of content, successor) of the candidates from start to before end."""
     out = {}
-    for m in VERSION.finditer(data, 0, min(len(data), size + 10)):
-        at = m.start()
-        if at >= size or not (base + at == 0 or (before + data[max(0, at - 4) : at])[-4:] == b"\r\n\r\n"):
+    held.part(start, end + 10)  # a version line may reach over the end
+    places = [held.base + m.start() for m in VERSION.finditer(held.data) if start <= held.base + m.start() < end]
+    for at in places:
+        if at and held.part(max(held.base, at - 4), at) != b"\r\n\r\n":
             continue
-        end = data.find(b"\r\n\r\n", at, at + HEADER)
-        if end >= 0 and (f := fields(data[at:end])):
-            out[base + at] = (base + end + 4, base + end + 4 + int(f["content-length"]) + 4)
+        stop = held.header_end(at)
+        if stop >= 0 and (f := fields(held.part(at, stop))):
+            out[at] = (stop + 4, stop + 4 + int(f["content-length"]) + 4)
     return out
 
 
@@ -156,26 +189,22 @@ def read(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
     def find(batches):
         for batch in batches:
             for name, length, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                start = number * block
                 with opened(name) as f:
-                    start = number * block
-                    f.seek(max(0, start - 4))
-                    before = f.read(min(4, start))
-                    data = f.read(block + HEADER + 16)
-                got = exits(candidates(data, before, start, block), min(start + block, length))
+                    got = exits(candidates(Held(f, max(0, start - 4), block + 4), start, min(start + block, length)), min(start + block, length))
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(got), pa.string()), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], ["path", "at", "to"])
 
     entries = files.select("path", F.lit(0).cast("long").alias("at"))
-    if rounds > 1:
-        jumps = keep(blocks.mapInArrow(find, "path string, at long, to long").filter("to >= 0"), "warc-jumps")
-        entries = keep(entries, "warc-entries")
-        covered = 1
-        while covered < rounds:  # reach doubles: after k rounds all entries of 2**k blocks in a row are known
-            step = entries.join(jumps, ["path", "at"]).select("path", F.col("to").alias("at"))
-            entries = keep(entries.unionByName(step).distinct(), "warc-entries")
-            covered *= 2
-            if covered < rounds:
-                second = jumps.select("path", F.col("at").alias("to"), F.col("to").alias("last"))
-                jumps = keep(jumps.join(second, ["path", "to"]).select("path", "at", F.col("last").alias("to")), "warc-jumps")
+    jumps = keep(blocks.mapInArrow(find, "path string, at long, to long").filter("to >= 0"), "warc-jumps")
+    covered = 1
+    while True:  # reach doubles: after k rounds all entries of 2**k blocks in a row are known
+        step = entries.join(jumps, ["path", "at"]).select("path", F.col("to").alias("at"))
+        entries = keep(entries.unionByName(step).distinct(), "warc-entries")
+        covered *= 2
+        if covered >= rounds:
+            break
+        second = jumps.select("path", F.col("at").alias("to"), F.col("to").alias("last"))
+        jumps = keep(jumps.join(second, ["path", "to"]).select("path", "at", F.col("last").alias("to")), "warc-jumps")
     starts = entries.withColumn("block", F.expr(f"at div {block}")).join(files, "path").filter("at < length").select("path", "length", "block", "at")
 
     def walk(batches):
@@ -185,19 +214,14 @@ def read(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
             for name, length, number, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 out, end = [], min((number + 1) * block, length)
                 with opened(name) as f:
-                    f.seek(at)
-                    data, base = f.read(end - at + HEADER), at
+                    held = Held(f, at, end - at)
                     while at < end:
-                        stop = data.find(b"\r\n\r\n", at - base, at - base + HEADER)
-                        head = fields(data[at - base : stop]) if stop >= 0 else None
+                        stop = held.header_end(at)
+                        head = fields(held.part(at, stop)) if stop >= 0 else None
                         if head is None:
                             raise ValueError(f"{name}: no record at {at}")
-                        size = int(head["content-length"])
-                        first = base + stop + 4
-                        content = data[first - base : first - base + size]
-                        if len(content) < size:
-                            f.seek(first)
-                            content = f.read(size)
+                        first, size = stop + 4, int(head["content-length"])
+                        content = held.part(first, first + size)
                         http, _, payload = content.partition(b"\r\n\r\n")
                         stated = head.get("warc-payload-digest", "").removeprefix("sha1:")
                         revisit = head.get("warc-type") == "revisit"
