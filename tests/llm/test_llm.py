@@ -206,6 +206,45 @@ def test_warc(spark, tmp_path, block):
         assert (r.record_type, r.refers_to) == (("response", None) if last[h or ""] == p else ("revisit", last[h or ""]))
 
 
+def test_warc_long_header_and_magic_at_a_block_edge(spark, tmp_path):
+    """A url of 200 KB, and version lines inside payloads that begin at every place around the edges of blocks."""
+    fake = "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nxyz\r\n\r\n"
+    pages = [(0, "http://x/" + "u" * 200_000, "one")] + [(k, "http://x", "y" * (k % 97) + fake * 40) for k in range(1, 60)]
+    path = str(tmp_path / "w")
+    warc.write(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), path)
+    for block in (1 << 10, warc.BLOCK):
+        got = {r.page_id: r for r in warc.read(spark, f"file:{path}", block).collect()}
+        assert {k: (r.payload_bytes, r.payload_ok) for k, r in got.items()} == {p: (len(h) if got[p].record_type == "response" else r.payload_bytes, True) for (p, _, h), r in zip(pages, [got[p[0]] for p in pages], strict=True)}
+        assert len(got) == 60
+
+
+def test_warc_candidates_and_chain(tmp_path):
+    """Every version line after an empty line is a candidate, also across an edge; the chain leaves those inside payloads out."""
+    inner = b"WARC/1.1\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
+    body = b"\r\n\r\n" + inner * 3
+    record = b"WARC/1.1\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(body), body)
+    data = record * 4
+    (tmp_path / "f").write_bytes(data)
+    starts = {k * len(record) for k in range(4)}
+    for block in range(7, len(data) + 9, 5):
+        found = {}
+        for start in range(0, len(data), block):
+            with open(tmp_path / "f", "rb") as f:
+                found |= warc.candidates(warc.Held(f, max(0, start - 4), block + 4), start, min(start + block, len(data)))
+        assert len(found) == 16 and starts <= set(found)
+        at, seen = 0, set()
+        while at < len(data):
+            seen.add(at)
+            at = found[at][1]
+        assert seen == starts
+
+
+def test_warc_empty(spark, tmp_path):
+    path = str(tmp_path / "w")
+    warc.write(spark.createDataFrame([], "page_id long, url string, html string"), path)
+    assert warc.read(spark, f"file:{path}").count() == 0
+
+
 @pytest.mark.parametrize("bits", [8, 1 << 27])
 def test_warc_ids(spark, tmp_path, bits):
     """Null ids, repeated ids and small payloads, with a bitmap that marks every row and one that marks few by chance."""
@@ -219,20 +258,45 @@ def test_warc_ids(spark, tmp_path, bits):
     assert sorted(got, key=order) == sorted([(*w, True) for w in want], key=order)
 
 
-def test_fingerprints(spark, empty):
-    rows = [(k * 3, t) for k, t in enumerate(TEXTS)]
-    got = {r.doc_id: r for r in fingerprints.edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    for k, (i, t) in enumerate(rows):
-        t, other = t or "", rows[(k + 1) % len(rows)][1] or ""
+def test_fingerprints_match_brute_force(spark, empty, monkeypatch):
+    monkeypatch.setattr(fingerprints, "SEGMENT", 50)
+    draw = np.random.default_rng(4)
+    base = [f"w{k}" for k in range(900)]
+    texts = TEXTS + [" ".join(base[: int(draw.integers(5, 900))]) for _ in range(40)]
+    rows = [(None if k == 3 else k // 2 * 3, t) for k, t in enumerate(texts)]  # ids come twice; one is null
+    ranged = fingerprints.ranges_with_marks
+    monkeypatch.setattr(fingerprints, "ranges_with_marks", lambda docs: ranged(docs, 7))
+    frame = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, part string")
+    got = sorted(((r.doc_id is not None, r.doc_id or 0, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in fingerprints.edited(frame).collect()))
+    k, order, want = fingerprints.SIZE, sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")), []
+
+    def shingles(text):
+        words = re.findall(rb"[^\x20\x09-\x0D]+", text.encode().lower())
+        hashes = fingerprints.WordHash().array(words)
+        return sorted({int(h) for at in range(max(1, len(words) - 4)) for h in fingerprints.shingle_hashes(hashes[at : at + 5])}) if words else []
+
+    def like(a, b):
+        union = sorted({*a, *b})[:k]
+        return len(set(a) & set(b) & set(union)) / len(union) if a and b else float(a == b)
+
+    for at, (i, t) in enumerate(order):
+        t, other = t or "", order[(at + 1) % len(order)][1] or ""
         own = t[: len(t) - len(t) // 2] + other[: len(t) // 2]
-        assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(own.encode()).hexdigest())
+        a, b, c = (shingles(x)[:k] for x in (t, own, other))
+        text = lambda s: base64.b64encode(b"".join(h.to_bytes(8, "big") for h in s)).decode()
+        want.append((i is not None, i or 0, len(t), hashlib.sha256(own.encode()).hexdigest(), text(a), text(b), like(a, b), like(a, c)))
+    assert got == sorted(want)
     assert fingerprints.edited(empty).count() == 0
-    a, b = np.arange(1, 2001, dtype=np.uint64), np.arange(1001, 3001, dtype=np.uint64)
+
+
+def test_fingerprint_estimates():
     from corpusloom.llm.common import mixed
 
+    a, b = np.arange(1, 2001, dtype=np.uint64), np.arange(1001, 3001, dtype=np.uint64)
     x, y = fingerprints.sketch(mixed(a)), fingerprints.sketch(mixed(b))
     assert (fingerprints.merge([x, y]) == fingerprints.sketch(mixed(np.arange(1, 3001, dtype=np.uint64)))).all()
-    assert abs(fingerprints.resemblance(x, y) - 1 / 3) < 0.2 and abs(fingerprints.distinct_count(x) / 2000 - 1) < 0.4
+    assert (fingerprints.from_text(fingerprints.to_text(x)) == x).all()
+    assert abs(fingerprints.resemblance(x, y) - 1 / 3) < 0.1 and abs(fingerprints.containment(x, y) - 0.5) < 0.15 and abs(fingerprints.distinct_count(x) / 2000 - 1) < 0.2
 
 
 def test_packing(spark, odd, empty):
@@ -249,13 +313,63 @@ def test_packing(spark, odd, empty):
         seen[p.doc_id] += p.length
         windows.setdefault(p.sequence_id, []).append((p.offset, p.length))
     assert seen == Counter({k: len(v) for k, v in ids.items()})
+    fills = []
     for w in windows.values():
         at = 0
         for offset, length in sorted(w):
             assert offset == at
             at += length
-        assert at <= 1024
+        fills.append(at)
+    assert max(fills) <= 1024 and sum(f < 1024 for f in fills) <= 4  # one a task at most
     assert packing.pack(empty).count() == 0
+    assert sum(r.length for r in packing.pack(odd).filter("doc_id IS NULL OR doc_id = 7").collect()) > 0
+    assert packing.pack(odd).filter("doc_id = 7 AND start = 0").count() == 2
+
+
+@pytest.mark.parametrize("sizes", [[600] * 3000, [1023] * 1500, [1] * 5000, [int(x) for x in np.random.default_rng(1).integers(1, 1024, 5000)]])
+def test_packer_is_bounded_and_whole(sizes):
+    packer, seen, filled, late = packing.Packer(1024, 100), {}, 0, 0
+    squares = lambda level: int((level * level).sum())
+    for k, size in enumerate(sizes):
+        before, most = packer.level.copy(), packer.count
+        full = packer.place(k, 0, size)
+        if most < 100:  # by definition: no other place for the whole piece leaves a smaller sum of squares
+            options = []
+            for h in [0, *np.flatnonzero(before[: 1024 - size + 1]).tolist()]:
+                after = before.copy()
+                after[h] -= h > 0
+                if h + size < 1024:
+                    after[h + size] += 1
+                options.append(squares(after))
+            assert squares(packer.level) == min(options)
+        assert packer.count == packer.level.sum() <= 101
+        for doc, start, length in full or []:
+            seen.setdefault(doc, []).append((start, length))
+        filled += full is not None
+    for held in packer.close():
+        late += sum(p[2] for p in held) < 1024
+        for doc, start, length in held:
+            seen.setdefault(doc, []).append((start, length))
+    assert late <= 1
+    for k, size in enumerate(sizes):
+        at = 0
+        for start, length in sorted(seen[k]):
+            assert start == at
+            at += length
+        assert at == size
+
+
+def test_other_tokenizer_files_go_to_the_tokenizer(tmp_path):
+    import json
+
+    spec = json.load(open(packing.default_tokenizer()))
+    assert packing.ranked(packing.default_tokenizer())
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}):
+        path = str(tmp_path / "t.json")
+        json.dump(spec | change, open(path, "w"))
+        assert not packing.ranked(path)
+        ids = packing.Ids(path)
+        assert np.frombuffer(ids.encode("Some WORDS here"), "<u4").tolist() == ids.tokenizer.encode("Some WORDS here", add_special_tokens=False).ids
 
 
 def test_mixing(spark, odd, empty):
