@@ -3,9 +3,10 @@
 Each vector is quantised in subspaces of two dimensions with 16 centres each (4 bits). Codebooks and codes
 minimise |r|^2 + (eta - 1) (r . x / |x|)^2 of the residual r, so error parallel to the vector, which moves large
 inner products, costs eta times as much; eta = (d - 1) t^2 / (1 - t^2) for the threshold t (least 1). The codebooks are
-fitted on the ``sample`` vectors with the smallest hashes of their ids; every vector is coded and searched.
+fitted in one task, on the ``sample`` vectors with the smallest hashes of their ids; every vector is coded and searched.
 
-Candidates lie in blocks of about ``block`` rows by a hash of their id, queries in blocks as well, and each pair
+Candidates lie in blocks of about ``block`` rows by a hash of their id, queries in blocks of ``query_bytes``, many times
+as many rows of them as a task needs, so that a candidate block is sent to few query blocks. Each pair
 of blocks is a row: a task looks up the query's inner products with the centres, adds them up over the codes,
 and reranks the ``shortlist`` best of the block in double precision. Equal vectors of a block are scanned once and stand for
 their 21 smallest ids, which is exact: no more can be among 20 nearest. The blocks' best 20 meet per query.
@@ -71,22 +72,23 @@ def train(x: np.ndarray, threshold: float = 0.2, rounds: int = 4, seed: int = 5)
     dice = np.random.default_rng(seed)
     books = np.stack([x[dice.integers(0, n, CENTRES), 2 * j : 2 * j + 2] for j in range(m)]) if n else np.zeros((m, CENTRES, 2))
     books += dice.normal(0, 1e-6, books.shape)
-    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    parts = x.reshape(n, m, 2)
+    unit = parts / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None, None]
     for _ in range(rounds if n else 0):
         codes = encode(x, books, eta, 1)
-        # least squares over all centres at once: the loss is quadratic in them
-        along = np.zeros((n, m * CENTRES * 2))
-        right = np.zeros(m * CENTRES * 2)
-        count = np.zeros(m * CENTRES * 2)
+        along = np.stack([((parts[:, j] - books[j][codes[:, j]]) * unit[:, j]).sum(1) for j in range(m)], 1)
+        total = along.sum(1)
         for j in range(m):
-            for c in range(2):
-                at = (j * CENTRES + codes[:, j]) * 2 + c
-                along[np.arange(n), at] = unit[:, 2 * j + c]
-                right += np.bincount(at, weights=eta * x[:, 2 * j + c], minlength=len(right))
-                count += np.bincount(at, minlength=len(count))
-        left = (eta - 1) * along.T @ along
-        left[np.diag_indices_from(left)] += count + 1e-6 * max(1, n)
-        books = np.linalg.solve(left, right + 1e-6 * max(1, n) * books.ravel()).reshape(m, CENTRES, 2)
+            # least squares, one subspace at a time: given the others, each centre has a system of two equations of its own
+            u, rest = unit[:, j], total - along[:, j]
+            sums = lambda values: np.bincount(codes[:, j], weights=values, minlength=CENTRES)  # noqa: B023, E731
+            goal = parts[:, j] + (eta - 1) * u * (rest + (u * parts[:, j]).sum(1))[:, None]
+            left = np.array([[sums((r == c) + (eta - 1) * u[:, r] * u[:, c]) for c in range(2)] for r in range(2)]).transpose(2, 0, 1)
+            right = np.stack([sums(goal[:, 0]), sums(goal[:, 1])], 1)
+            ridge = 1e-6 * max(1, n)
+            books[j] = np.linalg.solve(left + ridge * np.eye(2), (right + ridge * books[j])[:, :, None])[:, :, 0]
+            along[:, j] = ((parts[:, j] - books[j][codes[:, j]]) * u).sum(1)
+            total = rest + along[:, j]
     return books, eta
 
 
@@ -130,7 +132,7 @@ def search_block(ids, v, codes, first, queries, q, books, k, shortlist):
     return [np.concatenate(c) for c in zip(*out, strict=True)]
 
 
-def search(table: DataFrame, every: int = 20, k: int = 20, shortlist: int = 200, block: int = 8192, query_block: int = 1024, sample: int = 5_000, threshold: float = 0.2) -> DataFrame:
+def search(table: DataFrame, every: int = 20, k: int = 20, shortlist: int = 200, block: int = 8192, query_bytes: int = 16 << 20, sample: int = 5_000, threshold: float = 0.2) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each row whose id is divisible by every."""
     spark = table.sparkSession
     rows = valid(table)
@@ -139,13 +141,19 @@ def search(table: DataFrame, every: int = 20, k: int = 20, shortlist: int = 200,
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     most = max(sizes, key=lambda r: (r["n"], r["d"]))
     rows = rows.filter(F.size("v") == most["d"])
-    n_blocks, n_queries = -(-most["n"] // block), max(1, -(-most["q"] // query_block))
-    fitted = np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()])
-    books, eta = train(np.unique(fitted, axis=0), threshold)  # a vector that repeats teaches once
-    shared = spark.sparkContext.broadcast((books, eta))
+    n_blocks, n_queries = -(-most["n"] // block), max(1, -(-most["q"] * 8 * most["d"] // query_bytes))
 
     def values(column) -> np.ndarray:
-        return column.combine_chunks().values.to_numpy(zero_copy_only=False).reshape(len(column), -1)
+        whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        return whole.flatten().to_numpy(zero_copy_only=False).reshape(len(whole), -1)
+
+    def fit(batches):
+        held = [values(batch.column(0)) for batch in batches if batch.num_rows]
+        books, eta = train(np.unique(np.concatenate(held), axis=0), threshold)  # a vector that repeats teaches once
+        yield pa.RecordBatch.from_arrays([pa.array([books.tobytes()], pa.binary()), pa.array([eta])], ["books", "eta"])
+
+    learnt = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").repartition(1).mapInArrow(fit, "books binary, eta double").first()
+    shared = spark.sparkContext.broadcast((np.frombuffer(learnt["books"]).reshape(-1, CENTRES, 2), learnt["eta"]))
 
     def pack(key, group):
         ids, v = group.column("vec_id").to_numpy(), values(group.column("v"))
@@ -174,8 +182,10 @@ def search(table: DataFrame, every: int = 20, k: int = 20, shortlist: int = 200,
                 get = lambda name, kind: np.frombuffer(batch.column(batch.schema.get_field_index(name))[row].as_py(), kind)  # noqa: B023, E731
                 first = get("first", np.int64)
                 ids, v, queries, q = get("ids", np.int64), get("v", np.float64).reshape(-1, d), get("queries", np.int64), get("q", np.float64).reshape(-1, d)
-                got = search_block(ids, v, get("codes", np.uint8).reshape(-1, len(v)), first, queries, q, own_books, k, shortlist)
-                yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()), pa.array(got[2], pa.float64())], ["query_id", "vec_id", "score"])
+                codes = get("codes", np.uint8).reshape(-1, len(v))
+                for at in range(0, len(q), 512):
+                    got = search_block(ids, v, codes, first, queries[at : at + 512], q[at : at + 512], own_books, k, shortlist)
+                    yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()), pa.array(got[2], pa.float64())], ["query_id", "vec_id", "score"])
 
     dealt = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))
     packed = rows.withColumn("block", dealt).groupBy("block").applyInArrow(pack, "block long, n long, ids binary, first binary, v binary, codes binary")

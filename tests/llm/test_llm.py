@@ -379,17 +379,54 @@ def test_mixing(spark, odd, empty):
     assert mixing.mix(odd).select("doc_id").distinct().count() == 12 and mixing.mix(empty).count() == 0
 
 
-def test_inner_product(spark):
-    rows = [(k, [float(x) for x in np.random.default_rng(k % 150).normal(size=8)], None) for k in range(300)]
-    rows += [(1000, None, 1), (1001, [0.0] * 8, 1), (1002, [float("nan")] * 8, 1), (1003, [None] * 8, 1), (1004, [1.0], 1)]
-    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")).collect()
-    v = np.array([np.float32(r[1]) for r in rows[:300]], float)
-    hits = 0
-    for q in range(0, 300, 20):
-        s = (v * v[q]).sum(1)
-        best = [i for i in sorted(range(300), key=lambda i: (-s[i], i)) if i != q][:20]
-        hits += len(set(best) & {r.vec_id for r in got if r.query_id == q})
-    assert len(got) == 300 and hits >= 0.9 * 300
+def inner_products(rows, every=20, k=20):
+    """query -> [(score, id)] of all candidates, nearest first, by the definition."""
+    ids, v = np.array([r[0] for r in rows]), np.array([np.float32(r[1]) for r in rows], float)
+    out = {}
+    for q in np.unique(ids[ids % every == 0]):
+        for at in np.flatnonzero(ids == q):
+            s = (v * v[at]).sum(1)
+            order = [i for i in np.lexsort((ids, -s)) if ids[i] != q]
+            out[int(q)] = [(float(s[i]), int(ids[i])) for i in order]
+    return out
+
+
+def test_inner_product_is_exact_on_odd_rows(spark):
+    """Ties by repeated vectors, repeated rows, vectors that take no part, fewer candidates than asked for."""
+    rows = [(k, [float(x) for x in np.random.default_rng(k % 50).normal(size=7)], None) for k in range(150)]
+    odd = [(1000, None, 1), (1001, [0.0] * 7, 1), (1002, [float("nan")] * 7, 1), (1003, [None] * 7, 1), (1004, [1.0], 1), (1005, [float("inf")] * 7, 1), (None, [1.0] * 7, 1), rows[7], rows[20]]
+    schema = "vec_id long, embedding array<float>, rank int"
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows + odd, schema)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, round(r.score, 9)))
+    want = {q: [(k + 1, i, round(s, 9)) for k, (s, i) in enumerate(near[:20])] for q, near in inner_products(rows).items()}
+    assert got == want
+    assert ann.search(spark.createDataFrame(rows[:5] + rows[20:21], schema)).count() == 5 + 5
+    assert ann.search(spark.createDataFrame([], schema)).count() == 0
+    assert ann.search(spark.createDataFrame(odd[:4], schema)).count() == 0
+
+
+@pytest.mark.parametrize("shape", ["clusters", "isotropic"])
+def test_inner_product_recall_over_blocks(spark, shape):
+    """Twelve blocks of over 1,000 distinct vectors, of which a shortlist of 100 is reranked; 24 dimensions, norms that differ."""
+    draw = np.random.default_rng(6)
+    n, d = 14_000, 24
+    v = draw.normal(size=(n, d)) * draw.uniform(0.5, 2, (n, 1))
+    if shape == "clusters":
+        v = 0.5 * v + 2 * draw.normal(size=(40, d))[draw.integers(0, 40, n)]
+    rows = [(k, x) for k, x in enumerate(v.astype(np.float32).tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = {}
+    for r in ann.search(frame, every=100, block=1200, query_bytes=10_000, shortlist=100, sample=2000).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.score, r.vec_id))
+    want, hits = inner_products(rows, 100), 0
+    assert got.keys() == want.keys()
+    for q, near in got.items():
+        score = {i: s for s, i in want[q]}
+        assert [r for r, _, _ in near] == list(range(1, 21)) and all(abs(score[i] - s) < 1e-9 for _, s, i in near)
+        assert near == sorted(near, key=lambda x: (-x[1], x[2])) and len({i for _, _, i in near}) == 20
+        hits += len({i for _, _, i in near} & {i for _, i in want[q][:20]})
+    assert hits >= 0.9 * 20 * len(want)
 
 
 def test_chat(spark):
