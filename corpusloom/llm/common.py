@@ -15,7 +15,7 @@ MASK = (1 << 64) - 1
 #: Odd multiplier of the rolling combination of word hashes (fixed value).
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Entries that a word cache of one Python worker may hold before it starts anew; speed only.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 #: Spark's setting that removes the shuffle files of a query once it has run; nothing reads those of a written table again.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -61,6 +61,13 @@ def trim() -> None:
         pass
 
 
+def slices(batches, rows: int = 1000):
+    """The batches in pieces of so many rows, so that few texts at a time are Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Removes a table of the shared folder that nothing reads any more."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -12,8 +12,8 @@ A document's set holds its distinct five-word shingles (64-bit hashes). Two sets
    candidates; sizes, the number of shingles their prefixes share and counts of hashes in 64 bins filter them. Some a group, and each group's members against
    its first one, are verified on whole sets: a first forest of links.
    Two more forests try groups that are still apart: the last one, within each long list, the pairs whose bins leave most room.
-4. The short lists' pairs and the long lists are searched for all remaining pairs, but only between groups or members that no link connects yet. So
-   every link is either found or inside a component that is known already, and a group of thousands of
+4. The short lists' pairs and the long lists (in pairs of slices of ``SLICE`` groups, so that a long list is many tasks) are searched
+   for all remaining pairs, but only between groups or members that no link connects yet. So every link is either found or inside a component that is known already, and a group of thousands of
    near copies does not become millions of pairs.
 
 Exact copies share a set and are one member throughout. Defined cases: null, empty and blank texts have the empty set, and link
@@ -31,15 +31,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import WordHash, drop, free_names, keep, load, shingle_hashes, words_of
+from .common import WordHash, drop, free_names, keep, load, shingle_hashes, slices, trim, words_of
 from .components import components
 
 #: Shingles of a chunk of documents within a task, and postings of one packed range.
-CHUNK, RANGE = 2_000_000, 1_500_000
+CHUNK, RANGE = 1_500_000, 1_000_000
 #: Pairs of a group that each forest tries, the last one in each long list; step 4 makes up for all others.
 FOREST = (4, 8, 8)
 #: Groups of a list up to which all its pairs are listed at once; longer lists go through the forest first.
 SHORT = 16
+#: Groups of a long list that one task compares with as many others; a longer list is dealt out in pairs of such slices.
+SLICE = 2000
 
 
 def needed(n: int | np.ndarray, percent: int):
@@ -72,18 +74,18 @@ def common_shingles(docs: DataFrame, most: int, size: int) -> tuple[np.ndarray,
             many = counts > 1
             return pa.RecordBatch.from_arrays([pa.array(values[many].view(np.int64)), pa.array(counts[many].astype(np.int64))], ["shingle", "n"])
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                s = shingle_set(text, hashes, size)
-                mark = signature(s)
-                if mark in known:
-                    continue
-                known.add(mark)
-                parts.append(s)
-                held += len(s)
-                if held >= CHUNK:
-                    yield report()
-                    parts, known, held = [], set(), 0
+        for text in (text for batch in slices(batches) for text in batch.column(0).to_pylist()):
+            s = shingle_set(text, hashes, size)
+            mark = signature(s)
+            if mark in known:
+                continue
+            known.add(mark)
+            parts.append(s)
+            held += len(s)
+            if held >= CHUNK:
+                yield report()
+                parts, known, held = [], set(), 0
+                trim()
         if parts:
             yield report()
 
@@ -107,7 +109,7 @@ def prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: in
 
     def run(batches):
         hashes, (last, levels) = WordHash(), shared.value
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = shingle_set(text, hashes, size)
@@ -165,6 +167,7 @@ def postings(info: DataFrame, ranges: int) -> DataFrame:
                 if held >= CHUNK:
                     yield report()
                     known, parts, held = set(), [], 0
+                    trim()
         if parts:
             yield report()
 
@@ -207,6 +210,7 @@ def shared_lists(packed: DataFrame, percent: int) -> DataFrame:
         long = length > SHORT
         gap, k = np.zeros(len(pairs), np.int64), int(long.sum())
         blank = lambda values, before, after: pa.concat_arrays([pa.nulls(before, pa.int64()), pa.array(values.astype(np.int64)), pa.nulls(after, pa.int64())])
+        trim()
         return pa.table(
             [blank(shingle[long].view(np.int64), 0, len(pairs)), pa.array(np.concatenate([grp[long], pairs[:, 0]])), pa.array(np.concatenate([n[long].astype(np.int64), seen])), pa.array(np.concatenate([position[long].astype(np.int64), gap])), blank(pairs[:, 1], k, 0)],
             ["shingle", "grp", "n", "position", "grp2"],
@@ -245,7 +249,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         hashes = WordHash()
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t, hashes, size) for t in batch.column(1).to_pylist()]
             marks = [signature(s) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(marks, pa.binary()), batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["sig", "wanted_sig", "shingles"])
@@ -258,7 +262,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b of signatures whose whole sets link."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             a, b, x, y = (c.to_pylist() for c in batch.columns)
             good = []
             for p, q in zip(x, y, strict=True):
@@ -278,12 +282,18 @@ def remaining(lists: DataFrame, of_group: DataFrame, percent: int, parts: int, m
     With ``most``, a list gives but so many pairs a group outside its largest component, those with most room for a link: a forest.
     """
     rows = lists.join(of_group, "grp")
-    open_ = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle")
-    rows = rows.join(open_, "shingle").withColumn("part", F.pmod(F.xxhash64("shingle"), F.lit(parts)))
+    open_ = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("listed")).filter("low <> high").select("shingle", "listed")
+    rows = rows.join(open_, "shingle").withColumn("slices", F.expr(f"(listed + {SLICE} - 1) div {SLICE}"))
+    # slices in the order of sizes; each row goes to all pairs of slices with its own, which are far fewer than the rows
+    by_size = F.row_number().over(Window.partitionBy("shingle").orderBy("n", "grp", "component"))
+    rows = rows.withColumn("slice", F.floor((by_size - 1) / SLICE).cast("long"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    rows = rows.withColumn("low", F.least("slice", "with")).withColumn("high", F.greatest("slice", "with")).drop("with", "slices", "listed")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("shingle", "low", "high"), F.lit(parts)))
     names = ["grp", "component", "grp2", "component2"]
 
     def run(key, table):
-        shingle, grp, n, position, long = (table.column(c).to_numpy() for c in ("shingle", "grp", "n", "position", "long"))
+        shingle, grp, n, position, long, slice_, low, high = (table.column(c).to_numpy() for c in ("shingle", "grp", "n", "position", "long", "slice", "low", "high"))
         labels = table.column("component").to_pylist()
         names_of = {c: k for k, c in enumerate(sorted(set(labels)))}
         component = np.array([names_of[c] for c in labels], np.int64)
@@ -291,16 +301,19 @@ def remaining(lists: DataFrame, of_group: DataFrame, percent: int, parts: int, m
         counts = table.column("bins").to_pylist()
         known = np.array([c is not None for c in counts], bool)
         counts = np.frombuffer(b"".join(c or bytes(64) for c in counts), np.uint8).reshape(-1, 64)
-        order = np.lexsort((n, shingle))
-        cuts = np.flatnonzero(np.r_[True, np.diff(shingle[order]) != 0, True])
+        order = np.lexsort((n, slice_, high, low, shingle))
+        cuts = np.flatnonzero(np.r_[True, (np.diff(shingle[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0), True])
         # one number for each group and component of the part
         owner, index = np.unique(np.stack([grp, component], 1), axis=0, return_inverse=True)
         index = index.reshape(-1)
         pairs, new, held = np.empty((0, 2), np.int64), [], 0
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             i, ends, room = order[lo:hi], [], []
-            for k in range(len(i) - 1):
-                rest = i[k + 1 :]
+            # a slice with itself, or each of one slice with all of a later one, whose sizes are no smaller
+            own = int((slice_[i] == low[i]).sum())
+            alone = low[i[0]] == high[i[0]]
+            for k in range(own):
+                rest = i[k + 1 :] if alone else i[own:]
                 rest = rest[: np.searchsorted(n[rest], 100 * n[i[k]] // percent, "right")]
                 good = rest[(component[rest] != component[i[k]]) & (grp[rest] != grp[i[k]]) & likely(n[i[k]], position[i[k]], n[rest], position[rest], percent)]
                 good = good[np.minimum(long[good], long[i[k]]) >= -(-percent * (n[good] + n[i[k]]) // (100 + percent)) + 1 - needed(np.maximum(n[good], n[i[k]]), percent)]
@@ -325,6 +338,7 @@ def remaining(lists: DataFrame, of_group: DataFrame, percent: int, parts: int, m
                 both = np.concatenate([pairs, *new])
                 pairs = tally(both, np.ones(len(both), np.int64))[0]
                 new, held = [], 0
+        trim()
         first, second = owner[pairs[:, 0]], owner[pairs[:, 1]]
         label = lambda ends: pa.array([back[c] for c in ends[:, 1].tolist()], pa.binary())
         return pa.table([pa.array(first[:, 0]), label(first), pa.array(second[:, 0]), label(second)], names)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import ann, chat, fingerprints, katz, licences, mixing, near, packing, quality, warc
+from corpusloom.llm import ann, chat, components, fingerprints, katz, licences, mixing, near, packing, quality, warc
 from corpusloom.llm.common import load
 
 DATA = "/root/testdata/sf0.001"
@@ -146,6 +146,52 @@ def test_near(spark, odd, empty):
     assert near.link(empty).count() == 0
 
 
+def test_near_long_lists_and_large_groups(spark, monkeypatch):
+    """Lists dealt out in slices, components that need several rounds, 400 near copies with changed words."""
+    monkeypatch.setattr(near, "SLICE", 7)
+    monkeypatch.setattr(near, "SHORT", 3)
+    monkeypatch.setattr(components, "EDGES", 60)
+    draw = np.random.default_rng(1)
+    rows = []
+    for k in range(400):
+        words = [f"w{k}" for k in range(60 + k % 17)]
+        for _ in range(int(draw.integers(0, 4))):
+            words[int(draw.integers(0, len(words)))] = f"z{draw.integers(0, 50)}"
+        rows.append((k, " ".join(words)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+
+
+@pytest.mark.parametrize("share", [50, 500_000])
+def test_components(spark, monkeypatch, share):
+    monkeypatch.setattr(components, "EDGES", share)
+    draw = np.random.default_rng(2)
+    edges = [(int(a), int(b)) for a, b in draw.integers(0, 500, (300, 2))] + [(k, k + 1) for k in range(1000, 1200)] + [(None, 3), (4, 4)]
+    got = {r.vertex: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    of: dict[int, int] = {}
+
+    def root(x):
+        while of.setdefault(x, x) != x:
+            x = of[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = root(a), root(b)
+            of[max(x, y)] = min(x, y)
+    assert got == {x: root(x) for x in of}
+    assert components.components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_near_stage_keeps_columns_and_one_document_each(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(5, text, "keep", {"a": 1}), (3, text, "x", {"a": 2}), (3, "other words", "y", None), (None, text, "z", None), (9, None, "n", None), (10, "", "e", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, near_row string, m map<string,int>")
+    out = near.stage(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.near_row) for r in out if r.doc_id is not None) == [(3, "x"), (9, "n"), (10, "e")] or sorted((r.doc_id, r.near_row) for r in out if r.doc_id is not None) == [(3, "y"), (9, "n"), (10, "e")]
+    assert [r.near_row for r in out if r.doc_id is None] == ["z"] and list(out[0].asDict()) == docs.columns
+
+
 def test_licences(spark, odd, empty):
     rows = [(1, "Hello there.\nReleased under the MIT License.\nbye"), (2, "nothing here"), (3, None), (4, "Licensed under the Apache License, version 2.0")]
     got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
