@@ -202,7 +202,7 @@ def shared_lists(packed: DataFrame, percent: int) -> DataFrame:
         _, index, counts = np.unique(shingle, return_inverse=True, return_counts=True)
         length = counts[index]
         pairs, seen = np.empty((0, 2), np.int64), np.empty(0, np.int64)
-        for step in range(1, SHORT):
+        for step in range(1, min(SHORT, len(shingle))):
             i = np.flatnonzero((length[step:] <= SHORT) & (shingle[step:] == shingle[: len(shingle) - step]))
             i = i[100 * n[i].astype(np.int64) >= percent * n[i + step].astype(np.int64)]
             ends = np.stack([np.minimum(grp[i], grp[i + step]), np.maximum(grp[i], grp[i + step])], 1)
