@@ -14,41 +14,150 @@ from pyspark.sql import functions as F
 CELLS = 1 << 22
 
 
-def compose(first: DataFrame, second: DataFrame) -> DataFrame:
-    """a -> b (c1) and b -> c (c2): a -> c with the greatest product over paths."""
-    return first.join(second, "b").groupBy("a", "c").agg(F.max(F.col("c1") * F.col("c2")).alias("confidence"))
+def sure(confidence) -> F.Column:
+    """A confidence in a product: a stated one counts as 1."""
+    return F.coalesce(confidence, F.lit(1.0))
+
+
+def compose(first: DataFrame, second: DataFrame, segments: DataFrame | None = None) -> DataFrame:
+    """a -> b (c1) and b -> c (c2): a -> c with the greatest product over paths, a stated hop counting as 1.
+
+    With ``segments`` (seg_a, seg_c), only paths whose ends stand in segments that belong together; first then has seg_a, second seg_c.
+    """
+    paths = first.join(second, "b")
+    if segments is not None:
+        paths = paths.join(segments.select("seg_a", "seg_c").distinct(), ["seg_a", "seg_c"], "left_semi")
+    return paths.groupBy("a", "c").agg(F.max(sure(F.col("c1")) * sure(F.col("c2"))).alias("confidence"))
+
+
+#: Precision of composed paths by the number of words of the middle link, 1 to 5 and more (fixed values).
+PRECISION_BY_SIZE = [0.891, 0.804, 0.710, 0.698, 0.563]
+
+
+def specificity(size) -> F.Column:
+    """Weight of a path by the number of words of its middle link, 1 for one word."""
+    return F.get(F.array(*[F.lit(p / PRECISION_BY_SIZE[0]) for p in PRECISION_BY_SIZE]), (F.least(F.greatest(size, F.lit(1)), F.lit(5)) - 1).cast("int"))
+
+
+def segment_pairs(left: DataFrame, right: DataFrame, linked: DataFrame) -> DataFrame:
+    """seg_a, seg_c of segments at the same address, or that a segment link joins in either direction; left and right: seg, address."""
+    same = left.select(F.col("seg").alias("seg_a"), "address").join(right.select(F.col("seg").alias("seg_c"), "address"), "address").select("seg_a", "seg_c")
+    stated = both_ways(linked, "a", "b").select(F.col("a").alias("seg_a"), F.col("b").alias("seg_c"))
+    own = stated.join(left.select(F.col("seg").alias("seg_a")), "seg_a", "left_semi").join(right.select(F.col("seg").alias("seg_c")), "seg_c", "left_semi")
+    return same.unionByName(own.select("seg_a", "seg_c")).distinct()
+
+
+def both_ways(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs that are stored either way round, each in both directions; two directed selects, so that joins stay equi-joins."""
+    other = [F.col(b).alias(a) if c == a else F.col(a).alias(b) if c == b else F.col(c) for c in pairs.columns]
+    return pairs.unionByName(pairs.select(*other))
+
+
+def bridged(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The words that links join: members (link, side, word), links (link, ...) -> source, target and the link's columns."""
+    side = lambda k, name: members.filter(F.col("side") == k).select("link", F.col("word").alias(name))
+    return links.join(side(0, "source"), "link").join(side(1, "target"), "link")
 
 
 def noisy_or(claims: DataFrame, pair: list[str], family: str, confidence: str, cap: float = 0.98) -> DataFrame:
-    """The greatest claim of each family; families are independent: 1 - product(1 - c), cap at most."""
-    best = claims.groupBy(*pair, family).agg(F.max(confidence).alias("c"))
-    return best.groupBy(*pair).agg(F.least(F.lit(cap), 1 - F.exp(F.sum(F.log1p(-F.col("c"))))).alias("confidence"), F.count("*").alias("families"))
+    """The greatest claim of each family; families are independent: 1 - product(1 - c), cap at most. A stated claim makes the result stated."""
+    stated = F.max(F.col(confidence).isNull().cast("int"))
+    best = claims.groupBy(*pair, family).agg(F.max(confidence).alias("c"), stated.alias("s"))
+    together = F.least(F.lit(cap), 1 - F.exp(F.sum(F.log1p(-F.least(F.col("c"), F.lit(1 - 1e-15))))))
+    return best.groupBy(*pair).agg(F.when(F.max("s") == 0, together).alias("confidence"), F.count("*").alias("families"))
 
 
 def best_per_source(links: DataFrame, source: str, *order) -> DataFrame:
-    """All links of a source's best rank; exact ties stay."""
+    """All links of a source's best rank; exact ties stay. Order confidences by desc_nulls_first: a stated link is the surest."""
     return links.withColumn("_r", F.rank().over(Window.partitionBy(source).orderBy(*order))).filter("_r = 1").drop("_r")
 
 
+def most_families(answers: DataFrame, source: str, families: str, confidence: str) -> DataFrame:
+    """Of a source's answers those that most families found, of these the surest; ties stay."""
+    return best_per_source(answers, source, F.col(families).desc(), F.col(confidence).desc_nulls_first())
+
+
+def proposals(offered: DataFrame, source: str, target: str, confidence: str, least: float = 0.25, crowd: int = 4) -> DataFrame:
+    """Proposals that may be selected: none of targets that ``crowd`` sources and more only weakly propose, none below the
+    threshold, and of a pair offered twice the surest. Stated ones are above any threshold."""
+    c = F.coalesce(F.col(confidence), F.lit(2.0))
+    of_target = Window.partitionBy(target)
+    marked = offered.withColumn("_n", F.count("*").over(of_target)).withColumn("_most", F.max(c).over(of_target))
+    kept = marked.filter(((F.col("_n") < crowd) | (F.col("_most") >= least)) & (c >= least)).drop("_n", "_most")
+    return best_per_pair(kept, [source, target], confidence)
+
+
+def best_per_pair(offered: DataFrame, pair: list[str], confidence: str) -> DataFrame:
+    loudest = F.max_by(F.struct(*[F.col(x) for x in offered.columns]), F.struct(F.coalesce(F.col(confidence), F.lit(2.0)), *[F.col(x) for x in offered.columns if x not in (*pair, confidence)]))
+    return offered.groupBy(*pair).agg(loudest.alias("_row")).select("_row.*")
+
+
+def agreed(forward: DataFrame, backward: DataFrame, pair: list[str], confidence: str, level: float) -> DataFrame:
+    """Selected links that are sure, or that the other direction selects as well."""
+    other = backward.select(*pair).distinct().withColumn("_other", F.lit(True))
+    both = forward.join(other, pair, "left")
+    return both.filter(F.col(confidence).isNull() | (F.col(confidence) >= level) | F.col("_other")).drop("_other")
+
+
 def admission_floor(answers: DataFrame, route: str, confidence: str, hit: str, least: int = 200, precision: float = 0.9) -> DataFrame:
     """Per route the lowest confidence from which, cumulated from the top with ties together, precision holds over enough answers.
 
-    1.01 refuses a route that never gets there; a route with too few answers has no floor.
+    1.01 refuses a route that never gets there; a route with too few answers has no floor. Stated answers have no confidence and
+    are left out. Ties are counted before the window, which then holds a row for each confidence that occurs.
     """
-    above = Window.partitionBy(route).orderBy(F.col(confidence).desc())  # the default RANGE frame takes ties together
-    seen = answers.select(route, confidence, F.count("*").over(above).alias("n"), F.sum(F.col(hit).cast("long")).over(above).alias("hits"))
+    counted = answers.filter(F.col(confidence).isNotNull()).groupBy(route, F.col(confidence).alias("c")).agg(F.count("*").alias("k"), F.sum(F.col(hit).cast("long")).alias("h"))
+    above = Window.partitionBy(route).orderBy(F.col("c").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = counted.select(route, "c", F.sum("k").over(above).alias("n"), F.sum("h").over(above).alias("hits"))
     good = (F.col("n") >= least) & (F.col("hits") >= precision * F.col("n"))
-    found = seen.groupBy(route).agg(F.max("n").alias("answers"), F.min(F.when(good, F.col(confidence))).alias("floor"))
+    found = seen.groupBy(route).agg(F.max("n").alias("answers"), F.min(F.when(good, F.col("c"))).alias("floor"))
     return found.withColumn("floor", F.when(F.col("answers") >= least, F.coalesce("floor", F.lit(1.01))))
 
 
-def number_match(left: DataFrame, right: DataFrame) -> DataFrame:
-    """seg, key, id on both sides. One to one 0.9; equal counts pair in order 0.7; one side contended 0.5; both 0.3."""
-    own = lambda df, n: df.withColumn(f"n{n}", F.count("*").over(Window.partitionBy("seg", "key"))).withColumn(f"k{n}", F.row_number().over(Window.partitionBy("seg", "key").orderBy("id"))).withColumnRenamed("id", f"id{n}")
-    pairs = own(left, 1).join(own(right, 2), ["seg", "key"])
-    same = F.col("n1") == F.col("n2")
-    ladder = F.when(same & (F.col("n1") == 1), 0.9).when(same, 0.7).when((F.col("n1") == 1) | (F.col("n2") == 1), 0.5).otherwise(0.3)
-    return pairs.filter(~same | (F.col("k1") == F.col("k2"))).select("seg", "key", "id1", "id2", ladder.alias("confidence"))
+def floors(routes: DataFrame, measured: DataFrame, hand: DataFrame) -> DataFrame:
+    """The floor of each text's route: set by hand, else measured, else borrowed: the lowest of any other text for the same
+    route (ties by text), else 1.01, refused. routes, measured and hand: text, route (, floor)."""
+    low = Window.partitionBy("route").orderBy("floor", "text")
+    # a text's own measure counts before borrowing, so the lowest two others are never needed
+    lent = measured.filter("floor <= 1").withColumn("_r", F.row_number().over(low)).filter("_r = 1").select("route", F.col("floor").alias("lent"), F.col("text").alias("lender"))
+    out = routes.join(hand.withColumnRenamed("floor", "by_hand"), ["text", "route"], "left").join(measured.withColumnRenamed("floor", "own"), ["text", "route"], "left").join(lent, "route", "left")
+    floor = F.coalesce("by_hand", "own", "lent", F.lit(1.01))
+    origin = F.when(F.col("by_hand").isNotNull(), "hand").when(F.col("own").isNotNull(), "measured").when(F.col("lent").isNotNull(), "borrowed").otherwise("refused")
+    return out.select("text", "route", floor.alias("floor"), origin.alias("origin"), F.when(origin == "borrowed", F.col("lender")).alias("lender"))
+
+
+#: Confidences of number matching: settled, paired in order, one side contended, both (fixed values), and the loss by a redirect.
+SETTLED, IN_ORDER, ONE_CONTENDED, BOTH_CONTENDED, REDIRECT_LOSS = 0.9, 0.7, 0.5, 0.3, 0.1
+
+
+def number_match(tagged: DataFrame, witness: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
+    """seg, numbers, words, witnesses, confidence: one link for each set of numbers of a segment.
+
+    tagged: seg, id, numbers (array); witness: seg, id, number; redirects: number, other. A number that the segment's witness lacks
+    is read as the one it redirects to, at a loss of 0.1. Words with the same set of reachable numbers and the witness
+    words that carry one of them are one link, except that a single number with equal counts over one is paired in order.
+    """
+    has = witness.select("seg", "number").distinct().withColumn("_own", F.lit(True))
+    each = tagged.select("seg", "id", F.explode(F.array_distinct("numbers")).alias("number")).join(has, ["seg", "number"], "left")
+    if redirects is not None:
+        other = has.select("seg", F.col("number").alias("other"), F.col("_own").alias("_theirs"))
+        each = each.join(redirects.select("number", "other"), "number", "left").join(other, ["seg", "other"], "left")
+        each = each.withColumn("redirected", F.col("_own").isNull() & F.col("_theirs").isNotNull())
+        each = each.withColumn("number", F.when(F.col("redirected"), F.col("other")).otherwise(F.col("number"))).filter("_own OR _theirs")
+    else:
+        each = each.filter("_own").withColumn("redirected", F.lit(False))
+    sets = each.groupBy("seg", "id").agg(F.sort_array(F.collect_set("number")).alias("numbers"), F.max("redirected").alias("redirected"))
+    words = sets.groupBy("seg", "numbers").agg(F.sort_array(F.collect_list("id")).alias("words"), F.max("redirected").alias("redirected"))
+    carried = words.select("seg", "numbers", F.explode("numbers").alias("number")).join(witness.select("seg", "number", "id"), ["seg", "number"])
+    both = words.join(carried.groupBy("seg", "numbers").agg(F.sort_array(F.collect_set("id")).alias("witnesses")), ["seg", "numbers"])
+    n, m = F.size("words"), F.size("witnesses")
+    ordered = (F.size("numbers") == 1) & (n == m) & (n > 1)
+    settled = (n == 1) & (m == F.size("numbers"))
+    ladder = F.when(ordered, IN_ORDER).when(settled, SETTLED).when((n == 1) | (m == 1), ONE_CONTENDED).otherwise(BOTH_CONTENDED)
+    whole = both.withColumn("confidence", F.round(ladder - F.when(F.col("redirected"), REDIRECT_LOSS).otherwise(0.0), 6))
+    pairs = F.when(ordered, F.arrays_zip("words", "witnesses"))
+    one = whole.withColumn("_pair", F.explode_outer(pairs))
+    pick = lambda side: F.when(F.col("_pair").isNotNull(), F.array(F.col(f"_pair.{side}"))).otherwise(F.col(side)).alias(side)
+    return one.select("seg", "numbers", pick("words"), pick("witnesses"), "confidence")
 
 
 def nth_occurrence(left: DataFrame, right: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -58,7 +167,7 @@ def nth_occurrence(left: DataFrame, right: DataFrame, by: list[str], order: str)
 
 
 def competitive(links: DataFrame, segment: str) -> DataFrame:
-    """Greedy one to one within a segment: by confidence, then a, then b. Segments stream by, sorted, within a partition."""
+    """Greedy one to one within a segment: stated links first, then by confidence, then a, then b. Segments stream by, sorted, within a partition."""
     names = links.columns
 
     def run(batches):
@@ -74,7 +183,7 @@ def competitive(links: DataFrame, segment: str) -> DataFrame:
                     taken_b.add(b)
             yield pdf[good][names]
 
-    return links.repartition(segment).sortWithinPartitions(segment, F.col("confidence").desc(), "a", "b").mapInPandas(run, links.schema)
+    return links.repartition(segment).sortWithinPartitions(segment, F.col("confidence").desc_nulls_first(), "a", "b").mapInPandas(run, links.schema)
 
 
 def align_score(proposed: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
@@ -85,11 +194,31 @@ def align_score(proposed: DataFrame, gold: DataFrame, keys: list[str]) -> DataFr
     return n.select("proposed", "gold", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), F.round(share("proposed"), 6).alias("precision"), F.round(share("gold"), 6).alias("recall"), F.round(F.when(F.col("hits") > 0, 1 - 2 * F.col("hits") / (F.col("proposed") + F.col("gold"))).otherwise(1.0), 6).alias("aer"))
 
 
+#: What a shift of the log-odds is worth by how the neighbours' partners stand to a pair's own (fixed values).
+COHESION = {"alone": -0.325, "apart": -0.573, "sentence": -0.376, "clause": 0.024, "phrase": 0.349}
+
+
 def rescored(confidence, weight):
-    """Log-odds shift of a confidence, clamped to .001 .. .98."""
+    """Log-odds shift of a confidence, clamped to .001 .. .98; a stated one stays stated."""
     c = F.least(F.greatest(confidence, F.lit(0.001)), F.lit(0.98))
     odds = c / (1 - c) * F.exp(weight)
-    return F.least(F.greatest(odds / (1 + odds), F.lit(0.001)), F.lit(0.98))
+    return F.when(confidence.isNotNull(), F.least(F.greatest(odds / (1 + odds), F.lit(0.001)), F.lit(0.98)))
+
+
+def cohesion(offered: DataFrame, target: DataFrame, reach: int = 3, anchor: float = 0.5) -> DataFrame:
+    """offered (seg, position, word, confidence) rescored by its neighbours in the source text.
+
+    Anchors are proposals of at least ``anchor`` at most ``reach`` positions away in the same segment. target (word, phrase, clause,
+    sentence) says where words stand. The closest unit that a proposal's word shares with any anchor's word decides.
+    """
+    at = offered.join(target, "word").withColumn("_id", F.struct("seg", "position", "word"))
+    near = at.filter(F.col("confidence").isNull() | (F.col("confidence") >= anchor)).select("seg", F.col("position").alias("_p"), F.col("word").alias("_w"), *[F.col(u).alias(f"_{u}") for u in ("phrase", "clause", "sentence")])
+    # a place is asked for from each position in reach, so that the join is by equality
+    near = near.withColumn("position", F.explode(F.sequence(F.col("_p") - reach, F.col("_p") + reach))).filter("position <> _p")
+    level = F.when(F.col("_w").isNull(), 0).when(F.col("phrase") == F.col("_phrase"), 4).when(F.col("clause") == F.col("_clause"), 3).when(F.col("sentence") == F.col("_sentence"), 2).otherwise(1)
+    best = at.join(near, ["seg", "position"], "left").groupBy("seg", "position", "word", "confidence").agg(F.max(level).alias("level"))
+    weight = F.get(F.array(*[F.lit(COHESION[k]) for k in ("alone", "apart", "sentence", "clause", "phrase")]), "level")
+    return best.withColumn("confidence", rescored(F.col("confidence"), weight))
 
 
 def one_edit(x: str, y: str) -> bool:

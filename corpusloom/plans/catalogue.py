@@ -2,38 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys, text
 from ..operators import graph, links, merge, passages, quality, search, timeline
-from ..session import LINE, tables
+from ..session import LINE
 from ..sources import formats
-
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
-ALL = ", ".join(LINE)
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(tables(spark, sf_dir))
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def n(column="*"):
-    return F.count(column)
-
-
-def long(column):
-    return F.col(column).cast("long") if isinstance(column, str) else column.cast("long")
-
+from . import linking  # noqa: F401  (registers its queries)
+from .registry import ALL, ORACLES, QUERIES, long, n, query
 
 # -- concordance
 
@@ -105,51 +82,7 @@ def distinct_on(t):
     return t("orders").select("o_custkey", "o_orderkey", "o_totalprice").withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
 
 
-# -- links
-
-
-@query("""SELECT o_custkey AS a, s_nationkey AS c, round(max(p.c1 * q.c2), 6) AS confidence FROM (SELECT o_custkey, l_suppkey, max(1 - l_discount) AS c1 FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2) p
-JOIN (SELECT s_suppkey, s_nationkey, 1.0 / (1 + s_nationkey) AS c2 FROM supplier) q ON l_suppkey = s_suppkey GROUP BY 1, 2""")
-def compose_two_hop(t):
-    first = t("orders").select("o_orderkey", F.col("o_custkey").alias("a")).join(t("lineitem").select("l_orderkey", F.col("l_suppkey").alias("b"), (1 - F.col("l_discount")).alias("c1")), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("a", "b").agg(F.max("c1").alias("c1"))
-    second = t("supplier").select(F.col("s_suppkey").alias("b"), F.col("s_nationkey").alias("c"), (1.0 / (1 + F.col("s_nationkey"))).alias("c2"))
-    return links.compose(first, second).withColumn("confidence", F.round("confidence", 6))
-
-
-@query("""SELECT l_orderkey, round(least(0.98, 1 - exp(sum(ln(1 - c)))), 6) AS confidence, count(*) AS families FROM (SELECT l_orderkey, l_returnflag, max(l_discount) AS c FROM lineitem GROUP BY 1, 2) GROUP BY 1""")
-def noisy_or(t):
-    return links.noisy_or(t("lineitem"), ["l_orderkey"], "l_returnflag", "l_discount").withColumn("confidence", F.round("confidence", 6))
-
-
-@query(f"SELECT {ALL}, l_discount FROM (SELECT *, rank() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC) AS r FROM lineitem) WHERE r = 1")
-def best_per_source_ties(t):
-    return links.best_per_source(t("lineitem").select(*LINE, "l_discount"), "l_orderkey", F.col("l_discount").desc())
-
-
-@query("""WITH s AS (SELECT l_linenumber AS route, l_discount AS c, count(*) OVER w AS n, sum(CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END) OVER w AS hits FROM lineitem WINDOW w AS (PARTITION BY l_linenumber ORDER BY l_discount DESC))
-SELECT route, max(n) AS answers, CASE WHEN max(n) >= 200 THEN coalesce(min(c) FILTER (WHERE n >= 200 AND hits >= 0.66 * n), 1.01) END AS floor FROM s GROUP BY 1""")
-def admission_floor(t):
-    answers = t("lineitem").select(F.col("l_linenumber").alias("route"), "l_discount", (F.col("l_returnflag") != "R").alias("hit"))
-    return links.admission_floor(answers, "route", "l_discount", "hit", 200, 0.66)
-
-
-_NUM = "(SELECT l_orderkey AS seg, l_returnflag AS key, l_partkey * 100000 + l_suppkey AS id FROM (SELECT DISTINCT l_orderkey, l_returnflag, l_partkey, l_suppkey FROM lineitem) WHERE {0})"
-
-
-@query(f"""WITH a AS (SELECT *, count(*) OVER (PARTITION BY seg, key) AS n1, row_number() OVER (PARTITION BY seg, key ORDER BY id) AS k1 FROM {_NUM.format("l_partkey % 2 = 0")}),
-b AS (SELECT *, count(*) OVER (PARTITION BY seg, key) AS n2, row_number() OVER (PARTITION BY seg, key ORDER BY id) AS k2 FROM {_NUM.format("l_partkey % 2 = 1")})
-SELECT a.seg, a.key, a.id AS id1, b.id AS id2, CAST(CASE WHEN n1 = n2 AND n1 = 1 THEN 0.9 WHEN n1 = n2 THEN 0.7 WHEN n1 = 1 OR n2 = 1 THEN 0.5 ELSE 0.3 END AS DOUBLE) AS confidence FROM a JOIN b ON a.seg = b.seg AND a.key = b.key WHERE n1 <> n2 OR k1 = k2""")
-def number_match_ladder(t):
-    rows = t("lineitem").select(F.col("l_orderkey").alias("seg"), F.col("l_returnflag").alias("key"), "l_partkey", (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("id")).distinct()
-    return links.number_match(rows.filter("l_partkey % 2 = 0").drop("l_partkey"), rows.filter("l_partkey % 2 = 1").drop("l_partkey"))
-
-
-@query("""WITH r AS (SELECT conv_id, role, turn, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations)
-SELECT a.conv_id, a.n, a.turn AS turn_1, b.turn AS turn_2 FROM r a JOIN r b ON a.conv_id = b.conv_id AND a.n = b.n WHERE a.role = 'user' AND b.role = 'assistant'""")
-def nth_occurrence_join(t):
-    c = t("conversations").select("conv_id", "turn", "role")
-    return links.nth_occurrence(c.filter("role = 'user'").drop("role"), c.filter("role = 'assistant'").drop("role"), ["conv_id"], "turn").select("conv_id", "n", "turn_1", "turn_2")
-
+# -- merging
 
 _METHOD = "CASE l_linenumber % 4 WHEN 0 THEN 'manual' WHEN 1 THEN 'strong' WHEN 2 THEN 'composed' ELSE 'aligner' END"
 
@@ -169,26 +102,6 @@ def compete_greedy(t):
     return merge.compete(_claims(t), "segment")
 
 
-@query()
-def competitive_linking(t):
-    rows = t("lineitem").select(F.col("l_orderkey").alias("segment"), (F.col("l_partkey") % 7).alias("a"), (F.col("l_suppkey") % 5).alias("b"), F.col("l_discount").alias("confidence"))
-    return links.competitive(rows, "segment")
-
-
-@query("""WITH p AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_discount >= 0.05), g AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag <> 'N'),
-h AS (SELECT (SELECT count(*) FROM p) AS proposed, (SELECT count(*) FROM g) AS gold, (SELECT count(*) FROM p JOIN g USING (l_orderkey, l_partkey)) AS hits)
-SELECT proposed, gold, hits, round(hits / proposed, 6) AS precision, round(hits / gold, 6) AS recall, round(1 - 2 * hits / (proposed + gold), 6) AS aer FROM h""")
-def align_score(t):
-    df = t("lineitem").select("l_orderkey", "l_partkey", "l_discount", "l_returnflag")
-    return links.align_score(df.filter("l_discount >= 0.05"), df.filter("l_returnflag <> 'N'"), ["l_orderkey", "l_partkey"])
-
-
-@query("""SELECT l_returnflag, round(avg(least(greatest(o / (1 + o), 0.001), 0.98)), 4) AS confidence FROM (SELECT l_returnflag, c / (1 - c) * exp(CASE l_linestatus WHEN 'O' THEN 0.349 ELSE -0.573 END) AS o FROM (SELECT *, least(greatest(10 * l_discount, 0.001), 0.98) AS c FROM lineitem)) GROUP BY 1""")
-def syntax_rescoring(t):
-    df = t("lineitem").select("l_returnflag", links.rescored(10 * F.col("l_discount"), F.when(F.col("l_linestatus") == "O", 0.349).otherwise(-0.573)).alias("c"))
-    return df.groupBy("l_returnflag").agg(F.round(F.avg("c"), 4).alias("confidence"))
-
-
 @query()
 def witness_alignment(t):
     split = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))
