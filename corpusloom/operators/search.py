@@ -1,19 +1,55 @@
-"""Ranked search over tokenised segments, and spelling neighbours."""
+"""Ranked search over tokenised segments: typed queries, tiers of forms, phrases, relaxation, snippets, spellings, paging."""
 
 from __future__ import annotations
 
-import re
+from bisect import bisect_left, bisect_right
+from dataclasses import dataclass
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import similarity, stem, tokens, trigrams
 
+#: Quotation marks with their closing ones, marks trimmed off words, and terms of a query at most (fixed values).
+QUOTES = {'"': '"', "«": "»", "„": "“", "“": "”"}
+TRIMMED = ".,;:!?\"'()[]«»„“”—–"
+MOST_TERMS = 12
 
-def parse(typed: str, most: int = 12) -> tuple[list[str], list[list[str]]]:
-    """Terms of a typed query and its quoted phrases, as folded words."""
-    phrases = [re.findall(r"[a-z]+", p.lower()) for p in re.findall(r"[\"“„«]([^\"”“»]+)[\"”“»]", typed)]
-    return re.findall(r"[a-z]+", typed.lower())[:most], [p for p in phrases if p]
+
+@dataclass(frozen=True)
+class Term:
+    """A typed word, and the number of the phrase that it was typed in."""
+
+    word: str
+    phrase: int | None = None
+
+
+def parse(typed: str | None, most: int = MOST_TERMS) -> list[Term]:
+    """Words outside quotation marks, and phrases inside a pair of them; a mark that nothing closes is trimmed off."""
+    out: list[Term] = []
+    words = lambda part: [w for w in (p.strip(TRIMMED) for p in part.split()) if w]
+    at, phrase, plain, typed = 0, 0, "", typed or ""
+    while at < len(typed):
+        end = typed.find(QUOTES[typed[at]], at + 1) if typed[at] in QUOTES else -1
+        if end < 0:
+            plain += typed[at]
+            at += 1
+            continue
+        out += [Term(w) for w in words(plain)]
+        plain = ""
+        if inside := words(typed[at + 1 : end]):
+            out += [Term(w, phrase) for w in inside]
+            phrase += 1
+        at = end + 1
+    return (out + [Term(w) for w in words(plain)])[:most]
+
+
+def containing(text: Column, typed: str) -> Column:
+    """ILIKE with the typed text's wildcards taken literally."""
+    escaped = "".join(f"\\{x}" if x in "%_\\" else x for x in typed)
+    return text.ilike(f"%{escaped}%")
 
 
 def tiers(forms: DataFrame, terms: list[str]) -> DataFrame:
@@ -25,28 +61,124 @@ def tiers(forms: DataFrame, terms: list[str]) -> DataFrame:
     return hit.withColumn("tier", tier).filter("tier IS NOT NULL").select("term", "form", "tier")
 
 
-def rank(docs: DataFrame, key: str, typed: str, text: str = "text") -> DataFrame:
-    """key, phrase, held, score_tiers, span: segments that hold all terms; with none and three terms, half of them (partial).
+def hits_of(docs: DataFrame, key: str, terms: list[Term], text: str = "text") -> DataFrame:
+    """key, position, term, tier of every token that answers a term; tiers come from the token itself, so nothing is shuffled.
 
-    Order: phrase first, then terms held, then the sum of best tiers, then the span of positions, then the key.
+    A word of a phrase is matched as typed only.
     """
-    terms, _ = parse(typed)
-    all_tokens = tokens(docs.select(key, text), text)
-    forms = all_tokens.select(F.col("token").alias("form")).distinct()
-    hits = all_tokens.join(F.broadcast(tiers(forms, terms)), F.col("token") == F.col("form")).select(key, "position", "term", "tier")
-    return ranked(hits, key, len(terms))
+    folded = [t.word.lower() for t in terms]
+    stems = [r["s"] for r in stem(docs.sparkSession.createDataFrame([(k, w) for k, w in enumerate(folded)], "k int, w string"), "w", "s").orderBy("k").collect()]
+    # a stem begins as its word does, so words of one stem share their first three letters
+    near = F.lit(False)
+    for w in folded:
+        near = near | F.col("token").contains(w) | (F.left("token", F.lit(3)) == w[:3])
+    found = stem(tokens(docs.select(key, text), text).filter(near), "token", "stem")
+    answers = []
+    for k, (t, w, s) in enumerate(zip(terms, folded, stems, strict=True)):
+        tier = F.when(F.col("token") == w, 0)
+        if t.phrase is None:
+            tier = tier.when(F.col("stem") == s, 1).when(F.col("token").startswith(w), 2)
+            tier = tier.when(F.col("token").contains(w), 3) if len(w) >= 3 else tier
+        answers.append(F.struct(F.lit(k).alias("term"), tier.alias("tier")))
+    return found.select(key, "position", F.explode(F.array(*answers)).alias("a")).select(key, "position", "a.term", "a.tier").filter("tier IS NOT NULL")
 
 
-def ranked(hits: DataFrame, key: str, count: int) -> DataFrame:
+def rank(docs: DataFrame, key: str, typed: str, text: str = "text", joints: tuple[str, ...] = (), scope: DataFrame | None = None) -> DataFrame:
+    """key, phrase, held, terms, tiers, span, partial: segments that hold all required terms, best first.
+
+    Joint words are not required unless nothing else was typed; each quoted phrase must stand together. With no such
+    segment and three required terms or more, half of them (rounded up) are enough, flagged partial. Order: all terms side by
+    side in the typed order (phrase), required terms held, terms held, sum of best tiers, span of positions, key. ``scope`` holds the
+    keys of segments that may answer.
+    """
+    terms = parse(typed)
+    if not terms:
+        return docs.sparkSession.createDataFrame([], f"{key} {docs.schema[key].dataType.simpleString()}, phrase boolean, held long, terms long, tiers long, span long, partial boolean")
+    hits = hits_of(docs, key, terms, text)
+    if scope is not None:
+        hits = hits.join(scope.select(key), key, "left_semi")
+    required = [k for k, t in enumerate(terms) if t.phrase is not None or t.word.lower() not in joints] or list(range(len(terms)))
+    phrases: dict[int, list[int]] = {}
+    for k, t in enumerate(terms):
+        if t.phrase is not None:
+            phrases.setdefault(t.phrase, []).append(k)
+    needed = F.col("term").isin(required)
+    # one pass by segment: best tier of each term, places, and islands of terms that follow one another as typed
     per_term = hits.groupBy(key, "term").agg(F.min("tier").alias("tier"), F.min("position").alias("low"), F.max("position").alias("high"))
-    held = per_term.groupBy(key).agg(F.count("*").alias("held"), F.sum("tier").cast("long").alias("tiers"), (F.max("high") - F.min("low")).cast("long").alias("span"))
-    islands = hits.filter("tier <= 1").groupBy(key, (F.col("position") - F.col("term")).alias("island")).agg(F.countDistinct("term").alias("n")).filter(F.col("n") == count).select(key).distinct().withColumn("phrase", F.lit(count > 1))
-    full = held.join(islands, key, "left").withColumn("phrase", F.coalesce("phrase", F.lit(False)))
+    held = per_term.groupBy(key).agg(F.count_if(needed).alias("held"), F.count("*").alias("terms"), F.sum("tier").cast("long").alias("tiers"), (F.max(F.when(needed, F.col("high"))) - F.min(F.when(needed, F.col("low")))).cast("long").alias("span"))
+
+    def together(which: list[int], name: str) -> DataFrame:
+        order = {k: n for n, k in enumerate(which)}
+        place = F.col("position") - F.element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), F.col("term"))
+        islands = hits.filter(F.col("term").isin(which) & (F.col("tier") <= 1)).groupBy(key, place.alias("island")).agg(F.countDistinct("term").alias("n")).filter(F.col("n") == len(which))
+        return islands.select(key).distinct().withColumn(name, F.lit(True))
+
+    full = held.join(together(list(range(len(terms))), "phrase"), key, "left").withColumn("phrase", F.coalesce("phrase", F.lit(False)) & F.lit(len(terms) > 1))
+    for which in phrases.values():
+        full = full.join(together(which, "_stands").drop("_stands"), key, "left_semi")
+    count = len(required)
     half = (count + 1) // 2 if count >= 3 else count
+    # whether any segment holds all: one row, beside each
     whole = full.agg(F.max((F.col("held") == count).cast("int")).alias("any"))
-    needed = F.when(F.coalesce("any", F.lit(0)) == 1, count).otherwise(half)
-    out = full.crossJoin(F.broadcast(whole)).filter(F.col("held") >= needed)  # one row
-    return out.select(key, "phrase", "held", "tiers", "span", (F.coalesce("any", F.lit(0)) == 0).alias("partial"))
+    least = F.when(F.coalesce("any", F.lit(0)) == 1, count).otherwise(half)
+    out = full.crossJoin(F.broadcast(whole)).filter(F.col("held") >= least)
+    out = out.select(key, "phrase", "held", "terms", "tiers", "span", (F.coalesce("any", F.lit(0)) == 0).alias("partial"))
+    return out.orderBy(F.col("phrase").desc(), F.col("held").desc(), F.col("terms").desc(), "tiers", "span", key)
+
+
+def page(ranked: DataFrame, order: list, size: int, number: int) -> DataFrame:
+    """A page by number from 1, clamped to the last one; ``total`` on each row."""
+    total = ranked.count()
+    at = max(1, min(number, -(-total // size)))
+    return ranked.orderBy(*order).offset((at - 1) * size).limit(size).withColumn("total", F.lit(total).cast("long"))
+
+
+def keyset(rows: DataFrame, order: list[str], cursor: tuple, size: int, before: bool = False) -> DataFrame:
+    """The rows that follow a cursor in an order, or the last ones before it; the bound on the first column reaches the scan."""
+    at = F.struct(*[F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in zip(order, cursor, strict=True)])
+    row, first = F.struct(*order), F.col(order[0])
+    if before:
+        return rows.filter((first <= cursor[0]) & (row < at)).orderBy(*[F.col(c).desc() for c in order]).limit(size).orderBy(*order)
+    return rows.filter((first >= cursor[0]) & (row > at)).orderBy(*order).limit(size)
+
+
+def natural(number: Column) -> list[Column]:
+    """Sort keys of numbers such as H12 or G3: Hebrew before Greek before others, then by number, then by what follows it."""
+    letter = F.upper(F.left(number, F.lit(1)))
+    digits = F.regexp_extract(number, r"^[A-Za-z]+(\d+)", 1)
+    return [F.when(letter == "H", 0).when(letter == "G", 1).otherwise(2), digits.try_cast("long").asc_nulls_last(), number]
+
+
+def snippet(text: Column, forms: Column) -> Column:
+    """Escaped text with the words whose lower case is among the forms marked."""
+    pieces = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}]+|[^\p{L}\p{M}]+"), F.lit(0))
+    safe = lambda p: F.replace(F.replace(F.replace(p, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    mark = lambda p: F.when(F.array_contains(forms, F.lower(p)), F.concat(F.lit("<em>"), p, F.lit("</em>"))).otherwise(safe(p))
+    return F.trim(F.array_join(F.transform(pieces, mark), ""))
+
+
+def unspaced(runs: DataFrame, key: list[str], words: str, typed: str) -> DataFrame:
+    """key, position, word: the words that an occurrence of the typed text falls in, where words are printed without spaces.
+
+    words: array of the words of one run, which punctuation bounds, so that no occurrence reaches over it.
+    """
+    names = [*key, "position", "word"]
+
+    def run(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for *own, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                line, at, hit = "".join(parts), -1, set()
+                starts = list(accumulate(map(len, parts), initial=0))
+                while typed and (at := line.find(typed, at + 1)) >= 0:
+                    hit.update(range(bisect_right(starts, at) - 1, bisect_left(starts, at + len(typed))))
+                out += [(*own, k, parts[k]) for k in sorted(hit) if parts[k]]
+            columns = zip(*out, strict=True) if out else [[] for _ in names]
+            types = [batch.schema.field(k).type for k in range(len(key))] + [pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
+
+    schema = ", ".join(f"{k} {runs.schema[k].dataType.simpleString()}" for k in key)
+    return runs.select(*key, words).mapInArrow(run, f"{schema}, position long, word string")
 
 
 def neighbours(words: DataFrame, asked: list[str], least: float = 0.3) -> DataFrame:
@@ -58,3 +190,34 @@ def neighbours(words: DataFrame, asked: list[str], least: float = 0.3) -> DataFr
     distance = F.levenshtein(F.lower("asked"), F.lower("word")).cast("long")
     pairs = w.crossJoin(F.broadcast(q)).withColumn("similarity", F.round(like, 6)).withColumn("distance", distance)  # the asked words are few
     return pairs.filter((F.col("similarity") >= least) | (F.col("distance") <= F.when(F.length("asked") <= 4, 1).otherwise(2))).select("asked", "word", "similarity", "distance")
+
+
+#: A spelling is looked for where a word is printed so often at most; its own word must be so many times as frequent (fixed values).
+RARE, OUTWEIGHS, NEIGHBOURS = 25, 2, 30
+
+
+def suggestions(forms: DataFrame, asked: list[str]) -> DataFrame:
+    """asked, form: a spelling near a rarely printed word of three letters and more. forms: form, occurrences.
+
+    Of the 30 likest forms by trigrams those within one letter (two beyond four letters), with another stem, that differ in more than
+    the ending and, where the asked word is printed at all, only in vowels or by letters more; twice as frequent by stem.
+    """
+    spark = forms.sparkSession
+    stems = stem(forms, "form")
+    weight = stems.groupBy("stem").agg(F.sum("occurrences").alias("weight"))
+    q = stem(spark.createDataFrame([(a.lower(),) for a in asked if len(a) >= 3], "asked string"), "asked", "asked_stem")
+    q = q.join(weight.withColumnRenamed("stem", "asked_stem").withColumnRenamed("weight", "own"), "asked_stem", "left").fillna(0, ["own"]).filter(F.col("own") <= RARE)
+    # likeness by the trigrams that two words share: forms without a shared one never meet
+    asked_grams = q.select("asked", F.size(trigrams(F.col("asked"))).alias("_a"), F.explode(trigrams(F.col("asked"))).alias("g"))
+    form_grams = stems.select("form", F.size(trigrams(F.col("form"))).alias("_f"), F.explode(trigrams(F.col("form"))).alias("g"))
+    shared = form_grams.join(F.broadcast(asked_grams), "g").groupBy("asked", "form", "_a", "_f").agg(F.count("*").alias("_n"))  # the asked words are few
+    alike = shared.select("asked", "form", (F.col("_n") / (F.col("_a") + F.col("_f") - F.col("_n"))).alias("like")).filter("form <> asked AND like >= 0.3")
+    pairs = alike.join(stems, "form").join(F.broadcast(q), "asked")
+    pairs = pairs.withColumn("place", F.row_number().over(Window.partitionBy("asked").orderBy(F.col("like").desc(), F.col("occurrences").desc(), "form"))).filter(F.col("place") <= NEIGHBOURS)
+    distance = F.levenshtein("asked", "form")
+    longest = F.greatest(F.length("asked"), F.length("form"))
+    same_start = F.expr("left(asked, greatest(length(asked), length(form)) - 2) = left(form, greatest(length(asked), length(form)) - 2)") & (F.least(F.length("asked"), F.length("form")) >= longest - 2)
+    consonants = lambda c: F.regexp_replace(c, "[aeiouy]", "")
+    fits = (F.col("stem") != F.col("asked_stem")) & (distance <= F.when(F.length("asked") <= 4, 1).otherwise(2)) & ~same_start & ((F.col("own") == 0) | F.col("form").contains(F.col("asked")) | (consonants("form") == consonants("asked")))
+    close = pairs.filter(fits).join(weight, "stem").withColumn("r", F.row_number().over(Window.partitionBy("asked").orderBy(distance, "place"))).filter("r = 1")
+    return close.filter((F.col("own") == 0) | (F.col("weight") >= OUTWEIGHS * F.col("own"))).select("asked", "form", F.col("own").alias("printed"), "weight")

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys, text
-from ..operators import graph, links, merge, passages, quality, search, timeline
-from ..session import LINE
+from ..operators import graph, links, passages, quality, timeline
 from ..sources import formats
-from . import linking  # noqa: F401  (registers its queries)
+from . import kinship, linking, measures, merging, reading, searching  # noqa: F401  (they register their queries)
+from .searching import TOKENS, stem_sql
 from .registry import ALL, ORACLES, QUERIES, long, n, query
 
 # -- concordance
@@ -69,38 +69,13 @@ def strength_per_segment(t):
     return t("lineitem").groupBy(*by).agg(n().alias("links"), F.count_if(F.col("l_discount") == 0).alias("stated"), F.round(F.avg(F.nullif("l_discount", F.lit(0.0))), 4).alias("strength"))
 
 
-@query("""WITH r AS (SELECT l_partkey, l_suppkey, rank() OVER (PARTITION BY l_partkey ORDER BY coalesce(nullif(l_discount, 0), 2) DESC) AS r FROM lineitem)
-SELECT l_partkey, CASE WHEN min(l_suppkey) = max(l_suppkey) THEN min(l_suppkey) END AS answer, count(*) AS claims FROM r WHERE r = 1 GROUP BY 1""")
-def settle_claims(t):
-    claims = t("lineitem").select("l_partkey", "l_suppkey", F.coalesce(F.nullif("l_discount", F.lit(0.0)), F.lit(2.0)).alias("c"))
-    return merge.settle(claims, ["l_partkey"], "l_suppkey", F.col("c").desc())
-
-
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r = 1")
 def distinct_on(t):
     w = Window.partitionBy("o_custkey").orderBy(F.col("o_totalprice").desc(), "o_orderkey")
     return t("orders").select("o_custkey", "o_orderkey", "o_totalprice").withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
 
 
-# -- merging
-
-_METHOD = "CASE l_linenumber % 4 WHEN 0 THEN 'manual' WHEN 1 THEN 'strong' WHEN 2 THEN 'composed' ELSE 'aligner' END"
-
-
-@query(f"""SELECT method, rank, count(*) AS claims FROM (SELECT {_METHOD} AS method, CAST(CASE WHEN {_METHOD} = 'strong' AND 10 * l_discount >= 0.9 THEN 85 WHEN {_METHOD} = 'manual' THEN 100 WHEN {_METHOD} = 'composed' THEN 60 WHEN {_METHOD} = 'aligner' THEN 40 ELSE 30 END AS BIGINT) AS rank FROM lineitem) GROUP BY 1, 2""")
-def method_precedence(t):
-    df = t("lineitem").select(F.expr(_METHOD).alias("method"), (10 * F.col("l_discount")).alias("c"))
-    return df.withColumn("rank", long(merge.rank(F.col("method"), F.col("c")))).groupBy("method", "rank").agg(n().alias("claims"))
-
-
-def _claims(t):
-    return t("lineitem").select(F.col("l_orderkey").alias("segment"), F.concat_ws("|", *LINE).alias("key"), (F.col("l_partkey") % 7).alias("a"), (F.col("l_suppkey") % 5).alias("b"), long(merge.rank(F.expr(_METHOD), 10 * F.col("l_discount"))).alias("rank"))
-
-
-@query()
-def compete_greedy(t):
-    return merge.compete(_claims(t), "segment")
-
+# -- alignment of texts
 
 @query()
 def witness_alignment(t):
@@ -112,28 +87,15 @@ def witness_alignment(t):
 
 # -- text and search
 
-_TOKENS = "(SELECT doc_id, source, unnest(range(0, len(w))) AS position, unnest(w) AS token FROM (SELECT doc_id, source, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents))"
 
 
-@query(f"SELECT token, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM {_TOKENS} GROUP BY 1")
+@query(f"SELECT token, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM {TOKENS} GROUP BY 1")
 def forms_index(t):
     tok = text.tokens(t("documents").select("doc_id", "text"))
     return tok.groupBy("token", "doc_id").agg(n().alias("c")).groupBy("token").agg(F.sum("c").alias("occurrences"), n().alias("documents"))
 
 
-def _stem_sql(word):
-    cases = " ".join(f"WHEN {word} LIKE '%{e}' AND length({word}) - {len(e)} >= 3 THEN left({word}, length({word}) - {len(e)}) || '{'i' if e in ('ies', 'ied') else ''}'" for e in text.ENDINGS)
-    return f"CASE WHEN length({word}) <= 3 THEN {word} {cases} ELSE {word} END"
-
-
-def _whole_stem(word):
-    """The stemmer as one SQL expression."""
-    s = f"({_stem_sql(word)})"
-    u = f"(CASE WHEN length({word}) > 3 AND length({s}) > 3 AND right({s}, 1) = substr({s}, length({s}) - 1, 1) AND right({s}, 1) NOT IN ('a','e','i','o','u') THEN left({s}, length({s}) - 1) ELSE {s} END)"
-    return f"(CASE WHEN length({word}) > 3 AND length({u}) > 3 AND right({u}, 1) = 'e' THEN left({u}, length({u}) - 1) ELSE {u} END)"
-
-
-@query(f"""WITH w AS (SELECT DISTINCT token AS w FROM {_TOKENS}), s AS (SELECT w, {_stem_sql('w')} AS s FROM w),
+@query(f"""WITH w AS (SELECT DISTINCT token AS w FROM {TOKENS}), s AS (SELECT w, {stem_sql('w')} AS s FROM w),
 u AS (SELECT w, CASE WHEN length(w) > 3 AND length(s) > 3 AND right(s, 1) = substr(s, length(s) - 1, 1) AND right(s, 1) NOT IN ('a','e','i','o','u') THEN left(s, length(s) - 1) ELSE s END AS s FROM s),
 e AS (SELECT w, CASE WHEN length(w) > 3 AND length(s) > 3 AND right(s, 1) = 'e' THEN left(s, length(s) - 1) ELSE s END AS s FROM u)
 SELECT s AS stem, count(*) AS forms, min(w) AS first_form FROM e GROUP BY 1""")
@@ -142,54 +104,6 @@ def stems(t):
     return text.stem(forms, "token").groupBy("stem").agg(n().alias("forms"), F.min("token").alias("first_form"))
 
 
-@query(f"SELECT doc_id FROM {_TOKENS} WHERE token IN ('with', 'from', 'this') GROUP BY 1 HAVING count(DISTINCT token) = 3")
-def search_all_terms(t):
-    tok = text.tokens(t("documents").select("doc_id", "text")).filter(F.col("token").isin("with", "from", "this"))
-    return tok.groupBy("doc_id").agg(F.countDistinct("token").alias("k")).filter("k = 3").select("doc_id")
-
-
-@query(f"""WITH h AS (SELECT doc_id, position - CASE token WHEN 'of' THEN 0 ELSE 1 END AS island, token FROM {_TOKENS} WHERE token IN ('of', 'the'))
-SELECT doc_id, count(*) AS places FROM (SELECT doc_id, island FROM h GROUP BY 1, 2 HAVING count(DISTINCT token) = 2) GROUP BY 1""")
-def search_phrase(t):
-    tok = text.tokens(t("documents").select("doc_id", "text")).filter(F.col("token").isin("of", "the"))
-    island = F.col("position") - F.when(F.col("token") == "of", 0).otherwise(1)
-    return tok.groupBy("doc_id", island.alias("island")).agg(F.countDistinct("token").alias("k")).filter("k = 2").groupBy("doc_id").agg(n().alias("places"))
-
-
-@query(f"""WITH q(term, typed) AS (VALUES (0, 'of'), (1, 'the')), st AS MATERIALIZED (SELECT token, {_whole_stem('token')} AS stem FROM (SELECT DISTINCT token FROM {_TOKENS})),
-m AS MATERIALIZED (SELECT token, term, CASE WHEN token = typed THEN 0 WHEN stem = typed THEN 1 WHEN starts_with(token, typed) THEN 2 WHEN length(typed) >= 3 AND contains(token, typed) THEN 3 END AS tier FROM st, q),
-h2 AS MATERIALIZED (SELECT doc_id, position, term, tier FROM {_TOKENS} JOIN m USING (token) WHERE tier IS NOT NULL),
-p AS (SELECT doc_id, term, min(tier) AS tier, min(position) AS low, max(position) AS high FROM h2 GROUP BY 1, 2),
-held AS (SELECT doc_id, count(*) AS held, CAST(sum(tier) AS BIGINT) AS tiers, max(high) - min(low) AS span FROM p GROUP BY 1),
-ph AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, position - term AS i FROM h2 WHERE tier <= 1 GROUP BY 1, 2 HAVING count(DISTINCT term) = 2))
-SELECT held.doc_id, ph.doc_id IS NOT NULL AS phrase, held, tiers, CAST(span AS BIGINT) AS span, NOT EXISTS (SELECT 1 FROM held WHERE held = 2) AS partial FROM held LEFT JOIN ph USING (doc_id) WHERE held = 2""")
-def search_rank(t):
-    return search.rank(t("documents"), "doc_id", "of the")
-
-
-@query(f"""WITH q(term, typed) AS (VALUES (0, 'zzqx'), (1, 'with'), (2, 'from')), h AS (SELECT doc_id, position, term, CASE WHEN token = typed THEN 0 WHEN starts_with(token, typed) THEN 2 ELSE 3 END AS tier FROM {_TOKENS} JOIN q ON contains(token, typed)),
-p AS (SELECT doc_id, term, min(tier) AS tier, min(position) AS low, max(position) AS high FROM h GROUP BY 1, 2)
-SELECT doc_id, false AS phrase, count(*) AS held, CAST(sum(tier) AS BIGINT) AS tiers, CAST(max(high) - min(low) AS BIGINT) AS span, true AS partial FROM p GROUP BY 1 HAVING count(*) >= 2""")
-def search_relaxed(t):
-    return search.rank(t("documents"), "doc_id", "zzqx with from")
-
-
-@query(f"""SELECT tier, count(*) AS forms FROM (SELECT CASE WHEN token = 'tion' THEN 0 WHEN {_whole_stem('token')} = 'tion' THEN 1 WHEN starts_with(token, 'tion') THEN 2 WHEN contains(token, 'tion') THEN 3 END AS tier FROM (SELECT DISTINCT token FROM {_TOKENS})) WHERE tier IS NOT NULL GROUP BY 1""")
-def form_tiers(t):
-    forms = text.tokens(t("documents").select("doc_id", "text")).select(F.col("token").alias("form")).distinct()
-    return search.tiers(forms, ["tion"]).groupBy("tier").agg(n().alias("forms"))
-
-
-_TRI = "(SELECT {0} AS w, list_distinct([substr('  ' || lower({0}) || ' ', i, 3) FOR i IN range(1, length({0}) + 2)]) AS g FROM {1})"
-
-
-@query(f"""WITH q AS {_TRI.format('a', "(VALUES ('STANDARD TIN'), ('PROMO BRASS')) v(a)")}, w AS {_TRI.format('p_type', '(SELECT DISTINCT p_type FROM part)')}
-SELECT asked, word, similarity, distance FROM (SELECT q.w AS asked, w.w AS word, round(len(list_intersect(q.g, w.g)) / (len(q.g) + len(w.g) - len(list_intersect(q.g, w.g))), 6) AS similarity, CAST(levenshtein(lower(q.w), lower(w.w)) AS BIGINT) AS distance FROM q, w)
-WHERE similarity >= 0.3 OR distance <= 2""")
-def trigram_neighbours(t):
-    return search.neighbours(t("part").select(F.col("p_type").alias("word")).distinct(), ["STANDARD TIN", "PROMO BRASS"])
-
-
 @query(f"""WITH x AS (SELECT l_orderkey, l_returnflag AS f, lag(l_returnflag) OVER w AS b, lead(l_returnflag) OVER w AS a FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))
 SELECT l_orderkey, count(*) FILTER (WHERE b IS NULL OR b <> f) AS units, count(*) FILTER (WHERE (b IS NULL OR b <> f) AND (a IS NULL OR a <> f)) AS single FROM x GROUP BY 1""")
 def variation_units(t):
@@ -199,7 +113,7 @@ def variation_units(t):
     return x.groupBy("l_orderkey").agg(F.count_if(opens).alias("units"), F.count_if(opens & closes).alias("single"))
 
 
-@query(f"""WITH d AS (SELECT DISTINCT doc_id, source, token FROM {_TOKENS}), df AS (SELECT token, count(*) AS df FROM d GROUP BY 1), tot AS (SELECT count(*) AS n FROM documents), l AS (SELECT source, count(*) AS size FROM documents GROUP BY 1)
+@query(f"""WITH d AS (SELECT DISTINCT doc_id, source, token FROM {TOKENS}), df AS (SELECT token, count(*) AS df FROM d GROUP BY 1), tot AS (SELECT count(*) AS n FROM documents), l AS (SELECT source, count(*) AS size FROM documents GROUP BY 1)
 SELECT d.source, d.token, count(*) AS covered, round(count(*) / any_value(size) * ln(any_value(n) / any_value(df)), 4) AS relevance FROM d JOIN df USING (token) JOIN l USING (source), tot WHERE df >= 20 GROUP BY 1, 2""")
 def topic_relevance(t):
     docs = t("documents")
@@ -211,7 +125,7 @@ def topic_relevance(t):
     return per.join(df, "token").join(size, "source").select("source", "token", "covered", F.round(F.col("covered") / F.col("size") * F.log(F.lit(total) / F.col("df")), 4).alias("relevance"))
 
 
-@query(f"""WITH d AS (SELECT DISTINCT doc_id, source, token FROM {_TOKENS}), e AS (SELECT source, count(*) AS mine FROM documents GROUP BY 1), f AS (SELECT token, count(*) AS printed FROM d GROUP BY 1),
+@query(f"""WITH d AS (SELECT DISTINCT doc_id, source, token FROM {TOKENS}), e AS (SELECT source, count(*) AS mine FROM documents GROUP BY 1), f AS (SELECT token, count(*) AS printed FROM d GROUP BY 1),
 b AS (SELECT source, token, count(*) AS reached FROM d GROUP BY 1, 2), s AS (SELECT source, token, reached / mine AS coverage, reached / printed AS specificity FROM b JOIN e USING (source) JOIN f USING (token))
 SELECT source, token, round(coverage * specificity, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(coverage * specificity, 9) DESC, token) AS r FROM s) WHERE r = 1""")
 def name_consensus(t):
@@ -237,7 +151,7 @@ def mode_with_tiebreak(t):
     return c.withColumn("r", r).filter("r = 1").select("user_id", "event_type", "uses")
 
 
-_GRAMS = f"(SELECT doc_id AS seg, position, array_to_string([token, lead(token, 1) OVER w, lead(token, 2) OVER w, lead(token, 3) OVER w, lead(token, 4) OVER w], ' ') AS gram, lead(token, 4) OVER w AS last FROM {_TOKENS} WINDOW w AS (PARTITION BY doc_id ORDER BY position))"
+_GRAMS = f"(SELECT doc_id AS seg, position, array_to_string([token, lead(token, 1) OVER w, lead(token, 2) OVER w, lead(token, 3) OVER w, lead(token, 4) OVER w], ' ') AS gram, lead(token, 4) OVER w AS last FROM {TOKENS} WINDOW w AS (PARTITION BY doc_id ORDER BY position))"
 
 
 def _seeds(t):
@@ -256,7 +170,7 @@ def passage_chains(t):
     return passages.align(passages.chains(_seeds(t)), t("documents").select(F.col("doc_id").alias("seg"), "text"))
 
 
-@query(f"""WITH w AS (SELECT DISTINCT source, token FROM {_TOKENS}), a AS (SELECT token FROM w WHERE source = 'src1'), b AS (SELECT token FROM w WHERE source = 'src2')
+@query(f"""WITH w AS (SELECT DISTINCT source, token FROM {TOKENS}), a AS (SELECT token FROM w WHERE source = 'src1'), b AS (SELECT token FROM w WHERE source = 'src2')
 SELECT coalesce(a.token, b.token) AS token, CASE WHEN a.token IS NULL THEN 'right' WHEN b.token IS NULL THEN 'left' ELSE 'same' END AS degree FROM a FULL JOIN b ON a.token = b.token""")
 def word_differences(t):
     w = text.tokens(t("documents").select("source", "text").filter(F.col("source").isin("src1", "src2"))).select("source", "token").distinct()
@@ -304,11 +218,6 @@ def preference_lateral(t):
     return timeline.preferred(t("events").select("user_id", "event_id", "event_type"), "user_id", "event_type", ["purchase", "signup", "click"], "event_id")
 
 
-@query(f"SELECT {ALL} FROM lineitem WHERE (l_orderkey, l_linenumber) > (100, 2) ORDER BY {ALL} LIMIT 50")
-def keyset_page(t):
-    after = F.struct("l_orderkey", F.col("l_linenumber").cast("long").alias("k")) > F.struct(F.lit(100).cast("long").alias("l_orderkey"), F.lit(2).cast("long").alias("k"))
-    return t("lineitem").select(*LINE).filter((F.col("l_orderkey") >= 100) & after).orderBy(*LINE).limit(50)
-
 
 # -- graphs
 
@@ -400,12 +309,6 @@ def pack_unpack(t):
     return p.withColumn("total", F.aggregate(F.split("packed", ","), F.lit(0).cast("long"), lambda s, x: s + x.cast("long")))
 
 
-@query()
-def type_inference(t):
-    df = t("nation")
-    return formats.infer(df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]))
-
-
 @query("""SELECT 'line without order' AS rule, count(*) AS found FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey) UNION ALL
 SELECT 'order without customer', count(*) FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey) UNION ALL
 SELECT 'discount outside 0..1', count(*) FROM lineitem WHERE l_discount < 0 OR l_discount > 1 UNION ALL
@@ -434,11 +337,5 @@ def export_manifest(t):
     return formats.manifest(t("orders"), "o_orderstatus").select(F.col("o_orderstatus").alias("part"), "rows")
 
 
-@query(f"SELECT doc_id, string_agg(token, ' ' ORDER BY position) AS assembled FROM {_TOKENS} GROUP BY 1")
-def text_assembly(t):
-    tok = text.tokens(t("documents").select("doc_id", "text"))
-    return tok.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "token"))), lambda x: x["token"]), " ").alias("assembled"))
-
-
 def flagship(spark, sf_dir: str) -> DataFrame:
     return QUERIES["rendering_topk"](spark, sf_dir)

@@ -11,18 +11,56 @@ PATTERNS = {"wordkey": r"^\d+\.\d+[a-z]?:\d+[a-z]?\.\d+$", "versekey": r"^\d+\.\
 
 
 def infer(df: DataFrame) -> DataFrame:
-    """column, type of string columns over all rows: the first type that every value fits; a column without values is text."""
-    facts = []
-    for c in df.columns:
-        checks = [F.min(F.col(c).rlike(p).cast("int")).alias(k) for k, p in PATTERNS.items()]
-        facts.append(df.agg(*checks).select(F.lit(c).alias("column"), *PATTERNS))
-    out = facts[0]
-    for f in facts[1:]:
-        out = out.unionByName(f)
-    chosen = F.lit("text")
-    for k in reversed(PATTERNS):
-        chosen = F.when(F.col(k) == 1, k).otherwise(chosen)
-    return out.select("column", chosen.alias("type"))
+    """column, type of string columns over all rows: the first type that every value fits; a column without values is text. One scan."""
+    checks = [F.min(F.col(f"`{c}`").rlike(p).cast("int")).alias(f"{k}_{name}") for k, c in enumerate(df.columns) for name, p in PATTERNS.items()]
+
+    def kind(k: int):
+        out = F.lit("text")
+        for name in reversed(PATTERNS):
+            out = F.when(F.col(f"{k}_{name}") == 1, name).otherwise(out)
+        return out
+
+    one = df.agg(*checks).select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), kind(k).alias("type")) for k, c in enumerate(df.columns)])).alias("x"))
+    return one.select("x.column", "x.type")
+
+
+def typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """String columns as the types that ``infer`` names; keys and JSON stay strings."""
+    cast = {"integer": lambda c: c.cast("long"), "boolean": lambda c: c == "t"}
+    return df.select(*[cast.get(types.get(c, "text"), lambda x: x)(F.col(f"`{c}`")).alias(c) for c in df.columns])
+
+
+def view(df: DataFrame, columns: list[str] | None = None, where: str | None = None, order: list[str] | None = None, head: int | None = None) -> DataFrame:
+    """Some columns of the first rows that fit a condition."""
+    out = df.filter(where) if where else df
+    out = out.orderBy(*order) if order else out
+    out = out.limit(head) if head is not None else out
+    return out.select(*columns) if columns else out
+
+
+def stats(df: DataFrame) -> DataFrame:
+    """column, rows, nulls, values (distinct), least, greatest of each column, as text; one scan and one exchange."""
+    facts = [F.struct(F.lit(c).alias("column"), F.count("*").alias("rows"), F.count_if(F.col(f"`{c}`").isNull()).alias("nulls"), F.countDistinct(f"`{c}`").alias("values"), F.min(f"`{c}`").cast("string").alias("least"), F.max(f"`{c}`").cast("string").alias("greatest")) for c in df.columns]
+    return df.agg(F.array(*facts).alias("f")).select(F.explode("f").alias("x")).select("x.*")
+
+
+def write_sorted(df: DataFrame, path: str, key: list[str], files: int) -> None:
+    """Parquet in ranges of a key, sorted, so that a look-up by key reads few row groups."""
+    df.repartitionByRange(files, *key).sortWithinPartitions(*key).write.parquet(path)
+
+
+def lookup(spark: SparkSession, path: str, **key) -> DataFrame:
+    """The rows of one key; the conditions reach the row groups' statistics."""
+    out = spark.read.parquet(path)
+    for name, value in key.items():
+        out = out.filter(F.col(name) == F.lit(value))
+    return out
+
+
+def validate(df: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """rule, found: rows that break each rule, conditions that must hold; one scan. A condition that is unknown counts as broken."""
+    found = [F.struct(F.lit(name).alias("rule"), F.count_if(~F.coalesce(F.expr(rule), F.lit(False))).alias("found")) for name, rule in rules.items()]
+    return df.agg(F.array(*found).alias("f")).select(F.explode("f").alias("x")).select("x.*")
 
 
 def check_schema(df: DataFrame, expected: T.StructType) -> list[str]:
