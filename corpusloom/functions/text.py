@@ -23,22 +23,16 @@ def tokens(df: DataFrame, text: str = "text", pattern: str = "[a-z]+") -> DataFr
     return df.select(*[c for c in df.columns if c != text], F.posexplode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(pattern), F.lit(0))).alias("position", "token"))
 
 
-def trimmed(word: Column) -> Column:
-    """A word of over three letters without its first matching ending, if three letters are left."""
-    out = word
-    for ending in reversed(ENDINGS):
-        n = len(ending)
-        cut = F.concat(F.expr("left({0}, length({0}) - {1})".format("_w", n)), F.lit("i" if ending in ("ies", "ied") else ""))
-        out = F.when(F.endswith(F.col("_w"), F.lit(ending)) & (F.length("_w") - n >= 3), cut).otherwise(out)
-    return out
+def stemmed(word: Column) -> Column:
+    """English stem: the first ending off that leaves three letters, ies and ied as i; a doubled final consonant undoubled and a
+    silent e dropped beyond three letters. The lazy group makes the longest ending match; each pattern needs over three letters."""
+    endings = "|".join("(i)e" + e[2:] if e in ("ies", "ied") else e for e in ENDINGS).replace("(i)es|(i)ed", "(i)e[sd]")
+    bare = F.regexp_replace(F.lower(word), f"^(.{{3,}}?)(?:{endings})$", "$1$2")
+    return F.regexp_replace(F.regexp_replace(bare, r"^(.{2,}([b-df-hj-np-tv-z]))\2$", "$1"), "^(.{3,})e$", "$1")
 
 
 def stem(df: DataFrame, word: str, name: str = "stem") -> DataFrame:
-    """English stem: ending off, a doubled final consonant undoubled and a silent e dropped beyond three letters."""
-    df = df.withColumn("_w", F.lower(F.col(word)))
-    df = df.withColumn("_s", F.when(F.length("_w") <= 3, F.col("_w")).otherwise(trimmed(F.col("_w"))))
-    df = df.withColumn("_s", F.when((F.length("_w") > 3) & (F.length("_s") > 3), F.regexp_replace("_s", r"([b-df-hj-np-tv-z])\1$", "$1")).otherwise(F.col("_s")))
-    return df.withColumn(name, F.when((F.length("_w") > 3) & (F.length("_s") > 3), F.regexp_replace("_s", "e$", "")).otherwise(F.col("_s"))).drop("_w", "_s")
+    return df.withColumn(name, stemmed(F.col(word)))
 
 
 def trigrams(word: Column) -> Column:

@@ -58,11 +58,6 @@ def crowding(t):
     return t("lineitem").groupBy("l_orderkey").agg(n().alias("size")).groupBy("size").agg(n().alias("segments"))
 
 
-@query("SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-def stranded_anti(t):
-    return t("customer").select("c_custkey", "c_mktsegment").join(t("orders").select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
-
-
 @query("""SELECT year(l_shipdate) AS year, month(l_shipdate) AS month, count(*) AS links, count(*) FILTER (WHERE l_discount = 0) AS stated, round(avg(nullif(l_discount, 0)), 4) AS strength FROM lineitem GROUP BY 1, 2""")
 def strength_per_segment(t):
     by = [long(F.year("l_shipdate")).alias("year"), long(F.month("l_shipdate")).alias("month")]
@@ -170,13 +165,6 @@ def passage_chains(t):
     return passages.align(passages.chains(_seeds(t)), t("documents").select(F.col("doc_id").alias("seg"), "text"))
 
 
-@query(f"""WITH w AS (SELECT DISTINCT source, token FROM {TOKENS}), a AS (SELECT token FROM w WHERE source = 'src1'), b AS (SELECT token FROM w WHERE source = 'src2')
-SELECT coalesce(a.token, b.token) AS token, CASE WHEN a.token IS NULL THEN 'right' WHEN b.token IS NULL THEN 'left' ELSE 'same' END AS degree FROM a FULL JOIN b ON a.token = b.token""")
-def word_differences(t):
-    w = text.tokens(t("documents").select("source", "text").filter(F.col("source").isin("src1", "src2"))).select("source", "token").distinct()
-    return w.groupBy("token").agg(F.min("source").alias("lo"), F.max("source").alias("hi")).select("token", F.when(F.col("lo") != F.col("hi"), "same").when(F.col("lo") == "src1", "left").otherwise("right").alias("degree"))
-
-
 # -- indexes and views
 
 
@@ -309,21 +297,6 @@ def pack_unpack(t):
     return p.withColumn("total", F.aggregate(F.split("packed", ","), F.lit(0).cast("long"), lambda s, x: s + x.cast("long")))
 
 
-@query("""SELECT 'line without order' AS rule, count(*) AS found FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey) UNION ALL
-SELECT 'order without customer', count(*) FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey) UNION ALL
-SELECT 'discount outside 0..1', count(*) FROM lineitem WHERE l_discount < 0 OR l_discount > 1 UNION ALL
-SELECT 'label without document', count(*) FROM labels WHERE NOT EXISTS (SELECT 1 FROM documents WHERE documents.doc_id = labels.doc_id)""")
-def integrity_zero_checks(t):
-    rule = lambda name, df: df.agg(n().alias("found")).select(F.lit(name).alias("rule"), "found")
-    anti = lambda a, x, b, y: t(a).select(x).join(t(b).select(F.col(y).alias("_k")), F.col(x) == F.col("_k"), "left_anti")
-    checks = [rule("line without order", anti("lineitem", "l_orderkey", "orders", "o_orderkey")), rule("order without customer", anti("orders", "o_custkey", "customer", "c_custkey"))]
-    checks += [rule("discount outside 0..1", t("lineitem").filter("l_discount < 0 OR l_discount > 1")), rule("label without document", anti("labels", "doc_id", "documents", "doc_id"))]
-    out = checks[0]
-    for c in checks[1:]:
-        out = out.unionByName(c)
-    return out
-
-
 @query("""SELECT a.o_orderkey, a.o_orderstatus AS stored, b.s AS counted FROM orders a FULL JOIN (SELECT l_orderkey, CASE WHEN bool_and(l_linestatus = 'F') THEN 'F' WHEN bool_and(l_linestatus = 'O') THEN 'O' ELSE 'P' END AS s FROM lineitem GROUP BY 1) b ON a.o_orderkey = b.l_orderkey WHERE a.o_orderstatus IS DISTINCT FROM b.s""")
 def recount_oracle(t):
     f = F.col("l_linestatus")
