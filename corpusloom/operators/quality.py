@@ -21,7 +21,11 @@ def keyed_comparison(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def row_difference(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rows only in one state, by a hash of the whole row, as a multiset."""
-    mark = lambda df: df.select(F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in df.columns])).alias("row_hash"))
-    a, b = mark(before), mark(after)
-    return a.exceptAll(b).withColumn("side", F.lit("before")).unionByName(b.exceptAll(a).withColumn("side", F.lit("after")))
+    """Rows only in one state, by a hash of the whole row, as a multiset: one exchange of hashes, counted before it with a sign."""
+    def mark(df: DataFrame, sign: int) -> DataFrame:
+        row = F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in df.columns]))
+        return df.select(row.alias("row_hash"), F.lit(sign).alias("sign"))
+
+    left = mark(before, 1).unionByName(mark(after, -1)).groupBy("row_hash").agg(F.sum("sign").alias("n")).filter("n <> 0")
+    side = F.when(F.col("n") > 0, "before").otherwise("after").alias("side")
+    return left.select("row_hash", side, F.explode(F.sequence(F.lit(1).cast("long"), F.abs("n"))).alias("_k")).select("row_hash", "side")

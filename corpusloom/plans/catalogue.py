@@ -86,8 +86,18 @@ def witness_alignment(t):
 
 @query(f"SELECT token, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM {TOKENS} GROUP BY 1")
 def forms_index(t):
-    tok = text.tokens(t("documents").select("doc_id", "text"))
-    return tok.groupBy("token", "doc_id").agg(n().alias("c")).groupBy("token").agg(F.sum("c").alias("occurrences"), n().alias("documents"))
+    """Each token counts once, each distinct token of a text once more: one exchange of forms, summed before it."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    rows = t("documents").select(words.alias("w"))
+    each = rows.select(F.explode("w").alias("token")).select("token", F.lit(1).alias("o"), F.lit(0).alias("d"))
+    once = rows.select(F.explode(F.array_distinct("w")).alias("token")).select("token", F.lit(0).alias("o"), F.lit(1).alias("d"))
+    return each.unionByName(once).groupBy("token").agg(F.sum("o").alias("occurrences"), F.sum("d").alias("documents"))
+
+
+def _held(t):
+    """source, token of each document's distinct tokens, made within the row."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
+    return t("documents").select("source", F.explode(words).alias("token")).groupBy("source", "token").agg(n().alias("covered"))
 
 
 @query(f"""WITH w AS (SELECT DISTINCT token AS w FROM {TOKENS}), s AS (SELECT w, {stem_sql('w')} AS s FROM w),
@@ -111,21 +121,19 @@ def variation_units(t):
 @query(f"""WITH d AS (SELECT DISTINCT doc_id, source, token FROM {TOKENS}), df AS (SELECT token, count(*) AS df FROM d GROUP BY 1), tot AS (SELECT count(*) AS n FROM documents), l AS (SELECT source, count(*) AS size FROM documents GROUP BY 1)
 SELECT d.source, d.token, count(*) AS covered, round(count(*) / any_value(size) * ln(any_value(n) / any_value(df)), 4) AS relevance FROM d JOIN df USING (token) JOIN l USING (source), tot WHERE df >= 20 GROUP BY 1, 2""")
 def topic_relevance(t):
-    docs = t("documents")
-    total = docs.count()
-    d = text.tokens(docs.select("doc_id", "source", "text")).select("doc_id", "source", "token").distinct()
-    per = d.groupBy("token", "source").agg(n().alias("covered"))
+    docs, per = t("documents"), _held(t)
     df = per.groupBy("token").agg(F.sum("covered").alias("df")).filter("df >= 20")
     size = docs.groupBy("source").agg(n().alias("size"))
-    return per.join(df, "token").join(size, "source").select("source", "token", "covered", F.round(F.col("covered") / F.col("size") * F.log(F.lit(total) / F.col("df")), 4).alias("relevance"))
+    total = docs.agg(n().alias("total"))  # one row
+    joined = per.join(df, "token").join(size, "source").crossJoin(F.broadcast(total))
+    return joined.select("source", "token", "covered", F.round(F.col("covered") / F.col("size") * F.ln(F.col("total") / F.col("df")), 4).alias("relevance"))
 
 
 @query(f"""WITH d AS (SELECT DISTINCT doc_id, source, token FROM {TOKENS}), e AS (SELECT source, count(*) AS mine FROM documents GROUP BY 1), f AS (SELECT token, count(*) AS printed FROM d GROUP BY 1),
 b AS (SELECT source, token, count(*) AS reached FROM d GROUP BY 1, 2), s AS (SELECT source, token, reached / mine AS coverage, reached / printed AS specificity FROM b JOIN e USING (source) JOIN f USING (token))
 SELECT source, token, round(coverage * specificity, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(coverage * specificity, 9) DESC, token) AS r FROM s) WHERE r = 1""")
 def name_consensus(t):
-    d = text.tokens(t("documents").select("doc_id", "source", "text")).select("doc_id", "source", "token").distinct()
-    both = d.groupBy("source", "token").agg(n().alias("reached"))
+    both = _held(t).withColumnRenamed("covered", "reached")
     printed = both.groupBy("token").agg(F.sum("reached").alias("printed"))
     mine = t("documents").groupBy("source").agg(n().alias("mine"))
     s = both.join(printed, "token").join(mine, "source").withColumn("s", F.col("reached") / F.col("mine") * (F.col("reached") / F.col("printed")))
@@ -150,8 +158,7 @@ _GRAMS = f"(SELECT doc_id AS seg, position, array_to_string([token, lead(token,
 
 
 def _seeds(t):
-    g = passages.grams(text.tokens(t("documents").select(F.col("doc_id").alias("seg"), "text")), "seg")
-    return passages.seeds(g, g)
+    return passages.seeds(passages.grams(t("documents"), "doc_id"))
 
 
 @query(f"""WITH g AS MATERIALIZED (SELECT seg, position, gram FROM {_GRAMS} WHERE last IS NOT NULL), f AS (SELECT gram FROM g GROUP BY 1 HAVING count(DISTINCT seg) BETWEEN 2 AND 4)
@@ -244,13 +251,13 @@ _KEYED = "SELECT l_orderkey AS key, l_returnflag || {0} AS value, l_partkey AS i
 b AS (SELECT *, row_number() OVER (PARTITION BY key, value ORDER BY id) AS n FROM ({_KEYED.format("CASE WHEN l_linenumber = 2 THEN 'X' ELSE l_linestatus END", "l_linenumber <> 5")})),
 f AS (SELECT coalesce(a.key, b.key) AS key, coalesce(a.value, b.value) AS value, coalesce(a.n, b.n) AS n, a.id AS ida, b.id AS idb, a.key IS NOT NULL AS ina, b.key IS NOT NULL AS inb FROM a FULL JOIN b ON a.key = b.key AND a.value = b.value AND a.n = b.n),
 l AS (SELECT key, value AS old, row_number() OVER (PARTITION BY key ORDER BY value, n) AS m FROM f WHERE NOT inb), r AS (SELECT key, value AS new, row_number() OVER (PARTITION BY key ORDER BY value, n) AS m FROM f WHERE NOT ina),
-o AS (SELECT 'id-only' AS outcome FROM f WHERE ina AND inb AND ida IS DISTINCT FROM idb UNION ALL SELECT CASE WHEN r.key IS NULL THEN 'only-before' WHEN l.key IS NULL THEN 'only-after' ELSE 'changed' END FROM l FULL JOIN r ON l.key = r.key AND l.m = r.m)
-SELECT outcome, count(*) AS rows FROM o GROUP BY 1""")
+o AS (SELECT key, 'id-only' AS outcome, value AS old, value AS new FROM f WHERE ina AND inb AND ida IS DISTINCT FROM idb UNION ALL SELECT coalesce(l.key, r.key), CASE WHEN r.key IS NULL THEN 'only-before' WHEN l.key IS NULL THEN 'only-after' ELSE 'changed' END, l.old, r.new FROM l FULL JOIN r ON l.key = r.key AND l.m = r.m)
+SELECT key, outcome, old, new FROM o""")
 def keyed_comparison(t):
     df = t("lineitem")
     a = df.filter("l_linenumber <> 3").select(F.col("l_orderkey").alias("key"), F.concat("l_returnflag", "l_linestatus").alias("value"), F.col("l_partkey").alias("id"))
     b = df.filter("l_linenumber <> 5").select(F.col("l_orderkey").alias("key"), F.concat("l_returnflag", F.when(F.col("l_linenumber") == 2, "X").otherwise(F.col("l_linestatus"))).alias("value"), F.col("l_partkey").alias("id"))
-    return quality.keyed_comparison(a, b).groupBy("outcome").agg(n().alias("rows"))
+    return quality.keyed_comparison(a, b)
 
 
 _ROWS = "SELECT md5(o_orderkey || chr(31) || o_custkey || chr(31) || {0}) AS row_hash FROM orders WHERE {1}"
@@ -305,9 +312,25 @@ def recount_oracle(t):
     return j.filter(~F.col("stored").eqNullSafe(F.col("counted"))).select("o_orderkey", "stored", "counted")
 
 
-@query("SELECT o_orderstatus AS part, count(*) AS rows FROM orders GROUP BY 1")
+@query("SELECT o_orderstatus AS part, count(*) AS rows, CAST(bit_xor(('0x' || substr(md5(o_orderkey || chr(31) || o_custkey || chr(31) || o_orderpriority), 1, 15))::BIGINT) AS BIGINT) AS checksum FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 1")
 def export_manifest(t):
-    return formats.manifest(t("orders"), "o_orderstatus").select(F.col("o_orderstatus").alias("part"), "rows")
+    """What may be passed on (all priorities but one), by part, with rows and a checksum."""
+    return formats.manifest(t("orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus").filter("o_orderpriority <> '5-LOW'"), "o_orderstatus").withColumnRenamed("o_orderstatus", "part")
+
+
+@query("SELECT a.o_orderpriority AS text, count(*) AS pairs FROM orders a JOIN customer ON c_custkey = a.o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")
+def hinted_joins(t):
+    """A hash join and a merge join by hint, where a measure is known to be faster so."""
+    j = t("orders").select("o_custkey", "o_orderpriority").join(t("customer").select("c_custkey", "c_nationkey").hint("merge"), F.col("o_custkey") == F.col("c_custkey"))
+    return j.join(t("nation").select("n_nationkey").hint("shuffle_hash"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("o_orderpriority").alias("text")).agg(n().alias("pairs"))
+
+
+@query("SELECT doc_id FROM documents WHERE source IN (SELECT source FROM documents GROUP BY 1 HAVING count(*) >= 20) AND lang = 'en' AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def shown_rows(t):
+    """Rows a reader may see: of sources that are large enough, in one language, not marked."""
+    docs = t("documents").select("doc_id", "source", "lang")
+    large = docs.groupBy("source").agg(n().alias("k")).filter("k >= 20").select("source")
+    return docs.filter("lang = 'en'").join(large, "source", "left_semi").join(t("labels").filter("toxic = 1").select("doc_id"), "doc_id", "left_anti").select("doc_id")
 
 
 def flagship(spark, sf_dir: str) -> DataFrame:

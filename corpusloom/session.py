@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,3 +13,15 @@ LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 def tables(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
     return lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder all executors share: spark.checkpoint.dir, or our own where it is unset, as in tests."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints/corpusloom"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Removes a table of the shared folder that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
