@@ -51,8 +51,12 @@ def contracted(edges: DataFrame, parts: int) -> DataFrame:
     return edges.repartition(parts).mapInArrow(run, f"u {kind}, v {kind}")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """vertex, component: each vertex of an edge with the smallest vertex it reaches.
+def plainly(df: DataFrame, path: str) -> None:
+    df.write.parquet(path)
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", write=plainly) -> DataFrame:
+    """vertex, component: each vertex of an edge with the smallest vertex it reaches; ``write(df, path)`` keeps a round's table.
 
     Tasks first contract their shares of at most EDGES edges each; the only share of a small graph is its answer. Then a
     large star links a vertex's larger neighbours to its smallest one, a small star its smaller neighbours;
@@ -64,7 +68,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     schema = "u {0}, v {0}".format(edges.schema[a].dataType.simpleString())
     parts = max(1, -(-first.count() // EDGES))
     path, signature = scratch(spark, "stars"), None
-    contracted(first, parts).write.parquet(path)
+    write(contracted(first, parts), path)
     now = spark.read.schema(schema).parquet(path)
     while parts > 1:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -73,7 +77,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
         following = scratch(spark, "stars")
-        small.write.parquet(following)
+        write(small, following)
         drop(spark, path)
         path = following
         now = spark.read.schema(schema).parquet(path)
