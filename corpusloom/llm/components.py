@@ -1,85 +1,13 @@
-"""Connected components of an edge table: contraction within tasks, then alternating stars over what is left."""
+"""Connected components, whose rounds remove their shuffle files once they are written."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import drop, scratch, trim, written
-
-#: Edges that one task contracts.
-EDGES = 500_000
-
-
-def least_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """For each of n vertices the smallest one that the edges a, b join it to: hooking to smaller roots, and jumping to the root."""
-    root = np.arange(n)
-    while True:
-        x, y = root[a], root[b]
-        apart = x != y
-        if not apart.any():
-            return root
-        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
-        while (root != (following := root[root])).any():
-            root = following
-
-
-def contracted(edges: DataFrame, parts: int) -> DataFrame:
-    """u, v: for each vertex that a task's edges hold, the smallest one that they join it to. No vertex is lost, none joined anew."""
-    kind = edges.schema["u"].dataType.simpleString()
-
-    def run(batches):
-        held = [batch for batch in batches if batch.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        both = pa.chunked_array(table.column("u").chunks + table.column("v").chunks).combine_chunks().dictionary_encode()
-        order = pc.sort_indices(both.dictionary).to_numpy()
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        ends = rank[both.indices.to_numpy()]
-        names = both.dictionary.take(pa.array(order))
-        root = least_of(ends[: table.num_rows], ends[table.num_rows :], len(order))
-        keep = np.flatnonzero(root != np.arange(len(root)))
-        for at in range(0, len(keep), 50_000):
-            i = keep[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), names.take(pa.array(root[i]))], ["u", "v"])
-        trim()
-
-    return edges.repartition(parts).mapInArrow(run, f"u {kind}, v {kind}")
+from ..operators import graph
+from .common import written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """vertex, component: each vertex of an edge with the smallest vertex it reaches.
-
-    Tasks first contract their shares of at most EDGES edges each; the only share of a small graph is its answer. Then a
-    large star links a vertex's larger neighbours to its smallest one, a small star its smaller neighbours;
-    together they need a number of rounds that grows with the logarithm of the longest path. Pairs whose ends are
-    equal and null ends are ignored; no edges, no rows.
-    """
-    spark = edges.sparkSession
-    first = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v")
-    schema = "u {0}, v {0}".format(edges.schema[a].dataType.simpleString())
-    parts = max(1, -(-first.count() // EDGES))
-    path, signature = scratch(spark, "stars"), None
-    written(contracted(first, parts), path)
-    now = spark.read.schema(schema).parquet(path)
-    while parts > 1:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        following = scratch(spark, "stars")
-        written(small, following)
-        drop(spark, path)
-        path = following
-        now = spark.read.schema(schema).parquet(path)
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if signature == tuple(seen):
-            break
-        signature = tuple(seen)
-    return now.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct())
+    """vertex, component: each vertex of an edge with the smallest vertex it reaches."""
+    return graph.components(edges, a, b, written)

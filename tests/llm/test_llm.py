@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import ann, chat, components, fingerprints, katz, licences, mixing, near, packing, quality, warc
 from corpusloom.llm.common import load
+from corpusloom.operators import graph
 
 DATA = "/root/testdata/sf0.001"
 TEXTS = [None, "", " \t\n", "one", "two words", "a b c d e f", "a b c d e f", "A B C D E F", "x" * 50000, "wörter über äpfel " * 300, "<|endoftext|> a  b \n c"]
@@ -150,7 +151,7 @@ def test_near_long_lists_and_large_groups(spark, monkeypatch):
     """Lists dealt out in slices, components that need several rounds, 400 near copies with changed words."""
     monkeypatch.setattr(near, "SLICE", 7)
     monkeypatch.setattr(near, "SHORT", 3)
-    monkeypatch.setattr(components, "EDGES", 60)
+    monkeypatch.setattr(graph, "EDGES", 60)
     draw = np.random.default_rng(1)
     rows = []
     for k in range(400):
@@ -164,7 +165,7 @@ def test_near_long_lists_and_large_groups(spark, monkeypatch):
 
 @pytest.mark.parametrize("share", [50, 500_000])
 def test_components(spark, monkeypatch, share):
-    monkeypatch.setattr(components, "EDGES", share)
+    monkeypatch.setattr(graph, "EDGES", share)
     draw = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in draw.integers(0, 500, (300, 2))] + [(k, k + 1) for k in range(1000, 1200)] + [(None, 3), (4, 4)]
     got = {r.vertex: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
