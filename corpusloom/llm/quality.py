@@ -203,7 +203,8 @@ def fit(documents: DataFrame, labels: DataFrame, max_per_class: int = 1500, targ
         weights = np.array([totals[g[2]] / held[g[2]] for g in got]) * (len(got) / total) if got else np.empty(0)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([g[1] for g in got], y, weights))], pa.binary())], ["model"])
 
-    return pickle.loads(wanted.select("doc_id", "text", "y").repartition(1).mapInArrow(run, "model binary").first()["model"])
+    fitted = wanted.select("doc_id", "text", "y").repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(fitted["model"]) if fitted else train([], np.empty(0), np.empty(0))  # a plan known to be empty has no task
 
 
 def score(documents: DataFrame, model: Model, threshold: float = 0.3, score: str = "score", predicted: str = "predicted") -> DataFrame:
