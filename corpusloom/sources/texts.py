@@ -37,7 +37,7 @@ def usfm(text: str) -> Iterator[Verse]:
             chapter = int(re.match(r"\d*", number)[0] or 0)
             continue
         rest = re.sub(r"\|[^\\]*(?=\\\+?w\*)", "", rest)
-        verse, held = number, clean(re.sub(r"\\\+?[a-z]+\d*\*?\s?", "", rest))
+        verse, held = number, clean(re.sub(r"\\\+?[a-z]+\d*(?:\*|\s|$)", "", rest))
     if verse is not None:
         yield book, chapter, verse, held
 
