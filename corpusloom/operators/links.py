@@ -324,3 +324,69 @@ def align_segments(pairs: DataFrame) -> DataFrame:
             yield frame(rows)
 
     return pairs.mapInPandas(run, "seg long, step long, i long, j long, value long")
+
+
+def interlinear(left: DataFrame, right: DataFrame, form: str = "form") -> DataFrame:
+    """seg, form, nth, a, b: the nth word of a folded form in a segment meets the other text's nth of that form. left and right: seg, position, form."""
+    return nth_occurrence(left, right, ["seg", form], "position").withColumnRenamed("n", "nth").withColumnRenamed("position_1", "a").withColumnRenamed("position_2", "b")
+
+
+def placed_names(offers: DataFrame, signals: list[str], measured: str) -> DataFrame:
+    """Offers that two signals bear out, or one where its precision was measured."""
+    n = sum((F.coalesce(F.col(s), F.lit(False)).cast("int") for s in signals), F.lit(0))
+    return offers.withColumn("signals", n).filter((n >= 2) | ((n == 1) & F.coalesce(F.col(measured), F.lit(False))))
+
+
+def skeleton(name: str) -> str:
+    """A name's consonants, doubled ones once."""
+    bare = [x for x in name.lower() if x.isalpha() and x not in "aeiouy"]
+    return "".join(x for k, x in enumerate(bare) if not k or bare[k - 1] != x)
+
+
+def name_likeness(a: str, b: str) -> float:
+    """2 LCS / (len + len) of two skeletons; names without consonants are unlike any."""
+    a, b = skeleton(a), skeleton(b)
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return 2 * row[-1] / (len(a) + len(b)) if a and b else 0.0
+
+
+def match_names(lists: DataFrame, least: float = 0.6) -> DataFrame:
+    """seg, i, j, likeness: names of two lists (a, b) of a segment that match in the order of both, of the greatest sum of likeness."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for s, a, b in zip(pdf["seg"], pdf["a"], pdf["b"], strict=True):
+                a, b = ([] if x is None else [str(w) for w in x] for x in (a, b))
+                like = {x: {y: v for y in set(b) if (v := round(1_000_000 * name_likeness(x, y))) >= 1_000_000 * least} for x in set(a)}
+                rows += [(s, i, j, like[a[i]][b[j]] / 1_000_000) for i, j in zip(*aligned(a, b, like), strict=True) if i >= 0 and j >= 0]
+            yield pd.DataFrame(rows, columns=["seg", "i", "j", "likeness"])
+
+    return lists.mapInPandas(run, "seg long, i long, j long, likeness double")
+
+
+def latest(log: DataFrame, key: list[str], *order) -> DataFrame:
+    """The last entry of each key of an append-only log, with the number of its entries."""
+    w = Window.partitionBy(*key)
+    return log.withColumn("entries", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(*order))).filter("_r = 1").drop("_r")
+
+
+def exchanged(left: DataFrame, right: DataFrame, anchors: DataFrame) -> DataFrame:
+    """seg, a, b: words without a link between the same two anchors in a row on both sides, as many on both sides, paired in order.
+
+    left and right: seg, position; anchors: seg, a, b, one to one and rising on both sides within a segment.
+    """
+    def gaps(words: DataFrame, mine: str) -> DataFrame:
+        at = words.select("seg", "position").join(anchors.select("seg", F.col(mine).alias("position"), F.struct("a", "b").alias("link")), ["seg", "position"], "left")
+        order = Window.partitionBy("seg").orderBy("position")
+        before = F.last("link", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        after = F.first("link", True).over(order.rowsBetween(0, Window.unboundedFollowing))
+        free = at.withColumn("before", before).withColumn("after", after).filter("link IS NULL AND before IS NOT NULL AND after IS NOT NULL")
+        gap = Window.partitionBy("seg", "before", "after")
+        return free.select("seg", "before", "after", F.col("position").alias(mine), F.count("*").over(gap).alias("n"), F.row_number().over(gap.orderBy("position")).alias("k"))
+
+    return gaps(left, "a").join(gaps(right, "b"), ["seg", "before", "after", "n", "k"]).select("seg", "a", "b")

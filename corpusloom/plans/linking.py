@@ -397,3 +397,50 @@ def translation_probabilities(t):
     named = words.join(part, F.col("l_partkey") == F.col("p_partkey"))
     pairs = named.select("seg", "source_at", "source").join(named.select("seg", "target"), "seg")
     return evidence.translation_table(pairs, 2).withColumn("p", F.round("p", 6))
+
+
+@query(f"""WITH a AS (SELECT seg, position, left(lemma, 4) AS form, row_number() OVER (PARTITION BY seg, left(lemma, 4) ORDER BY position) AS nth FROM {_SRC}), b AS (SELECT seg, position, left(form, 4) AS form, row_number() OVER (PARTITION BY seg, left(form, 4) ORDER BY position) AS nth FROM {_TGT})
+SELECT a.seg, a.form, a.nth, a.position AS a, b.position AS b FROM a JOIN b ON a.seg = b.seg AND a.form = b.form AND a.nth = b.nth""")
+def interlinear_join(t):
+    s, g = _sides(t)
+    fold = lambda df, c: df.select("seg", "position", F.left(c, F.lit(4)).alias("form"))
+    return links.interlinear(fold(s, "lemma"), fold(g, "form"))
+
+
+@query("""WITH o AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_discount > 0.05 AS INTEGER) + CAST(l_tax > 0.04 AS INTEGER) + CAST(l_returnflag = 'A' AS INTEGER) AS signals, l_linestatus = 'F' AS measured FROM lineitem)
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, signals FROM o WHERE signals >= 2 OR (signals = 1 AND measured)""")
+def names_first(t):
+    offers = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", (F.col("l_discount") > 0.05).alias("x"), (F.col("l_tax") > 0.04).alias("y"), (F.col("l_returnflag") == "A").alias("z"), (F.col("l_linestatus") == "F").alias("measured"))
+    return links.placed_names(offers, ["x", "y", "z"], "measured").drop("x", "y", "z", "measured")
+
+
+@query()
+def name_skeletons(t):
+    """Words of a turn against those of its answer by their consonants, in order; tested against a plain table."""
+    turns = lambda role, back, name: t("conversations").filter(F.col("role") == role).select((F.col("conv_id") * 1000 + F.col("turn") - back).alias("seg"), F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0)).alias(name))
+    return links.match_names(turns("user", 0, "a").join(turns("assistant", 1, "b"), "seg"))
+
+
+@query("SELECT user_id, event_id, event_type AS state, entries FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS entries, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def ledger(t):
+    log = t("events").select("user_id", "event_id", F.col("event_type").alias("state"), "ts")
+    return links.latest(log, ["user_id"], F.col("ts").desc(), F.col("event_id").desc()).drop("ts")
+
+
+@query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) SELECT user_id, event_id, value FROM l WHERE r = 1 AND event_type IN ('error', 'view') ORDER BY abs(value - 50), user_id LIMIT 40""")
+def review_queue(t):
+    """What is still open by its last entry, the least certain first."""
+    log = t("events").select("user_id", "event_id", "event_type", "value", "ts")
+    last = links.latest(log, ["user_id"], F.col("ts").desc(), F.col("event_id").desc())
+    return last.filter("event_type IN ('error', 'view')").orderBy(F.abs(F.col("value") - 50), "user_id").limit(40).select("user_id", "event_id", "value")
+
+
+@query(f"""WITH m AS (SELECT s.seg, s.position AS p FROM {_SRC} s JOIN {_TGT} g ON s.seg = g.seg AND s.position = g.position WHERE s.position % 5 IN (0, 3)),
+a AS (SELECT s.seg, s.position, m.p, last_value(m.p IGNORE NULLS) OVER (PARTITION BY s.seg ORDER BY s.position ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS before, first_value(m.p IGNORE NULLS) OVER (PARTITION BY s.seg ORDER BY s.position ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after FROM {_SRC} s LEFT JOIN m ON m.seg = s.seg AND m.p = s.position),
+b AS (SELECT s.seg, s.position, m.p, last_value(m.p IGNORE NULLS) OVER (PARTITION BY s.seg ORDER BY s.position ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS before, first_value(m.p IGNORE NULLS) OVER (PARTITION BY s.seg ORDER BY s.position ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after FROM (SELECT * FROM {_TGT} WHERE position % 11 <> 6) s LEFT JOIN m ON m.seg = s.seg AND m.p = s.position),
+x AS (SELECT *, count(*) OVER (PARTITION BY seg, before, after) AS n, row_number() OVER (PARTITION BY seg, before, after ORDER BY position) AS k FROM a WHERE p IS NULL AND before IS NOT NULL AND after IS NOT NULL), y AS (SELECT *, count(*) OVER (PARTITION BY seg, before, after) AS n, row_number() OVER (PARTITION BY seg, before, after ORDER BY position) AS k FROM b WHERE p IS NULL AND before IS NOT NULL AND after IS NOT NULL)
+SELECT x.seg, x.position AS a, y.position AS b FROM x JOIN y USING (seg, before, after, n, k)""")
+def exchanged_words(t):
+    s, g = _sides(t)
+    anchors = s.select("seg", F.col("position").alias("a")).join(g.select("seg", F.col("position").alias("b")), "seg").filter("a = b AND a % 5 IN (0, 3)")
+    return links.exchanged(s.select("seg", "position"), g.filter("position % 11 <> 6").select("seg", "position"), anchors)

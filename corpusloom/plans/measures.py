@@ -274,3 +274,22 @@ def layer_licences(t):
     layers = t("customer").filter("c_acctbal > 9000").select(c("c_mktsegment").alias("layer"), c("c_nationkey").alias("source"))
     sources = t("nation").join(t("region"), c("n_regionkey") == c("r_regionkey")).select(c("n_nationkey").alias("source"), c("r_name").alias("licence"), (c("r_name") != "ASIA").alias("free"))
     return build.layer_licences(layers, sources)
+
+
+@query("""SELECT r_name AS region, n_name AS tribe, c_mktsegment AS occupation, count(*) AS people, min(c_name) AS first_name, round(avg(c_acctbal), 2) AS latitude FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2, 3""")
+def people_of_places(t):
+    """People by region, tribe and occupation, with a middle point; the small tables go to every task by the planner's own choice."""
+    j = t("customer").join(t("nation").select("n_nationkey", "n_name", "n_regionkey"), c("c_nationkey") == c("n_nationkey")).join(t("region").select("r_regionkey", "r_name"), c("n_regionkey") == c("r_regionkey"))
+    return j.groupBy(c("r_name").alias("region"), c("n_name").alias("tribe"), c("c_mktsegment").alias("occupation")).agg(n().alias("people"), F.min("c_name").alias("first_name"), F.round(F.avg("c_acctbal"), 2).alias("latitude"))
+
+
+@query("""SELECT source, round(sum(CASE WHEN quality = 1 THEN 1.5 ELSE 1.0 END * covered / verses * ln(total / df)), 4) AS relevance FROM (SELECT source, lang, quality, count(*) AS covered, sum(count(*)) OVER (PARTITION BY source) AS verses, sum(count(*)) OVER () AS total, sum(count(*)) OVER (PARTITION BY lang) AS df FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2, 3) GROUP BY 1""")
+def said_topics(t):
+    """Topics that are said weigh half as much again: covered / length x ln(all / df)."""
+    per = t("documents").select("doc_id", "source", "lang").join(t("labels").select("doc_id", "quality"), "doc_id").groupBy("source", "lang", "quality").agg(n().alias("covered"))
+    df = per.groupBy("lang").agg(F.sum("covered").alias("df"))
+    length = per.groupBy("source").agg(F.sum("covered").alias("verses"))
+    total = per.agg(F.sum("covered").alias("total"))  # one row
+    all_ = per.join(df, "lang").join(length, "source").crossJoin(F.broadcast(total))
+    weight = F.when(c("quality") == 1, 1.5).otherwise(1.0)
+    return all_.groupBy("source").agg(F.round(F.sum(weight * c("covered") / c("verses") * F.ln(c("total") / c("df"))), 4).alias("relevance"))

@@ -366,6 +366,25 @@ def test_unspaced_text_and_snippets(spark):
     assert empty.count() == 0
 
 
+def test_names_by_their_consonants(spark):
+    assert links.skeleton("Hannah") == "hnh" and links.name_likeness("Nebuchadnezzar", "Nabuchodonosor") == pytest.approx(2 * 7 / (8 + 8))
+    pick = random.Random(4)
+    names = ["Aaron", "Aron", "Moses", "Moyses", "Miriam", "Maria", "Joshua", "Jesus", "Caleb"]
+    rows = [(k, [pick.choice(names) for _ in range(pick.randrange(6))], [pick.choice(names) for _ in range(pick.randrange(6))]) for k in range(25)]
+    got = {}
+    for r in links.match_names(spark.createDataFrame(rows, "seg long, a array<string>, b array<string>")).collect():
+        got.setdefault(r.seg, []).append((r.i, r.j, r.likeness))
+    for k, a, b in rows:
+        like = lambda x, y: (v if (v := links.name_likeness(x, y)) >= 0.6 else -1)
+        best = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + like(a[i - 1], b[j - 1]))
+        pairs = sorted(got.get(k, []))
+        assert sum(p[2] for p in pairs) == pytest.approx(best[-1][-1], abs=1e-5)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:], strict=False))
+
+
 def test_products_build_in_order(spark):
     g = build.Graph()
     g.product("c", ["b", "a"], lambda read: read("b").unionByName(read("a")))
