@@ -237,7 +237,7 @@ def test_languages(spark):
     assert value(languages.fold_name(F.lit("Beth-shemesh’s"))) == "bethshemesh" and value(languages.fold_name(F.lit("Aarón"))) == "aaron"
     stems = lambda language, *words: [r.stem for r in languages.stem(spark.createDataFrame([(k, w) for k, w in enumerate(words)], "k int, w string"), "w", language).orderBy("k").collect()]
     assert stems("de", "Kenntnisse", "Kenntnis", "Häuser", "Feuer", "das") == ["kenntnis", "kenntnis", "haus", "feu", "das"]
-    assert stems("fr", "donnais", "donnait", "l'homme", "qu’elle") == ["donn", "donn", "homm", "elle"]
+    assert stems("fr", "donnais", "donnait", "l'homme", "qu’elle") == ["donn", "donn", "homm", "ell"]
     assert stems("es", "hablando", "diciéndole", "casas") == ["habl", "dic", "cas"]
     assert stems("pt", "comemos", "comer", "dar-lhe") == ["com", "com", "dar"]
     assert stems("en", "begat", "loving", "cities", "running", "the") == ["begat", "lov", "citi", "run", "the"]
