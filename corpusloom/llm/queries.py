@@ -1,6 +1,6 @@
 """Queries of this subpackage by name, and SQL for those that SQL can express."""
 
-from . import ann, chat, fingerprints, katz, licences, mixing, near, packing, quality, warc
+from . import ann, annulus, chat, fingerprints, katz, licences, mixing, near, packing, personal, quality, treaps, warc
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -13,5 +13,8 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_inner_product": ann.query,
     "op10_chat": chat.query,
+    "op11_treaps": treaps.query,
+    "op12_personal_data": personal.query,
+    "op13_annulus": annulus.query,
 }
-ORACLES = {"op8_mixing": mixing.SQL}
+ORACLES = {"op8_mixing": mixing.SQL, "op11_treaps": treaps.SQL, "op13_annulus": annulus.oracle()}
