@@ -16,8 +16,10 @@ ACCENTED = "àáâãäåāăąçćčèéêëēėęěìíîïīįñńňòóôõö
 PLAIN = "aaaaaaaaaccceeeeeeeeiiiiiinnnoooooooouuuuuuuyysszzzlddtrllег"
 GREEK_PLAIN = {"α": "Άάἀἁἂἃἄἅἆἇὰᾀᾁᾂᾃᾄᾅᾆᾇᾰᾱᾲᾳᾴᾶᾷ", "ε": "Έέἐἑἒἓἔἕὲ", "η": "Ήήἠἡἢἣἤἥἦἧὴᾐᾑᾒᾓᾔᾕᾖᾗῂῃῄῆῇ", "ι": "ΊίΐϊΪἰἱἲἳἴἵἶἷὶῐῑῒῖῗ", "ο": "Όόὀὁὂὃὄὅὸ", "υ": "ΎύΰϋΫὐὑὒὓὔὕὖὗὺῠῡῢῦῧ", "ω": "Ώώὠὡὢὣὤὥὦὧὼᾠᾡᾢᾣᾤᾥᾦᾧῲῳῴῶῷ", "ρ": "ῤῥῬ", "σ": "ς"}
 ELISION = "ʼʻ’‘'"
-#: Words that a query may leave out, by language (fixed values).
-JOINTS = {"en": ["the", "a", "an", "and", "of", "to", "in", "that", "it", "is"], "de": ["der", "die", "das", "und", "in", "zu"], "fr": ["le", "la", "les", "et", "de", "des", "du"], "es": ["el", "la", "los", "las", "y", "de", "en"]}
+#: Words that a query may leave out, by language, each with its spellings (fixed values).
+JOINTS = {"uk": [["і", "й"], ["у", "в"], ["та"]], "ru": [["и"], ["в", "во"]], "en": [["and"], ["the"], ["a"], ["an"]], "de": [["und"]], "fr": [["et"]], "es": [["y", "e"]], "pt": [["e"]]}
+#: Codes of three letters.
+CODES = {"eng": "en", "deu": "de", "fra": "fr", "spa": "es", "por": "pt", "rus": "ru", "ukr": "uk", "ara": "ar", "heb": "he"}
 
 
 def bare_greek(word: Column) -> Column:
@@ -39,6 +41,11 @@ def fold(word: Column, language: str = "") -> Column:
     return F.lower(word)
 
 
+def fold_by(word: Column, language: Column) -> Column:
+    """The fold of a word by the language beside it."""
+    return F.when(language.isin("he", "heb", "hbo", "arc"), fold(word, "hbo")).when(language.isin("grc", "el"), fold(word, "grc")).when(language.isin("ar", "ara", "arb"), fold(word, "arb")).otherwise(F.lower(word))
+
+
 def fold_name(name: Column) -> Column:
     """Letters and digits only, lower case, without points, accents and diacritics; sharp s as ss; a possessive s goes."""
     bare = bare_greek(fold(F.regexp_replace(name, "(.)['’]s$", "$1"), "hbo"))
@@ -130,6 +137,27 @@ def stem(df: DataFrame, word: str, language: str, name: str = "stem") -> DataFra
     return df.withColumn(name, by(F.col(word)))
 
 
+#: Languages that ``stem`` has rules for; words of others are folded.
+STEMMED = ("en", "de", "fr", "es", "pt")
+
+
+def stem_by(df: DataFrame, word: str, language: str, name: str = "stem") -> DataFrame:
+    """The stem of a folded word by the language beside it: a branch for each language with rules, so each row runs through one."""
+    code = F.col(language)
+    for long, short in CODES.items():
+        code = F.when(F.col(language) == long, short).otherwise(code)
+    coded = df.withColumn("_code", code)
+    out = coded.filter(~F.coalesce(F.col("_code"), F.lit("")).isin(*STEMMED)).withColumn(name, F.col(word))
+    for short in STEMMED:
+        out = out.unionByName(stem(coded.filter(F.col("_code") == short), word, short, name))
+    return out.drop("_code")
+
+
+def joint(word: str, language: str | None) -> list[str] | None:
+    """The spellings of a joint word of a language, the typed one among them; null for any other word."""
+    return next((list(group) for group in JOINTS.get(CODES.get(language or "", language or ""), []) if word in group), None)
+
+
 #: Endings of Russian and Ukrainian paradigms, longest first (fixed values).
 SLAVIC = ["иями", "ями", "ами", "ией", "иям", "ием", "иях", "ого", "его", "ому", "ему", "ыми", "ими", "ові", "ах", "ях", "ов", "ев", "ів", "ей", "ой", "ий", "ый", "ам", "ям", "ом", "ем", "ою", "ею", "ия", "ию", "ие", "ии", "а", "е", "и", "й", "о", "у", "ы", "ь", "ю", "я", "і", "ї", "є"]
 

@@ -9,13 +9,8 @@ from pyspark.sql import functions as F
 ENDINGS = ["iously", "ously", "ingly", "edly", "iest", "eth", "est", "ies", "ied", "ing", "ely", "ed", "es", "ly", "s"]
 
 
-def fold(text: Column, language: str = "") -> Column:
-    """Lower case; Hebrew points U+0591..U+05C7 and Arabic marks U+064B..U+0652 go."""
-    if language in ("he", "hbo"):
-        return F.regexp_replace(text, "[֑-ׇ]", "")
-    if language == "ar":
-        return F.regexp_replace(text, "[ً-ْٰ]", "")
-    return F.lower(text)
+#: A word: letters of any script with their marks.
+WORD = r"[\p{L}\p{M}]+"
 
 
 def tokens(df: DataFrame, text: str = "text", pattern: str = "[a-z]+") -> DataFrame:

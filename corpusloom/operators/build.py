@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -60,16 +62,27 @@ def digest(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("rows"), F.sum(row.cast("decimal(38,0)")).cast("string").alias("digest"))
 
 
+def same_part(a: DataFrame, b: DataFrame, left: list[str], right: list[str]) -> Column:
+    """Whether two rows are of one part; a null in the key is a part's key like any other."""
+    return reduce(and_, [a[x].eqNullSafe(b[y]) for x, y in zip(left, right, strict=True)])
+
+
 def parts_moved(manifest: DataFrame, now: DataFrame, by: list[str]) -> DataFrame:
     """by, state of parts against the manifest of the last build: new, gone, moved; parts that are the same are left out."""
-    both = manifest.withColumnRenamed("digest", "_old").drop("rows").join(now.withColumnRenamed("digest", "_new").drop("rows"), by, "full")
+    a, b = (df.select(*[F.col(c).alias(f"{side}{k}") for k, c in enumerate(by)], F.col("digest").alias(name)) for df, side, name in ((manifest, "_a", "_old"), (now, "_b", "_new")))
+    both = a.join(b, same_part(a, b, [f"_a{k}" for k in range(len(by))], [f"_b{k}" for k in range(len(by))]), "full")
+    both = both.select(*[F.coalesce(f"_a{k}", f"_b{k}").alias(c) for k, c in enumerate(by)], "_old", "_new")
     state = F.when(F.col("_old").isNull(), "new").when(F.col("_new").isNull(), "gone").when(F.col("_old") != F.col("_new"), "moved")
     return both.withColumn("state", state).filter("state IS NOT NULL").select(*by, "state")
 
 
 def apply_moved(standing: DataFrame, built: DataFrame, moved: DataFrame, by: list[str]) -> DataFrame:
     """The standing table with the parts that moved taken from the built one; what did not move is not read from it."""
-    return standing.join(moved.select(*by), by, "left_anti").unionByName(built.join(moved.filter("state <> 'gone'").select(*by), by, "left_semi"))
+    names = [f"_p{k}" for k in range(len(by))]
+    parts = moved.select(*[F.col(c).alias(x) for c, x in zip(by, names, strict=True)], "state")
+    kept = standing.join(parts, same_part(standing, parts, by, names), "left_anti")
+    fresh = parts.filter("state <> 'gone'")
+    return kept.unionByName(built.join(fresh, same_part(built, fresh, by, names), "left_semi"))
 
 
 #: A table is filled anew from so many rows and so great a share of changed rows on; a release is refused beyond a share of the whole (fixed values).

@@ -2,22 +2,54 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def keyed_comparison(before: DataFrame, after: DataFrame) -> DataFrame:
-    """key, value, id on both sides -> key, outcome, old, new: equal values match off first (id-only where ids differ), the rest pairs in order."""
-    n = lambda df: df.withColumn("n", F.row_number().over(Window.partitionBy("key", "value").orderBy("id")))
-    a, b = n(before).withColumnRenamed("id", "ida"), n(after).withColumnRenamed("id", "idb")
-    full = a.withColumn("in_a", F.lit(1)).join(b.withColumn("in_b", F.lit(1)), ["key", "value", "n"], "full")
-    same = full.filter("in_a = 1 AND in_b = 1 AND NOT ida <=> idb").select("key", F.lit("id-only").alias("outcome"), F.col("value").alias("old"), F.col("value").alias("new"))
-    m = Window.partitionBy("key").orderBy("value", "n")
-    left = full.filter("in_b IS NULL").select("key", F.col("value").alias("old"), F.row_number().over(m).alias("m"))
-    right = full.filter("in_a IS NULL").select("key", F.col("value").alias("new"), F.row_number().over(m).alias("m"))
-    rest = left.withColumn("l", F.lit(1)).join(right.withColumn("r", F.lit(1)), ["key", "m"], "full")
-    outcome = F.when(F.col("r").isNull(), "only-before").when(F.col("l").isNull(), "only-after").otherwise("changed")
-    return same.unionByName(rest.select("key", outcome.alias("outcome"), "old", "new"))
+def keyed_comparison(before: DataFrame, after: DataFrame, beside: tuple[str, ...] = ()) -> DataFrame:
+    """key, value, id on both sides -> key, outcome, old, new: equal values match off first (id-only where ids differ), the rest pairs in order.
+
+    Nulls are values like any other. ``beside``: further columns, which stand as <name>_old and <name>_new, as do the ids.
+    """
+    own = ["key", "value", "id", *beside]
+    turn = Window.partitionBy("key", "value").orderBy("id", *beside)
+    side = lambda df, mark: df.select(*[F.col(c).alias(f"{mark}{c}") for c in own], F.row_number().over(turn).alias(f"{mark}n"), F.lit(True).alias(f"{mark}in"))
+    meet = lambda *names: reduce(and_, [F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")) for c in names])
+    full = side(before, "a_").join(side(after, "b_"), meet("key", "value", "n"), "full")
+    named = lambda outcome: [F.coalesce("a_key", "b_key").alias("key"), outcome.alias("outcome"), F.col("a_value").alias("old"), F.col("b_value").alias("new"), *[F.col(f"{m}_{c}").alias(f"{c}_{name}") for c in ("id", *beside) for m, name in (("a", "old"), ("b", "new"))]]
+    same = full.filter("a_in AND b_in AND NOT a_id <=> b_id").select(*named(F.lit("id-only")))
+    place = lambda m: F.row_number().over(Window.partitionBy(f"{m}key").orderBy(f"{m}value", f"{m}n")).alias(f"{m}m")
+    left = full.filter("b_in IS NULL").select(*[f"a_{c}" for c in own], "a_in", place("a_"))
+    right = full.filter("a_in IS NULL").select(*[f"b_{c}" for c in own], "b_in", place("b_"))
+    rest = left.join(right, meet("key", "m"), "full")
+    outcome = F.when(F.col("b_in").isNull(), "only-before").when(F.col("a_in").isNull(), "only-after").otherwise("changed")
+    found = same.unionByName(rest.select(*named(outcome)))
+    return found if beside else found.select("key", "outcome", "old", "new")
+
+
+def difference_groups(before: DataFrame, after: DataFrame, examples: int = 12) -> DataFrame:
+    """scope, group, outcome, rows, examples of differences of rows (scope, group, key, value, id).
+
+    A row that changed its group stands under both (one -> other). Examples are the first by their text; parts compared apart
+    and gathered give the same as the whole, as long as a key's rows stay together.
+    """
+    whole = lambda df: df.select(F.struct("scope", "key").alias("key"), F.col("value").cast("string").alias("value"), "id", "group")
+    found = keyed_comparison(whole(before), whole(after), ("group",))
+    either, text = F.coalesce("group_old", "group_new"), lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    group = F.when((F.col("outcome") == "changed") & ~F.col("group_old").eqNullSafe(F.col("group_new")), F.concat(text("group_old"), F.lit(" -> "), text("group_new"))).otherwise(either)
+    key = F.coalesce(F.col("key.key").cast("string"), F.lit(""))
+    said = F.when(F.col("outcome") == "changed", F.concat(key, F.lit("  "), text("old"), F.lit("  =>  "), text("new")))
+    said = said.when(F.col("outcome") == "id-only", F.concat(key, F.lit("  "), text("id_old"), F.lit(" -> "), text("id_new"))).otherwise(F.concat(key, F.lit("  "), F.coalesce("old", "new", F.lit(""))))
+    rows = found.select(F.col("key.scope").alias("scope"), group.alias("group"), "outcome", said.alias("said"))
+    by = ["scope", "group", "outcome"]
+    counts = rows.groupBy(*by).agg(F.count("*").alias("rows"))
+    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("said"))).filter(F.col("_r") <= examples)  # cut before the exchange
+    few = first.groupBy(*by).agg(F.array_join(F.sort_array(F.collect_list("said")), "\n").alias("examples"))
+    a, b = counts.alias("a"), few.alias("b")
+    return a.join(b, reduce(and_, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by])).select("a.scope", "a.group", "a.outcome", "a.rows", "b.examples")
 
 
 def row_difference(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
+from functools import reduce
 from itertools import accumulate
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import similarity, stem, tokens, trigrams
+from ..functions import languages
+from ..functions.text import similarity, trigrams
 
 #: Quotation marks with their closing ones, marks trimmed off words, and terms of a query at most (fixed values).
 QUOTES = {'"': '"', "«": "»", "„": "“", "“": "”"}
@@ -52,57 +55,23 @@ def containing(text: Column, typed: str) -> Column:
     return text.ilike(f"%{escaped}%")
 
 
-def tiers(forms: DataFrame, terms: list[str]) -> DataFrame:
-    """term, form, tier of forms that answer a term: 0 as typed, 1 the same stem, 2 begins with it, 3 holds it."""
-    spark = forms.sparkSession
-    asked = stem(spark.createDataFrame([(k, t) for k, t in enumerate(terms)], "term int, typed string"), "typed", "typed_stem")
-    hit = stem(forms, "form").crossJoin(F.broadcast(asked))  # twelve terms at most
-    tier = F.when(F.col("form") == F.col("typed"), 0).when(F.col("stem") == F.col("typed_stem"), 1).when(F.col("form").startswith(F.col("typed")), 2).when((F.length("typed") >= 3) & F.col("form").contains(F.col("typed")), 3)
-    return hit.withColumn("tier", tier).filter("tier IS NOT NULL").select("term", "form", "tier")
-
-
-def hits_of(docs: DataFrame, key: str, terms: list[Term], text: str = "text") -> DataFrame:
-    """key, position, term, tier of every token that answers a term; tiers come from the token itself, so nothing is shuffled.
-
-    A word of a phrase is matched as typed only.
-    """
-    folded = [t.word.lower() for t in terms]
-    stems = [r["s"] for r in stem(docs.sparkSession.createDataFrame([(k, w) for k, w in enumerate(folded)], "k int, w string"), "w", "s").orderBy("k").collect()]
-    # a stem begins as its word does, so words of one stem share their first three letters
-    near = F.lit(False)
-    for w in folded:
-        near = near | F.col("token").contains(w) | (F.left("token", F.lit(3)) == w[:3])
-    found = stem(tokens(docs.select(key, text), text).filter(near), "token", "stem")
-    answers = []
-    for k, (t, w, s) in enumerate(zip(terms, folded, stems, strict=True)):
-        tier = F.when(F.col("token") == w, 0)
-        if t.phrase is None:
-            tier = tier.when(F.col("stem") == s, 1).when(F.col("token").startswith(w), 2)
-            tier = tier.when(F.col("token").contains(w), 3) if len(w) >= 3 else tier
-        answers.append(F.struct(F.lit(k).alias("term"), tier.alias("tier")))
-    return found.select(key, "position", F.explode(F.array(*answers)).alias("a")).select(key, "position", "a.term", "a.tier").filter("tier IS NOT NULL")
-
-
-def rank(docs: DataFrame, key: str, typed: str, text: str = "text", joints: tuple[str, ...] = (), scope: DataFrame | None = None) -> DataFrame:
+def ranked(hits: DataFrame, key: str, terms: list[Term], joints: list[int]) -> DataFrame:
     """key, phrase, held, terms, tiers, span, partial: segments that hold all required terms, best first.
 
-    Joint words are not required unless nothing else was typed; each quoted phrase must stand together. With no such
-    segment and three required terms or more, half of them (rounded up) are enough, flagged partial. Order: all terms side by
-    side in the typed order (phrase), required terms held, terms held, sum of best tiers, span of positions, key. ``scope`` holds the
-    keys of segments that may answer.
+    hits: key, position, term (its number), tier. Joint words (by their numbers) are not required unless nothing else was typed; each
+    quoted phrase must stand together. With no such segment and three required terms or more, half of them (rounded up) are
+    enough, flagged partial. Order: all terms side by side in the typed order (phrase), required terms held, terms held, sum of best
+    tiers, span of positions, key.
     """
-    terms = parse(typed)
     if not terms:
-        return docs.sparkSession.createDataFrame([], f"{key} {docs.schema[key].dataType.simpleString()}, phrase boolean, held long, terms long, tiers long, span long, partial boolean")
-    hits = hits_of(docs, key, terms, text)
-    if scope is not None:
-        hits = hits.join(scope.select(key), key, "left_semi")
-    required = [k for k, t in enumerate(terms) if t.phrase is not None or t.word.lower() not in joints] or list(range(len(terms)))
+        return hits.sparkSession.createDataFrame([], f"{key} {hits.schema[key].dataType.simpleString()}, phrase boolean, held long, terms long, tiers long, span long, partial boolean")
+    required = [k for k in range(len(terms)) if k not in joints] or list(range(len(terms)))
     phrases: dict[int, list[int]] = {}
     for k, t in enumerate(terms):
         if t.phrase is not None:
             phrases.setdefault(t.phrase, []).append(k)
     needed = F.col("term").isin(required)
+    hits = hits.repartition(key)  # one exchange, which all that follows shares
     # one pass by segment: best tier of each term, places, and islands of terms that follow one another as typed
     per_term = hits.groupBy(key, "term").agg(F.min("tier").alias("tier"), F.min("position").alias("low"), F.max("position").alias("high"))
     held = per_term.groupBy(key).agg(F.count_if(needed).alias("held"), F.count("*").alias("terms"), F.sum("tier").cast("long").alias("tiers"), (F.max(F.when(needed, F.col("high"))) - F.min(F.when(needed, F.col("low")))).cast("long").alias("span"))
@@ -197,27 +166,39 @@ RARE, OUTWEIGHS, NEIGHBOURS = 25, 2, 30
 
 
 def suggestions(forms: DataFrame, asked: list[str]) -> DataFrame:
-    """asked, form: a spelling near a rarely printed word of three letters and more. forms: form, occurrences.
+    """language, asked, form, printed, weight: a spelling of each language near a rarely printed word of three letters and more.
+    forms: language, form, stem, occurrences.
 
     Of the 30 likest forms by trigrams those within one letter (two beyond four letters), with another stem, that differ in more than
-    the ending and, where the asked word is printed at all, only in vowels or by letters more; twice as frequent by stem.
+    the ending and, where the asked word is printed at all, only in vowels or by letters more; twice as frequent by stem. Only forms
+    that hold enough of an asked word's trigrams are compared with it.
     """
     spark = forms.sparkSession
-    stems = stem(forms, "form")
-    weight = stems.groupBy("stem").agg(F.sum("occurrences").alias("weight"))
-    q = stem(spark.createDataFrame([(a.lower(),) for a in asked if len(a) >= 3], "asked string"), "asked", "asked_stem")
-    q = q.join(weight.withColumnRenamed("stem", "asked_stem").withColumnRenamed("weight", "own"), "asked_stem", "left").fillna(0, ["own"]).filter(F.col("own") <= RARE)
-    # likeness by the trigrams that two words share: forms without a shared one never meet
-    asked_grams = q.select("asked", F.size(trigrams(F.col("asked"))).alias("_a"), F.explode(trigrams(F.col("asked"))).alias("g"))
-    form_grams = stems.select("form", F.size(trigrams(F.col("form"))).alias("_f"), F.explode(trigrams(F.col("form"))).alias("g"))
-    shared = form_grams.join(F.broadcast(asked_grams), "g").groupBy("asked", "form", "_a", "_f").agg(F.count("*").alias("_n"))  # the asked words are few
-    alike = shared.select("asked", "form", (F.col("_n") / (F.col("_a") + F.col("_f") - F.col("_n"))).alias("like")).filter("form <> asked AND like >= 0.3")
-    pairs = alike.join(stems, "form").join(F.broadcast(q), "asked")
-    pairs = pairs.withColumn("place", F.row_number().over(Window.partitionBy("asked").orderBy(F.col("like").desc(), F.col("occurrences").desc(), "form"))).filter(F.col("place") <= NEIGHBOURS)
+    typed = sorted({a.lower() for a in asked if len(a) >= 3})
+    weight = forms.groupBy("language", "stem").agg(F.sum("occurrences").alias("weight"))
+    every = spark.createDataFrame([(a,) for a in typed], "asked string")
+    q = languages.stem_by(forms.select("language").distinct().crossJoin(F.broadcast(every)), "asked", "language", "asked_stem")
+    mine = weight.select("language", F.col("stem").alias("asked_stem"), F.col("weight").alias("own"))
+    q = q.join(mine, ["language", "asked_stem"], "left").fillna(0, ["own"]).filter(F.col("own") <= RARE)
+    candidates = forms.withColumn("asked", F.explode(sharing(typed))).filter("form <> asked")
+    pairs = candidates.join(F.broadcast(q), ["language", "asked"])  # a few words by language
+    pairs = pairs.withColumn("like", similarity(trigrams(F.col("asked")), trigrams(F.col("form")))).filter("like >= 0.3")
+    pairs = pairs.withColumn("place", F.row_number().over(Window.partitionBy("language", "asked").orderBy(F.col("like").desc(), F.col("occurrences").desc(), "form"))).filter(F.col("place") <= NEIGHBOURS)
     distance = F.levenshtein("asked", "form")
     longest = F.greatest(F.length("asked"), F.length("form"))
     same_start = F.expr("left(asked, greatest(length(asked), length(form)) - 2) = left(form, greatest(length(asked), length(form)) - 2)") & (F.least(F.length("asked"), F.length("form")) >= longest - 2)
     consonants = lambda c: F.regexp_replace(c, "[aeiouy]", "")
     fits = (F.col("stem") != F.col("asked_stem")) & (distance <= F.when(F.length("asked") <= 4, 1).otherwise(2)) & ~same_start & ((F.col("own") == 0) | F.col("form").contains(F.col("asked")) | (consonants("form") == consonants("asked")))
-    close = pairs.filter(fits).join(weight, "stem").withColumn("r", F.row_number().over(Window.partitionBy("asked").orderBy(distance, "place"))).filter("r = 1")
-    return close.filter((F.col("own") == 0) | (F.col("weight") >= OUTWEIGHS * F.col("own"))).select("asked", "form", F.col("own").alias("printed"), "weight")
+    close = pairs.filter(fits).join(weight, ["language", "stem"]).withColumn("r", F.row_number().over(Window.partitionBy("language", "asked").orderBy(distance, "place"))).filter("r = 1")
+    return close.filter((F.col("own") == 0) | (F.col("weight") >= OUTWEIGHS * F.col("own"))).select("language", "asked", "form", F.col("own").alias("printed"), "weight")
+
+
+def sharing(asked: list[str], least: float = 0.3) -> Column:
+    """The asked words whose trigrams a form (column form) holds so many of that their likeness may be the least: likeness is no more
+    than the share of the asked word's own trigrams."""
+    padded, out = F.concat(F.lit("  "), F.col("form"), F.lit(" ")), []
+    for word in asked:
+        grams = sorted({("  " + word + " ")[k : k + 3] for k in range(len(word) + 1)})
+        held = reduce(add, [padded.contains(g).cast("int") for g in grams])
+        out.append(F.when(held >= least * len(grams), F.lit(word)))
+    return F.array_compact(F.array(*out)) if out else F.array().cast("array<string>")

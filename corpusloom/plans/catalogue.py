@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import keys, text
 from ..operators import graph, links, passages, quality, timeline
 from ..sources import formats
-from . import kinship, linking, measures, merging, reading, searching  # noqa: F401  (they register their queries)
+from . import kinship, linking, measures, merging, passing, reading, searching  # noqa: F401  (they register their queries)
 from .searching import TOKENS, stem_sql
 from .registry import ALL, ORACLES, QUERIES, long, n, query
 
@@ -217,13 +217,14 @@ def preference_lateral(t):
 
 # -- graphs
 
-_EDGES = "(SELECT c_custkey AS a, c_custkey + c_nationkey + 1 AS b FROM customer WHERE c_custkey % 3 <> 0)"
+_EDGES = "(SELECT c_custkey AS a, c_custkey // 25 * 25 + c_nationkey AS b FROM customer)"
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT a, b FROM {_EDGES} UNION SELECT b, a FROM {_EDGES}), r(v, u) AS (SELECT a, a FROM e UNION SELECT r.v, e.b FROM r JOIN e ON r.u = e.a)
-SELECT v AS vertex, min(u) AS component FROM r GROUP BY 1""")
+SELECT v AS vertex, min(u) AS component FROM r GROUP BY 1 HAVING count(DISTINCT u) > 1""")
 def components_min_label(t):
-    return graph.components(t("customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + F.col("c_nationkey") + 1).alias("b")))
+    """Edges of all customers, each to one of the twenty-five of its block; a customer's edge to itself makes no component."""
+    return graph.components(t("customer").select(F.col("c_custkey").alias("a"), F.expr("c_custkey div 25 * 25 + c_nationkey").alias("b")))
 
 
 @query()
@@ -245,22 +246,46 @@ def range_expand(t):
 
 # -- comparison, identity, formats
 
-_KEYED = "SELECT l_orderkey AS key, l_returnflag || {0} AS value, l_partkey AS id FROM lineitem WHERE {1}"
+_KEYED = "SELECT CASE WHEN l_orderkey % 50 > 0 THEN l_orderkey END AS key, l_returnflag AS scope, l_linestatus AS grp, CASE WHEN l_suppkey % 9 > 0 THEN l_returnflag || {0} END AS value, CASE WHEN l_partkey % 7 > 0 THEN l_partkey END AS id FROM lineitem WHERE {1}"
+_BEFORE, _AFTER = _KEYED.format("l_linestatus", "l_linenumber <> 3"), _KEYED.format("CASE WHEN l_linenumber = 2 THEN 'X' ELSE l_linestatus END", "l_linenumber <> 5")
 
 
-@query(f"""WITH a AS (SELECT *, row_number() OVER (PARTITION BY key, value ORDER BY id) AS n FROM ({_KEYED.format("l_linestatus", "l_linenumber <> 3")})),
-b AS (SELECT *, row_number() OVER (PARTITION BY key, value ORDER BY id) AS n FROM ({_KEYED.format("CASE WHEN l_linenumber = 2 THEN 'X' ELSE l_linestatus END", "l_linenumber <> 5")})),
-f AS (SELECT coalesce(a.key, b.key) AS key, coalesce(a.value, b.value) AS value, coalesce(a.n, b.n) AS n, a.id AS ida, b.id AS idb, a.key IS NOT NULL AS ina, b.key IS NOT NULL AS inb FROM a FULL JOIN b ON a.key = b.key AND a.value = b.value AND a.n = b.n),
-l AS (SELECT key, value AS old, row_number() OVER (PARTITION BY key ORDER BY value, n) AS m FROM f WHERE NOT inb), r AS (SELECT key, value AS new, row_number() OVER (PARTITION BY key ORDER BY value, n) AS m FROM f WHERE NOT ina),
-o AS (SELECT key, 'id-only' AS outcome, value AS old, value AS new FROM f WHERE ina AND inb AND ida IS DISTINCT FROM idb UNION ALL SELECT coalesce(l.key, r.key), CASE WHEN r.key IS NULL THEN 'only-before' WHEN l.key IS NULL THEN 'only-after' ELSE 'changed' END, l.old, r.new FROM l FULL JOIN r ON l.key = r.key AND l.m = r.m)
-SELECT key, outcome, old, new FROM o""")
+def _compared(key):
+    """Rows matched value by value, then in their order; nulls are values."""
+    by, on = ", ".join(key), " AND ".join(f"a.{k} IS NOT DISTINCT FROM b.{k}" for k in (*key, "value", "n"))
+    both = lambda x, y: ", ".join(f"coalesce({x}.{k}, {y}.{k}) AS {k}" for k in key)
+    return f"""a AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {by}, value ORDER BY id NULLS FIRST, grp) AS n FROM ({_BEFORE})), b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {by}, value ORDER BY id NULLS FIRST, grp) AS n FROM ({_AFTER})),
+f AS MATERIALIZED (SELECT {both("a", "b")}, coalesce(a.value, b.value) AS value, coalesce(a.n, b.n) AS n, a.id AS ida, b.id AS idb, a.grp AS grpa, b.grp AS grpb, a.n IS NOT NULL AS ina, b.n IS NOT NULL AS inb FROM a FULL JOIN b ON {on}),
+l AS (SELECT {by}, value AS old, grpa, row_number() OVER (PARTITION BY {by} ORDER BY value NULLS FIRST, n) AS m FROM f WHERE NOT inb), r AS (SELECT {by}, value AS new, grpb, row_number() OVER (PARTITION BY {by} ORDER BY value NULLS FIRST, n) AS m FROM f WHERE NOT ina),
+o AS (SELECT {by}, 'id-only' AS outcome, value AS old, value AS new, grpa, grpb, ida, idb FROM f WHERE ina AND inb AND ida IS DISTINCT FROM idb
+UNION ALL SELECT {both("l", "r")}, CASE WHEN r.m IS NULL THEN 'only-before' WHEN l.m IS NULL THEN 'only-after' ELSE 'changed' END, l.old, r.new, grpa, grpb, NULL, NULL FROM l FULL JOIN r ON {" AND ".join(f"l.{k} IS NOT DISTINCT FROM r.{k}" for k in (*key, "m"))})"""
+
+
+def _keyed(t, last, without):
+    """Keys, values and ids that are null here and there."""
+    value = F.when(F.col("l_suppkey") % 9 > 0, F.concat("l_returnflag", last))
+    return t("lineitem").filter(F.col("l_linenumber") != without).select(F.when(F.col("l_orderkey") % 50 > 0, F.col("l_orderkey")).alias("key"), F.col("l_returnflag").alias("scope"), F.col("l_linestatus").alias("group"), value.alias("value"), F.when(F.col("l_partkey") % 7 > 0, F.col("l_partkey")).alias("id"))
+
+
+def _states(t):
+    return _keyed(t, F.col("l_linestatus"), 3), _keyed(t, F.when(F.col("l_linenumber") == 2, "X").otherwise(F.col("l_linestatus")), 5)
+
+
+@query(f"WITH {_compared(['key']).replace(', grp)', ')')} SELECT key, outcome, old, new FROM o")
 def keyed_comparison(t):
-    df = t("lineitem")
-    a = df.filter("l_linenumber <> 3").select(F.col("l_orderkey").alias("key"), F.concat("l_returnflag", "l_linestatus").alias("value"), F.col("l_partkey").alias("id"))
-    b = df.filter("l_linenumber <> 5").select(F.col("l_orderkey").alias("key"), F.concat("l_returnflag", F.when(F.col("l_linenumber") == 2, "X").otherwise(F.col("l_linestatus"))).alias("value"), F.col("l_partkey").alias("id"))
+    a, b = _states(t)
     return quality.keyed_comparison(a, b)
 
 
+@query(f"""WITH {_compared(['scope', 'key'])}, s AS (SELECT scope, CASE WHEN outcome = 'changed' AND grpa IS DISTINCT FROM grpb THEN coalesce(grpa, '') || ' -> ' || coalesce(grpb, '') ELSE coalesce(grpa, grpb) END AS grp, outcome,
+coalesce(CAST(key AS VARCHAR), '') || '  ' || CASE outcome WHEN 'changed' THEN coalesce(old, '') || '  =>  ' || coalesce(new, '') WHEN 'id-only' THEN coalesce(CAST(ida AS VARCHAR), '') || ' -> ' || coalesce(CAST(idb AS VARCHAR), '') ELSE coalesce(old, new, '') END AS said FROM o),
+z AS (SELECT *, row_number() OVER (PARTITION BY scope, grp, outcome ORDER BY said) AS r FROM s) SELECT scope, grp AS "group", outcome, count(*) AS rows, string_agg(said, chr(10) ORDER BY said) FILTER (WHERE r <= 12) AS examples FROM z GROUP BY ALL""")
+def difference_groups(t):
+    """Differences by scope, group and kind, with the first twelve of each."""
+    a, b = _states(t)
+    return quality.difference_groups(a, b)
+
+
 _ROWS = "SELECT md5(o_orderkey || chr(31) || o_custkey || chr(31) || {0}) AS row_hash FROM orders WHERE {1}"
 
 

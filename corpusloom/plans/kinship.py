@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
 from ..operators import graph, kin
 from .registry import long, n, query
 
@@ -72,11 +73,13 @@ def kin_impossible(t):
     return kin.impossible(_parents(t).unionByName(wrong).distinct(), brothers, _sex(t))
 
 
-@query("""WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey + c_nationkey + 1 AS b FROM customer WHERE c_nationkey < 3 UNION SELECT c_custkey + c_nationkey + 1, c_custkey FROM customer WHERE c_nationkey < 3), r(v, u) AS (SELECT a, a FROM e UNION SELECT r.v, e.b FROM r JOIN e ON r.u = e.a)
-SELECT v AS vertex, dense_rank() OVER (ORDER BY m) AS component FROM (SELECT v, min(u) AS m FROM r GROUP BY 1)""")
+_BLOCKS = "(SELECT c_custkey AS a, c_custkey // 25 * 25 + c_nationkey AS b FROM customer)"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT a, b FROM {_BLOCKS} UNION SELECT b, a FROM {_BLOCKS}), r(v, u) AS (SELECT a, a FROM e UNION SELECT r.v, e.b FROM r JOIN e ON r.u = e.a)
+SELECT v AS vertex, dense_rank() OVER (ORDER BY m) AS component FROM (SELECT v, min(u) AS m FROM r GROUP BY 1 HAVING count(DISTINCT u) > 1)""")
 def components_ordinal(t):
-    """Components numbered by the order of their least members; the numbers are given on the table of components."""
-    edges = t("customer").filter("c_nationkey < 3").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + F.col("c_nationkey") + 1).alias("b"))
-    found = graph.components(edges)
-    numbers = found.select("component").distinct().withColumn("ordinal", long(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("component"))))
+    """Components of all customers' edges, numbered by the order of their least members."""
+    found = graph.components(t("customer").select(F.col("c_custkey").alias("a"), F.expr("c_custkey div 25 * 25 + c_nationkey").alias("b")))
+    numbers = numbered(found.select("component").distinct(), ["component"], "ordinal")
     return found.join(numbers, "component").select("vertex", F.col("ordinal").alias("component"))

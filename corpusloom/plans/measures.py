@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import keys
+from ..operators.numbering import numbered
 from ..operators import build, differences
 from .registry import long, n, query
 
@@ -197,7 +198,7 @@ def first_of_ordered(t):
 
 @query("SELECT p_type, row_number() OVER (ORDER BY p_type) AS id FROM (SELECT DISTINCT p_type FROM part)")
 def dense_ids(t):
-    return t("part").select("p_type").distinct().withColumn("id", long(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("p_type"))))  # a vocabulary of some hundred names
+    return numbered(t("part").select("p_type").distinct(), ["p_type"], "id")
 
 
 @query("""WITH f AS (SELECT source, lang, count(*) AS k FROM documents GROUP BY 1, 2), s AS (SELECT source, count(*) AS verses FROM documents GROUP BY 1) SELECT f.source, f.lang, k, round(k / verses, 6) AS share FROM f JOIN s ON s.source IS NOT DISTINCT FROM f.source WHERE k >= 0.2 * verses""")
@@ -241,25 +242,34 @@ def event_order(t):
 # -- building
 
 
-@query("""WITH a AS (SELECT o_orderpriority, o_orderstatus, count(*) AS k, sum(o_totalprice) AS s FROM orders GROUP BY 1, 2) SELECT o_orderpriority, o_orderstatus, 'moved' AS state FROM a WHERE o_orderstatus = 'P' UNION ALL SELECT o_orderpriority, o_orderstatus, 'new' FROM a WHERE o_orderpriority = '5-LOW' AND o_orderstatus <> 'P' UNION ALL SELECT DISTINCT o_orderpriority, 'gone', 'gone' FROM orders WHERE o_orderpriority <> '5-LOW'
-EXCEPT SELECT o_orderpriority, o_orderstatus, 'moved' FROM a WHERE o_orderpriority = '5-LOW' AND o_orderstatus = 'P' UNION ALL SELECT '5-LOW', 'P', 'new'""")
+_BUILT = "(SELECT o_orderkey, CASE WHEN o_orderpriority <> '2-HIGH' THEN o_orderpriority END AS o_orderpriority, o_orderstatus, o_totalprice FROM orders)"
+_STOOD = f"(SELECT o_orderkey, o_orderpriority, o_orderstatus, o_totalprice + CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS o_totalprice FROM {_BUILT} WHERE o_orderpriority IS DISTINCT FROM '5-LOW' UNION ALL SELECT o_orderkey, o_orderpriority, 'gone', o_totalprice FROM {_BUILT} WHERE o_orderpriority IS DISTINCT FROM '5-LOW')"
+
+
+def _built(t):
+    """The orders as they are built now, a priority of them without a name, and the state that stands: without one priority, one
+    status changed, another that has since gone."""
+    o = t("orders").select("o_orderkey", F.when(c("o_orderpriority") != "2-HIGH", c("o_orderpriority")).alias("o_orderpriority"), "o_orderstatus", "o_totalprice")
+    rest = o.filter("NOT o_orderpriority <=> '5-LOW'")
+    stood = rest.withColumn("o_totalprice", c("o_totalprice") + F.when(c("o_orderstatus") == "P", 1).otherwise(0))
+    return stood.unionByName(rest.withColumn("o_orderstatus", F.lit("gone"))), o, ["o_orderpriority", "o_orderstatus"]
+
+
+@query(f"""WITH a AS (SELECT o_orderpriority, o_orderstatus, count(*) AS n, list_sort(list((o_orderkey, o_totalprice))) AS all_rows FROM {_STOOD} GROUP BY 1, 2), b AS (SELECT o_orderpriority, o_orderstatus, count(*) AS n, list_sort(list((o_orderkey, o_totalprice))) AS all_rows FROM {_BUILT} GROUP BY 1, 2)
+SELECT coalesce(a.o_orderpriority, b.o_orderpriority) AS o_orderpriority, coalesce(a.o_orderstatus, b.o_orderstatus) AS o_orderstatus, CASE WHEN a.n IS NULL THEN 'new' WHEN b.n IS NULL THEN 'gone' ELSE 'moved' END AS state
+FROM a FULL JOIN b ON a.o_orderpriority IS NOT DISTINCT FROM b.o_orderpriority AND a.o_orderstatus = b.o_orderstatus WHERE a.n IS NULL OR b.n IS NULL OR a.all_rows <> b.all_rows""")
 def parts_moved(t):
-    """Digests of parts against an older state: without one text, with one status that has since gone, one changed."""
-    o = t("orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice")
-    old = o.filter("o_orderpriority <> '5-LOW'").withColumn("o_totalprice", F.when(c("o_orderstatus") == "P", c("o_totalprice") + 1).otherwise(c("o_totalprice")))
-    old = old.unionByName(old.withColumn("o_orderstatus", F.lit("gone")))
-    by = ["o_orderpriority", "o_orderstatus"]
-    return build.parts_moved(build.digest(old, by), build.digest(o, by), by)
+    """Digests of parts against the state that stands; a null is a part's key like any other."""
+    stood, now, by = _built(t)
+    return build.parts_moved(build.digest(stood, by), build.digest(now, by), by)
 
 
-@query("SELECT o_orderpriority, o_orderstatus, count(*) AS rows, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2")
+@query(f"SELECT * FROM {_BUILT}")
 def apply_moved(t):
-    """The older state with only the parts that moved taken from the new one is the new state."""
-    o = t("orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice")
-    old = o.filter("o_orderpriority <> '5-LOW'").withColumn("o_totalprice", F.when(c("o_orderstatus") == "P", c("o_totalprice") + 1).otherwise(c("o_totalprice")))
-    by = ["o_orderpriority", "o_orderstatus"]
-    moved = build.parts_moved(build.digest(old, by), build.digest(o, by), by)
-    return build.apply_moved(old, o, moved, by).groupBy(*by).agg(n().alias("rows"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    """The state that stands with only the parts that moved taken from the new one is the new state, row by row."""
+    stood, now, by = _built(t)
+    moved = build.parts_moved(build.digest(stood, by), build.digest(now, by), by)
+    return build.apply_moved(stood, now, moved, by)
 
 
 @query("""SELECT l_returnflag || l_linestatus AS "table", count(*) * 20 AS rows, count(*) FILTER (WHERE l_linenumber = 1) AS removed, count(*) FILTER (WHERE l_suppkey % 2 = 0) * 12 AS added, CASE WHEN l_returnflag || l_linestatus = 'RO' THEN 'refuse' WHEN count(*) * 20 >= 100000 AND count(*) FILTER (WHERE l_linenumber = 1) + count(*) FILTER (WHERE l_suppkey % 2 = 0) * 12 >= 0.25 * count(*) * 20 THEN 'refill' ELSE 'apply' END AS plan FROM lineitem GROUP BY 1, l_returnflag, l_linestatus""")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import languages
-from ..sources import formats, texts
+from ..session import scratch
+from ..sources import copy, formats, texts
 from .registry import long, n, query
+from .stemming import whole_stem
 
 # -- formats
 
@@ -48,22 +50,31 @@ def copy_escapes(t):
     return rows.filter(~F.col("v").rlike("[\t\n\r]")).select("o_custkey", "o_orderkey", texts.unescaped(F.col("v")).alias("value"), texts.unescaped(F.col("m")).alias("maybe"))
 
 
+@query("""SELECT doc_id, '#' || lang || chr(1) || chr(92) AS tag, CASE WHEN doc_id % 3 > 0 THEN text END AS text, doc_id % 2 = 0 AS flag, chr(92) || 'N' AS note FROM documents""")
+def copy_file(t):
+    """A table written as COPY text and read again: rows that begin with #, control characters, nulls, texts of many lines."""
+    docs = t("documents")
+    path = scratch(docs.sparkSession, "copy")
+    rows = docs.select(F.concat(F.lit("#"), "lang", F.lit("\x01\\")).alias("tag"), "doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("text")).alias("text"), (F.col("doc_id") % 2 == 0).alias("flag"), F.lit("\\N").alias("note"))
+    copy.write_copy(rows, path, {"product": "documents", "sources": "one\ntwo"})
+    return copy.read_copy(docs.sparkSession, path, "tag string, doc_id long, text string, flag boolean, note string")
+
+
 # -- texts of several formats, made from the documents: a source is a book, a hundred ids a chapter
 
-_VERSES = r"""SELECT source AS book, CAST(doc_id // 100 + 1 AS INTEGER) AS chapter, CAST(doc_id % 100 + 1 AS VARCHAR) AS verse, trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9 ,.;]+', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM documents WHERE source IS NOT NULL"""
+_VERSES = r"""SELECT source AS book, CAST(doc_id // 100 + 1 AS INTEGER) AS chapter, CAST(doc_id % 100 + 1 AS VARCHAR) AS verse, trim(regexp_replace(regexp_replace(text, '[^\p{L}\p{M}0-9 ,.;]+', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM documents WHERE source IS NOT NULL"""
 
 
 def _plain(t):
     rows = t("documents").filter("source IS NOT NULL")
-    text = F.trim(F.regexp_replace(F.regexp_replace("text", "[^A-Za-z0-9 ,.;]+", " "), r"\s+", " "))
+    text = F.trim(F.regexp_replace(F.regexp_replace("text", r"[^\p{L}\p{M}0-9 ,.;]+", " "), r"\s+", " "))
     return rows.select("source", F.expr("doc_id div 100 + 1").alias("chapter"), (F.col("doc_id") % 100 + 1).alias("verse"), F.coalesce(text, F.lit("")).alias("text"))
 
 
 def _files(t, verse, chapter, book):
-    """One text a book; a hundred verses of a chapter are gathered first."""
+    """One text a chapter of a book, of a hundred verses at most."""
     in_chapter = _plain(t).groupBy("source", "chapter").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("verse", verse.alias("v")))), lambda x: x["v"]), "").alias("v"))
-    in_book = in_chapter.groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chapter", chapter.alias("c")))), lambda x: x["c"]), "").alias("c"))
-    return in_book.select(book.alias("value"))
+    return in_chapter.withColumn("c", chapter).select(book.alias("value"))
 
 
 def _s(*parts):
@@ -97,18 +108,18 @@ def tei_texts(t):
 # -- words
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]+')) AS words, regexp_replace(text, '^[^A-Za-z]+', '') AS assembled FROM documents WHERE regexp_matches(text, '^[ -&(-,.-~]*$') AND NOT regexp_matches(text, '[0-9]') AND regexp_matches(text, '[A-Za-z]')")
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+(?:[''’\-][\p{L}\p{M}\p{N}]+)*')) AS words, regexp_replace(text, '^[^\p{L}\p{M}\p{N}]+', '') AS assembled FROM documents""")
 def text_assembly(t):
-    """Words and trailers of ASCII texts without apostrophes and hyphens give the text back from its first word on."""
-    rows = t("documents").filter(F.col("text").rlike("^[ -&(-,.-~]*$") & ~F.col("text").rlike("[0-9]") & F.col("text").rlike("[A-Za-z]")).select("doc_id", texts.words(F.col("text")).alias("w"))
+    """Words and trailers of every text give it back from its first word on."""
+    rows = t("documents").select("doc_id", texts.words(F.col("text")).alias("w"))
     return rows.select("doc_id", long(F.size("w")).alias("words"), texts.assembled(F.col("w")).alias("assembled"))
 
 
-@query(r"""SELECT doc_id, trim(string_agg(CASE WHEN regexp_matches(x, '[ (\[{<]$') THEN x ELSE x || ' ' END, '' ORDER BY k)) AS joined FROM (SELECT doc_id, unnest(range(0, len(p))) AS k, regexp_replace(unnest(p), '\s+', ' ', 'g') AS x FROM (SELECT doc_id, regexp_extract_all(text, '[a-z]+[^a-z]*') AS p FROM documents WHERE lang = 'en')) GROUP BY 1""")
+@query(r"""SELECT doc_id, trim(string_agg(CASE WHEN regexp_matches(x, '[ (\[{<«“‘]$') THEN x ELSE x || ' ' END, '' ORDER BY k), ' ') AS joined FROM (SELECT doc_id, unnest(range(0, len(p))) AS k, regexp_replace(unnest(p), '[\s\x{A0}\x{2000}-\x{200A}\x{3000}]+', ' ', 'g') AS x FROM (SELECT doc_id, regexp_extract_all(text, '[a-z]+[^a-z]*') AS p FROM documents)) GROUP BY 1""")
 def word_separation(t):
     pieces = F.regexp_extract_all("text", F.lit("[a-z]+[^a-z]*"), F.lit(0))
-    rows = t("documents").filter("lang = 'en'").select("doc_id", pieces.alias("p")).filter("size(p) > 0")
-    parts = F.transform("p", lambda x: F.concat(F.regexp_extract(x, "^[a-z]+", 0), texts.separated(F.regexp_extract(x, "^[a-z]+([^a-z]*)$", 1))))
+    rows = t("documents").select("doc_id", pieces.alias("p")).filter("size(p) > 0")
+    parts = F.transform("p", lambda x: F.concat(F.regexp_extract(x, "^[a-z]+", 0), texts.separated(F.regexp_extract(x, "(?s)^[a-z]+([^a-z]*)$", 1))))
     return rows.select("doc_id", F.trim(F.array_join(parts, "")).alias("joined"))
 
 
@@ -119,11 +130,11 @@ def declared_corrections(t):
     return texts.corrected(part, fixes, ["p_partkey"], "p_name")
 
 
-@query("""SELECT l_orderkey, l_returnflag AS surface, 'G' || l_partkey AS number, count(*) AS words FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1, 2, 3 UNION ALL SELECT l_orderkey, l_returnflag, 'H' || l_suppkey, count(*) FROM lineitem WHERE l_linenumber <= 2 AND l_linestatus = 'F' GROUP BY 1, 2, 3""")
+@query("""SELECT l_orderkey, l_returnflag AS surface, 'G' || l_partkey AS number, count(*) AS words FROM lineitem GROUP BY 1, 2, 3 UNION ALL SELECT l_orderkey, l_returnflag, 'H' || l_suppkey, count(*) FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1, 2, 3""")
 def tagged_words(t):
     """A text of tagged words for each order, and the numbers read from it."""
     word = _s(c("l_returnflag"), "<G", c("l_partkey"), ">", F.when(c("l_linestatus") == "F", _s("<H", c("l_suppkey"), ">")).otherwise(F.lit("")))
-    text = t("lineitem").filter("l_linenumber <= 2").groupBy("l_orderkey").agg(F.array_join(F.collect_list(word), "  ").alias("text"))
+    text = t("lineitem").groupBy("l_orderkey").agg(F.array_join(F.collect_list(word), "  ").alias("text"))
     rows = text.select("l_orderkey", F.explode(texts.tagged(F.col("text"))).alias("w"))
     return rows.select("l_orderkey", "w.surface", F.explode("w.numbers").alias("number")).groupBy("l_orderkey", "surface", "number").agg(n().alias("words"))
 
@@ -146,6 +157,17 @@ def _by_plural_sql(word, plural, endings, accents):
     return f"coalesce(translate({_without_sql(word, own)}, '{accents[0]}', '{accents[1]}'), translate({_without_sql(plural, endings)}, '{accents[0]}', '{accents[1]}'), {plural})"
 
 
+def stems_sql(language, forms):
+    """form, stem of a SELECT of forms by the rules of a language."""
+    if language == "fr":
+        return f"WITH f AS ({forms}), p AS (SELECT form, regexp_replace(form, '^(.{{3,}})[sx]$', '\\1') AS plural FROM f) SELECT form, {_by_plural_sql('form', 'plural', languages.FRENCH, ('éèêàâîïôûùç', 'eeeaaiiouuc'))} AS stem FROM p"
+    if language == "es":
+        return f"WITH f AS ({forms}), p AS (SELECT form, {_enclitic_sql('form')} AS verb FROM f) SELECT form, coalesce(translate({_without_sql('verb', languages.SPANISH)}, 'áéíóú', 'aeiou'), verb) AS stem FROM p"
+    if language == "de":
+        return f"WITH f AS ({forms}), {_german_sql()}"
+    return f"WITH f AS ({forms}) SELECT form, {whole_stem('form')} AS stem FROM f"
+
+
 @query(f"WITH f AS {_FORMS.format('fr')}, p AS (SELECT form, regexp_replace(form, '^(.{{3,}})[sx]$', '\\1') AS plural FROM f) SELECT form, {_by_plural_sql('form', 'plural', languages.FRENCH, ('éèêàâîïôûùç', 'eeeaaiiouuc'))} AS stem FROM p")
 def stems_french(t):
     return languages.stem(_forms(t, "fr"), "form", "fr")
@@ -187,16 +209,16 @@ def stems_german(t):
     return languages.stem(_forms(t, "de"), "form", "de")
 
 
-@query(r"""SELECT DISTINCT w AS name, regexp_replace(translate(lower(regexp_replace(w, '(.)[''’]s$', '\1')), 'àâäçéèêëîïôöùûüÿáíóúñ', 'aaaceeeeiioouuuyaioun'), '[^\p{L}\p{Nd}]', '', 'g') AS folded FROM (SELECT unnest(regexp_extract_all(text, '[A-Z]\p{L}+(?:[''’-]\p{L}+)?')) AS w FROM documents WHERE lang IN ('fr', 'es', 'en')) WHERE NOT contains(w, 'ß')""")
+@query(r"""SELECT DISTINCT w AS name, regexp_replace(translate(replace(lower(regexp_replace(w, '(.)[''’]s$', '\1')), 'ß', 'ss'), 'àâäçéèêëîïôöùûüÿáíóúñ', 'aaaceeeeiioouuuyaioun'), '[^\p{L}\p{Nd}]', '', 'g') AS folded FROM (SELECT unnest(regexp_extract_all(text, '\p{Lu}\p{L}*(?:[''’-]\p{L}+)?')) AS w FROM documents)""")
 def name_folding(t):
-    rows = t("documents").filter("lang IN ('fr', 'es', 'en')").select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Z]\p{L}+(?:['’-]\p{L}+)?"), F.lit(0))).alias("name")).distinct().filter("NOT contains(name, 'ß')")
+    rows = t("documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{Lu}\p{L}*(?:['’-]\p{L}+)?"), F.lit(0))).alias("name")).distinct()
     return rows.withColumn("folded", languages.fold_name(c("name")))
 
 
-@query(r"SELECT form, nfc_normalize(form) AS nfc FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '\p{L}+')) || chr(769) AS form FROM documents WHERE lang IN ('fr', 'es', 'de'))")
+@query(r"SELECT form, nfc_normalize(form) AS nfc FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '\p{L}+')) || chr(769) AS form FROM documents)")
 def normal_forms(t):
     """Words with an acute put on their last letter, composed."""
-    rows = t("documents").filter("lang IN ('fr', 'es', 'de')").select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("w")).distinct()
+    rows = t("documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("w")).distinct()
     return rows.select(F.concat("w", F.lit("\u0301")).alias("form")).withColumn("nfc", languages.normal(c("form"), "NFC"))
 
 

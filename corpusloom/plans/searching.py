@@ -5,79 +5,109 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import text
 from ..operators import search
+from ..operators.index import Index
 from ..session import LINE
+from .reading import stems_sql
 from .registry import ALL, n, query
+from .stemming import stem_sql, whole_stem  # noqa: F401
 
 TOKENS = "(SELECT doc_id, source, unnest(range(0, len(w))) AS position, unnest(w) AS token FROM (SELECT doc_id, source, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents))"
 
 
-def stem_sql(word):
-    """The ending off, as the English rules say."""
-    cases = " ".join(f"WHEN {word} LIKE '%{e}' AND length({word}) - {len(e)} >= 3 THEN left({word}, length({word}) - {len(e)}) || '{'i' if e in ('ies', 'ied') else ''}'" for e in text.ENDINGS)
-    return f"CASE WHEN length({word}) <= 3 THEN {word} {cases} ELSE {word} END"
+WORDS = r"(SELECT doc_id, source, lang, unnest(range(0, len(w))) AS position, unnest(w) AS token FROM (SELECT doc_id, source, lang, regexp_extract_all(lower(text), '[\p{L}\p{M}]+') AS w FROM documents))"
+LANGUAGES = ("en", "de", "fr", "es")
 
 
-def whole_stem(word):
-    """The stemmer as one SQL expression."""
-    s = f"({stem_sql(word)})"
-    u = f"(CASE WHEN length({word}) > 3 AND length({s}) > 3 AND right({s}, 1) = substr({s}, length({s}) - 1, 1) AND right({s}, 1) NOT IN ('a','e','i','o','u') THEN left({s}, length({s}) - 1) ELSE {s} END)"
-    return f"(CASE WHEN length({word}) > 3 AND length({u}) > 3 AND right({u}, 1) = 'e' THEN left({u}, length({u}) - 1) ELSE {u} END)"
+def forms_sql(typed=()):
+    """CTEs: tok, all words; st (lang, form, stem) of all forms of each language and of the typed words."""
+    also = "".join(f" UNION SELECT '{w}'" for w in typed)
+    by_language = " UNION ALL ".join(f"SELECT '{x}' AS lang, form, stem FROM ({stems_sql(x, f'SELECT DISTINCT token AS form FROM tok WHERE lang = {chr(39)}{x}{chr(39)}{also}')})" for x in LANGUAGES)
+    return f"tok AS MATERIALIZED (SELECT * FROM {WORDS}), st AS MATERIALIZED ({by_language})"
 
 
-def ranked_sql(terms, required, phrases=(), scope="true"):
-    """terms: (word, typed in a phrase); required: numbers of terms; phrases: lists of numbers of terms."""
-    typed = ", ".join(f"({k}, '{w}', {str(p).lower()})" for k, (w, p) in enumerate(terms))
+def ranked_sql(terms, required, phrases=(), scope="true", joints=()):
+    """terms: (word, typed in a phrase); required: numbers of terms; phrases: lists of numbers of terms; joints: numbers of joint words."""
+    typed = ", ".join(f"({k}, '{w}', {str(p).lower()}, {str(k in joints).lower()})" for k, (w, p) in enumerate(terms))
     inside = lambda which: f"(SELECT DISTINCT doc_id FROM (SELECT doc_id, position - list_position([{', '.join(map(str, which))}], term) AS i FROM h WHERE tier <= 1 AND term IN ({', '.join(map(str, which))}) GROUP BY 1, 2 HAVING count(DISTINCT term) = {len(which)}))"
     count, need = len(required), f"term IN ({', '.join(map(str, required))})"
     half = (count + 1) // 2 if count >= 3 else count
     stands = "".join(f" AND doc_id IN {inside(p)}" for p in phrases)
-    return f"""WITH q(term, typed, quoted) AS (VALUES {typed}), qs AS (SELECT *, {whole_stem('typed')} AS qstem FROM q), st AS MATERIALIZED (SELECT token, {whole_stem('token')} AS stem FROM (SELECT DISTINCT token FROM {TOKENS})),
-m AS MATERIALIZED (SELECT token, term, CASE WHEN token = typed THEN 0 WHEN quoted THEN NULL WHEN stem = qstem THEN 1 WHEN starts_with(token, typed) THEN 2 WHEN length(typed) >= 3 AND contains(token, typed) THEN 3 END AS tier FROM st, qs),
-h AS MATERIALIZED (SELECT doc_id, position, term, tier FROM {TOKENS} JOIN m USING (token) WHERE tier IS NOT NULL AND {scope}),
+    return f"""WITH {forms_sql([w for w, _ in terms])}, q(term, typed, quoted, jointly) AS (VALUES {typed}),
+m AS MATERIALIZED (SELECT f.lang, f.form AS token, term, CASE WHEN f.form = typed THEN 0 WHEN quoted OR jointly THEN NULL WHEN f.stem = a.stem THEN 1 WHEN starts_with(f.form, typed) THEN 2 WHEN length(typed) >= 3 AND contains(f.form, typed) THEN 3 END AS tier FROM st f, q JOIN st a ON a.form = q.typed WHERE a.lang = f.lang),
+h AS MATERIALIZED (SELECT doc_id, position, term, tier FROM tok JOIN m ON m.token = tok.token AND m.lang = tok.lang WHERE tier IS NOT NULL AND {scope}),
 p AS (SELECT doc_id, term, min(tier) AS tier, min(position) AS low, max(position) AS high FROM h GROUP BY 1, 2),
 held AS (SELECT doc_id, count(*) FILTER (WHERE {need}) AS held, count(*) AS terms, CAST(sum(tier) AS BIGINT) AS tiers, CAST(max(high) FILTER (WHERE {need}) - min(low) FILTER (WHERE {need}) AS BIGINT) AS span FROM p GROUP BY 1),
 f AS MATERIALIZED (SELECT *, {len(terms)} > 1 AND doc_id IN {inside(range(len(terms)))} AS phrase FROM held WHERE true{stands}), w AS (SELECT coalesce(max(CASE WHEN held = {count} THEN 1 ELSE 0 END), 0) AS whole FROM f)
 SELECT doc_id, phrase, held, terms, tiers, span, whole = 0 AS partial FROM f, w WHERE held >= CASE WHEN whole = 1 THEN {count} ELSE {half} END"""
 
 
+def documents_index(t):
+    """The stored index of all documents, each folded and stemmed by its own language."""
+    return Index.once(t("documents").select("doc_id", "lang", "text"), "doc_id")
+
+
+@query(f"WITH {forms_sql()} SELECT lang AS language, form, stem, count(*) AS occurrences, count(DISTINCT doc_id) AS segments FROM tok JOIN st USING (lang) WHERE form = token GROUP BY 1, 2, 3")
+def index_forms(t):
+    """The form statistics of the index, in four languages."""
+    return documents_index(t).forms.select("language", "form", "stem", "occurrences", "segments")
+
+
+@query(f"SELECT lang AS language, token AS form, doc_id AS key, string_agg(position, ' ' ORDER BY position) AS positions FROM {WORDS} GROUP BY 1, 2, 3")
+def index_postings(t):
+    """Where each form stands in each document, as the index keeps it."""
+    return documents_index(t).postings.select("language", "form", "key", F.array_join(F.transform("positions", lambda p: p.cast("string")), " ").alias("positions"))
+
+
 @query(ranked_sql([("of", False), ("the", False)], [0, 1]))
 def search_rank(t):
-    return search.rank(t("documents"), "doc_id", "of the")
+    return documents_index(t).search("of the", "doc_id")
 
 
 @query(ranked_sql([("zzqx", False), ("with", False), ("from", False)], [0, 1, 2]))
 def search_relaxed(t):
-    return search.rank(t("documents"), "doc_id", "zzqx, with from!")
+    return documents_index(t).search("zzqx, with from!", "doc_id")
 
 
-@query(ranked_sql([("license", False), ("the", True), ("mit", True), ("under", False), ("and", False)], [0, 1, 2, 3], [[1, 2]], "source IN (SELECT source FROM documents GROUP BY 1 HAVING count(*) >= 20)"))
+@query(ranked_sql([("license", False), ("the", True), ("mit", True), ("under", False), ("and", False)], [0, 1, 2, 3], [[1, 2]], "source IN (SELECT source FROM documents GROUP BY 1 HAVING count(*) >= 20)", joints=[4]))
 def search_phrases_in_scope(t):
     """A quoted phrase, a joint word, and a scope of sources."""
-    docs = t("documents")
+    docs = t("documents").select("doc_id", "source")
     large = docs.groupBy("source").agg(n().alias("k")).filter("k >= 20").select("source")
-    return search.rank(docs, "doc_id", "license “the MIT” under and", joints=("and", "or"), scope=docs.join(large, "source", "left_semi"))
+    return documents_index(t).search("license “the MIT” under and", "doc_id", joints=("and", "or"), scope=docs.join(large, "source", "left_semi"))
+
+
+@query(ranked_sql([("für", False), ("und", False), ("schö", False)], [0, 2], scope="tok.lang = 'de'", joints=[1]))
+def search_german(t):
+    """Words with umlauts, a joint word of the language."""
+    return documents_index(t).search("Für und schö", "doc_id", only="de")
+
+
+@query(ranked_sql([("éque", False), ("réau", False)], [0, 1]))
+def search_accents(t):
+    """Accented words in every language, by the stems of each."""
+    return documents_index(t).search("Éque, réau", "doc_id")
 
 
-@query(f"SELECT doc_id FROM {TOKENS} WHERE token IN ('with', 'from', 'this') GROUP BY 1 HAVING count(DISTINCT token) = 3")
+@query(f"SELECT doc_id FROM {WORDS} WHERE token IN ('with', 'from', 'this') GROUP BY 1 HAVING count(DISTINCT token) = 3")
 def search_all_terms(t):
-    tok = text.tokens(t("documents").select("doc_id", "text")).filter(F.col("token").isin("with", "from", "this"))
-    return tok.groupBy("doc_id").agg(F.countDistinct("token").alias("k")).filter("k = 3").select("doc_id")
+    terms = search.parse("“with” “from” “this”")  # as typed only
+    return documents_index(t).hits(terms).groupBy(F.col("key").alias("doc_id")).agg(F.countDistinct("term").alias("k")).filter("k = 3").select("doc_id")
 
 
-@query(f"""WITH h AS (SELECT doc_id, position - CASE token WHEN 'of' THEN 0 ELSE 1 END AS island, token FROM {TOKENS} WHERE token IN ('of', 'the'))
+@query(f"""WITH h AS (SELECT doc_id, position - CASE token WHEN 'of' THEN 0 ELSE 1 END AS island, token FROM {WORDS} WHERE token IN ('of', 'the'))
 SELECT doc_id, count(*) AS places FROM (SELECT doc_id, island FROM h GROUP BY 1, 2 HAVING count(DISTINCT token) = 2) GROUP BY 1""")
 def search_phrase(t):
-    tok = text.tokens(t("documents").select("doc_id", "text")).filter(F.col("token").isin("of", "the"))
-    island = F.col("position") - F.when(F.col("token") == "of", 0).otherwise(1)
-    return tok.groupBy("doc_id", island.alias("island")).agg(F.countDistinct("token").alias("k")).filter("k = 2").groupBy("doc_id").agg(n().alias("places"))
+    hits = documents_index(t).hits(search.parse("“of the”"))
+    found = hits.groupBy(F.col("key").alias("doc_id"), (F.col("position") - F.col("term")).alias("island")).agg(F.countDistinct("term").alias("k")).filter("k = 2")
+    return found.groupBy("doc_id").agg(n().alias("places"))
 
 
-@query(f"""SELECT tier, count(*) AS forms FROM (SELECT CASE WHEN token = 'tion' THEN 0 WHEN {whole_stem('token')} = 'tion' THEN 1 WHEN starts_with(token, 'tion') THEN 2 WHEN contains(token, 'tion') THEN 3 END AS tier FROM (SELECT DISTINCT token FROM {TOKENS})) WHERE tier IS NOT NULL GROUP BY 1""")
+@query(f"""WITH {forms_sql(['tion'])} SELECT f.lang AS language, f.form, CASE WHEN f.form = 'tion' THEN 0 WHEN f.stem = a.stem THEN 1 WHEN starts_with(f.form, 'tion') THEN 2 WHEN contains(f.form, 'tion') THEN 3 END AS tier FROM st f JOIN st a ON a.lang = f.lang AND a.form = 'tion'
+WHERE (f.stem = a.stem OR contains(f.form, 'tion')) AND (f.lang, f.form) IN (SELECT (lang, token) FROM tok)""")
 def form_tiers(t):
-    forms = text.tokens(t("documents").select("doc_id", "text")).select(F.col("token").alias("form")).distinct()
-    return search.tiers(forms, ["tion"]).groupBy("tier").agg(n().alias("forms"))
+    """The forms that a typed word answers, and how near they are to it, in each language."""
+    return documents_index(t).resolved(search.parse("tion")).select("language", "form", "tier")
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), '100% of_') OR contains(lower(text), 'mit license')")
@@ -98,20 +128,19 @@ def trigram_neighbours(t):
     return search.neighbours(t("part").select(F.col("p_type").alias("word")).distinct(), ["STANDARD TIN", "PROMO BRASS"])
 
 
-_ASKED = ["lisense", "thatun", "ononset", "inuran", "the", "hehaly", "arantion", "nucht"]
+_ASKED = ["lisense", "thatun", "ononset", "inuran", "the", "hehaly", "arantion", "nucht", "fürr", "écue"]
 
 
-@query(f"""WITH f AS (SELECT token AS form, count(*) AS occurrences FROM {TOKENS} GROUP BY 1), st AS MATERIALIZED (SELECT *, {whole_stem('form')} AS stem, list_distinct([substr('  ' || form || ' ', i, 3) FOR i IN range(1, length(form) + 2)]) AS g FROM f),
-wt AS (SELECT stem, sum(occurrences) AS weight FROM st GROUP BY 1), a0(asked) AS (VALUES {', '.join(f"('{a}')" for a in _ASKED)}), a AS (SELECT asked, {whole_stem('asked')} AS astem, list_distinct([substr('  ' || asked || ' ', i, 3) FOR i IN range(1, length(asked) + 2)]) AS ag FROM a0),
-q AS (SELECT a.*, coalesce(weight, 0) AS own FROM a LEFT JOIN wt ON stem = astem WHERE coalesce(weight, 0) <= 25), k AS (SELECT asked, astem, own, form, stem, occurrences, len(list_intersect(g, ag)) / (len(g) + len(ag) - len(list_intersect(g, ag))) AS likeness FROM q, st WHERE form <> asked),
-r AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY likeness DESC, occurrences DESC, form) AS place FROM k WHERE likeness >= 0.3),
-c AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY levenshtein(asked, form), place) AS r FROM r WHERE place <= 30 AND stem <> astem AND levenshtein(asked, form) <= CASE WHEN length(asked) <= 4 THEN 1 ELSE 2 END
+@query(f"""WITH {forms_sql(_ASKED)}, f AS (SELECT lang, token AS form, count(*) AS occurrences FROM tok GROUP BY 1, 2), sf AS MATERIALIZED (SELECT lang, form, stem, occurrences, list_distinct([substr('  ' || form || ' ', i, 3) FOR i IN range(1, length(form) + 2)]) AS g FROM f JOIN st USING (lang, form)),
+wt AS (SELECT lang, stem, sum(occurrences) AS weight FROM sf GROUP BY 1, 2), a0(asked) AS (VALUES {', '.join(f"('{a}')" for a in _ASKED)}), a AS (SELECT lang, asked, stem AS astem, list_distinct([substr('  ' || asked || ' ', i, 3) FOR i IN range(1, length(asked) + 2)]) AS ag FROM a0 JOIN st ON form = asked),
+q AS (SELECT a.*, coalesce(weight, 0) AS own FROM a LEFT JOIN wt ON wt.lang = a.lang AND wt.stem = astem WHERE coalesce(weight, 0) <= 25), k AS (SELECT q.lang, asked, astem, own, form, stem, occurrences, len(list_intersect(g, ag)) / (len(g) + len(ag) - len(list_intersect(g, ag))) AS likeness FROM q JOIN sf ON q.lang = sf.lang AND form <> asked),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, asked ORDER BY likeness DESC, occurrences DESC, form) AS place FROM k WHERE likeness >= 0.3),
+c AS (SELECT *, row_number() OVER (PARTITION BY lang, asked ORDER BY levenshtein(asked, form), place) AS r FROM r WHERE place <= 30 AND stem <> astem AND levenshtein(asked, form) <= CASE WHEN length(asked) <= 4 THEN 1 ELSE 2 END
 AND NOT (least(length(asked), length(form)) >= greatest(length(asked), length(form)) - 2 AND left(asked, greatest(length(asked), length(form)) - 2) = left(form, greatest(length(asked), length(form)) - 2))
 AND (own = 0 OR contains(form, asked) OR regexp_replace(form, '[aeiouy]', '', 'g') = regexp_replace(asked, '[aeiouy]', '', 'g')))
-SELECT asked, form, CAST(own AS BIGINT) AS printed, CAST(weight AS BIGINT) AS weight FROM c JOIN wt USING (stem) WHERE r = 1 AND (own = 0 OR weight >= 2 * own)""")
+SELECT c.lang AS language, asked, form, CAST(own AS BIGINT) AS printed, CAST(weight AS BIGINT) AS weight FROM c JOIN wt ON wt.lang = c.lang AND wt.stem = c.stem WHERE r = 1 AND (own = 0 OR weight >= 2 * own)""")
 def spelling_suggestions(t):
-    forms = text.tokens(t("documents").select("doc_id", "text")).groupBy(F.col("token").alias("form")).agg(n().alias("occurrences"))
-    return search.suggestions(forms, _ASKED)
+    return search.suggestions(documents_index(t).forms, _ASKED)
 
 
 # -- what a page shows
@@ -123,13 +152,13 @@ def snippets(t):
     return t("conversations").filter("text IS NOT NULL").select("conv_id", "turn", search.snippet(F.col("text"), marked).alias("snippet"))
 
 
-@query(r"""WITH r AS (SELECT doc_id, run, regexp_extract_all(s, '[a-z]+') AS w FROM (SELECT doc_id, unnest(range(0, len(p))) AS run, unnest(p) AS s FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z ]+') AS p FROM documents WHERE lang = 'en'))),
+@query(r"""WITH r AS (SELECT doc_id, run, regexp_extract_all(s, '[a-z]+') AS w FROM (SELECT doc_id, unnest(range(0, len(p))) AS run, unnest(p) AS s FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z ]+') AS p FROM documents))),
 e AS (SELECT doc_id, run, position, word, sum(length(word)) OVER (PARTITION BY doc_id, run ORDER BY position) AS after FROM (SELECT doc_id, run, unnest(range(0, len(w))) AS position, unnest(w) AS word FROM r)),
 o AS (SELECT doc_id, run, unnest(list_filter(range(1, length(line) - 1), lambda p: substr(line, p, 3) = 'eth')) AS p FROM (SELECT doc_id, run, array_to_string(w, '') AS line FROM r) WHERE contains(line, 'eth'))
 SELECT DISTINCT doc_id, run, position, word FROM e JOIN o USING (doc_id, run) WHERE p <= after AND p + 2 > after - length(word)""")
 def search_unspaced(t):
     """Words as if printed without spaces; an occurrence may begin inside one word and end in the next, never over punctuation."""
-    runs = t("documents").filter("lang = 'en'").select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z ]+"), F.lit(0))).alias("run", "s"))
+    runs = t("documents").select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z ]+"), F.lit(0))).alias("run", "s"))
     words = runs.select("doc_id", F.col("run").cast("long").alias("run"), F.regexp_extract_all("s", F.lit("[a-z]+"), F.lit(0)).alias("w")).filter("size(w) > 0")
     return search.unspaced(words, ["doc_id", "run"], "w", "eth")
 

@@ -25,3 +25,10 @@ def drop(spark: SparkSession, path: str) -> None:
     """Removes a table of the shared folder that nothing reads any more."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def kept(df: DataFrame, name: str = "kept") -> DataFrame:
+    """df written into the shared folder and read again: what follows does not plan or run anew what made it."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import copy
+
 #: Patterns of the inferred types in their order of precedence (fixed values).
 PATTERNS = {"wordkey": r"^\d+\.\d+[a-z]?:\d+[a-z]?\.\d+$", "versekey": r"^\d+\.\d+[a-z]?:\d+[a-z]?$", "integer": r"^(0|-?[1-9]\d{0,17})$", "boolean": r"^[tf]$", "json": r"^[\[{].*[\]}]$"}
 
@@ -64,8 +66,10 @@ def validate(df: DataFrame, rules: dict[str, str]) -> DataFrame:
 
 
 def check_schema(df: DataFrame, expected: T.StructType) -> list[str]:
-    """Problems: columns must agree by name and order; trailing nullable ones may be missing."""
-    problems = [f"column {k}: {a.name}, expected {b.name}" for k, (a, b) in enumerate(zip(df.schema, expected, strict=False)) if a.name != b.name]
+    """Problems: columns must agree by name, order and type; trailing nullable ones may be missing."""
+    pairs = list(enumerate(zip(df.schema, expected, strict=False)))
+    problems = [f"column {k}: {a.name}, expected {b.name}" for k, (a, b) in pairs if a.name != b.name]
+    problems += [f"column {k}: {a.name} is {a.dataType.simpleString()}, expected {b.dataType.simpleString()}" for k, (a, b) in pairs if a.name == b.name and a.dataType != b.dataType]
     problems += [f"missing {f.name}" for f in expected[len(df.columns) :] if not f.nullable]
     return problems + [f"unknown {c}" for c in df.columns[len(expected) :]]
 
@@ -73,7 +77,8 @@ def check_schema(df: DataFrame, expected: T.StructType) -> list[str]:
 def read_any(spark: SparkSession, path: str, kind: str, schema: T.StructType | str | None = None, row_tag: str = "row") -> DataFrame:
     reader = spark.read.schema(schema) if schema else spark.read
     if kind == "tsv":
-        return reader.option("sep", "\t").option("header", True).option("comment", "#").option("nullValue", "\\N").csv(path)
+        names = schema or ", ".join(f"`{c}` string" for c in copy.columns_of(spark, path))
+        return copy.read_copy(spark, path, names if isinstance(names, str) else names.toDDL())
     if kind == "csv":
         return reader.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     if kind == "jsonl":
@@ -87,7 +92,7 @@ def read_any(spark: SparkSession, path: str, kind: str, schema: T.StructType | s
 
 def write_any(df: DataFrame, path: str, kind: str, row_tag: str = "row") -> None:
     if kind == "tsv":
-        df.write.option("sep", "\t").option("header", True).option("nullValue", "\\N").csv(path)
+        copy.write_copy(df, path)
     elif kind == "csv":
         df.write.option("header", True).option("escape", '"').csv(path)
     elif kind == "jsonl":
@@ -100,8 +105,13 @@ def write_any(df: DataFrame, path: str, kind: str, row_tag: str = "row") -> None
         raise ValueError(f"unknown format {kind}")
 
 
-def convert(spark: SparkSession, source: str, from_kind: str, target: str, to_kind: str, schema=None) -> None:
-    write_any(read_any(spark, source, from_kind, schema), target, to_kind)
+def convert(spark: SparkSession, source: str, from_kind: str, target: str, to_kind: str, schema=None, inferred: bool = False) -> None:
+    """Writes a file in another format: by a schema, or with ``inferred`` by the types that all values of its text columns fit."""
+    df = read_any(spark, source, from_kind, schema)
+    if inferred and schema is None:
+        texts = [f.name for f in df.schema if f.dataType == T.StringType()]
+        df = typed(df, {r["column"]: r["type"] for r in infer(df.select(*texts)).collect()}) if texts else df  # a row for each column
+    write_any(df, target, to_kind)
 
 
 def manifest(df: DataFrame, by: str) -> DataFrame:

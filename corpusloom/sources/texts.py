@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .copy import escaped, read_copy, unescaped, write_copy  # noqa: F401
+
 VERSE = "book string, chapter int, verse string, text string"
 Verse = tuple[str, int, str, str]
 #: USFM markers whose content is no verse text: notes, references, headings, titles (fixed values).
@@ -59,6 +61,8 @@ def osis(text: str) -> Iterator[Verse]:
                 yield now, clean("".join(parts))
                 now, parts = None, []
             elif begins:
+                if now:  # no milestone ended the verse before
+                    yield now, clean("".join(parts))
                 now, parts = begins.split()[0], [node.text or ""]
                 if len(node) or node.text:
                     for child in node:
@@ -71,7 +75,12 @@ def osis(text: str) -> Iterator[Verse]:
                 yield from walk(child)
         parts.append(node.tail or "")
 
-    for ref, content in walk(ET.fromstring(text)):
+    def whole():
+        yield from walk(ET.fromstring(text))
+        if now:
+            yield now, clean("".join(parts))
+
+    for ref, content in whole():
         book, chapter, verse = (ref.split("!")[0].split(".") + ["0", "0"])[:3]
         yield book, int(chapter), verse, content
 
@@ -159,37 +168,3 @@ def tagged(text: Column) -> Column:
     """Array of (surface, numbers) of words written as word<G1234><H5>."""
     pieces = F.regexp_extract_all(text, F.lit(r"[^\s<>]+(?:<[A-Z]\d+>)*"), F.lit(0))
     return F.transform(pieces, lambda p: F.struct(F.regexp_extract(p, "^[^<]+", 0).alias("surface"), F.array_distinct(F.regexp_extract_all(p, F.lit(r"<([A-Z]\d+)>"), F.lit(1))).alias("numbers")))
-
-
-# -- COPY text
-
-
-def escaped(value: Column) -> Column:
-    """A field of COPY text: null as \\\\N; backslash, tab, line feed and carriage return escaped."""
-    out = F.replace(value, F.lit("\\"), F.lit("\\\\"))
-    for plain, mark in (("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
-        out = F.replace(out, F.lit(plain), F.lit(mark))
-    return F.coalesce(out, F.lit("\\N"))
-
-
-def unescaped(field: Column) -> Column:
-    """The value of a field of COPY text; an unknown escape is the character itself."""
-    hold = "\u0001"  # stands for an escaped backslash meanwhile
-    out = F.replace(field, F.lit("\\\\"), F.lit(hold))
-    for mark, plain in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ("\\b", "\b"), ("\\f", "\f"), ("\\v", "\x0b")):
-        out = F.replace(out, F.lit(mark), F.lit(plain))
-    out = F.replace(F.regexp_replace(out, r"\\(.)", "$1"), F.lit(hold), F.lit("\\"))
-    return F.when(field != "\\N", out)
-
-
-def write_copy(df: DataFrame, path: str) -> None:
-    """Tab-separated COPY text, a line for each row."""
-    line = F.concat_ws("\t", *[escaped(F.col(f"`{c}`").cast("string")) for c in df.columns])
-    df.select(line.alias("value")).write.text(path)
-
-
-def read_copy(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of COPY text by a schema; lines that begin with # are comments."""
-    fields = spark.createDataFrame([], schema).schema
-    lines = spark.read.text(path).filter(~F.col("value").startswith("#")).select(F.split("value", "\t").alias("f"))
-    return lines.select(*[unescaped(F.get("f", F.lit(k))).cast(f.dataType).alias(f.name) for k, f in enumerate(fields)])

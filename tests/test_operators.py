@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import languages
 from corpusloom.operators import build, differences, evidence, graph, kin, links, merge, quality, search
+from corpusloom.operators.index import Index
 from corpusloom.plans import catalogue, merging
 from corpusloom.session import tables
 from corpusloom.sources import formats, texts
@@ -362,7 +363,7 @@ def test_unspaced_text_and_snippets(spark):
     assert sorted((r.seg, r.position) for r in search.unspaced(runs, ["seg"], "w", "天地").collect()) == [(1, 2), (1, 3), (2, 0), (2, 1)]
     got = spark.range(1).select(search.snippet(F.lit(" A <b> & the B "), F.array(F.lit("the"), F.lit("b"))).alias("x")).first().x
     assert got == "A &lt;<em>b</em>&gt; &amp; <em>the</em> <em>B</em>"
-    empty = search.rank(spark.createDataFrame([(1, "a")], "k long, text string"), "k", "“” ,")
+    empty = Index.of(spark.createDataFrame([(1, "a", "en")], "k long, text string, lang string"), "k").search("“” ,", "k")
     assert empty.count() == 0
 
 
