@@ -142,15 +142,15 @@ STEMMED = ("en", "de", "fr", "es", "pt")
 
 
 def stem_by(df: DataFrame, word: str, language: str, name: str = "stem") -> DataFrame:
-    """The stem of a folded word by the language beside it: a branch for each language with rules, so each row runs through one."""
+    """The stem of a folded word by the language beside it, in one pass: the rules of each language see the words of that language alone."""
     code = F.col(language)
     for long, short in CODES.items():
         code = F.when(F.col(language) == long, short).otherwise(code)
-    coded = df.withColumn("_code", code)
-    out = coded.filter(~F.coalesce(F.col("_code"), F.lit("")).isin(*STEMMED)).withColumn(name, F.col(word))
+    out = df.withColumn("_code", code)
     for short in STEMMED:
-        out = out.unionByName(stem(coded.filter(F.col("_code") == short), word, short, name))
-    return out.drop("_code")
+        out = stem(out.withColumn(f"_word_{short}", F.when(F.col("_code") == short, F.col(word))), f"_word_{short}", short, f"_stem_{short}")
+    helpers = ["_code", *(f"_{x}_{short}" for x in ("word", "stem") for short in STEMMED)]
+    return out.withColumn(name, F.coalesce(*[f"_stem_{short}" for short in STEMMED], word)).drop(*helpers)
 
 
 def joint(word: str, language: str | None) -> list[str] | None:
