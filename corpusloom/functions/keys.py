@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
+
 
 def id52(key: Column) -> Column:
     """The first 52 bits of the SHA-256 of a key."""
@@ -12,10 +14,19 @@ def id52(key: Column) -> Column:
 
 
 def with_ids(df: DataFrame, key: str, name: str = "id") -> DataFrame:
-    """Ids of distinct keys; where ids collide (or are 0), later keys take that of key|1, key|2, ..."""
-    first = df.withColumn("_id", id52(F.col(key)))
-    turn = F.row_number().over(Window.partitionBy("_id").orderBy(key)) - F.when(F.col("_id") == 0, 0).otherwise(1)
-    return first.withColumn("_n", turn).withColumn(name, F.when(F.col("_n") == 0, F.col("_id")).otherwise(id52(F.concat_ws("|", F.col(key), F.col("_n").cast("string"))))).drop("_id", "_n")
+    """Ids of distinct keys; where ids collide (or are 0), later keys take that of key|1, key|2, ... until no two are the same.
+
+    A round finds ids that several keys have: the one that was hashed less often keeps it, then the smaller key. Without
+    collisions, as with 52 bits nearly always, there is one round.
+    """
+    now = df.withColumn("_n", F.lit(0))
+    while True:
+        own = now.withColumn(name, F.when(F.col("_n") == 0, id52(F.col(key))).otherwise(id52(F.concat_ws("|", F.col(key), F.col("_n").cast("string")))))
+        later = (F.row_number().over(Window.partitionBy(name).orderBy("_n", key)) > 1) | (F.col(name) == 0)
+        marked = own.withColumn("_later", later)
+        if marked.filter("_later").isEmpty():
+            return own.drop("_n")
+        now = kept(marked.withColumn("_n", F.col("_n") + F.col("_later").cast("int")).drop("_later", name), "ids")
 
 
 def record_hash(*fields: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,19 +32,32 @@ def degrees(left: DataFrame, right: DataFrame, links: DataFrame, absent: DataFra
 def nearest_pairs(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """One-to-one pairs of two sorted lists of places, the nearest first, then the earlier of a, then of b.
 
-    A place's nearest free partner stands beside it among the free places, so only neighbours are tried.
+    The nearest free places of both sides are neighbours among all free places: a heap holds the neighbours of either side, and
+    what a pair leaves between its own neighbours is put in when it goes.
     """
-    out, a, b = [], list(a), list(b)
-    while a and b:
-        best, k = None, 0
-        for i in a:
-            while k + 1 < len(b) and abs(b[k + 1] - i) < abs(b[k] - i):
-                k += 1
-            if best is None or abs(b[k] - i) < best[0]:
-                best = (abs(b[k] - i), i, b[k])
-        out.append(best[1:])
-        a.remove(best[1])
-        b.remove(best[2])
+    places = sorted([(p, 0) for p in a] + [(p, 1) for p in b])
+    before, after = list(range(-1, len(places) - 1)), [*range(1, len(places)), -1]
+    free, heap, out = [True] * len(places), [], []
+
+    def offer(i: int, j: int) -> None:
+        if i >= 0 and j >= 0 and places[i][1] != places[j][1]:
+            (x, _), (y, _) = sorted((places[i], places[j]), key=lambda p: p[1])
+            heapq.heappush(heap, (abs(x - y), x, y, i, j))
+
+    for i in range(len(places) - 1):
+        offer(i, i + 1)
+    while heap:
+        _, x, y, i, j = heapq.heappop(heap)
+        if not (free[i] and free[j]):
+            continue
+        out.append((x, y))
+        free[i] = free[j] = False
+        left, right = before[i], after[j]
+        if left >= 0:
+            after[left] = right
+        if right >= 0:
+            before[right] = left
+        offer(left, right)
     return out
 
 

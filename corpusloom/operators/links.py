@@ -24,10 +24,14 @@ def compose(first: DataFrame, second: DataFrame, segments: DataFrame | None = No
 
     With ``segments`` (seg_a, seg_c), only paths whose ends stand in segments that belong together; first then has seg_a, second seg_c.
     """
-    paths = first.join(second, "b")
-    if segments is not None:
+    # the best of each hop first: a word that many hops share then counts once a neighbour on either side
+    best = lambda df, by, c: df.groupBy(*by).agg(F.max(sure(F.col(c))).alias(c))
+    if segments is None:
+        paths = best(first, ["a", "b"], "c1").join(best(second, ["b", "c"], "c2"), "b")
+    else:
+        paths = best(first, ["seg_a", "a", "b"], "c1").join(best(second, ["seg_c", "b", "c"], "c2"), "b")
         paths = paths.join(segments.select("seg_a", "seg_c").distinct(), ["seg_a", "seg_c"], "left_semi")
-    return paths.groupBy("a", "c").agg(F.max(sure(F.col("c1")) * sure(F.col("c2"))).alias("confidence"))
+    return paths.groupBy("a", "c").agg(F.max(F.col("c1") * F.col("c2")).alias("confidence"))
 
 
 #: Precision of composed paths by the number of words of the middle link, 1 to 5 and more (fixed values).

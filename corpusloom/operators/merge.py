@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import kept
+
 #: Ranks of methods (fixed values); strong links and evidence verdicts have several.
 RANKS = {"pinned": 1000, "manual": 100, "ruling": 100, "stated": 90, "names": 77, "possessive": 76, "rule": 76, "model": 65, "composed": 60, "aligner": 40, "lexical": 20}
 #: From a confidence on: strong links by a text's own numbers, by numbers laid onto it, the surer and the rest (fixed values).
@@ -176,12 +178,13 @@ def annotate(claims: DataFrame, word: list[str], entity: str) -> DataFrame:
     return first.select(*word, F.when(~ambiguous, F.col(entity)).alias(entity), "claims")
 
 
-def chained_numbers(words: DataFrame, links: DataFrame, texts: list[str], originals: list[str], keep=lambda df: df) -> DataFrame:
+def chained_numbers(words: DataFrame, links: DataFrame, texts: list[str], originals: list[str], keep=kept) -> DataFrame:
     """text, word, number, hops, lender: each word's own number, else one that a link lends from a text before its own.
 
     words: text, word, number (null: none); links: text, word, other_text, other, confidence (null: stated). Texts are taken in order; a
     text reads the numbers of texts before it, and own ones of later texts. Of several: an original's, the surer link, the
-    shorter chain, the number that the same lending text carries less often, then number and lender by name.
+    shorter chain, the number that the same lending text carries less often, then number and lender by name. ``keep`` writes what a
+    text has got, so that the next one reads it and the plan grows with the texts alone.
     """
     own = words.filter("number IS NOT NULL").select("text", "word", "number", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("lender"))
     known = own

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import languages
 from ..functions.text import similarity, trigrams
+from ..session import kept
 
 #: Quotation marks with their closing ones, marks trimmed off words, and terms of a query at most (fixed values).
 QUOTES = {'"': '"', "«": "»", "„": "“", "“": "”"}
@@ -97,6 +98,7 @@ def ranked(hits: DataFrame, key: str, terms: list[Term], joints: list[int]) -> D
 
 def page(ranked: DataFrame, order: list, size: int, number: int) -> DataFrame:
     """A page by number from 1, clamped to the last one; ``total`` on each row."""
+    ranked = kept(ranked, "ranking")  # made once, counted and read
     total = ranked.count()
     at = max(1, min(number, -(-total // size)))
     return ranked.orderBy(*order).offset((at - 1) * size).limit(size).withColumn("total", F.lit(total).cast("long"))
