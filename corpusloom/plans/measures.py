@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..operators.numbering import numbered
-from ..operators import build, differences
+from ..operators import build, differences, publish
+from ..session import scratch
 from .registry import long, n, query
 
 c = F.col
@@ -272,6 +273,18 @@ def apply_moved(t):
     return build.apply_moved(stood, now, moved, by)
 
 
+@query(f"""WITH a AS (SELECT o_orderpriority, o_orderstatus, list_sort(list((o_orderkey, o_totalprice))) AS all_rows FROM {_STOOD} GROUP BY 1, 2), b AS (SELECT o_orderpriority, o_orderstatus, list_sort(list((o_orderkey, o_totalprice))) AS all_rows FROM {_BUILT} GROUP BY 1, 2)
+SELECT n.*, CAST(CASE WHEN EXISTS (SELECT 1 FROM a JOIN b ON a.o_orderpriority IS NOT DISTINCT FROM b.o_orderpriority AND a.o_orderstatus = b.o_orderstatus AND a.all_rows = b.all_rows WHERE b.o_orderpriority IS NOT DISTINCT FROM n.o_orderpriority AND b.o_orderstatus = n.o_orderstatus) THEN 1 ELSE 2 END AS INTEGER) AS run FROM {_BUILT} n""")
+def publish_moved(t):
+    """The state that stood is published, then the new one: parts that did not move are still those of the first run."""
+    stood, now, by = _built(t)
+    spark = now.sparkSession
+    path = scratch(spark, "published")
+    publish.publish(stood, path, by)
+    publish.publish(now, path, by)
+    return publish.published(spark, path)
+
+
 @query("""SELECT l_returnflag || l_linestatus AS "table", count(*) * 20 AS rows, count(*) FILTER (WHERE l_linenumber = 1) AS removed, count(*) FILTER (WHERE l_suppkey % 2 = 0) * 12 AS added, CASE WHEN l_returnflag || l_linestatus = 'RO' THEN 'refuse' WHEN count(*) * 20 >= 100000 AND count(*) FILTER (WHERE l_linenumber = 1) + count(*) FILTER (WHERE l_suppkey % 2 = 0) * 12 >= 0.25 * count(*) * 20 THEN 'refill' ELSE 'apply' END AS plan FROM lineitem GROUP BY 1, l_returnflag, l_linestatus""")
 def release_plan(t):
     rows = t("lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("table")).agg((n() * 20).alias("rows"), F.count_if(c("l_linenumber") == 1).alias("removed"), (F.count_if(c("l_suppkey") % 2 == 0) * 12).alias("added"))
