@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import merge
 from ..session import LINE
-from .registry import long, n, query
+from .registry import ALL, long, query
 
 _METHODS = ["manual", "strong", "composed", "aligner", "stated", "evidentia", "names", "possessive", "ruling", "lexical", "model", "rule"]
 _METHOD = "CASE (l_linenumber + l_suppkey) % 12 " + " ".join(f"WHEN {k} THEN '{m}'" for k, m in enumerate(_METHODS)) + " END"
@@ -29,18 +29,20 @@ def _claims(t):
     return df.withColumn("rank", long(merge.rank(F.col("method"), F.col("c"), F.col("tier"), F.col("laid"))))
 
 
-@query(f"SELECT method, tier, laid, rank, count(*) AS claims FROM {_CLAIMS} GROUP BY ALL")
+@query(f"SELECT {ALL}, method, tier, laid, rank FROM {_CLAIMS}")
 def method_precedence(t):
-    return _claims(t).groupBy("method", "tier", "laid", "rank").agg(n().alias("claims"))
+    """The rank of every claim."""
+    return _claims(t).select(*LINE, "method", "tier", "laid", "rank")
 
 
 @query(f"""WITH w AS (SELECT *, l_partkey % 3 AS a, l_suppkey % 2 AS b, CASE WHEN l_linestatus = 'F' THEN 'renders' ELSE 'equals' END AS relation FROM {_CLAIMS}),
 o AS (SELECT *, row_number() OVER w AS r, first(relation) OVER w AS top, first(method) OVER w AS by_method FROM w WINDOW w AS (PARTITION BY l_orderkey, a, b ORDER BY rank DESC, coalesce(c, 2) DESC, method, l_returnflag, l_linenumber || '|' || l_partkey || '|' || l_suppkey))
-SELECT CASE WHEN r = 1 THEN 'settles' WHEN relation = top THEN 'claims' ELSE 'withdrawn:' || by_method END AS status, count(*) AS claims, CAST(sum(rank) AS BIGINT) AS ranks FROM o GROUP BY 1""")
+SELECT {ALL}, rank, CASE WHEN r = 1 THEN 'settles' WHEN relation = top THEN 'claims' ELSE 'withdrawn:' || by_method END AS status FROM o""")
 def one_link_a_shape(t):
+    """What became of every claim of a shape."""
     key = F.concat_ws("|", "l_linenumber", "l_partkey", "l_suppkey")
-    rows = _claims(t).select("l_orderkey", (F.col("l_partkey") % 3).alias("a"), (F.col("l_suppkey") % 2).alias("b"), "rank", F.col("c").alias("confidence"), "method", F.col("l_returnflag").alias("source"), F.when(F.col("l_linestatus") == "F", "renders").otherwise("equals").alias("relation"), key.alias("key"))
-    return merge.one_link_a_shape(rows, ["l_orderkey", "a", "b"], "key").groupBy("status").agg(n().alias("claims"), F.sum("rank").alias("ranks"))
+    rows = _claims(t).select(*LINE, (F.col("l_partkey") % 3).alias("a"), (F.col("l_suppkey") % 2).alias("b"), "rank", F.col("c").alias("confidence"), "method", F.col("l_returnflag").alias("source"), F.when(F.col("l_linestatus") == "F", "renders").otherwise("equals").alias("relation"), key.alias("key"))
+    return merge.one_link_a_shape(rows, ["l_orderkey", "a", "b"], "key").select(*LINE, "rank", "status")
 
 
 @query()
@@ -63,14 +65,15 @@ def merge_competition(t):
     return merge.compete_links(link_candidates(t))
 
 
-@query("""SELECT status, count(*) AS rows FROM (SELECT CASE WHEN o_orderkey IS NULL THEN 'lost' WHEN md5(CAST(o_custkey AS VARCHAR)) <> md5(CAST(l_suppkey % 50 + o_custkey - o_custkey % 7 AS VARCHAR)) THEN 'stale' ELSE 'current' END AS status
-FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') ON o_orderkey = l_orderkey) GROUP BY 1""")
+@query(f"""SELECT {ALL}, CASE WHEN n.o_orderkey IS NULL THEN 'lost' WHEN md5(CAST(n.o_custkey AS VARCHAR)) <> md5(CAST(l_suppkey % 50 + o.o_custkey - o.o_custkey % 7 AS VARCHAR)) THEN 'stale' ELSE 'current' END AS status
+FROM lineitem JOIN orders o ON o.o_orderkey = l_orderkey LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') n ON n.o_orderkey = l_orderkey""")
 def stale_rows(t):
+    """Whether the segment that each row was made from is still as it was then."""
     o = t("orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    made = t("lineitem").select("l_orderkey", "l_suppkey").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    rows = made.select(F.col("l_orderkey").alias("segment"), F.md5((F.col("l_suppkey") % 50 + F.col("o_custkey") - F.col("o_custkey") % 7).cast("string")).alias("hash"))
+    made = t("lineitem").select(*LINE).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = made.select(*LINE, F.col("l_orderkey").alias("segment"), F.md5((F.col("l_suppkey") % 50 + F.col("o_custkey") - F.col("o_custkey") % 7).cast("string")).alias("hash"))
     now = o.filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("segment"), F.md5(F.col("o_custkey").cast("string")).alias("hash"))
-    return merge.stale(rows, now, ["segment"]).groupBy("status").agg(n().alias("rows"))
+    return merge.stale(rows, now, ["segment"]).select(*LINE, "status")
 
 
 @query("""WITH r AS (SELECT l_partkey, l_suppkey, rank() OVER (PARTITION BY l_partkey ORDER BY coalesce(nullif(l_discount, 0), 2) DESC) AS r FROM lineitem)

@@ -237,8 +237,12 @@ def numerals_composed(t):
     return t("orders").select("o_orderkey", languages.composed_number(F.array(item(k % 9 + 1, False), item(F.lit(100), False), item(k % 90 + 10, True))).alias("number"))
 
 
-@query("""WITH f AS (SELECT DISTINCT 'слов' || e AS form FROM (VALUES ('о'), ('а'), ('ами'), ('у'), (''), ('ом')) v(e) UNION SELECT 'земл' || e FROM (VALUES ('я'), ('и'), ('ями'), ('ю'), ('ёй')) v(e))
-SELECT left(form, 4) AS paradigm, count(*) AS forms FROM f GROUP BY 1""")
+_LATIN, _CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхійклмнопярстувшыуз"
+
+
+@query(f"""WITH f AS (SELECT DISTINCT translate(unnest(regexp_extract_all(lower(text), '[a-z]+')), '{_LATIN}', '{_CYRILLIC}') AS form FROM documents)
+SELECT form, CASE WHEN length(form) >= 4 THEN coalesce(nullif(regexp_extract(form, '^(.{{3,}}?)(?:{'|'.join(languages.SLAVIC)})$', 1), ''), form) ELSE form END AS paradigm FROM f""")
 def paradigm_groups(t):
-    rows = [("слов" + e,) for e in ("о", "а", "ами", "у", "", "ом")] + [("земл" + e,) for e in ("я", "и", "ями", "ю", "ёй")]
-    return languages.paradigms(t("region").sparkSession.createDataFrame(rows, "form string")).groupBy("paradigm").agg(n().alias("forms"))
+    """Every form of the documents in Cyrillic letters, with what is left of it without a Slavic ending."""
+    forms = t("documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("form")).distinct()
+    return languages.paradigms(forms.select(F.translate("form", _LATIN, _CYRILLIC).alias("form")))
