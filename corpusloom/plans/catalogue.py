@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import keys, text
 from ..operators import names, graph, links, passages, quality, timeline
 from ..sources import formats
-from . import aligning, kinship, linking, measures, merging, passing, reading, searching, spanning  # noqa: F401  (they register their queries)
+from . import aligning, kinship, linking, measures, merging, paradigms, passing, reading, searching, spanning  # noqa: F401  (they register their queries)
 from .searching import TOKENS, stem_sql
 from .registry import ALL, ORACLES, QUERIES, long, n, query
 
