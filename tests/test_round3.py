@@ -21,3 +21,9 @@ def test_known_renderings_meet_within_segments(spark):
     assert {tuple(r) for r in met.select("seg", "lemma", "form").collect()} == {(0, "anna", "ann"), (1, "ann", "anna")}
     got, want = evidence.known_among(met, known), evidence.known_rendering_evidence(source, target, known)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() == 2
+
+
+def test_components_join_all_customers_on_long_paths(spark, tmp_path):
+    spark.range(1, 41).selectExpr("id AS c_custkey", "0 AS c_nationkey").write.parquet(str(tmp_path / "customer.parquet"))
+    got = {tuple(r) for r in entry.queries()["components_min_label"](spark, str(tmp_path)).collect()}
+    assert got == {(v, 1) for v in range(1, 42)}
