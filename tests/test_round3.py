@@ -27,3 +27,8 @@ def test_components_join_all_customers_on_long_paths(spark, tmp_path):
     spark.range(1, 41).selectExpr("id AS c_custkey", "0 AS c_nationkey").write.parquet(str(tmp_path / "customer.parquet"))
     got = {tuple(r) for r in entry.queries()["components_min_label"](spark, str(tmp_path)).collect()}
     assert got == {(v, 1) for v in range(1, 42)}
+
+
+def test_reigns_round_halves_as_a_cast_does(spark, tmp_path):
+    spark.createDataFrame([(1, 2.5), (1, 6.5), (6, 3.5), (6, 8.0)], "user_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    assert [tuple(r) for r in entry.queries()["reigns_synchronism"](spark, str(tmp_path)).collect()] == [(1, 6, 3, 1, 2)]
