@@ -4,7 +4,7 @@ import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
-from corpusloom.operators import evidence
+from corpusloom.operators import evidence, index
 
 
 def test_a_doubled_accented_letter_is_undoubled(spark):
@@ -32,3 +32,10 @@ def test_components_join_all_customers_on_long_paths(spark, tmp_path):
 def test_reigns_round_halves_as_a_cast_does(spark, tmp_path):
     spark.createDataFrame([(1, 2.5), (1, 6.5), (6, 3.5), (6, 8.0)], "user_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
     assert [tuple(r) for r in entry.queries()["reigns_synchronism"](spark, str(tmp_path)).collect()] == [(1, 6, 3, 1, 2)]
+
+
+def test_segments_are_taken_apart_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(index, "SLICE", 2)
+    rows = [(1, "en", "b a b"), (2, "en", None), (3, "en", ""), (4, None, "a"), (5, "en", "c a"), (6, "hbo", "ְ a")]
+    got = {tuple(r[:3]): r["positions"] for r in index.grouped(spark.createDataFrame(rows, "k long, lang string, text string").coalesce(1), "k").collect()}
+    assert got == {("en", "b", 1): [0, 2], ("en", "a", 1): [1], (None, "a", 4): [0], ("en", "c", 5): [0], ("en", "a", 5): [1], ("hbo", "a", 6): [1]}
