@@ -4,7 +4,7 @@ import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
-from corpusloom.operators import evidence, index
+from corpusloom.operators import evidence, graph, index
 
 
 def test_a_doubled_accented_letter_is_undoubled(spark):
@@ -39,3 +39,13 @@ def test_segments_are_taken_apart_a_few_at_a_time(spark, monkeypatch):
     rows = [(1, "en", "b a b"), (2, "en", None), (3, "en", ""), (4, None, "a"), (5, "en", "c a"), (6, "hbo", "ְ a")]
     got = {tuple(r[:3]): r["positions"] for r in index.grouped(spark.createDataFrame(rows, "k long, lang string, text string").coalesce(1), "k").collect()}
     assert got == {("en", "b", 1): [0, 2], ("en", "a", 1): [1], (None, "a", 4): [0], ("en", "c", 5): [0], ("en", "a", 5): [1], ("hbo", "a", 6): [1]}
+
+
+def test_closure_goes_up_from_new_pairs_and_on_by_doubling(spark, monkeypatch):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(9)] + [(0, 4), (20, 21), (21, 20)], "child long, parent long")
+    want = None
+    for levels in (1, 3, 24):  # 1 and 3 leave longer paths and the cycle to the doubling
+        got = {tuple(r) for r in graph.closure(edges, levels).collect()}
+        assert want is None or got == want
+        want = got
+    assert (0, 9, 6) in want and (20, 20, 2) in want and len(want) == 45 + 4
