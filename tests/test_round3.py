@@ -4,7 +4,7 @@ import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
-from corpusloom.operators import evidence, graph, index
+from corpusloom.operators import evidence, graph, index, passages
 
 
 def test_a_doubled_accented_letter_is_undoubled(spark):
@@ -49,3 +49,9 @@ def test_closure_goes_up_from_new_pairs_and_on_by_doubling(spark, monkeypatch):
         assert want is None or got == want
         want = got
     assert (0, 9, 6) in want and (20, 20, 2) in want and len(want) == 45 + 4
+
+
+def test_seeds_count_segments_not_places(spark):
+    rows = [("x", 1, 0), ("x", 1, 7), ("x", 2, 3), ("y", 1, 1), ("y", 1, 2)] + [("z", k, 5) for k in range(5)]
+    grams = spark.createDataFrame(rows, "gram string, seg long, position long")
+    assert {tuple(r) for r in passages.seeds(grams, grams).collect()} == {(1, 0, 2, 3), (1, 7, 2, 3)}
