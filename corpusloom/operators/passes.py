@@ -14,7 +14,10 @@ giving_way   such a verdict ranks below any link on its word that another method
 crossing     machine links between verses that no verse link joins go
 against      two pairs of the same texts the other way round: of an absence and a rendering of one word the higher rank keeps it
 
-Every pass is semi-joins, anti-joins and aggregates over words or shapes; only ``against`` goes in rounds, until each contest is decided.
+Rows and rulings may both have a column ``segment`` (never null): what rows and rulings that share a word share, as a verse. Passes then join,
+group and order within it, so that tables dealt by it (``session.by_segment``) exchange nothing. Without it, words and shapes alone are met.
+
+Every pass is joins, windows and aggregates over words or shapes; only ``against`` goes in rounds, until each contest is decided.
 """
 
 from __future__ import annotations
@@ -46,6 +49,22 @@ def shape() -> Column:
     return F.concat_ws("|", F.col("pair").cast("string"), *words)
 
 
+def by(rows: DataFrame, *columns: str) -> list[str]:
+    """The columns, within the segment where rows have one."""
+    return [*(c for c in ("segment",) if c in rows.columns), *columns]
+
+
+def sided() -> Column:
+    """Words of both sides, each with its side."""
+    one = lambda side, c: F.transform(c, lambda w: F.struct(F.lit(side).alias("side"), w.alias("word")))
+    return F.concat(*[one(side, c) for side, c in SIDES.items()])
+
+
+def each_word(rows: DataFrame, words: Column, *columns: str) -> DataFrame:
+    """The columns with side and word of each of the words."""
+    return rows.select(*by(rows, *columns), F.explode(words).alias("_w")).select(*by(rows, *columns), "_w.side", "_w.word")
+
+
 def marked(rows: DataFrame, hit: DataFrame, status: Column | str, on: str = "key") -> DataFrame:
     """rows with a status where they stand and their key is among the hit ones; hit: on, and what status reads."""
     status = F.lit(status) if isinstance(status, str) else status
@@ -54,13 +73,18 @@ def marked(rows: DataFrame, hit: DataFrame, status: Column | str, on: str = "key
     return out.select(*rows.columns)
 
 
+def gone() -> Column:
+    """The words that an absence says have no counterpart, with their side."""
+    return F.filter(sided(), lambda w: w["side"] == F.when(F.col("relation") == "omits", "target").otherwise("source"))
+
+
 def without(rows: DataFrame, lost: DataFrame, refused: str, narrowed: str, suffix: str) -> DataFrame:
     """rows whose words some are taken from; lost: key, source_lost, target_lost (arrays).
 
     A row left without words on a side it had words on gets ``refused``; another keeps its place as ``narrowed`` and stands
     again without these words, its roles with it, under its key and a suffix.
     """
-    hit = rows.join(lost, "key", "left")
+    hit = rows.join(lost, by(rows, "key"), "left")
     left = {c: F.array_except(c, F.coalesce(F.col(f"{side}_lost"), F.array().cast(rows.schema[c].dataType))) for side, c in SIDES.items()}
     hit = hit.select(*rows.columns, *[x.alias(f"_{c}") for c, x in left.items()])
     less = F.lit(False)
@@ -83,32 +107,25 @@ def without(rows: DataFrame, lost: DataFrame, refused: str, narrowed: str, suffi
 
 def lost_words(rows: DataFrame, words: DataFrame, fits: Column) -> DataFrame:
     """key, source_lost, target_lost: words of standing rows that are among words (pair, side, word, and what fits reads)."""
-    flat = None
-    for side, c in SIDES.items():
-        one = rows.filter(standing()).select("key", "pair", "method", "source", "relation", F.lit(side).alias("side"), F.explode(c).alias("word"))
-        flat = one if flat is None else flat.unionByName(one)
-    found = flat.join(words, ["pair", "side", "word"]).filter(fits)
+    flat = each_word(rows.filter(standing()), sided(), "key", "pair", "source", "relation")
+    found = flat.join(words, by(rows, "pair", "side", "word")).filter(fits)
     gather = lambda side: F.collect_set(F.when(F.col("side") == side, F.col("word"))).alias(f"{side}_lost")
-    return found.groupBy("key").agg(*[gather(side) for side in SIDES])
+    return found.groupBy(*by(rows, "key")).agg(*[gather(side) for side in SIDES])
 
 
 def refused(rows: DataFrame, rulings: DataFrame) -> DataFrame:
     """Rulings (pair, action, source_words, target_words, source, relation) that refuse. With words on both sides they refuse the shape, to one
     source (by the beginning of its name) or relation if they name one; with words on one side they take these words out of the
     named source's rows. Shapes come first: a row that words were taken from is not refused by its new shape."""
-    wrong = rulings.filter("action = 'refuse'")
-    allowed = lambda: (F.coalesce(F.col("_source"), F.lit("")) == "") | F.col("source").startswith(F.col("_source"))
-    related = lambda: (F.coalesce(F.col("_relation"), F.lit("")) == "") | (F.col("relation") == F.col("_relation"))
-    named = [F.col("source").alias("_source"), F.col("relation").alias("_relation")]
-    whole = wrong.filter("size(source_words) > 0 AND size(target_words) > 0").select(shape().alias("_shape"), *named)
-    hit = rows.filter(standing()).withColumn("_shape", shape()).join(whole, "_shape").filter(allowed() & related()).select("key").distinct()
-    rows = marked(rows, hit, "refused-by ruling")
-    words = None
-    for side, c in SIDES.items():
-        other = next(x for x in SIDES.values() if x != c)
-        one = wrong.filter(f"size({c}) > 0 AND size({other}) = 0").select("pair", F.lit(side).alias("side"), F.explode(c).alias("word"), *named)
-        words = one if words is None else words.unionByName(one)
-    return without(rows, lost_words(rows, words, allowed() & related()), "refused-by ruling", "narrowed-by ruling", "/ruling")
+    wrong = rulings.filter("action = 'refuse'").withColumn("named", F.struct("source", "relation"))
+    allowed = lambda n: (F.coalesce(n["source"], F.lit("")) == "") | F.col("source").startswith(n["source"])
+    related = lambda n: (F.coalesce(n["relation"], F.lit("")) == "") | (F.col("relation") == n["relation"])
+    whole = wrong.filter("size(source_words) > 0 AND size(target_words) > 0").groupBy(*by(rows), shape().alias("_shape")).agg(F.collect_set("named").alias("_named"))
+    hit = standing() & F.exists("_named", lambda n: allowed(n) & related(n))
+    ruled = rows.withColumn("_shape", shape()).join(whole, by(rows, "_shape"), "left").withColumn("status", F.when(hit, "refused-by ruling").otherwise(F.col("status"))).select(*rows.columns)
+    one_sided = wrong.filter("(size(source_words) > 0) <> (size(target_words) > 0)")
+    words = each_word(one_sided, sided(), "pair", "named")
+    return without(ruled, lost_words(ruled, words, allowed(F.col("named")) & related(F.col("named"))), "refused-by ruling", "narrowed-by ruling", "/ruling")
 
 
 def floored(rows: DataFrame, floors: DataFrame) -> DataFrame:
@@ -119,25 +136,26 @@ def floored(rows: DataFrame, floors: DataFrame) -> DataFrame:
 
 def superseded(rows: DataFrame) -> DataFrame:
     """Verdicts whose tier and book a later run has given verdicts in; rows without a run are none."""
-    verdicts = rows.filter(standing() & (F.col("method") == "evidentia") & F.col("run").isNotNull())
-    by = ["pair", "tier", "book"]
-    newest = verdicts.groupBy(*by).agg(F.max("run").alias("newest"))
-    known = verdicts.select("key", "pair", F.coalesce("tier", F.lit("")).alias("tier"), "book", "run").join(newest.withColumn("tier", F.coalesce("tier", F.lit(""))), by)
-    return marked(rows, known.filter("run < newest").select("key", "newest"), F.concat(F.lit("superseded-by run "), F.col("newest").cast("string")))
+    verdict = standing() & (F.col("method") == "evidentia")
+    tier = F.coalesce("tier", F.lit("")).alias("_tier")
+    newest = rows.filter(verdict).groupBy("pair", tier, "book").agg(F.max("run").alias("_newest"))  # a row for each book and tier
+    out = rows.withColumn("_tier", tier).join(F.broadcast(newest), ["pair", "_tier", "book"], "left")
+    status = F.when(verdict & (F.col("run") < F.col("_newest")), F.concat(F.lit("superseded-by run "), F.col("_newest").cast("string"))).otherwise(F.col("status"))
+    return out.withColumn("status", status).select(*rows.columns)
 
 
 def accepted(rulings: DataFrame) -> DataFrame:
     """shape of what rulings accept."""
-    return rulings.filter("action = 'accept'").select(shape().alias("shape")).distinct()
+    return rulings.filter("action = 'accept'").select(*by(rulings), shape().alias("shape")).distinct()
 
 
 def pinned(rows: DataFrame, rulings: DataFrame) -> DataFrame:
     """rows with a row of method ruling for each accepted shape that no standing row has; of several rulings on a shape one makes it."""
     own = rulings.filter("action = 'accept'").withColumn("_shape", shape())
-    own = own.join(rows.filter(standing()).select(shape().alias("_shape")).distinct(), "_shape", "left_anti")
+    own = own.join(rows.filter(standing()).select(*by(rows), shape().alias("_shape")), by(rows, "_shape"), "left_anti")
     relation = F.coalesce(F.nullif("relation", F.lit("")), F.lit("renders"))
-    one = own.groupBy("_shape").agg(F.min(F.struct(relation.alias("relation"), F.coalesce("source", F.lit("")).alias("s"), "pair", "source_words", "target_words")).alias("r"))
-    made = {"key": F.concat(F.lit("ruling:"), F.col("_shape")), "method": F.lit("ruling"), "source": F.lit("a ruling"), "relation": F.col("r.relation"), "pair": F.col("r.pair"), "source_words": F.col("r.source_words"), "target_words": F.col("r.target_words"), "support": F.lit(False), "laid": F.lit(False)}
+    one = own.groupBy(*by(rows, "_shape")).agg(F.min(F.struct(relation.alias("relation"), F.coalesce("source", F.lit("")).alias("s"), "pair", "source_words", "target_words")).alias("r"))
+    made = {"key": F.concat(F.lit("ruling:"), F.col("_shape")), "method": F.lit("ruling"), "source": F.lit("a ruling"), "relation": F.col("r.relation"), "pair": F.col("r.pair"), "source_words": F.col("r.source_words"), "target_words": F.col("r.target_words"), "support": F.lit(False), "laid": F.lit(False)} | {c: F.col(c) for c in by(rows)}
     fresh = one.select(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
     return rows.unionByName(fresh)
 
@@ -145,10 +163,9 @@ def pinned(rows: DataFrame, rulings: DataFrame) -> DataFrame:
 def narrowed(rows: DataFrame, rulings: DataFrame) -> DataFrame:
     """Laid number rows without the words that standing verdicts call absent; a pinned shape stays as it is."""
     verdicts = rows.filter(standing() & (F.col("method") == "evidentia") & absent())
-    omitted = verdicts.filter("relation = 'omits'").select("pair", F.lit("target").alias("side"), F.explode("target_words").alias("word"))
-    words = omitted.unionByName(verdicts.filter("relation = 'expands'").select("pair", F.lit("source").alias("side"), F.explode("source_words").alias("word"))).distinct()
+    words = each_word(verdicts, gone(), "pair").distinct()
     laid = rows.filter(standing() & (F.col("method") == "strong") & F.col("laid") & ~absent())
-    laid = laid.withColumn("shape", shape()).join(accepted(rulings), "shape", "left_anti").drop("shape")
+    laid = laid.withColumn("shape", shape()).join(accepted(rulings), by(rows, "shape"), "left_anti").drop("shape")
     return without(rows, lost_words(laid, words, F.lit(True)), "withdrawn-by evidentia", "narrowed-by evidentia", "/evidentia")
 
 
@@ -160,11 +177,11 @@ def shaped(rows: DataFrame, rulings: DataFrame) -> DataFrame:
     """
     own = merge.rank(F.col("method"), F.col("confidence"), F.col("tier"), F.col("laid"))
     rows = rows.withColumn("shape", shape()).withColumn("rank", own.cast("long"))
-    order = Window.partitionBy("shape", standing()).orderBy(F.col("rank").desc(), F.coalesce(F.col("confidence"), F.lit(2.0)).desc(), "method", "source", "key")
+    order = Window.partitionBy(*by(rows, "shape"), standing()).orderBy(F.col("rank").desc(), F.coalesce(F.col("confidence"), F.lit(2.0)).desc(), "method", "source", "key")
     top = F.first(F.struct("relation", "method", "rank")).over(order)
     rows = rows.withColumn("_top", top).withColumn("_first", F.row_number().over(order) == 1)
     pins = accepted(rulings).withColumn("_pinned", F.lit(True))
-    rows = rows.join(pins, "shape", "left")
+    rows = rows.join(pins, by(rows, "shape"), "left")
     link = F.when(F.col("_pinned"), PINNED).otherwise(merge.standing_rank(F.col("_top.method"), F.col("_top.relation"), F.col("_top.rank")))
     status = F.when(standing() & (F.col("relation") != F.col("_top.relation")), F.concat(F.lit("withdrawn-by "), F.col("_top.method"))).otherwise(F.col("status"))
     settles = standing() & F.col("_first")
@@ -173,23 +190,19 @@ def shaped(rows: DataFrame, rulings: DataFrame) -> DataFrame:
 
 def unsupported(rows: DataFrame) -> DataFrame:
     """Links all of whose standing rows may only support others, unless a ruling accepts their shape."""
-    alone = rows.filter(standing()).groupBy("shape").agg(F.bool_and(F.coalesce("support", F.lit(False))).alias("a"), F.bool_or("pinned").alias("p")).filter("a AND NOT p").select("shape")
-    return marked(rows, alone, "unsupported", "shape")
+    link = Window.partitionBy(*by(rows, "shape"), standing())
+    alone = F.bool_and(F.coalesce("support", F.lit(False))).over(link) & ~F.bool_or("pinned").over(link)
+    return rows.withColumn("_alone", alone).withColumn("status", F.when(standing() & F.col("_alone"), "unsupported").otherwise(F.col("status"))).select(*rows.columns)
 
 
 def giving_way(rows: DataFrame) -> DataFrame:
     """The link rank of a verdict's absence falls to the lowest where a correspondence that not the aligner alone claims names its word."""
-    live = rows.filter(standing())
-    others = live.filter(~absent()).groupBy("shape").agg(F.bool_and(F.col("method") == "aligner").alias("a")).filter("NOT a").select("shape")
-    claimed = live.filter("settles").join(others, "shape", "left_semi")
-    verdicts = live.filter(F.col("settles") & (F.col("method") == "evidentia") & absent() & ~F.col("pinned"))
-    contested = None
-    for relation, c in (("omits", "target_words"), ("expands", "source_words")):
-        held = claimed.select("pair", F.explode(c).alias("word")).distinct()
-        one = verdicts.filter(F.col("relation") == relation).select("shape", "pair", F.explode(c).alias("word")).join(held, ["pair", "word"], "left_semi").select("shape")
-        contested = one if contested is None else contested.unionByName(one)
-    found = contested.distinct().withColumn("_way", F.lit(True))
-    return rows.join(found, "shape", "left").withColumn("link_rank", F.when(standing() & F.col("_way"), GIVES_WAY).otherwise(F.col("link_rank"))).select(*rows.columns)
+    claims = F.bool_or(~absent() & (F.col("method") != "aligner")).over(Window.partitionBy(*by(rows, "shape"), standing()))
+    live = rows.withColumn("_claims", claims).filter(standing() & F.col("settles"))
+    held = each_word(live.filter("_claims"), sided(), "pair").distinct()
+    verdicts = each_word(live.filter((F.col("method") == "evidentia") & absent() & ~F.col("pinned")), gone(), "shape", "pair")
+    found = verdicts.join(held, by(rows, "pair", "side", "word"), "left_semi").select(*by(rows, "shape")).distinct().withColumn("_way", F.lit(True))
+    return rows.join(found, by(rows, "shape"), "left").withColumn("link_rank", F.when(standing() & F.col("_way"), GIVES_WAY).otherwise(F.col("link_rank"))).select(*rows.columns)
 
 
 def crossing(rows: DataFrame, verse_of: DataFrame, joined: DataFrame) -> DataFrame:
@@ -254,8 +267,8 @@ def against(links: DataFrame) -> DataFrame:
 
 def decided(rows: DataFrame, rulings: DataFrame, floors: DataFrame | None = None, keep=kept) -> DataFrame:
     """All passes before the competition, in order; ``keep`` cuts the lineage between them, as each reads its rows several times."""
-    rows = refused(rows, rulings)
+    rows = keep(refused(rows, rulings))
     rows = floored(rows, floors) if floors is not None else rows
     rows = keep(pinned(superseded(rows), rulings))
     rows = keep(narrowed(rows, rulings))
-    return giving_way(keep(unsupported(keep(shaped(rows, rulings)))))
+    return giving_way(keep(unsupported(shaped(rows, rulings))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import passes
-from ..session import LINE, kept
+from ..session import LINE, by_segment
 from .merging import _METHOD
 from .registry import query
 
@@ -24,9 +24,11 @@ _SHAPE = "pair || '|' || array_to_string(source_words, ' ') || '|' || array_to_s
 _SHOWN = "key, method, relation, array_to_string(source_words, ' ') AS source_words, array_to_string(target_words, ' ') AS target_words, status"
 
 
-def rows_of(t):
+def rows_of(t, parts=None):
     """A row for each distinct line: links of up to two words a side, absences, verdicts with runs, laid numbers."""
-    made = t("lineitem").withColumn("relation", F.expr(_RELATION)).withColumn("method", F.expr(_METHOD)).withColumn("tier", F.expr("CASE l_partkey % 3 WHEN 0 THEN 'safe' WHEN 1 THEN 'attached' END"))
+    lines = t("lineitem").select(*LINE, "l_returnflag", "l_discount")
+    lines = lines.repartition(parts, "l_orderkey") if parts else lines  # an order's rows are then made where they stay
+    made = lines.withColumn("relation", F.expr(_RELATION)).withColumn("method", F.expr(_METHOD)).withColumn("tier", F.expr("CASE l_partkey % 3 WHEN 0 THEN 'safe' WHEN 1 THEN 'attached' END"))
     by = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "method", "relation", "tier"]
     one = made.groupBy(*by).agg(F.max(F.when(F.col("l_discount") > 0, 10 * F.col("l_discount"))).alias("confidence"))
 
@@ -36,7 +38,7 @@ def rows_of(t):
         return F.when(F.col("relation") == bare, F.array().cast("array<long>")).when(two, F.array(at, at + 1)).otherwise(F.array(at))
 
     return one.select(
-        F.concat_ws("|", *LINE).alias("key"), (F.col("l_orderkey") % 3).alias("pair"), "method", F.col("l_returnflag").alias("source"), "relation", "confidence", "tier", (F.col("l_partkey") % 4).alias("run"),
+        F.col("l_orderkey").alias("segment"), F.concat_ws("|", *LINE).alias("key"), (F.col("l_orderkey") % 3).alias("pair"), "method", F.col("l_returnflag").alias("source"), "relation", "confidence", "tier", (F.col("l_partkey") % 4).alias("run"),
         (F.col("l_partkey") % 6 == 0).alias("support"), (F.col("l_partkey") % 4 == 0).alias("laid"), (F.col("l_orderkey") % 20).alias("book"), words("l_partkey", 5, "omits").alias("source_words"), words("l_suppkey", 4, "expands").alias("target_words"), F.lit(None).cast("string").alias("status"))
 
 
@@ -45,12 +47,20 @@ def rulings_of(t):
     none = F.array().cast("array<long>")
     rows = t("orders").filter((k % 3 < 2) | ~(k % 7).isin(1, 2))
     source = F.when((k % 2 == 0) | (k % 7).isin(1, 2), F.when(k % 3 == 0, "R").otherwise("N"))
-    return rows.select((o % 3).alias("pair"), F.when(k % 3 == 2, "accept").otherwise("refuse").alias("action"), F.when(k % 7 == 1, none).otherwise(F.array(o * 10 + k % 5)).alias("source_words"), F.when(k % 7 == 2, none).otherwise(F.array(o * 10 + k % 4)).alias("target_words"), source.alias("source"), F.when(k % 11 == 0, "renders").alias("relation"))
+    return rows.select(o.alias("segment"), (o % 3).alias("pair"), F.when(k % 3 == 2, "accept").otherwise("refuse").alias("action"), F.when(k % 7 == 1, none).otherwise(F.array(o * 10 + k % 5)).alias("source_words"), F.when(k % 7 == 2, none).otherwise(F.array(o * 10 + k % 4)).alias("target_words"), source.alias("source"), F.when(k % 11 == 0, "renders").alias("relation"))
 
 
-def _shown(rows):
+def _shown(rows, *more):
     text = lambda c: F.array_join(F.transform(c, lambda w: w.cast("string")), " ").alias(c)
-    return rows.select("key", "method", "relation", text("source_words"), text("target_words"), "status")
+    return rows.select("key", "method", "relation", text("source_words"), text("target_words"), "status", *more)
+
+
+def _passed(t, passed, *more):
+    """What passed(rows, rulings, keep) gives of all rows and rulings, which are dealt by order and stay so."""
+    lines = t("lineitem")
+    with by_segment(lines.sparkSession, lines.count()) as dealt:
+        rows, rulings = dealt.keep(rows_of(t, dealt.buckets), "merge-rows"), dealt.keep(rulings_of(t), "merge-rulings")
+        return dealt.result(_shown(passed(rows, rulings, dealt.keep), *more), "merge")
 
 
 def _without_sql(name, rows, lost, refused, narrowed, suffix):
@@ -94,34 +104,35 @@ def _upto(k, select):
 @query(_upto(3, f"SELECT {_SHOWN} FROM e2"))
 def merge_refused(t):
     """Shapes and words that rulings refuse."""
-    return _shown(passes.refused(rows_of(t), rulings_of(t)))
+    return _passed(t, lambda rows, rulings, _: passes.refused(rows, rulings))
 
 
 @query(_upto(4, f"SELECT {_SHOWN} FROM e3"))
 def merge_superseded(t):
     """Verdicts that a newer run replaces in its books and tiers."""
-    return _shown(passes.superseded(passes.refused(rows_of(t), rulings_of(t))))
+    return _passed(t, lambda rows, rulings, keep: passes.superseded(keep(passes.refused(rows, rulings))))
+
+
+def _pinned(rows, rulings, keep):
+    return passes.pinned(passes.superseded(keep(passes.refused(rows, rulings))), rulings)
 
 
 @query(_upto(5, f"SELECT {_SHOWN} FROM e4"))
 def merge_pinned(t):
     """Accepted shapes that no standing row proposes."""
-    rulings = rulings_of(t)
-    return _shown(passes.pinned(kept(passes.superseded(passes.refused(rows_of(t), rulings))), rulings))
+    return _passed(t, _pinned)
 
 
 @query(_upto(6, f"SELECT {_SHOWN} FROM e5"))
 def merge_narrowed(t):
     """Laid numbers without the words that verdicts call absent."""
-    rulings = rulings_of(t)
-    return _shown(passes.narrowed(kept(passes.pinned(kept(passes.superseded(passes.refused(rows_of(t), rulings))), rulings)), rulings))
+    return _passed(t, lambda rows, rulings, keep: passes.narrowed(keep(_pinned(rows, rulings, keep)), rulings))
 
 
 @query(_upto(9, f"SELECT {_SHOWN}, rank, link_rank, settles FROM e9"))
 def merge_decided(t):
     """All passes before the competition: rows, their statuses and the rank of their links."""
-    rows = passes.decided(rows_of(t), rulings_of(t))
-    return rows.select(*_shown(rows).columns, "rank", "link_rank", "settles").withColumn("source_words", F.array_join(F.transform("source_words", lambda w: w.cast("string")), " ")).withColumn("target_words", F.array_join(F.transform("target_words", lambda w: w.cast("string")), " "))
+    return _passed(t, lambda rows, rulings, keep: passes.decided(rows, rulings, keep=keep), "rank", "link_rank", "settles")
 
 
 @query("WITH e0 AS (SELECT l_returnflag || l_linestatus AS source, min(l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey) AS key, max(CASE WHEN l_discount > 0 THEN 10 * l_discount END) AS confidence, CASE WHEN l_suppkey % 2 = 0 THEN 'composed' ELSE 'aligner' END AS method FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus), f(source, least) AS (VALUES ('RF', 0.35::DOUBLE), ('NO', 0.6::DOUBLE)) SELECT key, CASE WHEN method = 'composed' AND confidence < least THEN 'under-floor ' || least END AS status FROM e0 LEFT JOIN f USING (source)")

@@ -4,7 +4,8 @@ import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
-from corpusloom.operators import evidence, graph, index, passages
+from corpusloom.operators import evidence, graph, index, passages, passes
+from corpusloom.session import by_segment
 
 
 def test_a_doubled_accented_letter_is_undoubled(spark):
@@ -55,3 +56,19 @@ def test_seeds_count_segments_not_places(spark):
     rows = [("x", 1, 0), ("x", 1, 7), ("x", 2, 3), ("y", 1, 1), ("y", 1, 2)] + [("z", k, 5) for k in range(5)]
     grams = spark.createDataFrame(rows, "gram string, seg long, position long")
     assert {tuple(r) for r in passages.seeds(grams, grams).collect()} == {(1, 0, 2, 3), (1, 7, 2, 3)}
+
+
+def test_passes_within_segments_exchange_nothing(spark):
+    rows = spark.createDataFrame([(1, "a", "p", "strong", "s", "renders", 0.9, None, None, False, True, 1, [10, 11], [10], None), (1, "b", "p", "evidentia", "s", "expands", None, "safe", 1, False, False, 1, [10], [], None), (2, "c", "p", "stated", "s", "renders", None, None, None, False, False, 1, [20], [20], None)], "segment long, key string, pair string, method string, source string, relation string, confidence double, tier string, run int, support boolean, laid boolean, book int, source_words array<long>, target_words array<long>, status string")
+    rulings = spark.createDataFrame([(2, "p", "refuse", [20], [20], None, None), (1, "p", "accept", [12], [12], None, None)], "segment long, pair string, action string, source_words array<long>, target_words array<long>, source string, relation string")
+    with by_segment(spark, 3) as dealt:
+        held = dealt.keep(rows), dealt.keep(rulings)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            plan = passes.narrowed(passes.refused(*held), held[1])._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        got = {r["key"]: (r["segment"], r["status"]) for r in dealt.result(passes.decided(*held, keep=dealt.keep)).collect()}
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    plain = {r["key"]: r["status"] for r in passes.decided(rows.drop("segment"), rulings.drop("segment")).collect()}
+    assert {k: s for k, (_, s) in got.items()} == plain and plain["c"] == "refused-by ruling" and plain["a"] == "narrowed-by evidentia" and got["ruling:p|12|12"] == (1, None)
