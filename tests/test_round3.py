@@ -4,7 +4,7 @@ import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
-from corpusloom.operators import evidence, graph, index, passages, passes
+from corpusloom.operators import evidence, graph, index, passages, passes, spans
 from corpusloom.session import by_segment
 
 
@@ -72,3 +72,19 @@ def test_passes_within_segments_exchange_nothing(spark):
     assert "SortMergeJoin" in plan and "Exchange" not in plan
     plain = {r["key"]: r["status"] for r in passes.decided(rows.drop("segment"), rulings.drop("segment")).collect()}
     assert {k: s for k, (_, s) in got.items()} == plain and plain["c"] == "refused-by ruling" and plain["a"] == "narrowed-by evidentia" and got["ruling:p|12|12"] == (1, None)
+
+
+def test_spans_of_very_many_runs_nest(spark):
+    runs = lambda step: f"transform(sequence(1, 40000, {step}), x -> struct(cast(x AS long) AS first, cast(x AS long) AS last))"
+    whole = "array(struct(1L AS first, 40000L AS last))"
+    rows = spark.sql(f"SELECT 1 AS text, 'c' AS node, 'clause' AS kind, {whole} AS runs UNION ALL SELECT 1, 'a', 'group', {runs(2)} UNION ALL SELECT 1, 'ab', 'group', {runs(4)} UNION ALL SELECT 1, 'x', 'group', {runs(3)}")
+    got = {r["node"]: r["parent"] for r in spans.nested(rows, {"group": "clause"}, ("group",)).select("node", "parent").collect()}
+    assert got == {"c": None, "a": "c", "ab": "a", "x": "c"}
+
+
+def test_spans_meet_their_words_once(spark):
+    rows = spark.createDataFrame([(1, "c1", "clause", [(1, 2)]), (1, "c2", "clause", [(3, 3)])], "text long, node string, kind string, runs array<struct<first: long, last: long>>")
+    words = spark.createDataFrame([(1, 1, "the", "the "), (1, 2, None, "x "), (1, 3, None, "y ")], "text long, slot long, form string, surface string")
+    found = spans.find(rows, words, "clause", None, "the")
+    assert [tuple(r) for r in found.collect()] == [(1, "c1", 2, "the x")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
