@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text
 from corpusloom.operators import evidence, graph, index, passages, passes, spans
-from corpusloom.session import by_segment
+from corpusloom.session import by_segment, kept
 
 
 def test_a_doubled_accented_letter_is_undoubled(spark):
@@ -75,9 +75,10 @@ def test_passes_within_segments_exchange_nothing(spark):
 
 
 def test_spans_of_very_many_runs_nest(spark):
-    runs = lambda step: f"transform(sequence(1, 40000, {step}), x -> struct(cast(x AS long) AS first, cast(x AS long) AS last))"
-    whole = "array(struct(1L AS first, 40000L AS last))"
-    rows = spark.sql(f"SELECT 1 AS text, 'c' AS node, 'clause' AS kind, {whole} AS runs UNION ALL SELECT 1, 'a', 'group', {runs(2)} UNION ALL SELECT 1, 'ab', 'group', {runs(4)} UNION ALL SELECT 1, 'x', 'group', {runs(3)}")
+    nodes = {"c": ("clause", 1), "a": ("group", 2), "ab": ("group", 4), "x": ("group", 3)}
+    kinds = F.array(*[F.struct(F.when(F.col("id") % step == 0, node).alias("node"), F.lit(kind).alias("kind")) for node, (kind, step) in nodes.items()])
+    words = spark.range(40_000).select(F.lit(1).alias("text"), F.col("id").alias("slot"), F.explode(kinds).alias("k")).select("text", "slot", "k.*").filter("node IS NOT NULL")
+    rows = kept(spans.spans_of(words))
     got = {r["node"]: r["parent"] for r in spans.nested(rows, {"group": "clause"}, ("group",)).select("node", "parent").collect()}
     assert got == {"c": None, "a": "c", "ab": "a", "x": "c"}
 
