@@ -17,13 +17,16 @@ against      two pairs of the same texts the other way round: of an absence and
 Rows and rulings may both have a column ``segment`` (never null): what rows and rulings that share a word share, as a verse. Passes then join,
 group and order within it, so that tables dealt by it (``session.by_segment``) exchange nothing. Without it, words and shapes alone are met.
 
-Every pass is joins, windows and aggregates over words or shapes; only ``against`` goes in rounds, until each contest is decided.
+Every pass is joins, windows and aggregates over words or shapes; only ``against`` streams
+segments in order or, without these, goes in rounds until each contest is decided.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import drop, kept, scratch
 from . import merge
@@ -228,8 +231,11 @@ def against(links: DataFrame) -> DataFrame:
 
     An absence of one pair and a rendering of the other that share a word are opponents. In the order of rank, correspondences before
     absences, then pair and link, a link that an opponent before it keeps from the word is withdrawn; a link that only lost
-    opponents stand before is kept. Each round decides all links no undecided opponent stands before.
+    opponents stand before is kept. Links with a column ``segment`` meet within it: they stream by in this order, and a segment's first
+    kept link of each word and pair is held. Without it, each round decides all links no undecided opponent stands before.
     """
+    if "segment" in links.columns:
+        return _against_in_order(links)
     spark = links.sparkSession
     order = F.struct((-F.col("rank")).alias("r"), F.col("absence").cast("int").alias("a"), "pair", "link")
     each = links.select("link", "pair", "method", "absence", order.alias("o"), F.explode("words").alias("word"))
@@ -265,6 +271,32 @@ def against(links: DataFrame) -> DataFrame:
     return links.join(lost, "link", "left")
 
 
+def _against_in_order(links: DataFrame) -> DataFrame:
+    names = links.columns
+
+    def run(batches):
+        now, kept_first, at = None, {}, 0  # (absence, word) -> pair -> place in the order and name of its first kept link
+        for batch in batches:
+            status = []
+            for segment, pair, method, absence, words in zip(*(batch.column(names.index(c)).to_pylist() for c in ("segment", "pair", "method", "absence", "words"))):
+                if segment != now:
+                    now, kept_first, at = segment, {}, 0
+                if pair is None or absence is None:
+                    status.append(None)
+                    continue
+                own = [w for w in words or () if w is not None]
+                winners = [first for w in own for other, first in kept_first.get((not absence, w), {}).items() if other != pair]
+                status.append(f"withdrawn-by {min(winners)[1]}" if winners else None)
+                if not winners:
+                    at += 1
+                    for w in own:
+                        kept_first.setdefault((absence, w), {}).setdefault(pair, (at, " in ".join(str(v) for v in (method, pair) if v is not None)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(status, pa.string())], [*names, "status"])
+
+    schema = T.StructType([*links.schema.fields, T.StructField("status", T.StringType())])
+    return links.repartition("segment").sortWithinPartitions("segment", F.col("rank").desc_nulls_first(), "absence", "pair", "link").mapInArrow(run, schema).drop("segment")
+
+
 def decided(rows: DataFrame, rulings: DataFrame, floors: DataFrame | None = None, keep=kept) -> DataFrame:
     """All passes before the competition, in order; ``keep`` cuts the lineage between them, as each reads its rows several times."""
     rows = keep(refused(rows, rulings))

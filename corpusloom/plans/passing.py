@@ -164,11 +164,11 @@ def merge_crossing(t):
 @query()
 def merge_against(t):
     """Absences and renderings of two pairs the other way round; sequential by rank, so tested against a plain loop over a whole table."""
-    return passes.against(contests_of(t))
+    return passes.against(contests_of(t, F.col("l_orderkey").alias("segment")))
 
 
-def contests_of(t):
+def contests_of(t, *more):
     """A link for each distinct line: its two words by part and supplier within the order."""
     rows = t("lineitem").withColumn("method", F.expr(_METHOD)).select(*LINE, "method").distinct()
     word = lambda c, k: F.col("l_orderkey") * 100 + F.col(c) % k
-    return rows.select(F.concat_ws("|", *LINE).alias("link"), F.when(F.col("l_linenumber") % 2 == 0, "a-b").otherwise("b-a").alias("pair"), "method", (F.col("l_suppkey") % 3 == 0).alias("absence"), (F.col("l_partkey") % 5).alias("rank"), F.array_distinct(F.array(word("l_partkey", 4), word("l_suppkey", 6))).alias("words"))
+    return rows.select(F.concat_ws("|", *LINE).alias("link"), F.when(F.col("l_linenumber") % 2 == 0, "a-b").otherwise("b-a").alias("pair"), "method", (F.col("l_suppkey") % 3 == 0).alias("absence"), (F.col("l_partkey") % 5).alias("rank"), F.array_distinct(F.array(word("l_partkey", 4), word("l_suppkey", 6))).alias("words"), *more)

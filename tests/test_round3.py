@@ -115,3 +115,14 @@ def test_translations_lie_in_parts_that_grow_with_the_words(spark, monkeypatch):
                     counts[w[2], t] = counts.get((w[2], t), 0.0) + (table[w[2], t] if table else 1.0) / total * len(own) / length
         table = {k: c / sum(x for (s, _), x in counts.items() if s == k[0]) for k, c in counts.items()}
     assert {k: round(p, 9) for k, p in got.items()} == {k: round(p, 9) for k, p in table.items()}
+
+
+def test_contests_within_segments_need_no_rounds(spark):
+    rows = [(k // 8, f"{k // 8}|{k}", "ab"[k * 7 % 5 % 2], ["strong", "evidentia", None][k % 3], k % 5 % 2 == 0, k * 11 % 4, [k // 8 * 10 + k % 3, k // 8 * 10 + k * 5 % 4]) for k in range(160)]
+    rows += [(99, "99|0", None, "strong", True, 9, [1]), (99, "99|1", "a", "strong", None, 9, [1]), (99, "99|2", "a", "strong", False, None, [990]), (99, "99|3", "b", "strong", True, 9, [None, 990]), (99, "99|4", "b", "strong", True, 9, None)]
+    links = kept(spark.createDataFrame(rows, "segment long, link string, pair string, method string, absence boolean, rank long, words array<long>"))
+    found = passes.against(links)
+    assert found.columns == [*links.drop("segment").columns, "status"]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["link"]: r["status"] for r in found.collect()}
+    assert got == {r["link"]: r["status"] for r in passes.against(links.drop("segment")).collect()} and sum(s is not None for s in got.values()) > 10
