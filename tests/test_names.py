@@ -1,6 +1,8 @@
 """Name consensus: stated cases, and a plain implementation over a whole table."""
 
+import random
 import re
+import time
 import unicodedata
 from collections import Counter, defaultdict
 
@@ -162,3 +164,49 @@ def test_consensus_over_a_whole_table(spark):
     got = {r.entity: (r.core, tuple(r.forms), r.covered, round(r.score, 9), round(r.margin, 9)) if r.core else None for r in findings.collect()}
     assert got == want
     assert {tuple(r) for r in claims.collect()} == wanted and wanted
+
+
+def compared(findings, claims):
+    return {r.entity: (r.core, tuple(r.forms), r.covered, round(r.score, 9), round(r.margin, 9)) if r.core else None for r in findings.collect()}, sorted(tuple(r) for r in claims.collect())
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_bounds_leave_the_exact_best_and_rival(spark, seed):
+    rng = random.Random(seed)
+    parts = ["ab", "ra", "ham", "is", "ac", "o", "mi", "él", "sa"]
+    vocabulary = ["".join(rng.choices(parts, k=rng.choice([1, 2, 2, 3, 4]))) for _ in range(90)]
+    words = [(v, k, w.title() if rng.random() < 0.6 else w) for v in range(70) for k, w in enumerate(rng.choices(vocabulary, weights=range(1, 91), k=rng.choice([1, 6, 12])))]
+    entities = [(f"e{k}", "person" if k < 4 else "people", v) for k in range(7) for v in range(70) if rng.random() < 0.04 * (k + 1)]
+    # some words are those of an entity
+    words += [(v, 100 + k, rng.choice(vocabulary[int(e[1]) :: 7]).title()) for e, _, v in entities for k in range(2)]
+    words = [(v, k, w) for k, (v, _, w) in enumerate(words)]
+    namesakes = [("e0", "e1"), ("e5", "e0"), ("e2", "e2"), ("e4", "nobody")]
+    want, wanted = plain(words, entities, namesakes)
+    frames = spark.createDataFrame(words, "verse int, word int, surface string"), spark.createDataFrame(entities, "entity string, kind string, verse int"), spark.createDataFrame(namesakes, "entity string, other string")
+    got, claims = compared(*names.read(*frames))
+    assert got == want and claims == sorted(wanted) and claims
+
+
+def test_texts_give_the_same_as_words(spark):
+    t = tables(spark, "/root/testdata/sf0.001")
+    inputs = catalogue.consensus_inputs(t)
+    assert compared(*names.read(*inputs, catalogue.consensus_texts(t))) == compared(*names.read(*inputs))
+    lines = ["Ἀβραὰμ ЁЖ", "one\ntwo Two", "", "Éa éa ÉA", "Saul\n"]
+    df = spark.createDataFrame([(x.split(" "),) for x in lines], "s array<string>")
+    one = df.withColumn("all", names.folded_all(F.col("s"))).withColumn("each", F.array_distinct(F.filter(F.transform("s", names.folded), lambda f: f != "")))
+    assert all(r["all"] == r["each"] for r in one.collect())
+
+
+def test_few_clusters_meet_their_verses(spark):
+    """Bytes shuffled for the claims of a table against those of its texts (40 times them when all clusters met their verses)."""
+    bus, store = spark._jsc.sc().listenerBus(), spark._jsc.sc().statusStore()
+
+    def shuffled():
+        bus.waitUntilEmpty(30_000)
+        time.sleep(0.5)
+        return store.executorSummary("driver").totalShuffleWrite()
+
+    before = shuffled()
+    catalogue.QUERIES["name_claims"](spark, "/root/testdata/sf0.01").write.format("noop").mode("overwrite").save()
+    text = tables(spark, "/root/testdata/sf0.01")("documents").agg(F.sum(F.octet_length("text"))).first()[0]
+    assert 0 < shuffled() - before < 27 * text
