@@ -42,13 +42,12 @@ def folded(surface: Column) -> Column:
     return F.when(surface.rlike(rf"\A{LATIN}*\z"), F.lower(surface)).otherwise(bare)
 
 
-def folded_all(surfaces: Column) -> Column:
-    """Distinct forms of surfaces; Latin ones are lowered as one text, unless one of them holds the sign that joins them."""
-    each = F.array_distinct(surfaces)
-    lines = F.array_join(each, "\n")
-    lower = F.split(F.lower(lines), "\n")
-    forms = F.when(lines.rlike(rf"\A[\n{LATIN[1:]}*\z") & (F.size(lower) == F.size(each)), lower).otherwise(F.transform(each, folded))
-    return F.array_distinct(F.filter(forms, lambda f: f != ""))
+def folded_all(df: DataFrame, surfaces: str, name: str) -> DataFrame:
+    """df with the distinct forms of its surfaces; Latin ones are lowered as one text, unless one of them holds the sign that joins them."""
+    df = df.withColumn("_each", F.array_distinct(surfaces)).withColumn("_lines", F.array_join("_each", "\n"))
+    df = df.withColumn("_lower", F.when(F.col("_lines").rlike(rf"\A[\n{LATIN[1:]}*\z"), F.split(F.lower("_lines"), "\n")))
+    df = df.withColumn("_forms", F.when(F.size("_lower") == F.size("_each"), F.col("_lower")).otherwise(F.transform("_each", folded)))
+    return df.withColumn(name, F.array_distinct(F.array_remove("_forms", ""))).drop("_each", "_lines", "_lower", "_forms")
 
 
 def script(form: Column, at: int) -> Column:
@@ -76,19 +75,20 @@ def gathered(forms: DataFrame, particular: DataFrame) -> DataFrame:
     """Rows of ``forms`` (entity, form) once under each of their cores; a core under its script's least letters, a short name of
     ``particular``, also takes in forms that are longer by a few letters."""
     pieces = cores(F.col("form"))
-    rows = forms.withColumn("core", F.explode(pieces))
+    each = lambda df, made: df.withColumn("core", F.explode_outer(made)).filter("core IS NOT NULL")  # noqa: E731 (a plain explode makes them twice, to filter by their number)
+    rows = each(forms, pieces)
     # a core has half of its form's letters at least, so longer forms have none that is short
     few = F.length("form") <= max(2 * (ALPHABET[0] - 1), ALPHABET[0] - 1 + SHORT_AFFIXES)
-    short = particular.filter(few).select("entity", F.explode(pieces).alias("core")).filter(F.length("core") < script(F.col("core"), 0)).distinct()
+    short = each(particular.filter(few), pieces).select("entity", "core").filter(F.length("core") < script(F.col("core"), 0)).distinct()
     opens = F.transform(F.sequence(F.lit(1), F.lit(SHORT_AFFIXES)), lambda k: F.substring("form", F.lit(1), F.length("form") - k))
-    longer = forms.filter(few).withColumn("core", F.explode(F.array_except(opens, pieces))).filter(F.length("core") >= SHORTEST)
+    longer = each(forms.filter(few), F.array_except(opens, pieces)).filter(F.length("core") >= SHORTEST)
     return rows.unionByName(longer.join(short, ["entity", "core"], "left_semi").select(*rows.columns))
 
 
-def filed(particular: DataFrame, only: DataFrame | None = None) -> DataFrame:
+def filed(particular: DataFrame, only: DataFrame | None = None, forms: DataFrame | None = None) -> DataFrame:
     """The forms of each core (or of the clusters ``only``: entity, core) that are one name with its lead: the form that most of the
-    entity's verses print, then the first."""
-    rows = gathered(particular, particular)
+    entity's verses print, then the first. ``forms`` are those of particular that may hold such a core."""
+    rows = gathered(particular if forms is None else forms, particular)
     if only is not None:
         rows = rows.join(only.select("entity", "core"), ["entity", "core"], "left_semi")
     first = Window.partitionBy("entity", "core").orderBy(F.col("own").desc(), "form").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -135,8 +135,9 @@ def found(words: DataFrame, entities: DataFrame, namesakes: DataFrame, texts: Da
     about = about.unionByName(theirs.select("verse", F.lit(None).cast(about.schema["named"].dataType).alias("named"), F.col("entity").alias("beside")))
     about = about.groupBy("verse").agg(F.sort_array(F.collect_set("named")).alias("named"), F.sort_array(F.collect_set("beside")).alias("beside"))
     about = about.withColumn("own", F.array_distinct(F.transform("named", lambda x: x["entity"]))).withColumn("beside", F.array_except("beside", "own"))
-    texts = texts.filter("verse IS NOT NULL").join(about.hint("shuffle_hash"), "verse", "left").select("verse", "named", folded_all(F.col("surfaces")).alias("forms"), *[F.coalesce(c, F.array().cast(about.schema[c].dataType)).alias(c) for c in ("own", "beside")])
-    texts = kept(texts.filter(F.size("forms") > 0), "consensus-texts")
+    texts = folded_all(texts.filter("verse IS NOT NULL"), "surfaces", "forms").select("verse", "forms").join(about.hint("shuffle_hash"), "verse", "left")
+    texts = texts.select("verse", "named", "forms", *[F.coalesce(c, F.array().cast(about.schema[c].dataType)).alias(c) for c in ("own", "beside")])
+    texts = kept(texts, "consensus-texts").filter(F.size("forms") > 0)  # once written, else forms are made twice
     kinds = texts.select("verse", F.explode("named").alias("x")).groupBy("x.entity").agg(F.min("x.kind").alias("kind"), F.countDistinct("verse").alias("verses"))
     kinds = kept(kinds, "consensus-kinds")
 
@@ -175,8 +176,8 @@ def found(words: DataFrame, entities: DataFrame, namesakes: DataFrame, texts: Da
     best = kept(best, "consensus-best")
     own_forms = kept(filed(particular, best).select("entity", "form"), "consensus-named")
 
-    named = filed(particular, best).select("entity", "form", "own").join(kinds, "entity")
-    named = kept(named, "consensus-named")
+    holding = kept(particular.join(best.select("entity", F.col("core").alias("_core")), "entity").filter(F.col("form").contains(F.col("_core"))).select(*particular.columns), "consensus-holding")
+    named = kept(filed(particular, best, holding).select("entity", "form", "own").join(kinds, "entity"), "consensus-named")
 
     # rivals share no form with the best
     shared = kept(gathered(named.select("entity", "form"), particular), "consensus-pieces").join(clusters.select("entity", "core", "lead"), ["entity", "core"])

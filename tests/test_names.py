@@ -193,7 +193,7 @@ def test_texts_give_the_same_as_words(spark):
     assert compared(*names.read(*inputs, catalogue.consensus_texts(t))) == compared(*names.read(*inputs))
     lines = ["Ἀβραὰμ ЁЖ", "one\ntwo Two", "", "Éa éa ÉA", "Saul\n"]
     df = spark.createDataFrame([(x.split(" "),) for x in lines], "s array<string>")
-    one = df.withColumn("all", names.folded_all(F.col("s"))).withColumn("each", F.array_distinct(F.filter(F.transform("s", names.folded), lambda f: f != "")))
+    one = names.folded_all(df, "s", "all").withColumn("each", F.array_distinct(F.filter(F.transform("s", names.folded), lambda f: f != "")))
     assert all(r["all"] == r["each"] for r in one.collect())
 
 
