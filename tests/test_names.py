@@ -197,8 +197,9 @@ def test_texts_give_the_same_as_words(spark):
     assert all(r["all"] == r["each"] for r in one.collect())
 
 
-def test_few_clusters_meet_their_verses(spark):
-    """Bytes shuffled for the claims of a table against those of its texts (40 times them when all clusters met their verses)."""
+@pytest.mark.parametrize("name", ["name_claims", "name_findings"])
+def test_few_clusters_meet_their_verses(spark, name):
+    """Bytes shuffled for the names of a table against those of its texts (40 times them when all clusters met their verses)."""
     bus, store = spark._jsc.sc().listenerBus(), spark._jsc.sc().statusStore()
 
     def shuffled():
@@ -207,6 +208,6 @@ def test_few_clusters_meet_their_verses(spark):
         return store.executorSummary("driver").totalShuffleWrite()
 
     before = shuffled()
-    catalogue.QUERIES["name_claims"](spark, "/root/testdata/sf0.01").write.format("noop").mode("overwrite").save()
+    catalogue.QUERIES[name](spark, "/root/testdata/sf0.01").write.format("noop").mode("overwrite").save()
     text = tables(spark, "/root/testdata/sf0.01")("documents").agg(F.sum(F.octet_length("text"))).first()[0]
     assert 0 < shuffled() - before < 27 * text
