@@ -19,3 +19,11 @@ def test_reigns_of_all_kings_meet_in_blocks(spark, tmp_path, monkeypatch, block)
                 want.add((a, b, max(s, x) - s + 1, max(s, x) - x + 1, min(u, y) - max(s, x)))
     got = [tuple(r) for r in entry.queries()["reigns_synchronism"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want) and (1, 2, 10, 1, 0) in want and (1, 3, 4, 1, 0) in want
+
+
+def test_discounts_are_added_in_the_order_of_the_rows(spark, tmp_path):
+    rows = [("A", "F", 1, x) for x in (0.05, 0.09, 0.01, 0.01)] + [("A", "F", 2, x) for x in (0.01, 0.01, 0.02, 0.0)]
+    for at, some in enumerate((rows[:1], rows[1:])):  # tasks of their own, whose sums would make the mean less than 0.04
+        spark.createDataFrame(some, "l_returnflag string, l_linestatus string, l_orderkey long, l_discount double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet" / f"part={at}"))
+    got = [tuple(r) for r in entry.queries()["pairing"](spark, str(tmp_path)).collect()]
+    assert got == [("A", "F", 2, 1, "2")]
