@@ -14,19 +14,20 @@ def keyed_comparison(before: DataFrame, after: DataFrame, beside: tuple[str, ...
 
     Nulls are values like any other. ``beside``: further columns, which stand as <name>_old and <name>_new, as do the ids.
     """
-    own = ["key", "value", "id", *beside]
-    turn = Window.partitionBy("key", "value").orderBy("id", *beside)
-    side = lambda df, mark: df.select(*[F.col(c).alias(f"{mark}{c}") for c in own], F.row_number().over(turn).alias(f"{mark}n"), F.lit(True).alias(f"{mark}in"))
-    meet = lambda *names: reduce(and_, [F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")) for c in names])
-    full = side(before, "a_").join(side(after, "b_"), meet("key", "value", "n"), "full")
-    named = lambda outcome: [F.coalesce("a_key", "b_key").alias("key"), outcome.alias("outcome"), F.col("a_value").alias("old"), F.col("b_value").alias("new"), *[F.col(f"{m}_{c}").alias(f"{c}_{name}") for c in ("id", *beside) for m, name in (("a", "old"), ("b", "new"))]]
-    same = full.filter("a_in AND b_in AND NOT a_id <=> b_id").select(*named(F.lit("id-only")))
-    place = lambda m: F.row_number().over(Window.partitionBy(f"{m}key").orderBy(f"{m}value", f"{m}n")).alias(f"{m}m")
-    left = full.filter("b_in IS NULL").select(*[f"a_{c}" for c in own], "a_in", place("a_"))
-    right = full.filter("a_in IS NULL").select(*[f"b_{c}" for c in own], "b_in", place("b_"))
-    rest = left.join(right, meet("key", "m"), "full")
-    outcome = F.when(F.col("b_in").isNull(), "only-before").when(F.col("a_in").isNull(), "only-after").otherwise("changed")
-    found = same.unionByName(rest.select(*named(outcome)))
+    own, more = ["key", "value", "id", *beside], ["id", *beside]
+    # both states are dealt by key once; rows meet by windows and groups within it. The number is stated, so that parts are not put together: each holds several sorts
+    parts = int(before.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = before.select(*own, F.lit(True).alias("_was")).unionByName(after.select(*own, F.lit(False).alias("_was"))).repartition(parts, "key")
+    turned = both.withColumn("_n", F.row_number().over(Window.partitionBy("key", "value", "_was").orderBy(*more)))
+    sided = lambda c, was: F.max(F.when(F.col("_was") == was, F.col(c)))
+    held = [F.bool_or("_was").alias("_a"), F.bool_or(~F.col("_was")).alias("_b")]
+    met = turned.groupBy("key", "value", "_n").agg(*held, *[sided(c, was).alias(f"{c}_{name}") for c in more for was, name in ((True, "old"), (False, "new"))])
+    beyond = [f"{c}_{name}" for c in more for name in ("old", "new")]
+    same = met.filter("_a AND _b AND NOT id_old <=> id_new").select("key", F.lit("id-only").alias("outcome"), F.col("value").alias("old"), F.col("value").alias("new"), *beyond)
+    rest = met.filter("_a <> _b").withColumn("_m", F.row_number().over(Window.partitionBy("key", "_a").orderBy("value", "_n")))
+    rest = rest.groupBy("key", "_m").agg(F.bool_or("_a").alias("_was"), F.bool_or("_b").alias("_is"), F.max(F.when(F.col("_a"), F.col("value"))).alias("old"), F.max(F.when(F.col("_b"), F.col("value"))).alias("new"), *[F.max(c).alias(c) for c in beyond])
+    outcome = F.when(~F.col("_is"), "only-before").when(~F.col("_was"), "only-after").otherwise("changed")
+    found = same.unionByName(rest.select("key", outcome.alias("outcome"), "old", "new", *beyond))
     return found if beside else found.select("key", "outcome", "old", "new")
 
 

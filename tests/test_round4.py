@@ -3,7 +3,7 @@
 import __spark_entry__ as entry
 import pytest
 
-from corpusloom.operators import timeline
+from corpusloom.operators import quality, timeline
 
 
 @pytest.mark.parametrize("block", [2, 10_000])
@@ -27,3 +27,22 @@ def test_discounts_are_added_in_the_order_of_the_rows(spark, tmp_path):
         spark.createDataFrame(some, "l_returnflag string, l_linestatus string, l_orderkey long, l_discount double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet" / f"part={at}"))
     got = [tuple(r) for r in entry.queries()["pairing"](spark, str(tmp_path)).collect()]
     assert got == [("A", "F", 2, 1, "2")]
+
+
+def test_states_are_dealt_by_key_once(spark):
+    """Whatever comes after that lies where it is; examples and counts alone are gathered."""
+    rows = [("s", g, k, v, i) for g, k, v, i in [("g", 1, "x", 1), ("g", 1, "x", 2), ("h", None, None, 3), ("g", 2, "y", None), ("g", 2, None, 4)]]
+    after = [("s", g, k, v, i) for g, k, v, i in [("g", 1, "x", 2), ("h", None, "n", 3), ("h", None, None, 3), ("h", 2, "z", None), ("g", 2, None, 5), ("g", 3, None, None)]]
+    a, b = (spark.createDataFrame(x, "scope string, group string, key long, value string, id long") for x in (rows, after))
+    found = quality.difference_groups(a, b)
+    got = {tuple(r)[1:] for r in found.collect()}
+    # equal values match off in the order of their ids: 1 meets 2, and the second is left over
+    assert got == {("g", "id-only", 2, "1  1 -> 2\n2  4 -> 5"), ("g", "only-before", 1, "1  x"), ("g -> h", "changed", 1, "2  y  =>  z"), ("h", "only-after", 1, "  n"), ("g", "only-after", 1, "3  ")}
+    plain = lambda df: df.select("key", "value", "id")
+    plan = quality.keyed_comparison(plain(a), plain(b))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert text.count("Join") == 0
