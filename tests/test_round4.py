@@ -2,8 +2,9 @@
 
 import __spark_entry__ as entry
 import pytest
+from pyspark.sql import functions as F
 
-from corpusloom.operators import quality, timeline
+from corpusloom.operators import passages, quality, timeline
 
 
 @pytest.mark.parametrize("block", [2, 10_000])
@@ -46,3 +47,14 @@ def test_states_are_dealt_by_key_once(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert text.count("Join") == 0
+
+
+def test_grams_are_dealt_as_hashes(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(passages, "kept", lambda df, name: written.append(df) or df)
+    rows = [("x y", 1, 0), ("x y", 2, 3), ("y", 1, 1), (None, 1, 2), (None, 2, 2)] + [("z", k, 5) for k in range(5)]
+    grams = spark.createDataFrame(rows, "gram string, seg long, position int")
+    assert {tuple(r) for r in passages.seeds(grams, grams).collect()} == {(1, 0, 2, 3)}
+    assert "string" not in [kind for _, kind in written[0].dtypes]
+    other = grams.select("gram", (F.col("seg") + 10).alias("seg"), "position")
+    assert {tuple(r) for r in passages.seeds(grams, other).collect()} == {(1, 0, 11, 0), (1, 0, 12, 3), (2, 3, 11, 0), (2, 3, 12, 3)}
