@@ -4,6 +4,7 @@ import __spark_entry__ as entry
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom import session
 from corpusloom.operators import passages, quality, timeline
 
 
@@ -58,3 +59,18 @@ def test_grams_are_dealt_as_hashes(spark, monkeypatch):
     assert "string" not in [kind for _, kind in written[0].dtypes]
     other = grams.select("gram", (F.col("seg") + 10).alias("seg"), "position")
     assert {tuple(r) for r in passages.seeds(grams, other).collect()} == {(1, 0, 11, 0), (1, 0, 12, 3), (2, 3, 11, 0), (2, 3, 12, 3)}
+
+
+def test_spans_are_put_together_where_their_text_lies(spark, tmp_path, monkeypatch):
+    plans, write = [], session.kept
+    monkeypatch.setattr(session, "kept", lambda df, name="kept": plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    texts = [(1, "One the. Two the, a the b, c. Three the."), (2, None), (3, "")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {tuple(r) for r in entry.queries()["spans_with_a_word"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got == {(1, "c1", 2, "Two the"), (1, "c2", 3, "a the b")}
+    # a reused exchange is named beside what it reuses
+    assert plans[-1].count("Exchange hashpartitioning") - plans[-1].count("ReusedExchange") == 1
