@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import session
-from corpusloom.operators import passages, quality, timeline
+from corpusloom.operators import passages, quality, spans, timeline
 
 
 @pytest.mark.parametrize("block", [2, 10_000])
@@ -74,3 +74,12 @@ def test_spans_are_put_together_where_their_text_lies(spark, tmp_path, monkeypat
     assert got == {(1, "c1", 2, "Two the"), (1, "c2", 3, "a the b")}
     # a reused exchange is named beside what it reuses
     assert plans[-1].count("Exchange hashpartitioning") - plans[-1].count("ReusedExchange") == 1
+
+
+def test_parents_are_found_once_before_spans_nest(spark, monkeypatch):
+    written, write = [], spans.kept
+    monkeypatch.setattr(spans, "kept", lambda df, name: written.append(name) or write(df, name))
+    run = "runs array<struct<first: long, last: long>>"
+    rows = spark.createDataFrame([(1, "c", "clause", [(1, 9)]), (1, "a", "group", [(1, 2), (5, 6)]), (1, "ab", "group", [(1, 1), (6, 6)])], f"text long, node string, kind string, {run}")
+    got = {r["node"]: r["parent"] for r in spans.nested(rows, {"group": "clause"}, ("group",)).collect()}
+    assert got == {"c": None, "a": "c", "ab": "a"} and written == ["parents"]
